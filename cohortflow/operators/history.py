@@ -16,6 +16,7 @@ def history_features(events: DataFrame, entity: str, event_id: str, start: str,
                      prior_sums: Mapping[str, str] | None = None,
                      readmit_days: int = 30, frequent_min: int = 3,
                      min_history_years: float = 0.1, no_history_days: float | None = None,
+                     label_horizon: int | None = None, keep_last: bool = True,
                      bucket_days: float = DEFAULT_BUCKET_DAYS) -> DataFrame:
     """Add history columns computed from the entity's events whose ``start`` is
     strictly before the current ``start`` (ties are not history):
@@ -30,10 +31,23 @@ def history_features(events: DataFrame, entity: str, event_id: str, start: str,
       ``min_history_years``), 0 without history
     * one column per ``prior_sums`` entry ``{output: per-event column}``: sum
       over prior events, 0 without history.
+
+    With ``label_horizon`` the follow-up label is computed in the same
+    neighbour pass (``next_start``, ``gap_days``, ``label``; see
+    :func:`cohortflow.operators.label.readmission_label`) and, unless
+    ``keep_last``, each entity's last event is dropped after the history is
+    computed (the last event is still history for nobody, but it is needed
+    as the *next* event of the one before it).
     """
     prior_sums = dict(prior_sums or {})
-    d = neighbours(events, entity, start, event_id, prev={"_hf_prev_end": end},
-                   bucket_days=bucket_days)
+    nxt = {"next_start": start} if label_horizon is not None else None
+    d = neighbours(events, entity, start, event_id, prev={"_hf_prev_end": end}, nxt=nxt,
+                   has_next="_hf_has_next", bucket_days=bucket_days)
+    if label_horizon is not None:
+        gap = elapsed_days(F.col(end), F.col("next_start"))
+        d = (d.withColumn("gap_days", gap)
+              .withColumn("label", indicator((F.col("gap_days") > 0)
+                                             & (F.col("gap_days") <= label_horizon))))
     d = (d.withColumn("_hf_los", elapsed_days(F.col(start), F.col(end)))
           .withColumn("_hf_close", indicator(
               elapsed_days(F.col("_hf_prev_end"), F.col(start)) <= readmit_days)))
@@ -59,4 +73,6 @@ def history_features(events: DataFrame, entity: str, event_id: str, start: str,
                        .otherwise(F.lit(0.0))))
     for out in prior_sums:
         d = d.withColumn(out, F.coalesce(F.col("_hf_s_" + out), F.lit(0)))
+    if label_horizon is not None and not keep_last:
+        d = d.filter(F.col("_hf_has_next"))
     return d.drop(*[c for c in d.columns if c.startswith("_hf_")])
