@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import indicator
 from ..functions.time import DAYS_PER_YEAR, elapsed_days
-from .sequence import DEFAULT_BUCKET_DAYS, neighbours, prior_aggregates
+from .sequence import DEFAULT_BUCKET_DAYS, drop_scan_columns, neighbours, prior_aggregates
 
 
 def history_features(events: DataFrame, entity: str, event_id: str, start: str, end: str,
@@ -42,7 +42,7 @@ def history_features(events: DataFrame, entity: str, event_id: str, start: str,
     prior_sums = dict(prior_sums or {})
     nxt = {"next_start": start} if label_horizon is not None else None
     d = neighbours(events, entity, start, event_id, prev={"_hf_prev_end": end}, nxt=nxt,
-                   has_next="_hf_has_next", bucket_days=bucket_days)
+                   has_next="_hf_has_next", bucket_days=bucket_days, keep_scan=True)
     if label_horizon is not None:
         gap = elapsed_days(F.col(end), F.col("next_start"))
         d = (d.withColumn("gap_days", gap)
@@ -57,7 +57,8 @@ def history_features(events: DataFrame, entity: str, event_id: str, start: str,
             ("_hf_last_end", "last", end),
             ("_hf_first_start", "first", start)]
     aggs += [("_hf_s_" + out, "sum", col) for out, col in prior_sums.items()]
-    d = prior_aggregates(d, entity, start, event_id, aggs, bucket_days=bucket_days)
+    d = drop_scan_columns(prior_aggregates(d, entity, start, event_id, aggs,
+                                           bucket_days=bucket_days))
 
     n = F.col("prior_count")
     since = elapsed_days(F.col("_hf_last_end"), F.col(start))

@@ -34,16 +34,25 @@ DEFAULT_BUCKET_DAYS = 7
 
 
 def _with_bucket(df: DataFrame, time: str, bucket_days: float) -> DataFrame:
+    """Add the ordering micros and the bucket index, unless an earlier scan on
+    the same frame left them in place (then the frame is still partitioned
+    by ``(entity, bucket)`` and the next window needs no new shuffle)."""
+    if TM in df.columns and BK in df.columns:
+        return df
     width = float(bucket_days) * MICROS_PER_DAY
     return (df.withColumn(TM, epoch_micros(time))
               .withColumn(BK, F.floor(F.col(TM) / F.lit(width)).cast("bigint")))
 
 
+def drop_scan_columns(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_sq_")])
+
+
 def neighbours(df: DataFrame, entity: str, time: str, tie: str,
                prev: Mapping[str, str] | None = None,
                nxt: Mapping[str, str] | None = None,
                has_prev: str | None = None, has_next: str | None = None,
-               bucket_days: float = DEFAULT_BUCKET_DAYS) -> DataFrame:
+               bucket_days: float = DEFAULT_BUCKET_DAYS, keep_scan: bool = False) -> DataFrame:
     """Add ``lag`` / ``lead`` columns over the entity's events ordered by
     ``(time, tie)``.
 
@@ -64,8 +73,9 @@ def neighbours(df: DataFrame, entity: str, time: str, tie: str,
 
     last_row = F.struct(F.lit(True).alias("_x"), *[F.col(s).alias(o) for o, s in prev.items()])
     first_row = F.struct(F.lit(True).alias("_x"), *[F.col(s).alias(o) for o, s in nxt.items()])
-    summary = (_with_bucket(df, time, bucket_days)
-               .groupBy(entity, BK)
+    # summarised from the windowed frame: already clustered by (entity,
+    # bucket), so the aggregate adds no shuffle and the row shuffle is reused
+    summary = (d.groupBy(entity, BK)
                .agg(F.max_by(last_row, order_key).alias("_sq_last"),
                     F.min_by(first_row, order_key).alias("_sq_first")))
     v = Window.partitionBy(entity).orderBy(BK)
@@ -83,7 +93,7 @@ def neighbours(df: DataFrame, entity: str, time: str, tie: str,
         j = j.withColumn(has_prev, F.col("_sq_hp") | F.col("_sq_cl").isNotNull())
     if has_next:
         j = j.withColumn(has_next, F.col("_sq_hn") | F.col("_sq_cf").isNotNull())
-    drop = [c for c in j.columns if c.startswith("_sq_")]
+    drop = [c for c in j.columns if c.startswith("_sq_") and not (keep_scan and c in (TM, BK))]
     return j.drop(*drop)
 
 
@@ -92,7 +102,8 @@ _KINDS = ("count", "sum", "max", "min", "last", "first")
 
 def prior_aggregates(df: DataFrame, entity: str, time: str, tie: str,
                      aggs: Sequence[tuple[str, str, str | None]],
-                     bucket_days: float = DEFAULT_BUCKET_DAYS) -> DataFrame:
+                     bucket_days: float = DEFAULT_BUCKET_DAYS, keep_scan: bool = False
+                     ) -> DataFrame:
     """Aggregates over the entity's events with a strictly earlier ``time``
     (ties with the current event are not history).
 
@@ -122,7 +133,7 @@ def prior_aggregates(df: DataFrame, entity: str, time: str, tie: str,
         if kind != "count":
             d = d.withColumn("_sq_w_" + out, agg_expr(kind, col).over(wr))
 
-    summary = _with_bucket(df, time, bucket_days).groupBy(entity, BK).agg(
+    summary = d.groupBy(entity, BK).agg(
         F.count(F.lit(1)).alias("_sq_bn"),
         *[agg_expr(kind, col).alias("_sq_b_" + out) for out, kind, col in aggs if kind != "count"])
     before = (Window.partitionBy(entity).orderBy(BK)
@@ -162,5 +173,5 @@ def prior_aggregates(df: DataFrame, entity: str, time: str, tie: str,
         else:  # first
             val = F.when(cn > 0, c_).otherwise(w_)
         j = j.withColumn(out, val)
-    drop = [c for c in j.columns if c.startswith("_sq_")]
+    drop = [c for c in j.columns if c.startswith("_sq_") and not (keep_scan and c in (TM, BK))]
     return j.drop(*drop)

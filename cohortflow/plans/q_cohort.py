@@ -12,6 +12,7 @@ from .bindings import ITEM_RULES, ORDERS_EVENTS_SQL, coded_children, days_sql, o
 from .q_children import (CHILD_SQL, CODE_GROUPS, DRUG_CLASSES, LI_ORDER, PRIMARY_CODES,
                          SUBTYPE_GROUPS, _any, _inlist, coded_features_spec, drug_features_spec,
                          item_rules)
+from ..session import cut_lineage
 from .registry import register
 
 AGE_EDGES, AGE_LABELS = [0, 50, 65, 75, 85, 100], ["<50", "50-64", "65-74", "75-84", "85+"]
@@ -38,8 +39,13 @@ def _all_child_spec():
     return [coded_features_spec(), drug_features_spec(), meas, sub]
 
 
-def cohort_frame(spark, sf_dir, keep_last=False):
-    """Events + one-pass child features + entity attributes + label + history."""
+def cohort_frame(spark, sf_dir, keep_last=False, materialize=True):
+    """Events + one-pass child features + entity attributes + label + history.
+
+    The event-level frame (one row per event, all child features attached)
+    is written once to the shared checkpoint folder before the ordered
+    scans: the two-level scan reads its input in two branches, and without
+    the cut each branch would re-run the child-table aggregation."""
     specs = _all_child_spec()
     fill = {}
     for s in specs:
@@ -48,6 +54,8 @@ def cohort_frame(spark, sf_dir, keep_last=False):
     ev = attach(orders_events(spark, sf_dir), child, "o_orderkey", "l_orderkey", fill)
     ev = ev.join(customer_entities(spark, sf_dir), ev.o_custkey == F.col("c_custkey"), "left")
     ev = ev.withColumn("urgent", equals_flag("o_orderpriority", "1-URGENT"))
+    if materialize:
+        ev = cut_lineage(ev, "cohort-events")
     h = history_features(ev, "o_custkey", "o_orderkey", "o_orderdate", "o_enddate",
                          prior_sums={"prior_with_r": "has_r", "prior_urgent": "urgent",
                                      "prior_lines": "total_codes"},

@@ -7,6 +7,7 @@ from ..operators.history import history_features
 from ..operators.label import gap_bands, gap_to_previous, horizon_rates, readmission_label
 from ..sources.io import read_parquet
 from .bindings import ORDERS_EVENTS_SQL, days_sql, orders_events
+from ..session import cut_lineage
 from .registry import register
 
 EV = f"ev AS ({ORDERS_EVENTS_SQL})"
@@ -133,7 +134,7 @@ def order_event_children(spark, sf_dir):
 
 @register("history_features", sql=HIST_SQL)
 def q_history(spark, sf_dir):
-    e = order_event_children(spark, sf_dir)
+    e = cut_lineage(order_event_children(spark, sf_dir))
     h = history_features(e, "o_custkey", "o_orderkey", "o_orderdate", "o_enddate",
                          prior_sums={"prior_with_r": "has_r", "prior_urgent": "urgent",
                                      "prior_lines": "n_lines"})

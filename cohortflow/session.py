@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,8 +54,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
-def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (survives the
-    loss of the executors that computed ``df``)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df, name: str = "stage"):
+    """Write ``df`` once as a Parquet table under the shared checkpoint folder
+    and return a DataFrame reading it back.
+
+    This is the lineage cut used before multi-branch plans: one job computes
+    the input (``Dataset.checkpoint`` would run it twice unless cached), the
+    files live on the cluster's shared storage (they survive the loss of the
+    executors that wrote them), and the read-back gets Parquet column
+    pruning and predicate pushdown.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/cohortflow-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
