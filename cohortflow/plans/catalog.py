@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from . import q_children, q_cohort, q_label  # noqa: F401
+from . import q_children, q_cohort, q_label, q_profile  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["QUERIES", "ORACLE_SQL"]

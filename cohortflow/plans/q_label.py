@@ -41,11 +41,8 @@ FROM lb GROUP BY label
 """)
 def q_label_class_balance(spark, sf_dir):
     lb = q_readmission_label(spark, sf_dir)
-    g = lb.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    # the share divides by the total of a two-row aggregate: a global window
-    # over the *aggregate*, never over rows
-    from pyspark.sql import Window
-    return g.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 4))
+    from ..operators.profile import with_share
+    return with_share(lb.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "n", "pct")
 
 
 @register("readmission_horizon_rates", sql=f"""
