@@ -51,19 +51,28 @@ def fit_fill_values(df: DataFrame, policy: Mapping[str, object], method: str = "
     if means:
         row = df.agg(*[F.avg(c).alias(c) for c in means]).first()
         values.update({c: row[c] for c in means})
-    for c, p in policy.items():
-        if p == "median":
+    medians = [c for c, p in policy.items() if p == "median"]
+    if medians and method == "approx":
+        # every approximate median in one aggregate (one job)
+        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 10000).alias(c)
+                       for c in medians]).first()
+        values.update({c: row[c] for c in medians})
+    elif medians:
+        for c in medians:
             values[c] = quantiles(df, c, [0.5], method=method)[0]
-        elif p != "mean":
+    for c, p in policy.items():
+        if p not in ("median", "mean"):
             values[c] = p
     return values
 
 
 def impute(df: DataFrame, policy: Mapping[str, object], fit_df: DataFrame | None = None,
-           method: str = "exact") -> DataFrame:
+           method: str = "exact", values: Mapping[str, float] | None = None) -> DataFrame:
     """Fill NULL (and NaN) per column by a median / mean fitted on ``fit_df``
-    or by a constant (mid-point median, as pandas / NumPy)."""
-    vals = fit_fill_values(fit_df if fit_df is not None else df, policy, method)
+    or by a constant (mid-point median, as pandas / NumPy). Pass ``values``
+    (from :func:`fit_fill_values`) to apply an existing fit."""
+    vals = values if values is not None else fit_fill_values(
+        fit_df if fit_df is not None else df, policy, method)
     cols = []
     for c in df.columns:
         if c in vals and vals[c] is not None:
