@@ -108,3 +108,41 @@ def q_calendar_features(spark, sf):
                     F.date_format("ts", "yyyy-MM-dd").alias("day"),
                     (F.round(s, 6) + F.lit(0.0)).alias("weekday_sin"),
                     (F.round(c, 6) + F.lit(0.0)).alias("weekday_cos"))
+
+
+@register("timestamp_text_parse", sql="""
+WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN 'not a time'
+                                   ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS txt FROM orders)
+SELECT o_orderkey, txt, try_strptime(txt, '%Y-%m-%d %H:%M:%S') AS parsed FROM t
+""")
+def q_parse(spark, sf):
+    from ..functions.time import parse_timestamp
+    o = read_parquet(spark, sf, "orders")
+    txt = F.when(F.col("o_orderkey") % 97 == 0, F.lit("not a time")).otherwise(
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    return o.select("o_orderkey", txt.alias("txt")).withColumn("parsed", parse_timestamp("txt"))
+
+
+@register("stream_scoring_batch", sql="""
+WITH e AS (SELECT o_orderkey, o_orderdate,
+                  CAST(floor(date_diff('microsecond', o_orderdate, o_orderdate + to_days(CAST(1 + o_orderkey % 10 AS INTEGER))) / 86400000000.0) AS BIGINT) AS los_days,
+                  CAST(o_orderpriority = '1-URGENT' AS INTEGER) AS urgent, CAST(o_totalprice > 300000 AS INTEGER) AS large
+           FROM orders),
+s AS (SELECT *, round(least((CASE WHEN los_days > 7 THEN 2 WHEN los_days > 3 THEN 1 ELSE 0 END + urgent + large) / 10.0, 0.95), 4) AS score FROM e)
+SELECT o_orderkey, o_orderdate, los_days,
+       CASE WHEN los_days > 0 AND los_days <= 3 THEN 'Short' WHEN los_days > 3 AND los_days <= 7 THEN 'Medium'
+            WHEN los_days > 7 AND los_days <= 14 THEN 'Long' WHEN los_days > 14 AND los_days <= 30 THEN 'Extended'
+            WHEN los_days > 30 AND los_days <= 1000 THEN 'Very_Long' END AS los_band,
+       urgent, large, score,
+       CASE WHEN score >= 0.7 THEN 'High Risk' WHEN score >= 0.4 THEN 'Medium Risk' ELSE 'Low Risk' END AS risk_tier,
+       CASE WHEN los_days > 7 OR urgent = 1 OR large = 1 THEN
+         array_to_string(list_filter([CASE WHEN los_days > 7 THEN 'Extended stay' END,
+                                      CASE WHEN urgent = 1 THEN 'Urgent event' END,
+                                      CASE WHEN large = 1 THEN 'Large order' END], lambda x: x IS NOT NULL), '; ')
+       ELSE 'No major risk factors identified' END AS reasons
+FROM s
+""")
+def q_stream_batch(spark, sf):
+    """The streaming scorer's expressions on the batch table (same code path)."""
+    from ..streaming.scoring import score_events
+    return score_events(read_parquet(spark, sf, "orders"))
