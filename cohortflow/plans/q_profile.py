@@ -8,7 +8,7 @@ from ..operators import profile as P
 from ..sources.io import DRIVER_TABLES, load_tables, read_parquet, table_overview
 from .bindings import ORDERS_EVENTS_SQL, coded_children, days_sql, orders_events
 from .q_children import CHILD_SQL, _measured_sql, q_measured
-from .bindings import ITEM_RULES
+from .bindings import ITEM_RULES, PRIMARY_CODES
 from .registry import register
 
 
@@ -311,3 +311,29 @@ def q_distinct(spark, sf):
     b = _t(spark, sf, "part").agg(F.count_distinct("p_brand").alias("n_codes"))
     c = _t(spark, sf, "events").agg(F.count_distinct("event_type").alias("n_items"))
     return a.crossJoin(b).crossJoin(c)
+
+
+@register("code_partition", sql=f"""
+SELECT CASE WHEN coalesce(p_brand IN ({", ".join(f"'{b}'" for b in PRIMARY_CODES)}), false)
+            THEN 'primary' ELSE 'other' END AS part, count(*) AS n_rows, count(DISTINCT p_brand) AS n_codes
+FROM {CHILD_SQL} c GROUP BY part
+""")
+def q_partition(spark, sf):
+    """Split child rows by an IN-list and its complement (NULL codes go to the
+    complement), counting each side."""
+    c = coded_children(spark, sf)
+    inside = F.coalesce(F.col("p_brand").isin(PRIMARY_CODES), F.lit(False))
+    a = c.filter(inside).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("p_brand").alias("n_codes")) \
+        .withColumn("part", F.lit("primary"))
+    b = c.filter(~inside).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("p_brand").alias("n_codes")) \
+        .withColumn("part", F.lit("other"))
+    return a.unionByName(b).select("part", "n_rows", "n_codes")
+
+
+@register("secondary_code_top", sql=f"""
+SELECT p_brand, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 4) AS pct
+FROM {CHILD_SQL} c WHERE l_linenumber > 1 GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 10
+""")
+def q_secondary(spark, sf):
+    """Range filter (secondary positions, sequence number > 1) then top codes."""
+    return P.frequency(coded_children(spark, sf).filter(F.col("l_linenumber") > 1), "p_brand", top=10)
