@@ -86,8 +86,10 @@ def abnormality(col, ref: float, scale: float, direction: str = "above",
     c = _c(col)
     dist = (c - F.lit(ref)) if direction == "above" else (F.lit(ref) - c)
     v = F.greatest(dist, F.lit(0.0)) / F.lit(float(scale))
-    v = F.when(c.isNull(), F.lit(None)).otherwise(v)
-    return v if cap is None else F.least(v, F.lit(cap))
+    if cap is not None:
+        v = F.least(v, F.lit(float(cap)))
+    # greatest / least skip NULL arguments: keep a missing value missing
+    return F.when(c.isNull(), F.lit(None)).otherwise(v)
 
 
 def cyclical(col, period: float) -> tuple[Column, Column]:

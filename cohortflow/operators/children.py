@@ -29,10 +29,14 @@ class ChildSpec:
     post: list[tuple[str, Column]] = field(default_factory=list)
     fill: dict[str, object] = field(default_factory=dict)
     drop: list[str] = field(default_factory=list)
+    # exact distinct counts ``(name, column)``, computed in a separate narrow
+    # aggregate so the wide one keeps a plain partial/final plan
+    distinct: list[tuple[str, Column]] = field(default_factory=list)
 
     def __add__(self, other: "ChildSpec") -> "ChildSpec":
         return ChildSpec(self.aggs + other.aggs, self.post + other.post,
-                         {**self.fill, **other.fill}, self.drop + other.drop)
+                         {**self.fill, **other.fill}, self.drop + other.drop,
+                         self.distinct + other.distinct)
 
 
 def _c(x) -> Column:
@@ -46,6 +50,13 @@ def aggregate_children(children: DataFrame, key: str, specs: Sequence[ChildSpec]
     for s in specs[1:]:
         spec = spec + s
     out = children.groupBy(key).agg(*spec.aggs)
+    for name, col in spec.distinct:
+        # (key, value) pairs first (map-side deduplicated), then a count per
+        # key; both sides end hash-partitioned by key, so the join adds no
+        # shuffle of the wide aggregate
+        pairs = children.select(F.col(key), col.alias("_dv")).filter(F.col("_dv").isNotNull()).distinct()
+        counts = pairs.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+        out = out.join(counts, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
     for name, col in spec.post:
         out = out.withColumn(name, col)
     return out.drop(*spec.drop) if spec.drop else out
@@ -213,8 +224,12 @@ def drug_spec(drug, classes: Mapping[str, Sequence[str]],
     ``max(either) + second + third`` with ``optimal`` (>= 3), ``suboptimal``
     (< 2); ``polypharmacy`` = total >= ``polypharmacy_min``."""
     d = _c(drug)
-    uniq = F.approx_count_distinct(d) if approx_unique else F.count_distinct(d)
-    aggs = [F.count(F.lit(1)).alias(total), uniq.alias(unique)]
+    aggs = [F.count(F.lit(1)).alias(total)]
+    distinct = []
+    if approx_unique:
+        aggs.append(F.approx_count_distinct(d).alias(unique))
+    else:
+        distinct.append((unique, d))
     for name, members in classes.items():
         aggs.append(F.coalesce(F.max(d.isin(list(members)).cast("int")), F.lit(0)).alias(f"has_{name}"))
     csum = F.lit(0)
@@ -233,7 +248,7 @@ def drug_spec(drug, classes: Mapping[str, Sequence[str]],
                  ("optimal_therapy", indicator(F.col("guideline_score") >= 3)),
                  ("suboptimal_therapy", indicator(F.col("guideline_score") < 2))]
         fill.update({"guideline_score": 0, "optimal_therapy": 0, "suboptimal_therapy": 1})
-    return ChildSpec(aggs, post, fill)
+    return ChildSpec(aggs, post, fill, distinct=distinct)
 
 
 def exists_flag(events: DataFrame, children: DataFrame, event_key: str, child_key: str,

@@ -275,3 +275,47 @@ FROM w WHERE next_id IS NOT NULL
 from .registry import ORACLE_SQL  # noqa: E402
 
 ORACLE_SQL["cohort_feature_table"] = _cohort_sql().strip()
+
+
+# Scaled-and-capped network inputs: (output, source column, divisor, cap)
+NORMS = [("age_norm", "age", 100.0, None), ("codes_norm", "total_codes", 10.0, 1.0),
+         ("primary_norm", "primary_count", 5.0, 1.0), ("groups_norm", "group_count", 5.0, None),
+         ("complexity_norm", "complexity_score", 20.0, 1.0), ("subset_norm", "r_sum", 10.0, 1.0),
+         ("drugs_norm", "total_drugs", 15.0, 1.0), ("guideline_norm", "guideline_score", 3.0, None),
+         ("prior_norm", "prior_count", 5.0, 1.0)]
+# (output, item, reference, scale, direction, cap)
+ABNORMAL = [("item_a_abnormal", "item_a_last", 25.0, 20.0, "above", 1.0),
+            ("item_n_abnormal", "item_n_last", 10.0, 5.0, "below", None),
+            ("item_r_abnormal", "item_r_last", 20.0, 30.0, "above", 1.0)]
+
+
+@register("network_input_features")
+def q_network_inputs(spark, sf_dir):
+    from ..functions.expr import abnormality, scaled_cap
+    cf = cohort_features(spark, sf_dir)
+    cols = [F.round(scaled_cap(src, div, cap), 6).alias(out) for out, src, div, cap in NORMS]
+    days = F.coalesce(F.col("days_since_last"), F.lit(365.0))
+    cols += [days.alias("days_since_last_filled"),
+             F.round(scaled_cap(days, 365.0, 1.0), 6).alias("days_since_norm")]
+    cols += [F.round(F.coalesce(abnormality(src, ref, sc, d, cap), F.lit(0.0)), 6).alias(out)
+             for out, src, ref, sc, d, cap in ABNORMAL]
+    return cf.select("o_orderkey", *cols)
+
+
+def _network_sql():
+    parts = []
+    for out, src, div, cap in NORMS:
+        e = f"{src} / {div}"
+        parts.append(f"round({'least(' + e + f', {cap})' if cap is not None else e}, 6) AS {out}")
+    parts.append("coalesce(days_since_last, 365.0) AS days_since_last_filled")
+    parts.append("round(least(coalesce(days_since_last, 365.0) / 365.0, 1.0), 6) AS days_since_norm")
+    for out, src, ref, sc, d, cap in ABNORMAL:
+        dist = f"{src} - {ref}" if d == "above" else f"{ref} - {src}"
+        e = f"greatest({dist}, 0) / {sc}"
+        if cap is not None:
+            e = f"least({e}, {cap})"
+        parts.append(f"round(coalesce({e}, 0.0), 6) AS {out}")
+    return f"WITH cf AS ({_cohort_sql().strip()}) SELECT o_orderkey, {', '.join(parts)} FROM cf"
+
+
+ORACLE_SQL["network_input_features"] = _network_sql()

@@ -73,3 +73,13 @@ def test_bin_edges(spark):
     ages = spark.createDataFrame([(50.0,), (100.1,)], "x double")
     age = cut(F.col("x"), [0, 50, 65, 75, 85, 100], ["<50", "50-64", "65-74", "75-84", "85+"])
     assert [r[0] for r in ages.select(age).collect()] == ["<50", None]
+
+
+def test_abnormality_and_clamp_keep_null(spark):
+    from cohortflow.functions.expr import abnormality, clamp, scaled_cap
+    df = spark.createDataFrame([(None,), (30.0,), (10.0,)], "x double")
+    out = df.select(abnormality("x", 20, 5, "above", 1.0).alias("a"),
+                    abnormality("x", 20, 5, "below", None).alias("b"),
+                    clamp("x", 12, 25).alias("c"), scaled_cap("x", 20).alias("d")).collect()
+    assert [tuple(r) for r in out] == [(None, None, None, None), (1.0, 0.0, 25.0, 1.0),
+                                       (0.0, 2.0, 12.0, 0.5)]
