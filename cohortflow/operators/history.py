@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import indicator
 from ..functions.time import DAYS_PER_YEAR, elapsed_days
-from .sequence import DEFAULT_BUCKET_DAYS, drop_scan_columns, neighbours, prior_aggregates
+from .sequence import DEFAULT_ROWS_PER_BUCKET, drop_scan_columns, neighbours, prior_aggregates
 
 
 def history_features(events: DataFrame, entity: str, event_id: str, start: str, end: str,
@@ -17,7 +17,8 @@ def history_features(events: DataFrame, entity: str, event_id: str, start: str,
                      readmit_days: int = 30, frequent_min: int = 3,
                      min_history_years: float = 0.1, no_history_days: float | None = None,
                      label_horizon: int | None = None, keep_last: bool = True,
-                     bucket_days: float = DEFAULT_BUCKET_DAYS) -> DataFrame:
+                     bucket_days: float | None = None,
+                     rows_per_bucket: int | None = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Add history columns computed from the entity's events whose ``start`` is
     strictly before the current ``start`` (ties are not history):
 
@@ -42,7 +43,8 @@ def history_features(events: DataFrame, entity: str, event_id: str, start: str,
     prior_sums = dict(prior_sums or {})
     nxt = {"next_start": start} if label_horizon is not None else None
     d = neighbours(events, entity, start, event_id, prev={"_hf_prev_end": end}, nxt=nxt,
-                   has_next="_hf_has_next", bucket_days=bucket_days, keep_scan=True)
+                   has_next="_hf_has_next", bucket_days=bucket_days, keep_scan=True,
+                   rows_per_bucket=rows_per_bucket)
     if label_horizon is not None:
         gap = elapsed_days(F.col(end), F.col("next_start"))
         d = (d.withColumn("gap_days", gap)

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import indicator
 from ..functions.time import elapsed_days
-from .sequence import DEFAULT_BUCKET_DAYS, neighbours
+from .sequence import DEFAULT_ROWS_PER_BUCKET, neighbours
 
 
 def readmission_label(events: DataFrame, entity: str, event_id: str, start: str, end: str,
                       horizon_days: int = 30, drop_last: bool = True,
                       gap_col: str = "gap_days", label_col: str = "label",
                       next_col: str = "next_start", is_last_col: str | None = None,
-                      bucket_days: float = DEFAULT_BUCKET_DAYS) -> DataFrame:
+                      bucket_days: float | None = None,
+                      rows_per_bucket: int | None = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Label each event by the floored day gap from its end to the start of the
     entity's next event (order: ``start``, then ``event_id`` for ties).
 
@@ -27,7 +28,7 @@ def readmission_label(events: DataFrame, entity: str, event_id: str, start: str,
     removed, so single-event entities vanish from the cohort.
     """
     d = neighbours(events, entity, start, event_id, nxt={next_col: start},
-                   has_next="_lb_has_next", bucket_days=bucket_days)
+                   has_next="_lb_has_next", bucket_days=bucket_days, rows_per_bucket=rows_per_bucket)
     gap = elapsed_days(F.col(end), F.col(next_col))
     d = (d.withColumn(gap_col, gap)
           .withColumn(label_col, indicator((F.col(gap_col) > 0) & (F.col(gap_col) <= horizon_days))))
@@ -39,7 +40,7 @@ def readmission_label(events: DataFrame, entity: str, event_id: str, start: str,
 
 
 def gap_to_previous(events: DataFrame, entity: str, event_id: str, start: str, end: str,
-                    gap_col: str = "gap_from_prev", bucket_days: float = DEFAULT_BUCKET_DAYS
+                    gap_col: str = "gap_from_prev", bucket_days: float | None = None
                     ) -> DataFrame:
     """Floored days from the previous event's end to this event's start
     (``lag`` form; NULL for an entity's first event)."""

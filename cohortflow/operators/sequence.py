@@ -31,17 +31,37 @@ from ..functions.time import MICROS_PER_DAY, epoch_micros
 
 TM, BK = "_sq_tm", "_sq_bucket"
 DEFAULT_BUCKET_DAYS = 7
+DEFAULT_ROWS_PER_BUCKET = 50_000
 
 
-def _with_bucket(df: DataFrame, time: str, bucket_days: float) -> DataFrame:
+def _with_bucket(df: DataFrame, time: str, bucket_days: float | None, entity: str | None = None,
+                 rows_per_bucket: int | None = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Add the ordering micros and the bucket index, unless an earlier scan on
     the same frame left them in place (then the frame is still partitioned
-    by ``(entity, bucket)`` and the next window needs no new shuffle)."""
+    by ``(entity, bucket)`` and the next window needs no new shuffle).
+
+    Fixed mode (``bucket_days`` given): buckets are that many days wide.
+    Adaptive mode (the default, ``rows_per_bucket``): each entity's span is cut into about
+    ``n_events / rows_per_bucket`` equal-width buckets, so an ordinary entity
+    is one bucket and a heavy one is split finely. The per-entity span comes
+    from a map-side-combined aggregate joined back on the entity (a heavy
+    entity is one skewed key of that join, which AQE splits).
+    """
     if TM in df.columns and BK in df.columns:
         return df
+    d = df.withColumn(TM, epoch_micros(time))
+    if bucket_days is None and not rows_per_bucket:
+        bucket_days = DEFAULT_BUCKET_DAYS
+    if bucket_days is None:
+        stats = d.groupBy(entity).agg(F.count(F.lit(1)).alias("_sq_n"), F.min(TM).alias("_sq_lo"),
+                                      F.max(TM).alias("_sq_hi"))
+        width = F.greatest((F.col("_sq_hi") - F.col("_sq_lo") + F.lit(1)).cast("double")
+                           * F.lit(float(rows_per_bucket)) / F.col("_sq_n"), F.lit(1.0))
+        return (d.join(stats, entity, "left")
+                 .withColumn(BK, F.floor((F.col(TM) - F.col("_sq_lo")) / width).cast("bigint"))
+                 .drop("_sq_n", "_sq_lo", "_sq_hi"))
     width = float(bucket_days) * MICROS_PER_DAY
-    return (df.withColumn(TM, epoch_micros(time))
-              .withColumn(BK, F.floor(F.col(TM) / F.lit(width)).cast("bigint")))
+    return d.withColumn(BK, F.floor(F.col(TM) / F.lit(width)).cast("bigint"))
 
 
 def drop_scan_columns(df: DataFrame) -> DataFrame:
@@ -52,7 +72,8 @@ def neighbours(df: DataFrame, entity: str, time: str, tie: str,
                prev: Mapping[str, str] | None = None,
                nxt: Mapping[str, str] | None = None,
                has_prev: str | None = None, has_next: str | None = None,
-               bucket_days: float = DEFAULT_BUCKET_DAYS, keep_scan: bool = False) -> DataFrame:
+               bucket_days: float | None = None, keep_scan: bool = False,
+               rows_per_bucket: int | None = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Add ``lag`` / ``lead`` columns over the entity's events ordered by
     ``(time, tie)``.
 
@@ -61,7 +82,7 @@ def neighbours(df: DataFrame, entity: str, time: str, tie: str,
     boolean columns (``has_next = False`` marks the entity's last event).
     """
     prev, nxt = dict(prev or {}), dict(nxt or {})
-    d = _with_bucket(df, time, bucket_days)
+    d = _with_bucket(df, time, bucket_days, entity, rows_per_bucket)
     w = Window.partitionBy(entity, BK).orderBy(TM, tie)
     order_key = F.struct(F.col(TM), F.col(tie))
     d = (d.withColumn("_sq_hp", F.lag(F.col(tie)).over(w).isNotNull())
@@ -102,8 +123,8 @@ _KINDS = ("count", "sum", "max", "min", "last", "first")
 
 def prior_aggregates(df: DataFrame, entity: str, time: str, tie: str,
                      aggs: Sequence[tuple[str, str, str | None]],
-                     bucket_days: float = DEFAULT_BUCKET_DAYS, keep_scan: bool = False
-                     ) -> DataFrame:
+                     bucket_days: float | None = None, keep_scan: bool = False,
+                     rows_per_bucket: int | None = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Aggregates over the entity's events with a strictly earlier ``time``
     (ties with the current event are not history).
 
@@ -115,7 +136,7 @@ def prior_aggregates(df: DataFrame, entity: str, time: str, tie: str,
     for _, kind, _c in aggs:
         if kind not in _KINDS:
             raise ValueError(f"unknown kind {kind!r}")
-    d = _with_bucket(df, time, bucket_days)
+    d = _with_bucket(df, time, bucket_days, entity, rows_per_bucket)
     order_key = F.struct(F.col(TM), F.col(tie))
     wr = (Window.partitionBy(entity, BK).orderBy(TM)
           .rangeBetween(Window.unboundedPreceding, -1))

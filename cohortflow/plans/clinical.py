@@ -96,7 +96,8 @@ def medication_features(prescriptions: DataFrame) -> DataFrame:
 
 
 def clinical_feature_table(tables: Mapping[str, DataFrame], horizon_days: int = 30,
-                           bucket_days: float = 7) -> DataFrame:
+                           bucket_days: float | None = None,
+                           rows_per_bucket: int | None = 50_000) -> DataFrame:
     """Label (drop each patient's last admission), demographics, diagnosis,
     ICU, lab, medication and history features, rule score and tier: one row
     per non-last admission."""
@@ -116,7 +117,8 @@ def clinical_feature_table(tables: Mapping[str, DataFrame], horizon_days: int =
                          prior_sums={"prior_icu_stays": "has_icu",
                                      "prior_emergency_admissions": "emergency_admission",
                                      "total_prior_diagnoses": "_dx_rows"},
-                         label_horizon=horizon_days, keep_last=False, bucket_days=bucket_days)
+                         label_horizon=horizon_days, keep_last=False, bucket_days=bucket_days,
+                         rows_per_bucket=rows_per_bucket)
     h = h.join(pts, "SUBJECT_ID", "left")
     age = years_between("DOB", "ADMITTIME")
     los = elapsed_days("ADMITTIME", "DISCHTIME")

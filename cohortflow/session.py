@@ -38,6 +38,34 @@ def build_session(master: str | None = None, app: str = "cohortflow",
     return spark
 
 
+def sizing(input_bytes: int, cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a job reading ``input_bytes`` on ``cores`` executor
+    cores: scan splits and shuffle partitions of about ``partition_bytes``
+    (at least 2 tasks per core), AQE coalescing towards the same size and
+    skew splitting of partitions 5x the median. At 100 TB on 1000 executors
+    this gives ~400k initial shuffle partitions that AQE coalesces per stage.
+    """
+    shuffle = max(2 * cores, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+    }
+
+
+def apply_sizing(spark: SparkSession, input_bytes: int, cores: int | None = None,
+                 partition_bytes: int = 256 << 20) -> None:
+    """Apply :func:`sizing` to a running session (runtime SQL settings only)."""
+    cores = cores or spark.sparkContext.defaultParallelism
+    for k, v in sizing(input_bytes, cores, partition_bytes).items():
+        spark.conf.set(k, v)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
     (local runs and tests) fall back to a fresh scratch folder."""
