@@ -28,11 +28,8 @@ def approx_quantiles(df: DataFrame, col: str, probs: Sequence[float],
     return list(row[0]) if row[0] is not None else [None] * len(probs)
 
 
-def _order_stats(df: DataFrame, col: str, ranks: Sequence[int], bins: int,
+def _order_stats(data: DataFrame, stats, ranks: Sequence[int], bins: int,
                  final_rows: int, max_rounds: int) -> dict[int, float]:
-    x = F.col(col).cast("double")
-    data = df.select(x.alias("_q_x")).filter(F.col("_q_x").isNotNull() & ~F.isnan("_q_x"))
-    stats = data.agg(F.min("_q_x").alias("lo"), F.max("_q_x").alias("hi")).first()
     # bracket per rank: [lo, hi] inclusive, rows strictly below lo
     state = {r: [stats["lo"], stats["hi"], 0] for r in set(ranks)}
     found: dict[int, float] = {}
@@ -84,7 +81,15 @@ def _order_stats(df: DataFrame, col: str, ranks: Sequence[int], bins: int,
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], bins: int = 1024,
                     final_rows: int = 50_000, max_rounds: int = 12) -> list[float | None]:
     """Exact linear-interpolated quantiles of ``col`` (NULL / NaN ignored)."""
-    n = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).count()
+    from ..session import cut_lineage
+    x = F.col(col).cast("double")
+    # the refinement reads the column several times: write that one column
+    # once instead of recomputing the upstream plan for every pass
+    data = cut_lineage(df.select(x.alias("_q_x")).filter(F.col("_q_x").isNotNull() & ~F.isnan("_q_x")),
+                       "quantile")
+    stats = data.agg(F.count(F.lit(1)).alias("n"), F.min("_q_x").alias("lo"),
+                     F.max("_q_x").alias("hi")).first()
+    n = stats["n"]
     if n == 0:
         return [None] * len(probs)
     ranks = []
@@ -92,7 +97,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], bins: int =
         pos = (n - 1) * float(p)
         lo = int(math.floor(pos))
         ranks += [lo, min(lo + 1, n - 1)]
-    stats = _order_stats(df, col, ranks, bins, final_rows, max_rounds)
+    stats = _order_stats(data, stats, ranks, bins, final_rows, max_rounds)
     out = []
     for p in probs:
         pos = (n - 1) * float(p)
