@@ -50,6 +50,8 @@ PRESETS = {
 # hidden-layer widths of the reference's network definitions
 NETWORK_LAYOUTS = {"simple": [64, 32], "deep": [128, 64, 32, 16], "wide": [256, 128],
                    "regularized": [128, 64, 32], "residual": [128, 128, 64]}
+PRESETS.update({f"nn_{name}": ("mlp", {"hidden": widths, "maxIter": 200, "seed": 42})
+                for name, widths in NETWORK_LAYOUTS.items()})
 
 
 def estimator(kind: str, params: Mapping, n_features: int, n_train: int,
@@ -199,9 +201,14 @@ def cross_validate(train: DataFrame, key: str, names: Sequence[str], k: int = 5,
     for p in per_fold[1:]:
         allm = allm.unionByName(p)
     allm = allm.filter(F.col("metric").isin("accuracy", "f1", "roc_auc"))
-    return allm.groupBy("model", "metric").agg(F.round(F.avg("value"), 6).alias("mean"),
-                                               F.round(F.stddev_samp("value"), 6).alias("std"),
-                                               F.count(F.lit(1)).alias("n_folds"))
+    summary = allm.groupBy("model", "metric").agg(F.round(F.avg("value"), 6).alias("mean"),
+                                                  F.round(F.stddev_samp("value"), 6).alias("std"),
+                                                  F.count(F.lit(1)).alias("n_folds"))
+    # stability: rank of the fold-to-fold std within each metric (1 = most
+    # stable); a table of models x metrics rows, so the window is tiny
+    from pyspark.sql import Window
+    w = Window.partitionBy("metric").orderBy(F.asc("std"), F.asc("model"))
+    return summary.withColumn("stability_rank", F.row_number().over(w))
 
 
 def feature_importance(model, feature_cols: Sequence[str], spark, top: int | None = None,
@@ -223,3 +230,13 @@ def feature_importance(model, feature_cols: Sequence[str], spark, top: int | Non
                                     "feature string, category string")
         df = df.join(F.broadcast(cat), "feature", "left").fillna({"category": "other"})
     return df
+
+
+def importance_by_category(importance: DataFrame) -> DataFrame:
+    """Total importance and share per feature category."""
+    g = importance.groupBy("category").agg(F.sum("importance").alias("total_importance"),
+                                           F.count(F.lit(1)).alias("n_features"))
+    tot = g.agg(F.sum("total_importance").alias("_t"))
+    return g.crossJoin(F.broadcast(tot)).select(
+        "category", "n_features", F.round("total_importance", 6).alias("total_importance"),
+        F.round(F.col("total_importance") * 100.0 / F.col("_t"), 4).alias("pct")).drop("_t")

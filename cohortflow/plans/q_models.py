@@ -104,15 +104,42 @@ def q_cv(spark, sf):
     return M.cross_validate(train, "o_orderkey", ["logistic_regression", "random_forest"], k=5)
 
 
+def _categories(cols):
+    return {"history": [c for c in cols if c.startswith("prior") or c in (
+                "days_since_last", "avg_prior_los", "had_prior_readmission", "frequent_flag", "rate_per_year")],
+            "measurements": [c for c in cols if c.startswith("item_") or c.startswith("has_item")],
+            "codes": [c for c in cols if c.startswith("has_group") or c.startswith("has_sub")]}
+
+
 @register("feature_importance_top")
 def q_importance(spark, sf):
     _, _, cols = model_data(spark, sf)
     fit = base_fits(spark, sf)["random_forest"]
-    cats = {"history": [c for c in cols if c.startswith("prior") or c in (
-                "days_since_last", "avg_prior_los", "had_prior_readmission", "frequent_flag", "rate_per_year")],
-            "measurements": [c for c in cols if c.startswith("item_") or c.startswith("has_item")],
-            "codes": [c for c in cols if c.startswith("has_group") or c.startswith("has_sub")]}
-    return M.feature_importance(fit, cols, spark, top=20, categories=cats)
+    return M.feature_importance(fit, cols, spark, top=20, categories=_categories(cols))
+
+
+@register("importance_by_category")
+def q_importance_cat(spark, sf):
+    """Summed |coefficient| / tree importance per feature category, for the
+    gradient-boosting and logistic-regression fits."""
+    _, _, cols = model_data(spark, sf)
+    fits = base_fits(spark, sf)
+    parts = [M.importance_by_category(M.feature_importance(fits[m], cols, spark, categories=_categories(cols)))
+             .withColumn("model", F.lit(m)) for m in ("gradient_boosting", "logistic_regression")]
+    return parts[0].unionByName(parts[1])
+
+
+@register("selected_features")
+def q_selected(spark, sf):
+    """Top-30 features by ANOVA F on the training rows (printed, not used for
+    training in the reference)."""
+    from ..operators.prep import select_k_best
+    from pyspark.ml.functions import vector_to_array
+    train, _, cols = model_data(spark, sf)
+    arr = train.select("o_orderkey", "label", vector_to_array("features").alias("_v"))
+    wide = arr.select("o_orderkey", "label", *[F.col("_v")[i].alias(c) for i, c in enumerate(cols)])
+    _, chosen = select_k_best(wide, cols, "label", k=30)
+    return spark.createDataFrame([(i + 1, c) for i, c in enumerate(chosen)], "position int, feature string")
 
 
 # ---------------------------------------------------------------- fixed scores
