@@ -75,7 +75,7 @@ def group_size_summary(df: DataFrame, key: str, min_count: int = 1,
                 F.max("n").alias("max_size"), F.count_if(F.col("n") > min_count).alias("n_above"))
     if denominator is not None:
         den = denominator.agg(F.count_distinct(denominator_key or key).alias("_den"))
-        out = out.crossJoin(den)  # 1 row x 1 row
+        out = out.crossJoin(F.broadcast(den))  # 1 row x 1 row
     else:
         out = out.withColumn("_den", F.col("n_groups"))
     return out.select("n_groups", F.round("mean_size", 6).alias("mean_size"), "max_size",
@@ -166,7 +166,7 @@ def duplicate_count(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows that repeat an earlier row on ``cols``: ``count - count_distinct``."""
     distinct = df.select(*cols).distinct().agg(F.count(F.lit(1)).alias("_d"))
     total = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    return total.crossJoin(distinct).select("n_rows", F.col("_d").alias("n_distinct"),
+    return total.crossJoin(F.broadcast(distinct)).select("n_rows", F.col("_d").alias("n_distinct"),
                                             (F.col("n_rows") - F.col("_d")).alias("n_duplicates"))
 
 

@@ -112,7 +112,7 @@ def q_ratios(spark, sf):
     a = li.agg(F.count(F.lit(1)).alias("_li"), F.count_if(F.col("l_returnflag") == "R").alias("_r"))
     b = o.agg(F.count(F.lit(1)).alias("_o"))
     c = ev.agg(F.count(F.lit(1)).alias("_e"), F.count_distinct("user_id").alias("_u"))
-    j = a.crossJoin(b).crossJoin(c)  # three 1-row aggregates
+    j = a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))  # three 1-row aggregates
     return j.select(F.round(F.col("_li") / F.col("_o"), 6).alias("lines_per_event"),
                     F.round(F.col("_e") / F.col("_u"), 6).alias("measurements_per_entity"),
                     F.round(F.col("_r") / F.col("_o"), 6).alias("subset_per_event"))
@@ -199,7 +199,7 @@ def q_validity(spark, sf):
     miss = li.agg(F.count_if(F.col("l_shipdate").isNull()).alias("n_missing_time"))
     orph2 = P.orphan_count(_t(spark, sf, "events"), _t(spark, sf, "customer"), "user_id", "c_custkey") \
         .withColumnRenamed("n_orphans", "n_orphan_measurements")
-    return orph.crossJoin(neg).crossJoin(miss).crossJoin(orph2)
+    return orph.crossJoin(F.broadcast(neg)).crossJoin(F.broadcast(miss)).crossJoin(F.broadcast(orph2))
 
 
 @register("segment_breakdown", sql="""
@@ -310,7 +310,7 @@ def q_distinct(spark, sf):
     a = _t(spark, sf, "orders").agg(F.count_distinct("o_custkey").alias("n_entities_with_events"))
     b = _t(spark, sf, "part").agg(F.count_distinct("p_brand").alias("n_codes"))
     c = _t(spark, sf, "events").agg(F.count_distinct("event_type").alias("n_items"))
-    return a.crossJoin(b).crossJoin(c)
+    return a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))
 
 
 @register("code_partition", sql=f"""
