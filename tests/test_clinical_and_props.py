@@ -99,3 +99,11 @@ def test_split_and_folds(spark):
     f = hash_folds(o, "o_orderkey", 5)
     assert f.select("fold").distinct().count() == 5
     assert f.count() == o.count() and f.filter(F.col("fold").isNull()).count() == 0
+
+
+def test_split_fraction_per_stratum(spark):
+    lab = readmission_label(orders_events(spark, SF), "o_custkey", "o_orderkey", "o_orderdate", "o_enddate")
+    s = hash_split(lab, "o_orderkey", 0.2).groupBy("label").agg(
+        F.avg((F.col("split") == "test").cast("double")).alias("frac")).collect()
+    for r in s:
+        assert abs(r["frac"] - 0.2) < 0.08, r
