@@ -1,15 +1,25 @@
-"""History features from each entity's strictly earlier events."""
+"""History features from each entity's strictly earlier events.
+
+Single fused two-level scan (see :mod:`cohortflow.operators.sequence`): one
+row-level sort by ``(entity, bucket, time, tie)`` computes the within-bucket
+neighbours and strictly-earlier aggregates, one aggregate summarises each
+bucket from that sorted frame, one small window over the buckets of each
+entity carries the history of earlier buckets, and one join brings it back.
+The only cross-row dependency that crosses buckets - the gap between a
+bucket's first event and the previous event - is evaluated on the carry
+table, where both ends are known.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import indicator
 from ..functions.time import DAYS_PER_YEAR, elapsed_days
-from .sequence import DEFAULT_ROWS_PER_BUCKET, drop_scan_columns, neighbours, prior_aggregates
+from .sequence import BK, DEFAULT_ROWS_PER_BUCKET, TM, _with_bucket, drop_scan_columns
 
 
 def history_features(events: DataFrame, entity: str, event_id: str, start: str, end: str,
@@ -33,49 +43,89 @@ def history_features(events: DataFrame, entity: str, event_id: str, start: str,
     * one column per ``prior_sums`` entry ``{output: per-event column}``: sum
       over prior events, 0 without history.
 
-    With ``label_horizon`` the follow-up label is computed in the same
-    neighbour pass (``next_start``, ``gap_days``, ``label``; see
+    With ``label_horizon`` the follow-up label is computed in the same pass
+    (``next_start``, ``gap_days``, ``label``, as
     :func:`cohortflow.operators.label.readmission_label`) and, unless
     ``keep_last``, each entity's last event is dropped after the history is
-    computed (the last event is still history for nobody, but it is needed
-    as the *next* event of the one before it).
+    computed (it is still the *next* event of the one before it).
     """
-    prior_sums = dict(prior_sums or {})
-    nxt = {"next_start": start} if label_horizon is not None else None
-    d = neighbours(events, entity, start, event_id, prev={"_hf_prev_end": end}, nxt=nxt,
-                   has_next="_hf_has_next", bucket_days=bucket_days, keep_scan=True,
-                   rows_per_bucket=rows_per_bucket)
-    if label_horizon is not None:
-        gap = elapsed_days(F.col(end), F.col("next_start"))
-        d = (d.withColumn("gap_days", gap)
-              .withColumn("label", indicator((F.col("gap_days") > 0)
-                                             & (F.col("gap_days") <= label_horizon))))
-    d = (d.withColumn("_hf_los", elapsed_days(F.col(start), F.col(end)))
-          .withColumn("_hf_close", indicator(
-              elapsed_days(F.col("_hf_prev_end"), F.col(start)) <= readmit_days)))
-    aggs = [("prior_count", "count", None),
-            ("_hf_sum_los", "sum", "_hf_los"),
-            ("_hf_any_close", "max", "_hf_close"),
-            ("_hf_last_end", "last", end),
-            ("_hf_first_start", "first", start)]
-    aggs += [("_hf_s_" + out, "sum", col) for out, col in prior_sums.items()]
-    d = drop_scan_columns(prior_aggregates(d, entity, start, event_id, aggs,
-                                           bucket_days=bucket_days))
+    sums = dict(prior_sums or {})
+    d = _with_bucket(events, start, bucket_days, entity, rows_per_bucket)
+    los = elapsed_days(F.col(start), F.col(end))
+    d = d.withColumn("_h_los", los)
+
+    # ---- level 1: rows, within their (entity, bucket)
+    w = Window.partitionBy(entity, BK).orderBy(TM, event_id)
+    before = Window.partitionBy(entity, BK).orderBy(TM).rangeBetween(Window.unboundedPreceding, -1)
+    order_key = F.struct(F.col(TM), F.col(event_id))
+    d = (d.withColumn("_h_pe", F.lag(end).over(w))
+          .withColumn("_h_hp", F.lag(event_id).over(w).isNotNull())
+          .withColumn("_h_ns", F.lead(start).over(w))
+          .withColumn("_h_hn", F.lead(event_id).over(w).isNotNull()))
+    # close gap to the previous event; known here for all but the bucket's first row
+    d = d.withColumn("_h_close", F.when(F.col("_h_hp"), indicator(
+        elapsed_days(F.col("_h_pe"), F.col(start)) <= readmit_days)))
+    d = (d.withColumn("_h_wn", F.count(F.lit(1)).over(before))
+          .withColumn("_h_wlos", F.sum("_h_los").over(before))
+          .withColumn("_h_wclose", F.max("_h_close").over(before))
+          .withColumn("_h_wlast", F.max_by(F.col(end), order_key).over(before))
+          .withColumn("_h_wfirst", F.min(start).over(before)))
+    for out, col in sums.items():
+        d = d.withColumn("_h_ws_" + out, F.sum(col).over(before))
 
-    n = F.col("prior_count")
-    since = elapsed_days(F.col("_hf_last_end"), F.col(start))
+    # ---- level 2: one row per (entity, bucket), from the sorted frame
+    summary = d.groupBy(entity, BK).agg(
+        F.count(F.lit(1)).alias("_h_bn"), F.sum("_h_los").alias("_h_blos"),
+        F.max("_h_close").alias("_h_bclose_rest"),
+        F.max_by(F.col(end), order_key).alias("_h_blast"),
+        F.min_by(F.struct(F.col(start).alias("s"), F.col(TM).alias("tm")), order_key).alias("_h_bfirst"),
+        *[F.sum(col).alias("_h_bs_" + out) for out, col in sums.items()])
+    ob = Window.partitionBy(entity).orderBy(BK)
+    upto = ob.rowsBetween(Window.unboundedPreceding, -1)
+    summary = (summary
+               .withColumn("_h_cprev_end", F.lag("_h_blast").over(ob))
+               .withColumn("_h_cnext_start", F.lead(F.col("_h_bfirst.s")).over(ob))
+               .withColumn("_h_fclose", F.when(F.col("_h_cprev_end").isNotNull(), indicator(
+                   elapsed_days(F.col("_h_cprev_end"), F.col("_h_bfirst.s")) <= readmit_days))))
+    summary = summary.withColumn("_h_bclose", F.greatest("_h_bclose_rest", "_h_fclose"))
+    carry = summary.select(
+        entity, BK, "_h_cprev_end", "_h_cnext_start", "_h_fclose", F.col("_h_bfirst.tm").alias("_h_ftm"),
+        F.coalesce(F.sum("_h_bn").over(upto), F.lit(0)).alias("_h_cn"),
+        F.sum("_h_blos").over(upto).alias("_h_clos"),
+        F.max("_h_bclose").over(upto).alias("_h_cclose"),
+        F.first(F.col("_h_bfirst.s")).over(upto).alias("_h_cfirst"),
+        *[F.sum("_h_bs_" + out).over(upto).alias("_h_cs_" + out) for out in sums])
+
+    # ---- combine
+    j = d.join(carry, [entity, BK], "left")
+    wn, cn = F.col("_h_wn"), F.col("_h_cn")
+    n = (cn + wn).cast("bigint")
+    first_row_prior = F.col("_h_ftm") < F.col(TM)  # the bucket's first event is history
+    close = F.greatest(F.col("_h_cclose"), F.col("_h_wclose"),
+                       F.when(first_row_prior, F.col("_h_fclose")))
+    last_end = F.when(wn > 0, F.col("_h_wlast")).otherwise(F.col("_h_cprev_end"))
+    first_start = F.when(cn > 0, F.col("_h_cfirst")).otherwise(F.col("_h_wfirst"))
+    sum_los = F.coalesce(F.col("_h_clos") + F.col("_h_wlos"), F.col("_h_clos"), F.col("_h_wlos"))
+    since = elapsed_days(last_end, F.col(start))
     if no_history_days is not None:
         since = F.coalesce(since.cast("double"), F.lit(float(no_history_days)))
-    years = elapsed_days(F.col("_hf_first_start"), F.col(start)) / F.lit(DAYS_PER_YEAR)
-    d = (d.withColumn("days_since_last", since)
-          .withColumn("avg_prior_los", F.col("_hf_sum_los") / n)
-          .withColumn("had_prior_readmission", F.coalesce(F.col("_hf_any_close"), F.lit(0)).cast("int"))
+    years = elapsed_days(first_start, F.col(start)) / F.lit(DAYS_PER_YEAR)
+    j = (j.withColumn("prior_count", n)
+          .withColumn("days_since_last", since)
+          .withColumn("avg_prior_los", sum_los / n)
+          .withColumn("had_prior_readmission", F.coalesce(close, F.lit(0)).cast("int"))
           .withColumn("frequent_flag", indicator(n >= frequent_min))
-          .withColumn("rate_per_year",
-                      F.when(n > 0, n / F.greatest(years, F.lit(float(min_history_years))))
-                       .otherwise(F.lit(0.0))))
-    for out in prior_sums:
-        d = d.withColumn(out, F.coalesce(F.col("_hf_s_" + out), F.lit(0)))
-    if label_horizon is not None and not keep_last:
-        d = d.filter(F.col("_hf_has_next"))
-    return d.drop(*[c for c in d.columns if c.startswith("_hf_")])
+          .withColumn("rate_per_year", F.when(n > 0, n / F.greatest(years, F.lit(float(min_history_years))))
+                      .otherwise(F.lit(0.0))))
+    for out in sums:
+        c, wv = F.col("_h_cs_" + out), F.col("_h_ws_" + out)
+        j = j.withColumn(out, F.coalesce(c + wv, c, wv, F.lit(0)))
+    if label_horizon is not None:
+        nxt = F.when(F.col("_h_hn"), F.col("_h_ns")).otherwise(F.col("_h_cnext_start"))
+        j = (j.withColumn("next_start", nxt)
+              .withColumn("gap_days", elapsed_days(F.col(end), F.col("next_start")))
+              .withColumn("label", indicator((F.col("gap_days") > 0)
+                                             & (F.col("gap_days") <= label_horizon))))
+        if not keep_last:
+            j = j.filter(F.col("_h_hn") | F.col("_h_cnext_start").isNotNull())
+    return drop_scan_columns(j.drop(*[c for c in j.columns if c.startswith("_h_")]))
