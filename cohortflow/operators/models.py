@@ -89,19 +89,29 @@ def positive_probability(pred: DataFrame, out: str = "score") -> DataFrame:
 
 
 def fit_models(train: DataFrame, names: Sequence[str], label: str = "label",
-               n_features: int | None = None, presets: Mapping = PRESETS) -> dict:
+               n_features: int | None = None, presets: Mapping = PRESETS,
+               parallelism: int | None = None) -> dict:
     """Fit each named preset on ``train`` (balanced presets get class
-    weights ``n / (k * n_c)``)."""
+    weights ``n / (k * n_c)``). Models are fitted concurrently from
+    ``parallelism`` driver threads (default: all at once), as
+    ``CrossValidator(parallelism=...)`` does: iterative estimators submit
+    many small jobs, and concurrent fits keep the cluster busy."""
+    from concurrent.futures import ThreadPoolExecutor
     n = train.count()
     if n_features is None:
         n_features = len(train.select("features").first()[0])
     weighted = with_class_weights(train, label, "class_weight")
-    fitted = {}
-    for name in names:
+
+    def fit(name):
         kind, params = presets[name]
         est = estimator(kind, params, n_features, n, label=label, weight="class_weight")
-        fitted[name] = est.fit(weighted if params.get("balanced") else train)
-    return fitted
+        return name, est.fit(weighted if params.get("balanced") else train)
+
+    workers = max(1, min(parallelism or len(names), len(names)))
+    if workers == 1:
+        return dict(fit(nm) for nm in names)
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        return dict(pool.map(fit, names))
 
 
 def score_models(fitted: Mapping, test: DataFrame, key: str, label: str = "label") -> DataFrame:
@@ -153,16 +163,25 @@ def soft_vote(scores: DataFrame, key: str, models: Sequence[str] | None = None,
                     (F.col("score") >= 0.5).cast("int").alias("prediction"))
 
 
+def _over_folds(fn, k: int) -> list:
+    """Run ``fn(fold)`` for every fold from concurrent driver threads."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=k) as pool:
+        return list(pool.map(fn, range(k)))
+
+
 def out_of_fold(train: DataFrame, key: str, names: Sequence[str], k: int = 5, seed: int = 42,
                 label: str = "label") -> DataFrame:
     """Out-of-fold positive probabilities of each base model: fold ``f`` is
     scored by models fitted on the other folds. Long ``(key, model, label,
     score, prediction)``."""
     t = hash_folds(train, key, k, seed, "_fold")
-    parts = []
-    for f in range(k):
+
+    def one(f):
         fit = fit_models(t.filter(F.col("_fold") != f), names, label)
-        parts.append(score_models(fit, t.filter(F.col("_fold") == f), key, label))
+        return score_models(fit, t.filter(F.col("_fold") == f), key, label)
+
+    parts = _over_folds(one, k)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -192,11 +211,15 @@ def cross_validate(train: DataFrame, key: str, names: Sequence[str], k: int = 5,
     """Per-fold metrics of each model, summarised as ``(model, metric,
     mean, std, n_folds)`` (std: sample)."""
     t = hash_folds(train, key, k, seed, "_fold")
-    per_fold = []
-    for f in range(k):
+
+    def one(f):
         fit = fit_models(t.filter(F.col("_fold") != f), names, label)
         sc = score_models(fit, t.filter(F.col("_fold") == f), key, label)
-        per_fold.append(metrics_long(sc, label).withColumn("fold", F.lit(f)))
+        # the fold's metrics are a handful of rows: write them so the union
+        # below does not re-run every fold's scoring lineage
+        return cut_lineage(metrics_long(sc, label).withColumn("fold", F.lit(f)), "cv-fold")
+
+    per_fold = _over_folds(one, k)
     allm = per_fold[0]
     for p in per_fold[1:]:
         allm = allm.unionByName(p)
