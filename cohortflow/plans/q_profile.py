@@ -337,3 +337,55 @@ FROM {CHILD_SQL} c WHERE l_linenumber > 1 GROUP BY p_brand ORDER BY n DESC, p_br
 def q_secondary(spark, sf):
     """Range filter (secondary positions, sequence number > 1) then top codes."""
     return P.frequency(coded_children(spark, sf).filter(F.col("l_linenumber") > 1), "p_brand", top=10)
+
+
+@register("dataset_summary", sql=f"""
+WITH ev AS ({ORDERS_EVENTS_SQL}),
+cu AS (SELECT c_custkey, c_mktsegment,
+              TIMESTAMP '1920-01-01' + to_days(CAST((c_custkey * 37) % 25000 AS INTEGER)) AS c_birth FROM customer),
+j AS (SELECT ev.*, cu.c_mktsegment, {days_sql('cu.c_birth', 'ev.o_orderdate')} / 365.25 AS age,
+             {days_sql('ev.o_orderdate', 'ev.o_enddate')} AS los,
+             {days_sql('lag(ev.o_enddate) OVER (PARTITION BY ev.o_custkey ORDER BY ev.o_orderdate, ev.o_orderkey)', 'ev.o_orderdate')} AS gap
+      FROM ev JOIN cu ON cu.c_custkey = ev.o_custkey)
+SELECT (SELECT count(*) FROM customer) AS n_entities, count(*) AS n_events,
+       count(DISTINCT o_custkey) AS n_entities_with_events,
+       round(count(*) * 1.0 / count(DISTINCT o_custkey), 6) AS events_per_entity,
+       round(avg(age), 6) AS mean_age, round(quantile_cont(age, 0.5), 6) AS median_age,
+       round(avg(CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 1.0 ELSE 0.0 END) * 100, 4) AS pct_segment,
+       round(avg(los), 6) AS mean_los, round(quantile_cont(los, 0.5), 6) AS median_los,
+       round(avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0.0 END) * 100, 4) AS pct_urgent,
+       round(count(*) FILTER (WHERE gap > 0 AND gap <= 30) * 100.0 / count(*), 4) AS readmit_30_pct,
+       round(count(*) FILTER (WHERE gap > 0 AND gap <= 60) * 100.0 / count(*), 4) AS readmit_60_pct
+FROM j
+""")
+def q_summary(spark, sf):
+    """Dataset summary (the EDA block): one joined events-entities frame,
+    one conditional aggregate, exact medians from the distributed quantiles."""
+    from ..operators.label import gap_to_previous
+    from .q_cohort import customer_entities
+    ev = orders_events(spark, sf)
+    g = gap_to_previous(ev, "o_custkey", "o_orderkey", "o_orderdate", "o_enddate", gap_col="gap")
+    j = g.join(customer_entities(spark, sf), g.o_custkey == F.col("c_custkey"))
+    from ..functions.time import years_between
+    j = j.select("o_custkey", "o_orderpriority", "c_mktsegment", "gap",
+                 years_between("c_birth", "o_orderdate").alias("age"),
+                 elapsed_days("o_orderdate", "o_enddate").alias("los"))
+    from ..session import cut_lineage
+    j = cut_lineage(j, "summary")  # read by the aggregate and the two medians
+    med_age = quantiles(j, "age", [0.5])[0]
+    med_los = quantiles(j, "los", [0.5])[0]
+    gap = F.col("gap")
+    one = j.agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("o_custkey").alias("n_entities_with_events"),
+                F.avg("age").alias("_age"), F.avg((F.col("c_mktsegment") == "AUTOMOBILE").cast("double")).alias("_seg"),
+                F.avg("los").alias("_los"), F.avg((F.col("o_orderpriority") == "1-URGENT").cast("double")).alias("_urg"),
+                F.count_if((gap > 0) & (gap <= 30)).alias("_r30"), F.count_if((gap > 0) & (gap <= 60)).alias("_r60"))
+    n_ent = _t(spark, sf, "customer").agg(F.count(F.lit(1)).alias("n_entities"))
+    one = one.crossJoin(F.broadcast(n_ent))
+    return one.select(
+        "n_entities", "n_events", "n_entities_with_events",
+        F.round(F.col("n_events") / F.col("n_entities_with_events"), 6).alias("events_per_entity"),
+        F.round("_age", 6).alias("mean_age"), F.round(F.lit(med_age), 6).alias("median_age"),
+        F.round(F.col("_seg") * 100, 4).alias("pct_segment"), F.round("_los", 6).alias("mean_los"),
+        F.round(F.lit(float(med_los)), 6).alias("median_los"), F.round(F.col("_urg") * 100, 4).alias("pct_urgent"),
+        F.round(F.col("_r30") * 100.0 / F.col("n_events"), 4).alias("readmit_30_pct"),
+        F.round(F.col("_r60") * 100.0 / F.col("n_events"), 4).alias("readmit_60_pct"))
