@@ -234,3 +234,12 @@ FROM lg JOIN b ON b.metric = lg.metric
 def q_improvement(spark, sf):
     long = M.metrics_long(fixed_scores(spark, sf)).filter(F.col("metric").isin(list(BASELINE)))
     return EV.relative_improvement(long, BASELINE)
+
+
+@register("boosting_preset_scores")
+def q_boosting_presets(spark, sf):
+    """The 200-round gradient-boosting presets (enhanced GBM and the stand-ins
+    for the external boosting engines), fitted concurrently."""
+    train, test, _ = model_data(spark, sf)
+    names = ["enhanced_gbm", "xgboost_preset", "lightgbm_preset", "catboost_preset"]
+    return M.score_models(M.fit_models(train, names), test, "o_orderkey")
