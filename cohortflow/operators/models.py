@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .evaluate import binary_metrics, ranking_metrics
+from .evaluate import ranking_metrics
 from .prep import assemble, hash_folds, with_class_weights
 
 # Model configurations of the reference, as Spark parameters.

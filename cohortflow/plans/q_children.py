@@ -6,7 +6,7 @@ from ..operators.children import (ItemRule, aggregate_children, attach, coded_sp
                                   exists_flag, measured_spec, subset_spec)
 from ..sources.io import read_parquet
 from .bindings import (CODE_GROUPS, DRUG_CLASSES, EVENT_ITEM_RULES, ITEM_RULES, PRIMARY_CODES,
-                       SUBTYPE_GROUPS, coded_children, orders_events)
+                       SUBTYPE_GROUPS, coded_children)
 from .registry import register
 
 

@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from cohortflow.plans.clinical import (diagnosis_features, lab_features, medication_features)
 

@@ -1,7 +1,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from cohortflow.functions.quantiles import approx_quantiles, exact_quantiles
 from cohortflow.operators import profile as P

@@ -65,7 +65,6 @@ def test_hot_entity_is_split(spark):
     """One entity with most of the events: adaptive buckets spread it, and
     the results equal the single-bucket scan."""
     import datetime as dt
-    from pyspark.sql import types as T
     rows = [(1, i, dt.datetime(2020, 1, 1) + dt.timedelta(hours=7 * i),
              dt.datetime(2020, 1, 1) + dt.timedelta(hours=7 * i + 30)) for i in range(3000)]
     rows += [(2 + i % 50, 10000 + i, dt.datetime(2020, 3, 1) + dt.timedelta(days=i % 17),
