@@ -1,10 +1,9 @@
 """Classifiers, batch scoring, ensembles, cross-validation and feature
 importance on ``spark.ml``.
 
-The training matrix is written once (``cut_lineage``) before fitting:
-iterative estimators re-read their input on every iteration, and a written
-table both avoids recomputing the feature lineage each time and survives
-executor loss. Scores come back as a long ``(key, model, label, score)``
+The feature table is written once (``cut_lineage``) before the matrix is
+assembled: every fit, fold and scoring pass then starts from that table
+instead of recomputing the feature lineage, and it survives executor loss. Scores come back as a long ``(key, model, label, score)``
 table so that every evaluation operator applies unchanged.
 """
 
@@ -76,12 +75,16 @@ def estimator(kind: str, params: Mapping, n_features: int, n_train: int,
 
 
 def training_matrix(df: DataFrame, key: str, label: str, feature_cols: Sequence[str],
-                    extra: Sequence[str] = ()) -> DataFrame:
-    """``(key, label, *extra, features)`` with the label as double, written
-    once to the checkpoint folder."""
+                    extra: Sequence[str] = (), materialize: bool = False) -> DataFrame:
+    """``(key, label, *extra, features)`` with the label as double.
+
+    Lazy by default: the estimators persist their own input for the
+    iterations, so when ``df`` already reads a written table (as in the
+    model queries) assembling on the fly is cheaper than another write. Pass
+    ``materialize=True`` when ``df`` carries an expensive lineage."""
     m = assemble(df.select(key, F.col(label).cast("double").alias(label), *extra, *feature_cols),
-                 feature_cols)
-    return cut_lineage(m.select(key, label, *extra, "features"), "matrix")
+                 feature_cols).select(key, label, *extra, "features")
+    return cut_lineage(m, "matrix") if materialize else m
 
 
 def positive_probability(pred: DataFrame, out: str = "score") -> DataFrame:
