@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as EV
 from ..operators import models as M
 from ..operators.prep import fit_fill_values, hash_split, impute
-from ..session import cut_lineage
+from ..session import application_id, cut_lineage
 from .q_cohort import cohort_features
 from .q_eval import SCORE_CTE, score_table
 from .registry import register
@@ -27,7 +27,7 @@ _MEMO: dict = {}
 def _memo(spark, sf, what, build):
     """Per-application memo: the seeded fits and the written matrices are
     deterministic, so related queries in one session reuse them."""
-    key = (spark.sparkContext.applicationId, sf, what)
+    key = (application_id(spark), sf, what)
     if key not in _MEMO:
         _MEMO[key] = build()
     return _MEMO[key]

@@ -33,7 +33,8 @@ def build_session(master: str | None = None, app: str = "cohortflow",
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    if _context(spark) is not None:
+        spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -66,22 +67,37 @@ def apply_sizing(spark: SparkSession, input_bytes: int, cores: int | None = None
         spark.conf.set(k, v)
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None on a Spark Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions have no context
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
     (local runs and tests) fall back to a fresh scratch folder."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
+    sc = _context(spark)
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and sc is not None:
+        shared = sc.getConf().get("spark.checkpoint.dir", None)
     if not shared:
         shared = os.environ.get("COHORTFLOW_LOCAL_CHECKPOINT") or tempfile.mkdtemp(
             prefix="cohortflow-ckpt-")
-    sc.setCheckpointDir(shared)
+    if sc is not None:
+        sc.setCheckpointDir(shared)
+        return sc.getCheckpointDir()
     return shared
 
 
+def application_id(spark: SparkSession) -> str:
+    sc = _context(spark)
+    return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "connect")
+
+
 def cut_lineage(df, name: str = "stage"):
     """Write ``df`` once as a Parquet table under the shared checkpoint folder
     and return a DataFrame reading it back.
