@@ -57,13 +57,35 @@ def _with_bucket(df: DataFrame, time: str, bucket_days: float | None, entity: st
                                       F.max(TM).alias("_sq_hi"))
         width = F.greatest((F.col("_sq_hi") - F.col("_sq_lo") + F.lit(1)).cast("double")
                            * F.lit(float(rows_per_bucket)) / F.col("_sq_n"), F.lit(1.0))
-        return (d.join(stats, entity, "left")
-                 .withColumn(BK, F.floor((F.col(TM) - F.col("_sq_lo")) / width).cast("bigint"))
-                 .drop("_sq_n", "_sq_lo", "_sq_hi"))
+        d = (d.join(stats, entity, "left")
+              .withColumn(BK, F.floor((F.col(TM) - F.col("_sq_lo")) / width).cast("bigint"))
+              .drop("_sq_n", "_sq_lo", "_sq_hi"))
+        return _split_dense_buckets(d, entity, rows_per_bucket)
     width = float(bucket_days) * MICROS_PER_DAY
     return d.withColumn(BK, F.floor(F.col(TM) / F.lit(width)).cast("bigint"))
 
 
+def _split_dense_buckets(d: DataFrame, entity: str, rows_per_bucket: int) -> DataFrame:
+    """Second level for entities that are both heavy and bursty: equal-width
+    buckets over a long span can still leave most events in a few buckets.
+    A bounded check (one aggregate, ``limit 1``) looks for (entity, bucket)
+    cells above twice the target; only if some exist, those cells are cut
+    again by their own span. The new key ``bucket * 2^31 + sub`` keeps time
+    order, and equal times still share a cell, so results stay exact (only
+    identical timestamps cannot be split)."""
+    cells = d.groupBy(entity, BK).agg(F.count(F.lit(1)).alias("_sq_n2"), F.min(TM).alias("_sq_lo2"),
+                                      F.max(TM).alias("_sq_hi2"))
+    dense = cells.filter(F.col("_sq_n2") > 2 * rows_per_bucket)
+    if not dense.limit(1).count():
+        return d
+    width = F.greatest((F.col("_sq_hi2") - F.col("_sq_lo2") + F.lit(1)).cast("double")
+                       * F.lit(float(rows_per_bucket)) / F.col("_sq_n2"), F.lit(1.0))
+    sub = F.coalesce(F.floor((F.col(TM) - F.col("_sq_lo2")) / width).cast("bigint"), F.lit(0).cast("bigint"))
+    return (d.join(dense, [entity, BK], "left")
+             .withColumn(BK, F.col(BK) * F.lit(2 ** 31) + sub)
+             .drop("_sq_n2", "_sq_lo2", "_sq_hi2"))
+
+
 def drop_scan_columns(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("_sq_")])
 

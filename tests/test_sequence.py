@@ -78,3 +78,23 @@ def test_hot_entity_is_split(spark):
     from cohortflow.operators.sequence import BK, _with_bucket
     n_buckets = _with_bucket(ev, "start", 7, "entity", 100).filter("entity = 1").select(BK).distinct().count()
     assert n_buckets >= 25
+
+
+def test_bursty_hot_entity_second_level(spark):
+    """A heavy entity whose events are almost all inside one short burst of a
+    long span: the second level re-splits the dense cell; results unchanged."""
+    import datetime as dt
+    base = dt.datetime(2015, 1, 1)
+    rows = [(1, i, base + dt.timedelta(days=400 * i), base + dt.timedelta(days=400 * i + 1)) for i in range(5)]
+    rows += [(1, 100 + i, dt.datetime(2016, 6, 1) + dt.timedelta(minutes=3 * i),
+              dt.datetime(2016, 6, 1) + dt.timedelta(minutes=3 * i + 90)) for i in range(2000)]
+    rows += [(2, 9000 + i, base + dt.timedelta(days=i), base + dt.timedelta(days=i, hours=5)) for i in range(30)]
+    ev = spark.createDataFrame(rows, "entity long, id long, start timestamp_ntz, end timestamp_ntz")
+    from cohortflow.operators.sequence import BK, _with_bucket
+    b = _with_bucket(ev, "start", None, "entity", 100)
+    biggest = b.groupBy("entity", BK).count().agg(F.max("count")).first()[0]
+    assert biggest <= 250
+    cols = ["id", "prior_count", "days_since_last", "had_prior_readmission", "avg_prior_los", "label"]
+    a = history_features(ev, "entity", "id", "start", "end", rows_per_bucket=100, label_horizon=30).select(cols)
+    c = history_features(ev, "entity", "id", "start", "end", bucket_days=1e7, label_horizon=30).select(cols)
+    assert a.exceptAll(c).count() == 0 and c.exceptAll(a).count() == 0
