@@ -83,3 +83,29 @@ def test_abnormality_and_clamp_keep_null(spark):
                     clamp("x", 12, 25).alias("c"), scaled_cap("x", 20).alias("d")).collect()
     assert [tuple(r) for r in out] == [(None, None, None, None), (1.0, 0.0, 25.0, 1.0),
                                        (0.0, 2.0, 12.0, 0.5)]
+
+
+def test_score_counts_many_buckets_brute_force(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    n = 3000
+    score = np.round(rng.beta(0.3, 3.0, size=n), 3)  # skewed, many ties
+    label = (rng.random(n) < 0.2 + 0.5 * score).astype(int)
+    df = spark.createDataFrame([(int(i), int(y), float(s)) for i, (y, s) in enumerate(zip(label, score))],
+                               "key long, label int, score double")
+    sc = {r["score"]: r for r in EV.score_counts(df, "label", "score", rows_per_bucket=20).collect()}
+    for s_val in list(sc)[:50]:
+        r = sc[s_val]
+        assert r["pos_below"] == int(((score < s_val) & (label == 1)).sum())
+        assert r["neg_below"] == int(((score < s_val) & (label == 0)).sum())
+    # brute-force tie-aware AUC and step-wise AP
+    pos, neg = score[label == 1], score[label == 0]
+    auc = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
+    ap = 0.0
+    for t in np.unique(score)[::-1]:
+        at = (score == t) & (label == 1)
+        ge = score >= t
+        ap += at.sum() / len(pos) * ((ge & (label == 1)).sum() / ge.sum())
+    r = EV.ranking_metrics(df, "label", "score").collect()[0]
+    assert r["roc_auc"] == pytest.approx(auc, abs=1e-6)
+    assert r["average_precision"] == pytest.approx(ap, abs=1e-6)
