@@ -83,17 +83,21 @@ def impute(df: DataFrame, policy: Mapping[str, object], fit_df: DataFrame | None
     return df.select(*cols)
 
 
+def fit_standard(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """``{col: (mean, population std)}`` in one aggregate."""
+    row = df.agg(*[x for c in cols for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
+    return {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in cols}
+
+
 def standardize(df: DataFrame, cols: Sequence[str], fit_df: DataFrame | None = None,
-                suffix: str = "") -> DataFrame:
+                suffix: str = "", stats: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
     """``(x - mean) / std_pop`` (population std as scikit-learn; a constant
-    column divides by 1)."""
-    f = fit_df if fit_df is not None else df
-    row = f.agg(*[x for c in cols for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
-    out = df
-    for c in cols:
-        sd = row[f"s_{c}"] or 1.0
-        out = out.withColumn(c + suffix, (F.col(c) - F.lit(row[f"m_{c}"])) / F.lit(sd))
-    return out
+    column divides by 1). ``stats`` (from :func:`fit_standard`) applies an
+    existing fit."""
+    st = stats if stats is not None else fit_standard(fit_df if fit_df is not None else df, cols)
+    return df.select(*[c for c in df.columns if not (suffix == "" and c in st)],
+                     *[((F.col(c) - F.lit(st[c][0])) / F.lit(st[c][1] or 1.0)).alias(c + suffix)
+                       for c in cols])
 
 
 def robust_scale(df: DataFrame, cols: Sequence[str], fit_df: DataFrame | None = None,

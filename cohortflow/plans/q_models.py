@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as EV
 from ..operators import models as M
-from ..operators.prep import fit_fill_values, hash_split, impute
+from ..operators.prep import fit_fill_values, fit_standard, hash_split, impute, standardize
 from ..session import application_id, cut_lineage
 from .q_cohort import cohort_features
 from .q_eval import SCORE_CTE, score_table
@@ -56,6 +56,11 @@ def _model_data(spark, sf):
     fill = fit_fill_values(train_raw, policy, method="approx")
     train = impute(train_raw, policy, values=fill)
     test = impute(split.filter(F.col("split") == "test").drop("split"), policy, values=fill)
+    # standardise with the training rows' mean / population std, as the
+    # reference scales its matrix before fitting (constant columns: / 1)
+    scale = fit_standard(train, cols)
+    test = standardize(test, cols, stats=scale)
+    train = standardize(train, cols, stats=scale)
     return (M.training_matrix(train, "o_orderkey", "label", cols),
             M.training_matrix(test, "o_orderkey", "label", cols), cols)
 
