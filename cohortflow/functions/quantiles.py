@@ -79,14 +79,17 @@ def _order_stats(data: DataFrame, stats, ranks: Sequence[int], bins: int,
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], bins: int = 1024,
-                    final_rows: int = 50_000, max_rounds: int = 12) -> list[float | None]:
-    """Exact linear-interpolated quantiles of ``col`` (NULL / NaN ignored)."""
+                    final_rows: int = 50_000, max_rounds: int = 12,
+                    materialize: bool = True) -> list[float | None]:
+    """Exact linear-interpolated quantiles of ``col`` (NULL / NaN ignored).
+    ``materialize=False`` when ``df`` already reads a written table."""
     from ..session import cut_lineage
     x = F.col(col).cast("double")
     # the refinement reads the column several times: write that one column
     # once instead of recomputing the upstream plan for every pass
-    data = cut_lineage(df.select(x.alias("_q_x")).filter(F.col("_q_x").isNotNull() & ~F.isnan("_q_x")),
-                       "quantile")
+    data = df.select(x.alias("_q_x")).filter(F.col("_q_x").isNotNull() & ~F.isnan("_q_x"))
+    if materialize:
+        data = cut_lineage(data, "quantile")
     stats = data.agg(F.count(F.lit(1)).alias("n"), F.min("_q_x").alias("lo"),
                      F.max("_q_x").alias("hi")).first()
     n = stats["n"]
@@ -109,8 +112,8 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], bins: int =
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], method: str = "exact",
-              accuracy: int = 10000) -> list[float | None]:
+              accuracy: int = 10000, materialize: bool = True) -> list[float | None]:
     """``method='exact'`` (distributed refinement) or ``'approx'``."""
     if method == "approx":
         return approx_quantiles(df, col, probs, accuracy)
-    return exact_quantiles(df, col, probs)
+    return exact_quantiles(df, col, probs, materialize=materialize)

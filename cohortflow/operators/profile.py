@@ -115,6 +115,9 @@ def global_stats(df: DataFrame, col: str, median: float | None = None) -> DataFr
 def describe(df: DataFrame, cols: Sequence[str], method: str = "exact") -> DataFrame:
     """``count, mean, std, min, 25%, 50%, 75%, max`` per column (long form
     ``(column_name, statistic, value)``), sample std, linear quartiles."""
+    from ..session import cut_lineage
+    if method == "exact":
+        df = cut_lineage(df.select(*cols), "describe")  # read by every column's refinement
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"mean{i}"),
@@ -123,7 +126,7 @@ def describe(df: DataFrame, cols: Sequence[str], method: str = "exact") -> DataF
     one = df.agg(*aggs)
     pairs = []
     for i, c in enumerate(cols):
-        q = quantiles(df, c, [0.25, 0.5, 0.75], method=method)
+        q = quantiles(df, c, [0.25, 0.5, 0.75], method=method, materialize=False)
         pairs += [(f"{c}|count", F.col(f"n{i}")), (f"{c}|mean", F.col(f"mean{i}")),
                   (f"{c}|std", F.col(f"std{i}")), (f"{c}|min", F.col(f"min{i}")),
                   (f"{c}|25%", F.lit(q[0])), (f"{c}|50%", F.lit(q[1])), (f"{c}|75%", F.lit(q[2])),
