@@ -4,7 +4,7 @@ readmission feature table with the generic operators.
 
 Usage::
 
-    tables = read_clinical(spark, "/data/mimic_like", fmt="csv")
+    tables = read_clinical(spark, "/data/clinical", fmt="csv")
     features = clinical_feature_table(tables)
 """
 
