@@ -58,8 +58,10 @@ def fit_fill_values(df: DataFrame, policy: Mapping[str, object], method: str = "
                        for c in medians]).first()
         values.update({c: row[c] for c in medians})
     elif medians:
+        from ..session import cut_lineage
+        base = cut_lineage(df.select(*medians), "medians")  # one write for all columns
         for c in medians:
-            values[c] = quantiles(df, c, [0.5], method=method)[0]
+            values[c] = quantiles(base, c, [0.5], method=method, materialize=False)[0]
     for c, p in policy.items():
         if p not in ("median", "mean"):
             values[c] = p
@@ -104,9 +106,12 @@ def robust_scale(df: DataFrame, cols: Sequence[str], fit_df: DataFrame | None =
                  method: str = "exact", suffix: str = "") -> DataFrame:
     """``(x - median) / (q75 - q25)``; a zero IQR divides by 1."""
     f = fit_df if fit_df is not None else df
+    if method == "exact":
+        from ..session import cut_lineage
+        f = cut_lineage(f.select(*cols), "robust")  # one write for all columns
     out = df
     for c in cols:
-        q25, q50, q75 = quantiles(f, c, [0.25, 0.5, 0.75], method=method)
+        q25, q50, q75 = quantiles(f, c, [0.25, 0.5, 0.75], method=method, materialize=False)
         iqr = (q75 - q25) or 1.0
         out = out.withColumn(c + suffix, (F.col(c) - F.lit(q50)) / F.lit(iqr))
     return out
