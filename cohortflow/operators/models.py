@@ -26,7 +26,7 @@ from .prep import assemble, hash_folds, with_class_weights
 # Spark's own tree ensembles (same depth / rounds / sampling), not claimed
 # to be the same algorithms.
 PRESETS = {
-    "logistic_regression": ("lr", {"maxIter": 1000}),
+    "logistic_regression": ("lr", {"maxIter": 1000, "tol": 1e-4}),
     "random_forest": ("rf", {"numTrees": 100, "seed": 42}),
     "gradient_boosting": ("gbt", {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, "seed": 42}),
     "enhanced_rf": ("rf", {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 5,
@@ -203,7 +203,7 @@ def stacking(train: DataFrame, test: DataFrame, key: str, names: Sequence[str],
     tst = wide(score_models(full, test, key, label))
     meta_train = assemble(oof.withColumn(label, F.col(label).cast("double")), list(names), "features")
     meta_test = assemble(tst.withColumn(label, F.col(label).cast("double")), list(names), "features")
-    meta = LogisticRegression(labelCol=label, maxIter=1000).fit(meta_train)
+    meta = LogisticRegression(labelCol=label, maxIter=1000, tol=1e-4).fit(meta_train)
     p = positive_probability(meta.transform(meta_test))
     return p.select(key, F.lit("stacking").alias("model"), F.col(label).cast("int").alias(label), "score",
                     F.col("prediction").cast("int").alias("prediction"))
