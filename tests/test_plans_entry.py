@@ -60,3 +60,18 @@ def test_oracle_agreement(spark, name):
                              else (round(float(v), 4) if isinstance(v, (int, float)) else str(v)) for v in r))
         return sorted(out, key=str)
     assert norm(a) == norm(b)
+
+
+def test_every_oracle_sql_plans_in_duckdb():
+    duckdb = pytest.importorskip("duckdb")
+    from cohortflow.sources.io import DRIVER_TABLES
+    con = duckdb.connect()
+    for t in DRIVER_TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    bad = {}
+    for name, sql in E.oracle_sql().items():
+        try:
+            con.execute("EXPLAIN " + sql)
+        except Exception as ex:  # noqa: BLE001
+            bad[name] = str(ex)[:200]
+    assert not bad, bad
