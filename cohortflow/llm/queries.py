@@ -16,6 +16,12 @@ def query(fn):
     return fn
 
 
+@query
+def op3_ngram_jaccard_join(spark, sf_dir):
+    from .jaccard import jaccard_join
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_substring_dedup(spark, sf_dir):
     from .substrings import remove_repeats
