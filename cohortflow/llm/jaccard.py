@@ -237,7 +237,9 @@ def jaccard_join(docs: DataFrame, size: int = 5, threshold: float = 0.8, toleran
         F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_class_links", F.lit(0)).alias("n_class_links"), "n_shingles")
 
 
-def keep_one(docs: DataFrame, joined: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without those whose class (see :func:`jaccard_join`) has a smaller id."""
-    gone = joined.filter("class_id < doc_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+def keep_one(docs: DataFrame, joined: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class (see :func:`jaccard_join`), that of the smallest id; a row that comes again
+    with its id and text goes too."""
+    gone = joined.filter("class_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    return left.withColumn("__text", F.xxhash64(text_col)).dropDuplicates([id_col, "__text"]).drop("__text")

@@ -29,12 +29,32 @@ def op4_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query
+def op5_source_mixing(spark, sf_dir):
+    from .mixing import mix
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 @query
 def op8_best_fit_packing(spark, sf_dir):
     from .packing import pack
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op9_toxicity(spark, sf_dir):
+    from .toxicity import fit, score
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op10_quality(spark, sf_dir):
+    from .quality import fit, score
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 ORACLE_SQL["op4_substring_dedup"] = r"""
 WITH d AS (SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
                                              '[\x20\x09-\x0D]+') AS a FROM documents),
@@ -51,3 +71,9 @@ SELECT e.doc_id, CAST(len(e.w) AS BIGINT) AS n_words, CAST(len(e.w) - coalesce(k
        sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM e LEFT JOIN k ON k.doc_id = e.doc_id
 """
+
+
+@query
+def pipeline(spark, sf_dir):
+    from corpus_pipeline import run
+    return run(spark, sf_dir)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -207,3 +208,27 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     return narrow.join(marks.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").select(
         "doc_id", "text", "labels").mapInArrow(
         _mark(window), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,length:long>>")
+
+
+def _clean(text_at: int, window: int):
+    mark = _mark(window)
+
+    def run(batches):
+        for part in slices(batches, "__text"):
+            marked = next(mark([pa.RecordBatch.from_arrays(
+                [part.column(part.num_columns - 3), part.column(part.num_columns - 2), part.column(part.num_columns - 1)],
+                names=["doc_id", "text", "labels"])]))
+            text = pc.if_else(pc.greater(marked.column(2), 0), marked.column(3), part.column(text_at))
+            cols = [text if k == text_at else part.column(k) for k in range(part.num_columns - 3)]
+            yield pa.RecordBatch.from_arrays(cols, names=part.schema.names[:-3])
+    return run
+
+
+def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text",
+                    group_suffixes: int = 1_000_000) -> DataFrame:
+    """``docs`` with the words of :func:`remove_repeats` taken out of the texts; texts without repeats are unchanged."""
+    narrow = ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    marks = covered_labels(narrow, window, group_suffixes).withColumnRenamed("doc_id", "__key").withColumnRenamed("labels", "__labels")
+    both = docs.join(marks, F.col(id_col).cast("long") == F.col("__key"), "left").select(
+        *docs.columns, F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("__text"), "__labels")
+    return both.mapInArrow(_clean(docs.columns.index(text_col), window), docs.schema)
