@@ -35,6 +35,12 @@ def op5_source_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+@query
+def op7_lz_fingerprints(spark, sf_dir):
+    from .lzprint import neighbours
+    return neighbours(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_best_fit_packing(spark, sf_dir):
     from .packing import pack
