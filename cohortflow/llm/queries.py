@@ -16,6 +16,13 @@ def query(fn):
     return fn
 
 
+@query
+def op2_language_id(spark, sf_dir):
+    from .langid import fit, identify
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
 @query
 def op3_ngram_jaccard_join(spark, sf_dir):
     from .jaccard import jaccard_join
