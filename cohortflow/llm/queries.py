@@ -16,6 +16,13 @@ def query(fn):
     return fn
 
 
+@query
+def op1_nearest_neighbours(spark, sf_dir):
+    from .ann import nearest
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 @query
 def op2_language_id(spark, sf_dir):
     from .langid import fit, identify
