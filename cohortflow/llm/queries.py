@@ -49,6 +49,12 @@ def op5_source_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+@query
+def op6_url_filters(spark, sf_dir):
+    from .urls import judge
+    return judge(table(spark, sf_dir, "pages"))
+
+
 @query
 def op7_lz_fingerprints(spark, sf_dir):
     from .lzprint import neighbours
