@@ -103,3 +103,26 @@ FROM e LEFT JOIN k ON k.doc_id = e.doc_id
 def pipeline(spark, sf_dir):
     from corpus_pipeline import run
     return run(spark, sf_dir)
+
+ORACLE_SQL["op3_ngram_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                                    '[\x20\x09-\x0D]+') AS a FROM documents),
+e AS (SELECT doc_id, CASE WHEN a = [''] THEN [] ELSE a END AS w FROM d),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM e),
+c AS (SELECT doc_id, g, len(g) AS n, CASE WHEN len(g) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY g) END AS copy_id FROM s),
+r AS (SELECT copy_id, any_value(g) AS g, any_value(n) AS n, count(*) AS copies FROM c WHERE n > 0 GROUP BY copy_id),
+x AS (SELECT copy_id, n, unnest(g) AS k FROM r),
+j AS (SELECT a.copy_id AS u, b.copy_id AS v, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS hits
+      FROM x a JOIN x b ON a.k = b.k AND a.copy_id < b.copy_id GROUP BY ALL),
+l AS (SELECT u, v FROM j WHERE hits >= 0.8 * (m + n - hits) - 1e-9),
+t AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+p AS (SELECT copy_id AS node, copy_id AS seen FROM r UNION SELECT p.node, t.v FROM p JOIN t ON t.u = p.seen),
+f AS (SELECT node, min(seen) AS class_id FROM p GROUP BY node),
+q AS (SELECT t.u AS node, count(*) AS n_class_links, sum(r.copies) AS docs FROM t JOIN r ON r.copy_id = t.v GROUP BY t.u)
+SELECT c.doc_id, coalesce(f.class_id, c.doc_id) AS class_id, c.copy_id,
+       CAST(coalesce(r.copies, 1) - 1 + coalesce(q.docs, 0) AS BIGINT) AS n_links,
+       CAST(coalesce(q.n_class_links, 0) AS BIGINT) AS n_class_links, CAST(c.n AS BIGINT) AS n_shingles
+FROM c LEFT JOIN r ON r.copy_id = c.copy_id AND c.n > 0 LEFT JOIN f ON f.node = r.copy_id LEFT JOIN q ON q.node = r.copy_id
+"""
