@@ -16,14 +16,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import combine, grouped, ship, slices, word_hashes
 
 DEPTHS = (1, 2, 3, 5)
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 ROWS = "grp int, base long, steps binary, labels binary, base2 long, steps2 binary, labels2 binary"
 
 
@@ -128,71 +127,122 @@ def _deal(window: int, groups: np.ndarray, n: int):
     return run
 
 
-def _covers(doc: np.ndarray, label: np.ndarray):
-    """Rows (doc_id, labels): the labels of each document put end to end."""
-    order = np.argsort(doc, kind="stable")
-    doc, label = doc[order], label[order]
-    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    ends = np.r_[cuts[1:], len(doc)]
-    return pa.RecordBatch.from_arrays([pa.array(doc[cuts], pa.int64()), pa.array(
-        [label[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["doc_id", "labels"])
-
-
-def _nodes(batches):
-    """Deep internal nodes of each group: which documents have a label that a smaller document has too."""
-    for group in grouped(batches, "grp"):
-        col = {n: group.column(i).to_pylist() for i, n in enumerate(group.schema.names)}
-        label = np.frombuffer(b"".join(col["labels"]), np.uint64)
-        doc = np.concatenate([_unsteps(b, s, len(x) // 8) for b, s, x in zip(
-            col["base"], col["steps"], col["labels"], strict=True)] or [np.empty(0, np.int64)])
-        order = np.lexsort((doc, label))
-        label, doc = label[order], doc[order]
-        new = np.r_[True, label[1:] != label[:-1]]
-        hit = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        docs, labels = [doc[hit]], [label[hit]]
-        for b, s, x in zip(col["base2"], col["steps2"], col["labels2"], strict=True):
-            if x:
-                docs.append(_unsteps(b, s, len(x) // 8))
-                labels.append(np.frombuffer(x, np.uint64))
-        doc, label = np.concatenate(docs), np.concatenate(labels)
-        if len(doc):
-            yield _covers(doc, label)
+def _places(doc: np.ndarray, n: int) -> np.ndarray:
+    return (doc ^ (doc >> 15) ^ (doc >> 31)) % n
 
 
-def covered_labels(docs: DataFrame, window: int = 13, group_suffixes: int = 1_000_000) -> DataFrame:
-    """(doc_id, list of packed labels): the windows of each document that also start in one with a smaller id.
-    ``docs``: doc_id long, text binary."""
-    groups, n = plan_groups(_prefix_counts(docs, window), group_suffixes)
-    dealt = docs.mapInArrow(_deal(window, groups, n), ROWS)
-    hits = dealt.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(_nodes, "doc_id long, labels binary")
-    return hits.groupBy("doc_id").agg(F.collect_list("labels").alias("labels"))
+def _place(id_col, text_col, n: int):
+    """The same in Spark; rows with a null id are spread by their text."""
+    d = F.coalesce(id_col, F.xxhash64(text_col))
+    return F.pmod(d.bitwiseXOR(F.shiftright(d, 15)).bitwiseXOR(F.shiftright(d, 31)), F.lit(n)).cast("int")
 
 
-def _mark(window: int):
+def _nodes(places: int):
+    """Deep internal nodes of each group: which documents have a label that a smaller document has too. The answers go
+    back packed by the place of the document."""
     def run(batches):
-        for part in slices(batches, "text"):
-            rows = []
-            for d, t, found in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                words = (t or b"").split()
-                if not found or len(words) < window:
-                    rows.append((d, len(words), 0, b" ".join(words), []))
-                    continue
-                hit = np.flatnonzero(np.isin(combine(word_hashes(words), window), np.frombuffer(b"".join(found), np.uint64)))
-                step = np.zeros(len(words) + 1, np.int64)
-                np.add.at(step, hit, 1)
-                np.add.at(step, hit + window, -1)
-                gone = np.cumsum(step[:-1]) > 0
-                edge = np.flatnonzero(np.diff(np.r_[0, gone, 0]))
-                spans = [{"start": int(a), "length": int(b - a)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-                rows.append((d, len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone, strict=True) if not g]), spans))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(),
-                     pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-            cols[3] = cols[3].cast(pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept", "spans"])
+        for group in grouped(batches, "grp"):
+            col = {n: group.column(i).to_pylist() for i, n in enumerate(group.schema.names)}
+            label = np.frombuffer(b"".join(col["labels"]), np.uint64)
+            doc = np.concatenate([_unsteps(b, s, len(x) // 8) for b, s, x in zip(
+                col["base"], col["steps"], col["labels"], strict=True)])
+            order = np.lexsort((doc, label))
+            label, doc = label[order], doc[order]
+            new = np.r_[True, label[1:] != label[:-1]]
+            hit = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+            docs, labels = [doc[hit]], [label[hit]]
+            for b, s, x in zip(col["base2"], col["steps2"], col["labels2"], strict=True):
+                docs.append(_unsteps(b, s, len(x) // 8))
+                labels.append(np.frombuffer(x, np.uint64))
+            doc, label = np.concatenate(docs), np.concatenate(labels)
+            if not len(doc):
+                continue
+            place = _places(doc, places)
+            order = np.lexsort((doc, place))
+            doc, label, place = doc[order], label[order], place[order]
+            cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+            rows = [(int(place[a]), *_steps(doc[a:b]), label[a:b].tobytes()) for a, b in zip(cuts, np.r_[cuts[1:], len(doc)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (
+                pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["__place", "__base", "__steps", "__labels"])
     return run
 
 
+def _covered(docs: DataFrame, id_col: str, text_col: str, window: int, group_suffixes: int) -> DataFrame:
+    """The rows of ``docs`` and, ahead of each place's rows, the labels that are covered in its documents: both reach a
+    place by one shuffle, sorted so that a task holds one place's labels and streams its texts."""
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    groups, n = plan_groups(_prefix_counts(narrow, window), group_suffixes)
+    places = n // 2 * 2 + 1
+    dealt = narrow.mapInArrow(_deal(window, groups, n), ROWS)
+    hits = dealt.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(
+        _nodes(places), "__place int, __base long, __steps binary, __labels binary").withColumn("__kind", F.lit(0))
+    rows = docs.withColumn("__place", _place(F.col(id_col).cast("long"), F.col(text_col), places)).withColumn("__kind", F.lit(1))
+    both = rows.unionByName(hits, allowMissingColumns=True)
+    return both.repartition(places, "__place").sortWithinPartitions("__place", "__kind").select(
+        *docs.columns, F.col(id_col).cast("long").alias("__id"), "__place", "__kind", "__base", "__steps", "__labels")
+
+
+class _Labels:
+    """Covered labels of one place, by document."""
+
+    def __init__(self):
+        self.parts, self.doc, self.label = [], np.empty(0, np.int64), np.empty(0, np.uint64)
+
+    def add(self, base, steps, labels) -> None:
+        self.parts.append((_unsteps(base, steps, len(labels) // 8), np.frombuffer(labels, np.uint64)))
+
+    def of(self, doc) -> np.ndarray:
+        if self.parts:
+            doc_, label = np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts])
+            order = np.argsort(doc_, kind="stable")
+            self.doc, self.label, self.parts = doc_[order], label[order], []
+        if doc is None:
+            return self.label[:0]
+        return self.label[np.searchsorted(self.doc, doc):np.searchsorted(self.doc, doc, "right")]
+
+
+def _cut(text: bytes | None, labels: np.ndarray, window: int):
+    """(words, which of them go) of one text."""
+    words = (text or b"").split()
+    if not len(labels) or len(words) < window:
+        return words, np.zeros(len(words), bool)
+    hit = np.flatnonzero(np.isin(combine(word_hashes(words), window), labels))
+    step = np.zeros(len(words) + 1, np.int64)
+    np.add.at(step, hit, 1)
+    np.add.at(step, hit + window, -1)
+    return words, np.cumsum(step[:-1]) > 0
+
+
+def _streamed(text_at: int, window: int, emit):
+    """Run over the rows of :func:`_covered`; ``emit`` makes a batch of (rows of documents, their words, what goes)."""
+    def run(batches):
+        labels, at = _Labels(), None
+        for part in slices(_with_text(batches, text_at), "__text"):
+            place, kind = part.column(part.num_columns - 6).to_pylist(), part.column(part.num_columns - 5).to_numpy()
+            ids, texts = part.column(part.num_columns - 7).to_pylist(), part.column(part.num_columns - 1).to_pylist()
+            more = [part.column(part.num_columns - k).to_pylist() for k in (4, 3, 2)]
+            found = []
+            for i, (p, k) in enumerate(zip(place, kind, strict=True)):
+                if p != at:
+                    labels, at = _Labels(), p
+                if k == 0:
+                    labels.add(*(m[i] for m in more))
+                else:
+                    found.append(_cut(texts[i], labels.of(ids[i]), window))
+            if found:
+                yield emit(part.take(pa.array(np.flatnonzero(kind == 1))), found)
+    return run
+
+
+def _with_text(batches, text_at: int):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([*b.columns, b.column(text_at).cast(pa.binary())], names=[*b.schema.names, "__text"])
+
+
+def _kept(words: list[bytes], gone: np.ndarray) -> str:
+    return b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words).decode()
+
+
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text",
                    group_suffixes: int = 1_000_000) -> DataFrame:
     """Remove from each document every word under a window of ``window`` words that also starts in a document with a
@@ -203,32 +253,27 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     one document alone stays. Rows that share an id count as one document. A row with a null id keeps all its words and
     takes nothing from others. Other columns are not read. ``group_suffixes`` bounds the suffixes of one group.
     """
-    narrow = ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    marks = covered_labels(narrow, window, group_suffixes)
-    return narrow.join(marks.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").select(
-        "doc_id", "text", "labels").mapInArrow(
-        _mark(window), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,length:long>>")
+    def emit(rows, found):
+        edges = [np.flatnonzero(np.diff(np.r_[0, gone, 0])) for _, gone in found]
+        spans = [[{"start": int(a), "length": int(b - a)} for a, b in zip(e[::2], e[1::2], strict=True)] for e in edges]
+        cols = [rows.column(2), pa.array([len(w) for w, _ in found], pa.int64()), pa.array([int(g.sum()) for _, g in found], pa.int64()),
+                pa.array([_kept(w, g) for w, g in found], pa.string()),
+                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept", "spans"])
 
-
-def _clean(text_at: int, window: int):
-    mark = _mark(window)
-
-    def run(batches):
-        for part in slices(batches, "__text"):
-            marked = next(mark([pa.RecordBatch.from_arrays(
-                [part.column(part.num_columns - 3), part.column(part.num_columns - 2), part.column(part.num_columns - 1)],
-                names=["doc_id", "text", "labels"])]))
-            text = pc.if_else(pc.greater(marked.column(2), 0), marked.column(3), part.column(text_at))
-            cols = [text if k == text_at else part.column(k) for k in range(part.num_columns - 3)]
-            yield pa.RecordBatch.from_arrays(cols, names=part.schema.names[:-3])
-    return run
+    narrow = ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _covered(narrow, "doc_id", "text", window, group_suffixes).mapInArrow(
+        _streamed(1, window, emit), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,length:long>>")
 
 
 def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text",
                     group_suffixes: int = 1_000_000) -> DataFrame:
     """``docs`` with the words of :func:`remove_repeats` taken out of the texts; texts without repeats are unchanged."""
-    narrow = ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    marks = covered_labels(narrow, window, group_suffixes).withColumnRenamed("doc_id", "__key").withColumnRenamed("labels", "__labels")
-    both = docs.join(marks, F.col(id_col).cast("long") == F.col("__key"), "left").select(
-        *docs.columns, F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("binary").alias("__text"), "__labels")
-    return both.mapInArrow(_clean(docs.columns.index(text_col), window), docs.schema)
+    n, at = len(docs.columns), docs.columns.index(text_col)
+
+    def emit(rows, found):
+        old = rows.column(at).to_pylist()
+        new = pa.array([_kept(w, g) if g.any() else t for t, (w, g) in zip(old, found, strict=True)], pa.string())
+        return pa.RecordBatch.from_arrays([new if k == at else rows.column(k) for k in range(n)], names=rows.schema.names[:n])
+
+    return _covered(ship(docs), id_col, text_col, window, group_suffixes).mapInArrow(_streamed(at, window, emit), docs.schema)

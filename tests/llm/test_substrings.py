@@ -4,7 +4,7 @@ import re
 import numpy as np
 from cohortflow.llm import substrings
 from cohortflow.llm.common import table
-from cohortflow.llm.substrings import plan_groups, remove_repeats
+from cohortflow.llm.substrings import plan_groups, remove_repeats, without_repeats
 
 from .conftest import SF
 
@@ -43,7 +43,7 @@ def test_edge_cases(make):
     text = lambda: " ".join(rng.choice(("a", "b")) for _ in range(200))
     rows = [(5, None), (6, ""), (7, " \n\t"), (None, common), (3, common), (2, common), (2, common), (9, f"x {common} y"),
             (10, "w1 w2"), (11, common.replace(" ", " ")), (12, f"{common} {common}"), (13, text()), (14, text()), (15, text() * 40)]
-    got = remove_repeats(make(rows).withColumnRenamed("lang", "labels").withColumnRenamed("source", "__id"))
+    got = remove_repeats(make(rows).withColumnRenamed("lang", "labels").withColumnRenamed("source", "grp"))
     assert rows_of(got) == sorted(brute(rows), key=str)
     assert rows_of(remove_repeats(make([]))) == []
 
@@ -59,3 +59,12 @@ def test_common_prefixes_are_extended():
     counts[0, :3], counts[1, 5:9] = (900, 40, 60), (500, 100, 100, 100)
     groups, n = plan_groups(counts, 100)
     assert n == 10 and groups[0, 0] == -1 and groups[0, 1] >= 0 and groups[1, 5] == -1 and groups[1, 6] >= 0
+
+
+def test_documents_form_keeps_columns(make):
+    a = " ".join(f"w{i}" for i in range(40))
+    docs = make([(1, a, "en", "s", 3), (2, f"p  q {a} r", None, "s", 4), (3, None, "de", None, None), (None, a, "x", "y", 1), (4, "two  words", "en", "s", 2)])
+    got = without_repeats(docs)
+    assert got.schema.names == docs.schema.names
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [
+        (1, a, "en", "s", 3), (2, "p q r", None, "s", 4), (3, None, "de", None, None), (None, a, "x", "y", 1), (4, "two  words", "en", "s", 2)]))
