@@ -1,12 +1,12 @@
 """History features from each entity's strictly earlier events.
 
-Single fused two-level scan (see :mod:`cohortflow.operators.sequence`): one
-row-level sort by ``(entity, bucket, time, tie)`` computes the within-bucket
-neighbours and strictly-earlier aggregates, one aggregate summarises each
-bucket from that sorted frame, one small window over the buckets of each
-entity carries the history of earlier buckets, and one join brings it back.
-The only cross-row dependency that crosses buckets - the gap between a
-bucket's first event and the previous event - is evaluated on the carry
+Two-level scan (see :mod:`cohortflow.operators.sequence`): windows over
+``(entity, cell)`` compute the neighbours and strictly-earlier aggregates
+within a cell; the cells of heavy entities are summarised, a small window over
+them carries the history of earlier cells, and one broadcast join brings it
+back. Give it a narrow frame (the columns named in the call) and join wide
+columns to the result by ``event_id``. The only cross-row dependency that crosses cells - the gap
+between a cell's first event and the previous event - is evaluated on the carry
 table, where both ends are known.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import indicator
 from ..functions.time import DAYS_PER_YEAR, elapsed_days
-from .sequence import BK, DEFAULT_ROWS_PER_BUCKET, TM, _with_bucket, drop_scan_columns
+from .sequence import BK, DEFAULT_ROWS_PER_BUCKET, SPLIT, TM, _carried, _with_bucket, drop_scan_columns
 
 
 def history_features(events: DataFrame, entity: str, event_id: str, start: str, end: str,
@@ -50,7 +50,8 @@ def history_features(events: DataFrame, entity: str, event_id: str, start: str,
     computed (it is still the *next* event of the one before it).
     """
     sums = dict(prior_sums or {})
-    d = _with_bucket(events, start, bucket_days, entity, rows_per_bucket)
+    d = _with_bucket(events, start, bucket_days, entity, event_id, rows_per_bucket).repartition(entity, BK)
+    mine = F.col(entity).isNotNull()
     los = elapsed_days(F.col(start), F.col(end))
     d = d.withColumn("_h_los", los)
 
@@ -59,9 +60,9 @@ def history_features(events: DataFrame, entity: str, event_id: str, start: str,
     before = Window.partitionBy(entity, BK).orderBy(TM).rangeBetween(Window.unboundedPreceding, -1)
     order_key = F.struct(F.col(TM), F.col(event_id))
     d = (d.withColumn("_h_pe", F.lag(end).over(w))
-          .withColumn("_h_hp", F.lag(event_id).over(w).isNotNull())
+          .withColumn("_h_hp", mine & F.lag(F.lit(True)).over(w).isNotNull())
           .withColumn("_h_ns", F.lead(start).over(w))
-          .withColumn("_h_hn", F.lead(event_id).over(w).isNotNull()))
+          .withColumn("_h_hn", mine & F.lead(F.lit(True)).over(w).isNotNull()))
     # close gap to the previous event; known here for all but the bucket's first row
     d = d.withColumn("_h_close", F.when(F.col("_h_hp"), indicator(
         elapsed_days(F.col("_h_pe"), F.col(start)) <= readmit_days)))
@@ -74,7 +75,7 @@ def history_features(events: DataFrame, entity: str, event_id: str, start: str,
         d = d.withColumn("_h_ws_" + out, F.sum(col).over(before))
 
     # ---- level 2: one row per (entity, bucket), from the sorted frame
-    summary = d.groupBy(entity, BK).agg(
+    summary = d.filter(SPLIT).groupBy(entity, BK).agg(
         F.count(F.lit(1)).alias("_h_bn"), F.sum("_h_los").alias("_h_blos"),
         F.max("_h_close").alias("_h_bclose_rest"),
         F.max_by(F.col(end), order_key).alias("_h_blast"),
@@ -89,7 +90,7 @@ def history_features(events: DataFrame, entity: str, event_id: str, start: str,
                    elapsed_days(F.col("_h_cprev_end"), F.col("_h_bfirst.s")) <= readmit_days))))
     summary = summary.withColumn("_h_bclose", F.greatest("_h_bclose_rest", "_h_fclose"))
     carry = summary.select(
-        entity, BK, "_h_cprev_end", "_h_cnext_start", "_h_fclose", F.col("_h_bfirst.tm").alias("_h_ftm"),
+        F.col(entity).alias("_h_e"), F.col(BK).alias("_h_b"), "_h_cprev_end", "_h_cnext_start", "_h_fclose", F.col("_h_bfirst.tm").alias("_h_ftm"),
         F.coalesce(F.sum("_h_bn").over(upto), F.lit(0)).alias("_h_cn"),
         F.sum("_h_blos").over(upto).alias("_h_clos"),
         F.max("_h_bclose").over(upto).alias("_h_cclose"),
@@ -97,8 +98,8 @@ def history_features(events: DataFrame, entity: str, event_id: str, start: str,
         *[F.sum("_h_bs_" + out).over(upto).alias("_h_cs_" + out) for out in sums])
 
     # ---- combine
-    j = d.join(carry, [entity, BK], "left")
-    wn, cn = F.col("_h_wn"), F.col("_h_cn")
+    j = d.join(_carried(carry, bucket_days), (F.col(entity) == F.col("_h_e")) & (F.col(BK) == F.col("_h_b")), "left")
+    wn, cn = F.when(mine, F.col("_h_wn")).otherwise(0), F.coalesce("_h_cn", F.lit(0))
     n = (cn + wn).cast("bigint")
     first_row_prior = F.col("_h_ftm") < F.col(TM)  # the bucket's first event is history
     close = F.greatest(F.col("_h_cclose"), F.col("_h_wclose"),

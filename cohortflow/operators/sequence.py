@@ -1,89 +1,90 @@
-"""Ordered per-entity scans (previous / next event, strictly-prior aggregates)
+"""Ordered per-entity scans (previous / next event, strictly-prior history)
 that stay parallel when one entity owns a large share of all events.
 
 A plain ``Window.partitionBy(entity)`` puts every event of an entity into one
 task, so an entity holding a third of the table would be sorted and scanned by
 a single core. Instead the scan is done in two levels:
 
-1. rows are windowed by ``(entity, time bucket)`` (a bucket is ``bucket_days``
-   wide), so a heavy entity is spread over as many tasks as it has buckets;
-2. each ``(entity, bucket)`` is summarised by an aggregate with map-side
-   partial aggregation (count, sum, max, min, first / last row by order), and
-   a prefix over the buckets of each entity - a table with one row per
-   non-empty bucket, not per event - carries what happened before the bucket;
-3. the carry is joined back on ``(entity, bucket)`` (the row side keeps its
-   hash partitioning, only the small carry table moves) and combined with
-   the within-bucket result.
-
-Ties on the time column fall in the same bucket, so "strictly before" (a
-RANGE frame ending one microsecond before the current time) never needs rows
-from a later bucket. Events are totally ordered by ``(time, tie)``.
+1. every row gets a cell: an ordinary entity is one cell, a heavy one (more
+   than a fixed share of all rows) is cut at quantiles of its own times. One
+   explicit exchange on ``(entity, cell)`` deals the rows out for the windows;
+2. each cell of a heavy entity is summarised (map-side combined) by its first and
+   last row and its totals; a prefix over the cells of each entity carries
+   what happened before a cell, and is joined back on ``(entity, cell)``.
+   An ordinary entity has nothing to carry.
+
+At most ``CELLS`` entities can be heavy, and they have about twice as many cells
+at most, so cuts and carry are broadcast whatever the size of the table. All of
+it is part of one lazy plan: nothing runs while it is built.
+
+Ties on the time column share a cell, so "strictly before" (a RANGE frame
+ending one microsecond before the current time) never needs rows of a later
+cell. Events are totally ordered by ``(time, tie)``; a NULL time comes last. A row
+with a NULL entity belongs to nobody: it has no neighbours and no history, and
+such rows are spread by their tie.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import MICROS_PER_DAY, epoch_micros
 
-TM, BK = "_sq_tm", "_sq_bucket"
-DEFAULT_BUCKET_DAYS = 7
+TM, BK, SPLIT = "_sq_tm", "_sq_bucket", "_sq_split"
+#: an entity is heavy when it has more than 1 / CELLS of all rows
+CELLS = 1024
+#: ... and more than this many rows
 DEFAULT_ROWS_PER_BUCKET = 50_000
-
-
-def _with_bucket(df: DataFrame, time: str, bucket_days: float | None, entity: str | None = None,
-                 rows_per_bucket: int | None = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
-    """Add the ordering micros and the bucket index, unless an earlier scan on
-    the same frame left them in place (then the frame is still partitioned
-    by ``(entity, bucket)`` and the next window needs no new shuffle).
-
-    Fixed mode (``bucket_days`` given): buckets are that many days wide.
-    Adaptive mode (the default, ``rows_per_bucket``): each entity's span is cut into about
-    ``n_events / rows_per_bucket`` equal-width buckets, so an ordinary entity
-    is one bucket and a heavy one is split finely. The per-entity span comes
-    from a map-side-combined aggregate joined back on the entity (a heavy
-    entity is one skewed key of that join, which AQE splits).
-    """
-    if TM in df.columns and BK in df.columns:
-        return df
-    d = df.withColumn(TM, epoch_micros(time))
-    if bucket_days is None and not rows_per_bucket:
-        bucket_days = DEFAULT_BUCKET_DAYS
-    if bucket_days is None:
-        stats = d.groupBy(entity).agg(F.count(F.lit(1)).alias("_sq_n"), F.min(TM).alias("_sq_lo"),
-                                      F.max(TM).alias("_sq_hi"))
-        width = F.greatest((F.col("_sq_hi") - F.col("_sq_lo") + F.lit(1)).cast("double")
-                           * F.lit(float(rows_per_bucket)) / F.col("_sq_n"), F.lit(1.0))
-        d = (d.join(stats, entity, "left")
-              .withColumn(BK, F.floor((F.col(TM) - F.col("_sq_lo")) / width).cast("bigint"))
-              .drop("_sq_n", "_sq_lo", "_sq_hi"))
-        return _split_dense_buckets(d, entity, rows_per_bucket)
-    width = float(bucket_days) * MICROS_PER_DAY
-    return d.withColumn(BK, F.floor(F.col(TM) / F.lit(width)).cast("bigint"))
-
-
-def _split_dense_buckets(d: DataFrame, entity: str, rows_per_bucket: int) -> DataFrame:
-    """Second level for entities that are both heavy and bursty: equal-width
-    buckets over a long span can still leave most events in a few buckets.
-    A bounded check (one aggregate, ``limit 1``) looks for (entity, bucket)
-    cells above twice the target; only if some exist, those cells are cut
-    again by their own span. The new key ``bucket * 2^31 + sub`` keeps time
-    order, and equal times still share a cell, so results stay exact (only
-    identical timestamps cannot be split)."""
-    cells = d.groupBy(entity, BK).agg(F.count(F.lit(1)).alias("_sq_n2"), F.min(TM).alias("_sq_lo2"),
-                                      F.max(TM).alias("_sq_hi2"))
-    dense = cells.filter(F.col("_sq_n2") > 2 * rows_per_bucket)
-    if not dense.limit(1).count():
-        return d
-    width = F.greatest((F.col("_sq_hi2") - F.col("_sq_lo2") + F.lit(1)).cast("double")
-                       * F.lit(float(rows_per_bucket)) / F.col("_sq_n2"), F.lit(1.0))
-    sub = F.coalesce(F.floor((F.col(TM) - F.col("_sq_lo2")) / width).cast("bigint"), F.lit(0).cast("bigint"))
-    return (d.join(dense, [entity, BK], "left")
-             .withColumn(BK, F.col(BK) * F.lit(2 ** 31) + sub)
-             .drop("_sq_n2", "_sq_lo2", "_sq_hi2"))
+_GRID = 32  # cuts are looked up in two steps of this many comparisons
+_LAST = 1 << 62
+
+
+def _cuts(d: DataFrame, entity: str, rows_per_bucket: int) -> DataFrame:
+    """One row for each heavy entity: ``_sq_cuts``, times that cut it into
+    cells of about the allowed number of rows."""
+    known = d.filter(F.col(entity).isNotNull())
+    counts = known.groupBy(entity).agg(F.count(F.lit(1)).alias("_sq_n"))
+    total = counts.agg(F.sum("_sq_n").alias("_sq_total"))  # one row
+    allowed = F.greatest(F.lit(float(rows_per_bucket)), F.col("_sq_total") / CELLS)
+    heavy = (counts.crossJoin(F.broadcast(total)).filter(F.col("_sq_n") > allowed)
+             .select(F.col(entity).alias("_sq_e"),
+                     F.least(F.ceil(F.col("_sq_n") / allowed), F.lit(CELLS)).cast("int").alias("_sq_k")))
+    grid = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
+    times = known.select(F.col(entity).alias("_sq_e"), TM).join(F.broadcast(heavy), "_sq_e")
+    cuts = times.groupBy("_sq_e", "_sq_k").agg(
+        F.percentile_approx(TM, grid, F.lit(4 * CELLS)).alias("_sq_all"))
+    every = F.expr(f"transform(sequence(1, _sq_k - 1), i -> _sq_all[cast(i * {CELLS} / _sq_k as int) - 1])")
+    return cuts.filter("_sq_k > 1").select("_sq_e", F.array_sort(every).alias("_sq_cuts"))
+
+
+def _with_bucket(df: DataFrame, time: str, bucket_days: float | None, entity: str,
+                 tie: str, rows_per_bucket: int | None = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+    """Add the ordering micros, the cell, and whether the entity is cut
+    (``SPLIT``). ``bucket_days`` cuts every entity at fixed widths instead of
+    cutting the heavy ones at their quantiles."""
+    d = df.withColumn(TM, F.coalesce(epoch_micros(time), F.lit(_LAST)))
+    if bucket_days is not None:
+        cell, split = F.floor(F.col(TM) / F.lit(float(bucket_days) * MICROS_PER_DAY)).cast("bigint"), F.lit(True)
+    else:
+        cuts = _cuts(d.select(entity, TM), entity, rows_per_bucket or DEFAULT_ROWS_PER_BUCKET)
+        d = d.join(F.broadcast(cuts), F.col(entity) == F.col("_sq_e"), "left")
+        split = F.col("_sq_cuts").isNotNull()
+        # how many cuts lie below the time: first among every 32nd, then among those behind the last of these
+        block = F.expr(f"""size(filter(transform(sequence(0, cast((size(_sq_cuts) - 1) / {_GRID} as int)),
+                           i -> _sq_cuts[i * {_GRID}]), c -> c < {TM}))""")
+        d = d.withColumn("_sq_block", F.when(split, block).otherwise(0))
+        fine = F.expr(f"size(filter(slice(_sq_cuts, (_sq_block - 1) * {_GRID} + 2, {_GRID - 1}), c -> c < {TM}))")
+        cell = F.when(F.col("_sq_block") > 0, (F.col("_sq_block") - 1) * _GRID + 1 + fine).otherwise(0).cast("bigint")
+    d = d.withColumn(BK, F.when(F.col(entity).isNull(), F.xxhash64(tie)).otherwise(cell))
+    return d.withColumn(SPLIT, split & F.col(entity).isNotNull()).drop("_sq_e", "_sq_cuts", "_sq_block")
+
+
+def _carried(carry: DataFrame, bucket_days: float | None) -> DataFrame:
+    """The carry, broadcast where the number of its rows is bounded."""
+    return carry if bucket_days is not None else F.broadcast(carry)
 
 
 def drop_scan_columns(df: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def neighbours(df: DataFrame, entity: str, time: str, tie: str,
                prev: Mapping[str, str] | None = None,
                nxt: Mapping[str, str] | None = None,
                has_prev: str | None = None, has_next: str | None = None,
-               bucket_days: float | None = None, keep_scan: bool = False,
+               bucket_days: float | None = None,
                rows_per_bucket: int | None = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """Add ``lag`` / ``lead`` columns over the entity's events ordered by
     ``(time, tie)``.
@@ -104,28 +105,27 @@ def neighbours(df: DataFrame, entity: str, time: str, tie: str,
     boolean columns (``has_next = False`` marks the entity's last event).
     """
     prev, nxt = dict(prev or {}), dict(nxt or {})
-    d = _with_bucket(df, time, bucket_days, entity, rows_per_bucket)
+    d = _with_bucket(df, time, bucket_days, entity, tie, rows_per_bucket)
+    mine = F.col(entity).isNotNull()
     w = Window.partitionBy(entity, BK).orderBy(TM, tie)
     order_key = F.struct(F.col(TM), F.col(tie))
-    d = (d.withColumn("_sq_hp", F.lag(F.col(tie)).over(w).isNotNull())
-          .withColumn("_sq_hn", F.lead(F.col(tie)).over(w).isNotNull()))
-    for out, src in prev.items():
-        d = d.withColumn("_sq_p_" + out, F.lag(F.col(src)).over(w))
-    for out, src in nxt.items():
-        d = d.withColumn("_sq_n_" + out, F.lead(F.col(src)).over(w))
-
-    last_row = F.struct(F.lit(True).alias("_x"), *[F.col(s).alias(o) for o, s in prev.items()])
-    first_row = F.struct(F.lit(True).alias("_x"), *[F.col(s).alias(o) for o, s in nxt.items()])
-    # summarised from the windowed frame: already clustered by (entity,
-    # bucket), so the aggregate adds no shuffle and the row shuffle is reused
-    summary = (d.groupBy(entity, BK)
+    last_row = F.struct(F.lit(True).alias("_x"), *[F.col(c).alias(o) for o, c in prev.items()])
+    first_row = F.struct(F.lit(True).alias("_x"), *[F.col(c).alias(o) for o, c in nxt.items()])
+    summary = (d.filter(SPLIT).groupBy(entity, BK)
                .agg(F.max_by(last_row, order_key).alias("_sq_last"),
                     F.min_by(first_row, order_key).alias("_sq_first")))
     v = Window.partitionBy(entity).orderBy(BK)
-    carry = summary.select(entity, BK,
+    carry = summary.select(F.col(entity).alias("_sq_e"), F.col(BK).alias("_sq_b"),
                            F.lag("_sq_last").over(v).alias("_sq_cl"),
                            F.lead("_sq_first").over(v).alias("_sq_cf"))
-    j = d.join(carry, [entity, BK], "left")
+    d = d.repartition(entity, BK)
+    d = (d.withColumn("_sq_hp", mine & F.lag(F.lit(True)).over(w).isNotNull())
+          .withColumn("_sq_hn", mine & F.lead(F.lit(True)).over(w).isNotNull()))
+    for out, src in prev.items():
+        d = d.withColumn("_sq_p_" + out, F.lag(F.col(src)).over(w))
+    for out, src in nxt.items():
+        d = d.withColumn("_sq_n_" + out, F.lead(F.col(src)).over(w))
+    j = d.join(_carried(carry, bucket_days), (F.col(entity) == F.col("_sq_e")) & (F.col(BK) == F.col("_sq_b")), "left")
     for out in prev:
         j = j.withColumn(out, F.when(F.col("_sq_hp"), F.col("_sq_p_" + out))
                          .otherwise(F.col("_sq_cl")[out]))
@@ -136,85 +136,4 @@ def neighbours(df: DataFrame, entity: str, time: str, tie: str,
         j = j.withColumn(has_prev, F.col("_sq_hp") | F.col("_sq_cl").isNotNull())
     if has_next:
         j = j.withColumn(has_next, F.col("_sq_hn") | F.col("_sq_cf").isNotNull())
-    drop = [c for c in j.columns if c.startswith("_sq_") and not (keep_scan and c in (TM, BK))]
-    return j.drop(*drop)
-
-
-_KINDS = ("count", "sum", "max", "min", "last", "first")
-
-
-def prior_aggregates(df: DataFrame, entity: str, time: str, tie: str,
-                     aggs: Sequence[tuple[str, str, str | None]],
-                     bucket_days: float | None = None, keep_scan: bool = False,
-                     rows_per_bucket: int | None = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
-    """Aggregates over the entity's events with a strictly earlier ``time``
-    (ties with the current event are not history).
-
-    ``aggs`` is a list of ``(output, kind, column)`` with ``kind`` one of
-    ``count`` (column ignored, 0 when there is no history), ``sum``, ``max``,
-    ``min`` (NULL when there is no history), ``last`` / ``first`` (the column's
-    value on the latest / earliest prior event by ``(time, tie)``).
-    """
-    for _, kind, _c in aggs:
-        if kind not in _KINDS:
-            raise ValueError(f"unknown kind {kind!r}")
-    d = _with_bucket(df, time, bucket_days, entity, rows_per_bucket)
-    order_key = F.struct(F.col(TM), F.col(tie))
-    wr = (Window.partitionBy(entity, BK).orderBy(TM)
-          .rangeBetween(Window.unboundedPreceding, -1))
-
-    def agg_expr(kind: str, col: str | None) -> Column:
-        if kind == "count":
-            return F.count(F.lit(1))
-        c = F.col(col)
-        return {"sum": lambda: F.sum(c), "max": lambda: F.max(c), "min": lambda: F.min(c),
-                "last": lambda: F.max_by(c, order_key),
-                "first": lambda: F.min_by(c, order_key)}[kind]()
-
-    d = d.withColumn("_sq_wn", F.count(F.lit(1)).over(wr))
-    for out, kind, col in aggs:
-        if kind != "count":
-            d = d.withColumn("_sq_w_" + out, agg_expr(kind, col).over(wr))
-
-    summary = d.groupBy(entity, BK).agg(
-        F.count(F.lit(1)).alias("_sq_bn"),
-        *[agg_expr(kind, col).alias("_sq_b_" + out) for out, kind, col in aggs if kind != "count"])
-    before = (Window.partitionBy(entity).orderBy(BK)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    ordered = Window.partitionBy(entity).orderBy(BK)
-    carry_cols = [entity, BK, F.sum("_sq_bn").over(before).alias("_sq_cn")]
-    for out, kind, col in aggs:
-        b = F.col("_sq_b_" + out)
-        if kind == "sum":
-            carry_cols.append(F.sum(b).over(before).alias("_sq_c_" + out))
-        elif kind == "max":
-            carry_cols.append(F.max(b).over(before).alias("_sq_c_" + out))
-        elif kind == "min":
-            carry_cols.append(F.min(b).over(before).alias("_sq_c_" + out))
-        elif kind == "last":
-            carry_cols.append(F.lag(b).over(ordered).alias("_sq_c_" + out))
-        elif kind == "first":
-            carry_cols.append(F.first(b).over(before).alias("_sq_c_" + out))
-    carry = summary.select(*carry_cols)
-
-    j = d.join(carry, [entity, BK], "left")
-    cn = F.coalesce(F.col("_sq_cn"), F.lit(0))
-    wn = F.col("_sq_wn")
-    for out, kind, col in aggs:
-        w_ = F.col("_sq_w_" + out) if kind != "count" else None
-        c_ = F.col("_sq_c_" + out) if kind != "count" else None
-        if kind == "count":
-            val = (cn + wn).cast("bigint")
-        elif kind == "sum":
-            val = F.coalesce(c_ + w_, c_, w_)
-        elif kind == "max":
-            val = F.greatest(c_, w_)
-        elif kind == "min":
-            val = F.least(c_, w_)
-        elif kind == "last":
-            val = F.when(wn > 0, w_).otherwise(c_)
-        else:  # first
-            val = F.when(cn > 0, c_).otherwise(w_)
-        j = j.withColumn(out, val)
-    drop = [c for c in j.columns if c.startswith("_sq_") and not (keep_scan and c in (TM, BK))]
-    return j.drop(*drop)
+    return drop_scan_columns(j)

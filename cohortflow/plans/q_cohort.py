@@ -43,9 +43,9 @@ def cohort_frame(spark, sf_dir, keep_last=False, materialize=True):
     """Events + one-pass child features + entity attributes + label + history.
 
     The event-level frame (one row per event, all child features attached)
-    is written once to the shared checkpoint folder before the ordered
-    scans: the two-level scan reads its input in two branches, and without
-    the cut each branch would re-run the child-table aggregation."""
+    is written once to the shared checkpoint folder: the ordered scan then reads
+    only its seven columns of it, and the wide rows are shuffled once, to
+    meet their history by ``o_orderkey``."""
     specs = _all_child_spec()
     fill = {}
     for s in specs:
@@ -56,11 +56,13 @@ def cohort_frame(spark, sf_dir, keep_last=False, materialize=True):
     ev = ev.withColumn("urgent", equals_flag("o_orderpriority", "1-URGENT"))
     if materialize:
         ev = cut_lineage(ev, "cohort-events")
-    h = history_features(ev, "o_custkey", "o_orderkey", "o_orderdate", "o_enddate",
+    narrow = ev.select("o_custkey", "o_orderkey", "o_orderdate", "o_enddate", "has_r", "urgent", "total_codes")
+    h = history_features(narrow, "o_custkey", "o_orderkey", "o_orderdate", "o_enddate",
                          prior_sums={"prior_with_r": "has_r", "prior_urgent": "urgent",
                                      "prior_lines": "total_codes"},
                          label_horizon=30, keep_last=keep_last)
-    return h
+    own = [c for c in h.columns if c not in narrow.columns]
+    return ev.join(h.select("o_orderkey", *own), "o_orderkey")
 
 
 def derived_columns():

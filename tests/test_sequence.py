@@ -76,7 +76,7 @@ def test_hot_entity_is_split(spark):
     b = history_features(ev, "entity", "id", "start", "end", bucket_days=1e7, label_horizon=30).select(cols)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     from cohortflow.operators.sequence import BK, _with_bucket
-    n_buckets = _with_bucket(ev, "start", 7, "entity", 100).filter("entity = 1").select(BK).distinct().count()
+    n_buckets = _with_bucket(ev, "start", None, "entity", "id", 100).filter("entity = 1").select(BK).distinct().count()
     assert n_buckets >= 25
 
 
@@ -91,10 +91,53 @@ def test_bursty_hot_entity_second_level(spark):
     rows += [(2, 9000 + i, base + dt.timedelta(days=i), base + dt.timedelta(days=i, hours=5)) for i in range(30)]
     ev = spark.createDataFrame(rows, "entity long, id long, start timestamp_ntz, end timestamp_ntz")
     from cohortflow.operators.sequence import BK, _with_bucket
-    b = _with_bucket(ev, "start", None, "entity", 100)
+    b = _with_bucket(ev, "start", None, "entity", "id", 100)
     biggest = b.groupBy("entity", BK).count().agg(F.max("count")).first()[0]
     assert biggest <= 250
     cols = ["id", "prior_count", "days_since_last", "had_prior_readmission", "avg_prior_los", "label"]
     a = history_features(ev, "entity", "id", "start", "end", rows_per_bucket=100, label_horizon=30).select(cols)
     c = history_features(ev, "entity", "id", "start", "end", bucket_days=1e7, label_horizon=30).select(cols)
     assert a.exceptAll(c).count() == 0 and c.exceptAll(a).count() == 0
+
+
+def test_null_entity_and_null_time(spark):
+    """Rows without an entity belong to nobody; a missing start comes last."""
+    import datetime as dt
+    t = lambda d: None if d is None else dt.datetime(2021, 1, 1) + dt.timedelta(days=d)
+    rows = [(None, 1, t(0), t(1)), (None, 2, t(3), t(4)), (None, 3, None, None), (7, 4, None, None), (7, 5, t(2), t(3)), (7, 6, t(10), t(11))]
+    ev = spark.createDataFrame(rows, "entity long, id long, start timestamp_ntz, end timestamp_ntz")
+    for how in ({"bucket_days": 1}, {"rows_per_bucket": 1}, {}):
+        lab = {r["id"]: r for r in readmission_label(ev, "entity", "id", "start", "end", drop_last=False, is_last_col="last", **how).collect()}
+        assert [lab[i]["last"] for i in range(1, 7)] == [True, True, True, True, False, False]
+        assert lab[5]["gap_days"] == 7 and lab[6]["gap_days"] is None and lab[6]["label"] == 0
+        his = {r["id"]: r for r in history_features(ev, "entity", "id", "start", "end", **how).collect()}
+        assert [his[i]["prior_count"] for i in range(1, 7)] == [0, 0, 0, 2, 0, 1]
+        assert his[2]["days_since_last"] is None and his[4]["days_since_last"] is None and his[6]["days_since_last"] == 7
+
+
+def _stage_rows(spark, df):
+    """Rows of each partition behind the explicit exchange that the windows read."""
+    from cohortflow.operators.sequence import BK
+    counts = df.repartition(16, "entity", BK).withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    return [r["count"] for r in counts]
+
+
+def test_no_window_task_is_hot(spark):
+    """Half of the rows on one entity, broadcasts left to their hints: the plan has
+    one exchange of rows, on (entity, cell), and its partitions are even."""
+    from cohortflow.operators.sequence import _with_bucket
+    ev = spark.range(40_000).selectExpr("if(id % 2 = 0, -1, id % 997) as entity", "id",
+                                        "timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(0, 0, cast(id * 7 % 100000 as int)) as start")
+    ev = ev.withColumn("end", F.col("start"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = _stage_rows(spark, _with_bucket(ev, "start", None, "entity", "id", 200))
+        assert sum(rows) == 40_000 and max(rows) <= 2 * sum(rows) / 16
+        out = readmission_label(ev, "entity", "id", "start", "end", rows_per_bucket=200)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("REPARTITION_BY_COL") == 1 and "SortMergeJoin" not in plan
+        window = plan[plan.index("Window"):]
+        assert window.index("REPARTITION_BY_COL") < window.index("Scan" if "Scan" in window else "Range")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
