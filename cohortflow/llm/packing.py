@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Cache, cut_lineage, ship, slices
+from .common import cut_lineage, ship, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -27,25 +27,63 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # ---------------------------------------------------------------- tokens
 
 class WordIds:
-    """Ids of whole texts, word by word: the vocabulary's splitter never joins over white space."""
+    """Ids of whole texts, word by word: the vocabulary's splitter never joins over white space, and always parts a run
+    of letters from the punctuation behind it. So a word's ids are those of its letters and those of its tail, and only
+    letters that are new go through the tokenizer, many at a time."""
 
-    def __init__(self, path: str):
+    TAIL = b".,!?;:|$%&*#"  # no apostrophe: the splitter treats some of its uses as one with letters
+
+    def __init__(self, path: str, limit: int = 900_000):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.memo = Cache(self._one, 500_000)
-
-    def _one(self, word: bytes) -> bytes:
-        return np.array(self.tok.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self.memo: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.limit = limit
+        ends = [i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]
+        self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        self.ends[ends] = True
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs of letters: one text of all of them, cut where a word's last id is."""
+        ids = np.array(self.tok.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
+        last = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(last) != len(runs):  # a letter whose lower case isn't only letters
+            return self._each(runs)
+        cut, first = ids.tobytes(), 0
+        out = []
+        for end in last.tolist():
+            out.append(cut[first:end])
+            first = end
+        return out
 
     def learn(self, lists) -> None:
-        """Fill the memo with the words of a slice in one call to the tokenizer."""
-        new = list(set().union(*lists).difference(self.memo))
-        if len(self.memo) + len(new) > self.memo.limit:
-            self.memo.clear()
-        for lo in range(0, len(new), 20_000):
-            part = new[lo:lo + 20_000]
-            found = self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+        """Fill the memo with the words of a slice."""
+        memo, letters = self.memo, self.letters
+        if len(memo) > self.limit:
+            memo.clear()
+        if len(letters) > self.limit:
+            letters.clear()
+        new = set().union(*lists).difference(memo)
+        parts, whole = [], []
+        for w in new:
+            head = w.rstrip(self.TAIL)
+            run = head.decode()
+            if run.isalpha():
+                parts.append((w, run.lower() if run.isascii() else run, w[len(head):]))
+            else:
+                whole.append(w)
+        runs = list({r for _, r, _ in parts}.difference(letters))
+        for lo in range(0, len(runs), 20_000):
+            letters.update(zip(runs[lo:lo + 20_000], self._runs(runs[lo:lo + 20_000]), strict=True))
+        for lo in range(0, len(whole), 20_000):
+            memo.update(zip(whole[lo:lo + 20_000], self._each([w.decode() for w in whole[lo:lo + 20_000]]), strict=True))
+        tails = list({t for _, _, t in parts if t}.difference(memo))
+        memo.update(zip(tails, self._each([t.decode() for t in tails]), strict=True))
+        memo[b""] = b""
+        memo.update([(w, letters[r] + memo[t]) for w, r, t in parts])
 
     def __call__(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.memo.__getitem__, words))
@@ -66,7 +104,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int, end_id: int, id_col: s
 
     def run(batches):
         ids_of, end = _tokens(vocabulary), np.array([end_id], "<u4").tobytes()
-        for part in slices(batches, "text", SLICE_BYTES // 2):
+        for part in slices(batches, "text"):
             words = [(t or b"").split() for t in part.column(1).to_pylist()]
             ids_of.learn(words)
             rows = []
