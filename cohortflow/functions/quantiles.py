@@ -4,8 +4,8 @@ Spark's exact ``percentile`` aggregate merges a map of every distinct value
 into a single final buffer, which does not scale to a continuous column of
 billions of rows. :func:`exact_quantiles` instead narrows a bracket around
 each target rank with distributed histogram passes: every pass is one
-``groupBy(target, bin).count()`` (map-side combined, output at most
-``targets x bins`` rows), the driver only reads those counts, and once a
+``groupBy(target, bin).count()`` over all columns and ranks (map-side combined,
+output at most ``targets x bins`` rows), the driver only reads those counts, and once a
 bracket holds at most ``final_rows`` rows (or a single distinct value) those
 rows are fetched and the exact order statistic is taken. Results use linear
 interpolation between the two closest ranks (NumPy / pandas default,
@@ -15,7 +15,7 @@ DuckDB ``quantile_cont``).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,89 +28,99 @@ def approx_quantiles(df: DataFrame, col: str, probs: Sequence[float],
     return list(row[0]) if row[0] is not None else [None] * len(probs)
 
 
-def _order_stats(data: DataFrame, stats, ranks: Sequence[int], bins: int,
-                 final_rows: int, max_rounds: int) -> dict[int, float]:
-    # bracket per rank: [lo, hi] inclusive, rows strictly below lo
-    state = {r: [stats["lo"], stats["hi"], 0] for r in set(ranks)}
-    found: dict[int, float] = {}
-    for _ in range(max_rounds):
-        open_ = {r: s for r, s in state.items() if r not in found}
-        if not open_:
-            break
-        brackets = sorted({(s[0], s[1]) for s in open_.values()})
-        # bin index of every row inside each distinct open bracket
+# Brackets are cut by sign first, then evenly in the logarithm of the magnitude
+# while they span more than a few powers of two, then evenly: so every double
+# is reached in a small number of passes, whatever the range of the column.
+_WIDE = 4.0
+_LEAST = 5e-324
+
+
+def _bin(x, lo: float, hi: float, bins: int):
+    """Bin of a value of ``[lo, hi]``: never decreasing, and not the same for both ends."""
+    if lo < 0 < hi or math.isinf(lo) or math.isinf(hi) or lo == 0 or hi == 0:
+        return (F.when(x == float("-inf"), 0).when(x < 0, 1).when(x == 0, 2)
+                .when(x < float("inf"), 3).otherwise(4))
+    near, far = sorted((abs(lo), abs(hi)))
+    if far / near > _WIDE:
+        width = (math.log2(far) - math.log2(near)) / bins
+        at = F.floor((F.log2(F.abs(x)) - F.lit(math.log2(near))) / F.lit(width))
+        at = at if lo > 0 else F.lit(bins) - at
+    else:
+        at = F.floor((x - F.lit(lo)) / F.lit(max((hi - lo) / bins, _LEAST)))
+    return F.greatest(F.lit(0), F.least(at, F.lit(bins))).cast("int")
+
+
+def _order_stats(data: DataFrame, bounds: dict, ranks: dict, bins: int, final_rows: int) -> dict:
+    """Order statistics of several columns at once: ``{(column, rank): value}``.
+    Each pass narrows the brackets of all open ranks of all columns."""
+    state = {(c, r): (*bounds[c], 0) for c, rs in ranks.items() for r in set(rs)}
+    found: dict = {}
+    while len(found) < len(state):
+        open_ = {k: s for k, s in state.items() if k not in found}
+        brackets = sorted({(c, s[0], s[1]) for (c, _), s in open_.items()})
         cases = []
-        for i, (lo, hi) in enumerate(brackets):
-            inside = (F.col("_q_x") >= F.lit(lo)) & (F.col("_q_x") <= F.lit(hi))
-            width = (hi - lo) / bins if hi > lo else 1.0
-            b = F.least(F.floor((F.col("_q_x") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
-            cases.append(F.when(inside, F.struct(F.lit(i).alias("k"), b.cast("int").alias("b"))))
-        tagged = data.select(F.explode(F.array_compact(F.array(*cases))).alias("t"), "_q_x")
-        counts = (tagged.groupBy(F.col("t.k").alias("k"), F.col("t.b").alias("b"))
-                  .agg(F.count(F.lit(1)).alias("n"), F.min("_q_x").alias("mn"),
-                       F.max("_q_x").alias("mx"))
-                  .collect())
+        for i, (c, lo, hi) in enumerate(brackets):
+            x = F.col(f"_q_{c}")
+            cases.append(F.when(x.between(F.lit(lo), F.lit(hi)), F.struct(
+                F.lit(i).alias("k"), _bin(x, lo, hi, bins).alias("b"), x.alias("x"))))
+        counts = (data.select(F.explode(F.array_compact(F.array(*cases))).alias("t"))
+                  .groupBy("t.k", "t.b").agg(F.count(F.lit(1)).alias("n"), F.min("t.x").alias("mn"),
+                                             F.max("t.x").alias("mx")).collect())
         by_bracket: dict[int, list] = {}
-        for row in counts:
+        for row in sorted(counts, key=lambda z: z["b"]):
             by_bracket.setdefault(row["k"], []).append(row)
-        fetch = []
-        for r, s in open_.items():
-            i = brackets.index((s[0], s[1]))
-            below = s[2]
-            for row in sorted(by_bracket.get(i, []), key=lambda z: z["b"]):
+        fetch: dict = {}
+        for (c, r), (lo, hi, below) in open_.items():
+            for row in by_bracket[brackets.index((c, lo, hi))]:
                 if below + row["n"] > r:
+                    state[c, r] = (row["mn"], row["mx"], below)
                     if row["mn"] == row["mx"]:
-                        found[r] = row["mn"]
-                    else:
-                        state[r] = [row["mn"], row["mx"], below]
-                        if row["n"] <= final_rows:
-                            fetch.append(r)
+                        found[c, r] = row["mn"]
+                    elif row["n"] <= final_rows:
+                        fetch.setdefault((c, row["mn"], row["mx"], below), []).append(r)
                     break
                 below += row["n"]
-        for r in fetch:
-            lo, hi, below = state[r]
-            vals = sorted(v[0] for v in data.filter(
-                (F.col("_q_x") >= lo) & (F.col("_q_x") <= hi)).collect())
-            found[r] = vals[r - below]
-    missing = [r for r in state if r not in found]
-    if missing:
-        raise RuntimeError(f"quantile refinement did not converge for ranks {missing}")
+        for (c, lo, hi, below), rs in fetch.items():
+            x = F.col(f"_q_{c}")
+            vals = sorted(v[0] for v in data.filter(x.between(F.lit(lo), F.lit(hi))).select(x).collect())
+            found.update({(c, r): vals[r - below] for r in rs})
     return found
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], bins: int = 1024,
-                    final_rows: int = 50_000, max_rounds: int = 12,
-                    materialize: bool = True) -> list[float | None]:
-    """Exact linear-interpolated quantiles of ``col`` (NULL / NaN ignored).
+def exact_quantiles_of(df: DataFrame, probs: Mapping[str, Sequence[float]], bins: int = 1024,
+                       final_rows: int = 50_000, materialize: bool = True) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles of several columns (NULL / NaN
+    ignored), refined together: a pass serves every column and every rank.
     ``materialize=False`` when ``df`` already reads a written table."""
     from ..session import cut_lineage
-    x = F.col(col).cast("double")
-    # the refinement reads the column several times: write that one column
-    # once instead of recomputing the upstream plan for every pass
-    data = df.select(x.alias("_q_x")).filter(F.col("_q_x").isNotNull() & ~F.isnan("_q_x"))
+    cols = list(probs)
+    x = [F.col(c).cast("double") for c in cols]
+    # the refinement reads the columns several times: write these once
+    # instead of recomputing the upstream plan for every pass
+    data = df.select(*[F.when(~F.isnan(v), v + F.lit(0.0)).alias(f"_q_{i}") for i, v in enumerate(x)])
     if materialize:
         data = cut_lineage(data, "quantile")
-    stats = data.agg(F.count(F.lit(1)).alias("n"), F.min("_q_x").alias("lo"),
-                     F.max("_q_x").alias("hi")).first()
-    n = stats["n"]
-    if n == 0:
-        return [None] * len(probs)
-    ranks = []
-    for p in probs:
-        pos = (n - 1) * float(p)
-        lo = int(math.floor(pos))
-        ranks += [lo, min(lo + 1, n - 1)]
-    stats = _order_stats(data, stats, ranks, bins, final_rows, max_rounds)
-    out = []
-    for p in probs:
-        pos = (n - 1) * float(p)
-        lo = int(math.floor(pos))
-        hi = min(lo + 1, n - 1)
-        frac = pos - lo
-        out.append(stats[lo] + frac * (stats[hi] - stats[lo]))
+    one = data.agg(*[a for i in range(len(cols)) for a in (
+        F.count(f"_q_{i}").alias(f"n{i}"), F.min(f"_q_{i}").alias(f"lo{i}"), F.max(f"_q_{i}").alias(f"hi{i}"))]).first()
+    n = {i: one[f"n{i}"] for i in range(len(cols)) if one[f"n{i}"]}
+    pos = {i: [(n[i] - 1) * float(p) for p in probs[cols[i]]] for i in n}
+    ranks = {i: [r for v in pos[i] for r in (math.floor(v), min(math.floor(v) + 1, n[i] - 1))] for i in n}
+    stats = _order_stats(data, {i: (one[f"lo{i}"], one[f"hi{i}"]) for i in n}, ranks, bins, final_rows)
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(cols):
+        out[c] = [None] * len(probs[c])
+        for k, v in enumerate(pos.get(i, [])):
+            low, high = stats[i, math.floor(v)], stats[i, min(math.floor(v) + 1, n[i] - 1)]
+            out[c][k] = low if low == high else low + (v - math.floor(v)) * (high - low)
     return out
 
 
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], bins: int = 1024,
+                    final_rows: int = 50_000, materialize: bool = True) -> list[float | None]:
+    """:func:`exact_quantiles_of` for one column."""
+    return exact_quantiles_of(df, {col: list(probs)}, bins, final_rows, materialize)[col]
+
+
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], method: str = "exact",
               accuracy: int = 10000, materialize: bool = True) -> list[float | None]:
     """``method='exact'`` (distributed refinement) or ``'approx'``."""

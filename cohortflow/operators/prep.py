@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import approx_quantiles, exact_quantiles_of
 
 
 def hash_unit(key, seed: int = 42, salt: str = "") -> Column:
@@ -58,10 +58,7 @@ def fit_fill_values(df: DataFrame, policy: Mapping[str, object], method: str = "
                        for c in medians]).first()
         values.update({c: row[c] for c in medians})
     elif medians:
-        from ..session import cut_lineage
-        base = cut_lineage(df.select(*medians), "medians")  # one write for all columns
-        for c in medians:
-            values[c] = quantiles(base, c, [0.5], method=method, materialize=False)[0]
+        values.update({c: q[0] for c, q in exact_quantiles_of(df, {c: [0.5] for c in medians}).items()})
     for c, p in policy.items():
         if p not in ("median", "mean"):
             values[c] = p
@@ -106,12 +103,12 @@ def robust_scale(df: DataFrame, cols: Sequence[str], fit_df: DataFrame | None =
                  method: str = "exact", suffix: str = "") -> DataFrame:
     """``(x - median) / (q75 - q25)``; a zero IQR divides by 1."""
     f = fit_df if fit_df is not None else df
-    if method == "exact":
-        from ..session import cut_lineage
-        f = cut_lineage(f.select(*cols), "robust")  # one write for all columns
+    probs = [0.25, 0.5, 0.75]
+    found = (exact_quantiles_of(f, {c: probs for c in cols}) if method == "exact"
+             else {c: approx_quantiles(f, c, probs) for c in cols})
     out = df
     for c in cols:
-        q25, q50, q75 = quantiles(f, c, [0.25, 0.5, 0.75], method=method, materialize=False)
+        q25, q50, q75 = found[c]
         iqr = (q75 - q25) or 1.0
         out = out.withColumn(c + suffix, (F.col(c) - F.lit(q50)) / F.lit(iqr))
     return out
@@ -175,11 +172,9 @@ def anova_f(df: DataFrame, cols: Sequence[str], label: str, digits: int = 4) ->
 
 def select_k_best(df: DataFrame, cols: Sequence[str], label: str, k: int = 30,
                   out: str = "selected") -> tuple[DataFrame, list[str]]:
-    """Top-``k`` features by ANOVA F (``k`` capped at the feature count)."""
-    vec = assemble(df, cols, "_skb_v")
-    sel = UnivariateFeatureSelector(featuresCol="_skb_v", labelCol=label, outputCol=out,
-                                    selectionMode="numTopFeatures")
-    sel.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(min(k, len(cols)))
-    model = sel.fit(vec)
-    chosen = [cols[i] for i in model.selectedFeatures]
-    return model.transform(vec).drop("_skb_v"), chosen
+    """Top-``k`` features by ANOVA F, best first (ties by name; ``k`` capped at the
+    feature count), and ``df`` with them assembled in that order."""
+    scores = anova_f(df, cols, label, digits=12).collect()  # one row per feature
+    order = sorted(scores, key=lambda r: (-(r["f_value"] if r["f_value"] is not None else -1.0), r["feature"]))
+    chosen = [r["feature"] for r in order[:k]]
+    return assemble(df, chosen, out), chosen

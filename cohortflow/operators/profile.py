@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import cut
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import approx_quantiles, exact_quantiles_of
 
 
 def _c(x) -> Column:
@@ -124,9 +124,11 @@ def describe(df: DataFrame, cols: Sequence[str], method: str = "exact") -> DataF
                  F.stddev_samp(c).alias(f"std{i}"), F.min(c).alias(f"min{i}"),
                  F.max(c).alias(f"max{i}")]
     one = df.agg(*aggs)
-    pairs = []
+    pairs, probs = [], [0.25, 0.5, 0.75]
+    found = (exact_quantiles_of(df, {c: probs for c in cols}, materialize=False) if method == "exact"
+             else {c: approx_quantiles(df, c, probs) for c in cols})
     for i, c in enumerate(cols):
-        q = quantiles(df, c, [0.25, 0.5, 0.75], method=method, materialize=False)
+        q = found[c]
         pairs += [(f"{c}|count", F.col(f"n{i}")), (f"{c}|mean", F.col(f"mean{i}")),
                   (f"{c}|std", F.col(f"std{i}")), (f"{c}|min", F.col(f"min{i}")),
                   (f"{c}|25%", F.lit(q[0])), (f"{c}|50%", F.lit(q[1])), (f"{c}|75%", F.lit(q[2])),
@@ -205,29 +207,26 @@ def flag_prevalence(df: DataFrame, flags: Sequence[str]) -> DataFrame:
 
 def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     """Fixed-width histogram over ``[min, max]`` (last bin closed, as NumPy):
-    ``(bin, lower, upper, n)``. The bounds are a 1-row aggregate joined to
-    the rows (broadcast of one row)."""
+    ``(bin, lower, upper, n)``. The bounds are fitted first (two scalars) and
+    then literals of the plan."""
     x = F.col(col).cast("double")
-    bounds = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    w = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-    j = df.select(x.alias("_x")).filter(F.col("_x").isNotNull()).crossJoin(F.broadcast(bounds))
-    b = F.when(w == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col("_x") - F.col("_lo")) / w), F.lit(bins - 1))).cast("int")
-    g = j.select(b.alias("bin"), "_lo", "_hi").groupBy("bin", "_lo", "_hi").agg(F.count(F.lit(1)).alias("n"))
-    wd = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-    return g.select("bin", F.round(F.col("_lo") + F.col("bin") * wd, 6).alias("lower"),
-                    F.round(F.col("_lo") + (F.col("bin") + 1) * wd, 6).alias("upper"), "n")
+    lo, hi = df.agg(F.min(x), F.max(x)).first()
+    lo, hi = (lo, hi) if lo is not None else (0.0, 0.0)
+    width = (hi - lo) / float(bins)
+    b = F.lit(0) if width == 0 else F.least(F.floor((F.col("_x") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
+    g = df.select(x.alias("_x")).filter(F.col("_x").isNotNull()).groupBy(b.cast("int").alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"))
+    return g.select("bin", F.round(F.lit(lo) + F.col("bin") * F.lit(width), 6).alias("lower"),
+                    F.round(F.lit(lo) + (F.col("bin") + 1) * F.lit(width), 6).alias("upper"), "n")
 
 
 def best_by(df: DataFrame, key: str, metric: str, largest: bool = True) -> DataFrame:
     """The ``key`` with the largest (or smallest) ``metric``, ties to the
     smallest key: one aggregate, no sort."""
-    order = F.struct(F.col(metric), (-F.col(key)) if dict(df.dtypes)[key] in ("int", "bigint", "double")
-                     else F.col(key))
-    if largest:
-        return df.agg(F.max_by(F.col(key), order).alias(key), F.max(metric).alias(metric))
-    order = F.struct(F.col(metric), F.col(key))
-    return df.agg(F.min_by(F.col(key), order).alias(key), F.min(metric).alias(metric))
+    sign = -F.col(metric) if largest else F.col(metric)
+    best = df.filter(F.col(metric).isNotNull()).agg(F.min_by(F.struct(F.col(key).alias("k"), F.col(metric).alias("m")),
+                                                             F.struct(sign, F.col(key))).alias("b"))
+    return best.select(F.col("b.k").alias(key), F.col("b.m").alias(metric))
 
 
 def ranked(df: DataFrame, order: Sequence[Column], rank_col: str = "rank") -> DataFrame:

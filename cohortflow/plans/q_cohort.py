@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.expr import cut, cyclical, equals_flag, indicator, season_flag, threshold_flag
-from ..functions.time import add_days, elapsed_days, years_between
+from ..functions.time import DAYS_PER_YEAR, add_days, elapsed_days, years_between
 from ..operators.children import aggregate_children, attach, measured_spec, subset_spec
 from ..operators.history import history_features
 from ..operators.score import additive_score, risk_tier
@@ -291,7 +291,8 @@ ABNORMAL = [("item_a_abnormal", "item_a_last", 25.0, 20.0, "above", 1.0),
 @register("network_input_features")
 def q_network_inputs(spark, sf_dir):
     from ..functions.expr import abnormality, scaled_cap
-    cf = cohort_features(spark, sf_dir)
+    # the table's age is rounded; its whole days give the unrounded one back
+    cf = cohort_features(spark, sf_dir).withColumn("age", F.round(F.col("age") * DAYS_PER_YEAR) / DAYS_PER_YEAR)
     cols = [F.round(scaled_cap(src, div, cap), 6).alias(out) for out, src, div, cap in NORMS]
     days = F.coalesce(F.col("days_since_last"), F.lit(365.0))
     cols += [days.alias("days_since_last_filled"),
@@ -304,7 +305,7 @@ def q_network_inputs(spark, sf_dir):
 def _network_sql():
     parts = []
     for out, src, div, cap in NORMS:
-        e = f"{src} / {div}"
+        e = f"round(age * 365.25) / 365.25 / {div}" if src == "age" else f"{src} / {div}"
         parts.append(f"round({'least(' + e + f', {cap})' if cap is not None else e}, 6) AS {out}")
     parts.append("coalesce(days_since_last, 365.0) AS days_since_last_filled")
     parts.append("round(least(coalesce(days_since_last, 365.0) / 365.0, 1.0), 6) AS days_since_norm")

@@ -113,3 +113,12 @@ def _anova_sql():
 def q_anova(spark, sf):
     t = score_table(spark, sf)
     return PR.anova_f(t, _ANOVA, "label")
+
+
+@register("selected_features_fixed", sql=f"""
+SELECT CAST(row_number() OVER (ORDER BY f_value DESC, feature) AS INTEGER) AS position, feature FROM ({_anova_sql()}) f
+""")
+def q_selected_fixed(spark, sf):
+    """Features in falling order of F; position 1 tells the classes apart best."""
+    _, chosen = PR.select_k_best(score_table(spark, sf), _ANOVA, "label", k=30)
+    return spark.createDataFrame([(i + 1, c) for i, c in enumerate(chosen)], "position int, feature string")

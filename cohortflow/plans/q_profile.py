@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import exact_quantiles_of, quantiles
 from ..functions.time import elapsed_days
 from ..operators import profile as P
 from ..sources.io import DRIVER_TABLES, load_tables, read_parquet, table_overview
@@ -193,13 +193,14 @@ SELECT (SELECT count(*) FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o
 """)
 def q_validity(spark, sf):
     li, o = _t(spark, sf, "lineitem"), _t(spark, sf, "orders")
-    orph = P.orphan_count(li, o, "l_orderkey", "o_orderkey")
-    j = li.join(o, li.l_orderkey == o.o_orderkey)
-    neg = j.agg(F.count_if(elapsed_days("o_orderdate", "l_shipdate") < 0).alias("n_negative_gap"))
-    miss = li.agg(F.count_if(F.col("l_shipdate").isNull()).alias("n_missing_time"))
+    # one left join answers all three questions about the children
+    j = li.join(o, li.l_orderkey == o.o_orderkey, "left")
+    own = j.agg(F.count_if(F.col("o_orderkey").isNull()).alias("n_orphans"),
+                F.count_if(elapsed_days("o_orderdate", "l_shipdate") < 0).alias("n_negative_gap"),
+                F.count_if(F.col("l_shipdate").isNull()).alias("n_missing_time"))
     orph2 = P.orphan_count(_t(spark, sf, "events"), _t(spark, sf, "customer"), "user_id", "c_custkey") \
         .withColumnRenamed("n_orphans", "n_orphan_measurements")
-    return orph.crossJoin(F.broadcast(neg)).crossJoin(F.broadcast(miss)).crossJoin(F.broadcast(orph2))
+    return own.crossJoin(F.broadcast(orph2))  # one row each
 
 
 @register("segment_breakdown", sql="""
@@ -321,13 +322,11 @@ FROM {CHILD_SQL} c GROUP BY part
 def q_partition(spark, sf):
     """Split child rows by an IN-list and its complement (NULL codes go to the
     complement), counting each side."""
-    c = coded_children(spark, sf)
     inside = F.coalesce(F.col("p_brand").isin(PRIMARY_CODES), F.lit(False))
-    a = c.filter(inside).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("p_brand").alias("n_codes")) \
-        .withColumn("part", F.lit("primary"))
-    b = c.filter(~inside).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("p_brand").alias("n_codes")) \
-        .withColumn("part", F.lit("other"))
-    return a.unionByName(b).select("part", "n_rows", "n_codes")
+    part = F.when(inside, "primary").otherwise("other").alias("part")
+    # to one row for each code first: the distinct count then needs no second pass
+    codes = coded_children(spark, sf).groupBy(part, "p_brand").agg(F.count(F.lit(1)).alias("n"))
+    return codes.groupBy("part").agg(F.sum("n").alias("n_rows"), F.count("p_brand").alias("n_codes"))
 
 
 @register("secondary_code_top", sql=f"""
@@ -372,8 +371,8 @@ def q_summary(spark, sf):
                  elapsed_days("o_orderdate", "o_enddate").alias("los"))
     from ..session import cut_lineage
     j = cut_lineage(j, "summary")  # read by the aggregate and the two medians
-    med_age = quantiles(j, "age", [0.5])[0]
-    med_los = quantiles(j, "los", [0.5])[0]
+    medians = exact_quantiles_of(j, {"age": [0.5], "los": [0.5]}, materialize=False)
+    med_age, med_los = medians["age"][0], medians["los"][0]
     gap = F.col("gap")
     one = j.agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("o_custkey").alias("n_entities_with_events"),
                 F.avg("age").alias("_age"), F.avg((F.col("c_mktsegment") == "AUTOMOBILE").cast("double")).alias("_seg"),

@@ -91,3 +91,33 @@ def test_exact_quantiles_with_heavy_ties(spark, seed):
     assert np.allclose(got, np.percentile(vals, [p * 100 for p in probs]), atol=1e-12)
     approx = approx_quantiles(df, "x", [0.5])
     assert abs(approx[0] - np.median(vals)) < 0.1
+
+
+def test_exact_quantiles_over_any_range(spark):
+    """300 decades, both signs, infinities and ties, several columns in the same passes."""
+    import numpy as np
+    from cohortflow.functions.quantiles import exact_quantiles, exact_quantiles_of
+    rng = np.random.default_rng(9)
+    wide = 10.0 ** rng.uniform(-150, 150, 20_000)
+    both = np.concatenate([-wide[:9000], np.zeros(500), wide[9000:19000], [np.inf, -np.inf, 5e-324, -5e-324], rng.normal(size=496)])
+    ties = rng.integers(0, 4, 20_000).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(wide, both, ties)], "a double, b double, c double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.505, 0.99, 1.0]
+    got = exact_quantiles_of(df, {c: probs for c in "abc"}, bins=64, final_rows=20)
+    for c, x in zip("abc", (wide, both, ties)):
+        x = np.sort(x)
+        for p, g in zip(probs, got[c]):
+            pos = (len(x) - 1) * p
+            lo, hi = x[int(pos)], x[min(int(pos) + 1, len(x) - 1)]
+            with np.errstate(invalid="ignore"):
+                want = lo if lo == hi else lo + (pos - int(pos)) * (hi - lo)
+            assert g == pytest.approx(want, rel=1e-12) or (np.isinf(want) and g == want) or np.isnan(want)
+    assert exact_quantiles(df.filter("a < 0"), "a", [0.5]) == [None]
+
+
+@pytest.mark.parametrize("largest", [True, False])
+def test_best_by_ties(spark, largest):
+    from cohortflow.operators.profile import best_by
+    for keys in (("a", "b", "c"), (1, 2, 3)):
+        df = spark.createDataFrame([(keys[1], 5.0), (keys[0], 5.0), (keys[2], None)], ["k", "m"])
+        assert tuple(best_by(df, "k", "m", largest).first()) == (keys[0], 5.0)
