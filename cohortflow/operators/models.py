@@ -27,7 +27,8 @@ from .prep import assemble, hash_folds, with_class_weights
 # to be the same algorithms.
 PRESETS = {
     "logistic_regression": ("lr", {"maxIter": 1000, "tol": 1e-4}),
-    "random_forest": ("rf", {"numTrees": 100, "seed": 42}),
+    # full-depth trees: 30 is the deepest Spark grows; pass a preset of your own for shallower ones
+    "random_forest": ("rf", {"numTrees": 100, "maxDepth": 30, "seed": 42}),
     "gradient_boosting": ("gbt", {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, "seed": 42}),
     "enhanced_rf": ("rf", {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 5,
                            "featureSubsetStrategy": "sqrt", "seed": 42, "balanced": True}),
@@ -46,9 +47,11 @@ PRESETS = {
     "neural_network": ("mlp", {"hidden": [64, 32], "maxIter": 200, "seed": 42}),
 }
 
-# hidden-layer widths of the reference's network definitions
-NETWORK_LAYOUTS = {"simple": [64, 32], "deep": [128, 64, 32, 16], "wide": [256, 128],
-                   "regularized": [128, 64, 32], "residual": [128, 128, 64]}
+# Hidden-layer widths of the networks. Spark's perceptron has no dropout, no penalty and
+# no skip connection, so "regularized" and "residual" share widths only.
+NETWORK_LAYOUTS = {"simple": [64, 32], "deep": [128, 64, 32, 16], "wide": [256, 128, 64],
+                   "regularized": [64, 32, 16], "residual": [64, 64, 32],
+                   "small": [32, 16], "small_deep": [64, 32, 16, 8]}
 PRESETS.update({f"nn_{name}": ("mlp", {"hidden": widths, "maxIter": 200, "seed": 42})
                 for name, widths in NETWORK_LAYOUTS.items()})
 
@@ -93,10 +96,10 @@ def positive_probability(pred: DataFrame, out: str = "score") -> DataFrame:
 
 def fit_models(train: DataFrame, names: Sequence[str], label: str = "label",
                n_features: int | None = None, presets: Mapping = PRESETS,
-               parallelism: int | None = None) -> dict:
+               parallelism: int = 3) -> dict:
     """Fit each named preset on ``train`` (balanced presets get class
     weights ``n / (k * n_c)``). Models are fitted concurrently from
-    ``parallelism`` driver threads (default: all at once), as
+    ``parallelism`` driver threads, as
     ``CrossValidator(parallelism=...)`` does: iterative estimators submit
     many small jobs, and concurrent fits keep the cluster busy."""
     from concurrent.futures import ThreadPoolExecutor
@@ -110,7 +113,7 @@ def fit_models(train: DataFrame, names: Sequence[str], label: str = "label",
         est = estimator(kind, params, n_features, n, label=label, weight="class_weight")
         return name, est.fit(weighted if params.get("balanced") else train)
 
-    workers = max(1, min(parallelism or len(names), len(names)))
+    workers = max(1, min(parallelism, len(names)))
     if workers == 1:
         return dict(fit(nm) for nm in names)
     with ThreadPoolExecutor(max_workers=workers) as pool:
@@ -150,10 +153,10 @@ def metrics_long(scores: DataFrame, label: str = "label", score: str = "score",
 
 def soft_vote(scores: DataFrame, key: str, models: Sequence[str] | None = None,
               weights: Mapping[str, float] | None = None, name: str = "soft_vote",
-              label: str = "label") -> DataFrame:
+              label: str = "label", cutoff: float = 0.5) -> DataFrame:
     """Average (or weighted average) of the models' positive probabilities
     per key: ``sum(w * p) / sum(w)``; the weight table has one row per model
-    (broadcast)."""
+    (broadcast). The class is 1 strictly above ``cutoff``: a tie goes to 0."""
     s = scores if models is None else scores.filter(F.col("model").isin(list(models)))
     if weights:
         wt = scores.sparkSession.createDataFrame(list(weights.items()), "model string, _w double")
@@ -163,14 +166,12 @@ def soft_vote(scores: DataFrame, key: str, models: Sequence[str] | None = None,
     g = s.groupBy(key).agg(F.first(label).alias(label),
                            (F.sum(F.col("_w") * F.col("score")) / F.sum("_w")).alias("score"))
     return g.select(key, F.lit(name).alias("model"), label, "score",
-                    (F.col("score") >= 0.5).cast("int").alias("prediction"))
+                    (F.col("score") > cutoff).cast("int").alias("prediction"))
 
 
 def _over_folds(fn, k: int) -> list:
-    """Run ``fn(fold)`` for every fold from concurrent driver threads."""
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=k) as pool:
-        return list(pool.map(fn, range(k)))
+    """Run ``fn(fold)`` for every fold; the models of a fold are fitted side by side."""
+    return [fn(f) for f in range(k)]
 
 
 def out_of_fold(train: DataFrame, key: str, names: Sequence[str], k: int = 5, seed: int = 42,
@@ -203,16 +204,23 @@ def stacking(train: DataFrame, test: DataFrame, key: str, names: Sequence[str],
     tst = wide(score_models(full, test, key, label))
     meta_train = assemble(oof.withColumn(label, F.col(label).cast("double")), list(names), "features")
     meta_test = assemble(tst.withColumn(label, F.col(label).cast("double")), list(names), "features")
-    meta = LogisticRegression(labelCol=label, maxIter=1000, tol=1e-4).fit(meta_train)
+    # the same penalty as any other logistic regression here: C = 1
+    meta = estimator("lr", {"maxIter": 1000, "tol": 1e-4}, len(names), meta_train.count(), label=label).fit(meta_train)
     p = positive_probability(meta.transform(meta_test))
     return p.select(key, F.lit("stacking").alias("model"), F.col(label).cast("int").alias(label), "score",
                     F.col("prediction").cast("int").alias("prediction"))
 
 
+def best_by_auc(scores: DataFrame, label: str = "label", score: str = "score", top: int = 5) -> list[str]:
+    """The ``top`` models by ROC-AUC (ties by name): one row per model is read."""
+    rows = ranking_metrics(scores, label, score, by=["model"]).collect()
+    return [r["model"] for r in sorted(rows, key=lambda r: (-(r["roc_auc"] or 0.0), r["model"]))[:top]]
+
+
 def cross_validate(train: DataFrame, key: str, names: Sequence[str], k: int = 5, seed: int = 42,
                    label: str = "label") -> DataFrame:
     """Per-fold metrics of each model, summarised as ``(model, metric,
-    mean, std, n_folds)`` (std: sample)."""
+    mean, std, n_folds)`` (std: population)."""
     t = hash_folds(train, key, k, seed, "_fold")
 
     def one(f):
@@ -228,7 +236,7 @@ def cross_validate(train: DataFrame, key: str, names: Sequence[str], k: int = 5,
         allm = allm.unionByName(p)
     allm = allm.filter(F.col("metric").isin("accuracy", "f1", "roc_auc"))
     summary = allm.groupBy("model", "metric").agg(F.round(F.avg("value"), 6).alias("mean"),
-                                                  F.round(F.stddev_samp("value"), 6).alias("std"),
+                                                  F.round(F.stddev_pop("value"), 6).alias("std"),
                                                   F.count(F.lit(1)).alias("n_folds"))
     # stability: rank of the fold-to-fold std within each metric (1 = most
     # stable); a table of models x metrics rows, so the window is tiny

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as EV
 from ..operators import models as M
 from ..operators.prep import fit_fill_values, fit_standard, hash_split, impute, standardize
-from ..session import application_id, cut_lineage
+from ..session import cut_lineage
 from .q_cohort import cohort_features
 from .q_eval import SCORE_CTE, score_table
 from .registry import register
@@ -21,28 +21,11 @@ _NON_FEATURES = {"o_custkey", "o_orderkey", "label", "gap_days", "age_band", "lo
 BASELINE = {"roc_auc": 0.577, "f1": 0.057, "accuracy": 0.830}
 
 
-_MEMO: dict = {}
-
-
-def _memo(spark, sf, what, build):
-    """Per-application memo: the seeded fits and the written matrices are
-    deterministic, so related queries in one session reuse them."""
-    key = (application_id(spark), sf, what)
-    if key not in _MEMO:
-        _MEMO[key] = build()
-    return _MEMO[key]
+def base_fits(train):
+    return M.fit_models(train, BASE_MODELS)
 
 
 def model_data(spark, sf):
-    return _memo(spark, sf, "data", lambda: _model_data(spark, sf))
-
-
-def base_fits(spark, sf):
-    train, _, _ = model_data(spark, sf)
-    return _memo(spark, sf, "base", lambda: M.fit_models(train, BASE_MODELS))
-
-
-def _model_data(spark, sf):
     """Imputed cohort matrix split 80/20 by key hash: (train, test, cols)."""
     cf = cohort_features(spark, sf)
     cols = [c for c, t in cf.dtypes if c not in _NON_FEATURES and t in ("int", "bigint", "double")]
@@ -53,7 +36,7 @@ def _model_data(spark, sf):
     split = hash_split(base, "o_orderkey", 0.2)
     train_raw = split.filter(F.col("split") == "train").drop("split")
     # medians fitted on the training rows only, applied to both sides
-    fill = fit_fill_values(train_raw, policy, method="approx")
+    fill = fit_fill_values(train_raw, policy)
     train = impute(train_raw, policy, values=fill)
     test = impute(split.filter(F.col("split") == "test").drop("split"), policy, values=fill)
     # standardise with the training rows' mean / population std, as the
@@ -61,20 +44,21 @@ def _model_data(spark, sf):
     scale = fit_standard(train, cols)
     test = standardize(test, cols, stats=scale)
     train = standardize(train, cols, stats=scale)
-    return (M.training_matrix(train, "o_orderkey", "label", cols),
-            M.training_matrix(test, "o_orderkey", "label", cols), cols)
+    # every fit, fold and score reads the matrix, so it is written once
+    return (M.training_matrix(train, "o_orderkey", "label", cols, materialize=True),
+            M.training_matrix(test, "o_orderkey", "label", cols, materialize=True), cols)
 
 
 @register("trained_model_scores")
 def q_model_scores(spark, sf):
-    _, test, _ = model_data(spark, sf)
-    return M.score_models(base_fits(spark, sf), test, "o_orderkey")
+    train, test, _ = model_data(spark, sf)
+    return M.score_models(base_fits(train), test, "o_orderkey")
 
 
 @register("trained_model_comparison")
 def q_model_comparison(spark, sf):
-    _, test, _ = model_data(spark, sf)
-    scores = M.score_models(base_fits(spark, sf), test, "o_orderkey")
+    train, test, _ = model_data(spark, sf)
+    scores = cut_lineage(M.score_models(base_fits(train), test, "o_orderkey"), "scores")
     return EV.model_comparison(M.metrics_long(scores), ["accuracy", "f1", "roc_auc"])
 
 
@@ -87,39 +71,51 @@ def q_presets(spark, sf):
 @register("neural_network_scores")
 def q_mlp(spark, sf):
     train, test, _ = model_data(spark, sf)
-    return M.score_models(M.fit_models(train, ["neural_network"]), test, "o_orderkey")
+    names = ["neural_network", *(f"nn_{n}" for n in M.NETWORK_LAYOUTS)]
+    return M.score_models(M.fit_models(train, names), test, "o_orderkey")
 
 
 @register("trained_soft_vote")
 def q_trained_vote(spark, sf):
-    _, test, _ = model_data(spark, sf)
-    scores = M.score_models(base_fits(spark, sf), test, "o_orderkey")
+    train, test, _ = model_data(spark, sf)
+    scores = cut_lineage(M.score_models(base_fits(train), test, "o_orderkey"), "scores")
     return M.soft_vote(scores, "o_orderkey", BASE_MODELS)
 
 
 @register("stacking_scores")
 def q_stacking(spark, sf):
     train, test, _ = model_data(spark, sf)
-    return M.stacking(train, test, "o_orderkey", ["logistic_regression", "random_forest"], k=5)
+    # the best models by AUC, up to five, are stacked
+    names = [*BASE_MODELS, "enhanced_rf", "extra_trees_preset", "enhanced_gbm"]
+    scores = cut_lineage(M.score_models(M.fit_models(train, names), test, "o_orderkey"), "scores")
+    return M.stacking(train, test, "o_orderkey", M.best_by_auc(scores, top=5), k=5)
 
 
 @register("cross_validation_summary")
 def q_cv(spark, sf):
     train, _, _ = model_data(spark, sf)
-    return M.cross_validate(train, "o_orderkey", ["logistic_regression", "random_forest"], k=5)
+    return M.cross_validate(train, "o_orderkey", BASE_MODELS, k=5)
 
 
 def _categories(cols):
-    return {"history": [c for c in cols if c.startswith("prior") or c in (
-                "days_since_last", "avg_prior_los", "had_prior_readmission", "frequent_flag", "rate_per_year")],
-            "measurements": [c for c in cols if c.startswith("item_") or c.startswith("has_item")],
-            "codes": [c for c in cols if c.startswith("has_group") or c.startswith("has_sub")]}
+    """Every feature in one of eight categories, by its name."""
+    kinds = [("history", ("prior", "days_since", "avg_prior", "had_prior", "frequent", "rate_per")),
+             ("measurements", ("item_", "has_item", "ratio_", "total_meas", "n_item")),
+             ("intensive", ("r_", "has_r", "max_r")),
+             ("drugs", ("has_class", "total_drugs", "drug", "guideline", "optimal", "poly", "n_drug", "class_")),
+             ("codes", ("has_group", "has_sub", "total_codes", "primary", "group_", "complexity", "combo", "n_codes", "has_")),
+             ("demographics", ("age", "segment")), ("stay", ("los", "urgent", "status")),
+             ("calendar", ("admit", "weekend", "winter", "month", "weekday"))]
+    out = {name: [] for name, _ in kinds}
+    for c in cols:
+        out[next((name for name, heads in kinds if c.startswith(heads)), "codes")].append(c)
+    return out
 
 
 @register("feature_importance_top")
 def q_importance(spark, sf):
-    _, _, cols = model_data(spark, sf)
-    fit = base_fits(spark, sf)["random_forest"]
+    train, _, cols = model_data(spark, sf)
+    fit = M.fit_models(train, ["random_forest"])["random_forest"]
     return M.feature_importance(fit, cols, spark, top=20, categories=_categories(cols))
 
 
@@ -127,8 +123,8 @@ def q_importance(spark, sf):
 def q_importance_cat(spark, sf):
     """Summed |coefficient| / tree importance per feature category, for the
     gradient-boosting and logistic-regression fits."""
-    _, _, cols = model_data(spark, sf)
-    fits = base_fits(spark, sf)
+    train, _, cols = model_data(spark, sf)
+    fits = M.fit_models(train, ["gradient_boosting", "logistic_regression"])
     parts = [M.importance_by_category(M.feature_importance(fits[m], cols, spark, categories=_categories(cols)))
              .withColumn("model", F.lit(m)) for m in ("gradient_boosting", "logistic_regression")]
     return parts[0].unionByName(parts[1])
@@ -167,7 +163,7 @@ fx AS (SELECT o_orderkey, 'rule' AS model, label, score FROM st
 
 _VOTE_SQL = f"""WITH {FIXED_CTE}
 SELECT o_orderkey, 'soft_vote' AS model, first(label) AS label, round(avg(score), 6) AS score,
-       CAST(avg(score) >= 0.5 AS INTEGER) AS prediction
+       CAST(avg(score) > 0.5 AS INTEGER) AS prediction
 FROM fx GROUP BY o_orderkey"""
 
 
@@ -193,7 +189,7 @@ r AS (SELECT c.model, round(CAST(sum(pos * (neg_below + 0.5 * neg)) AS DOUBLE) /
 WITH {FIXED_CTE}, {_AUC_BY_MODEL}
 SELECT o_orderkey, 'auc_weighted' AS model, first(label) AS label,
        round(sum(roc_auc * score) / sum(roc_auc), 6) AS score,
-       CAST(sum(roc_auc * score) / sum(roc_auc) >= 0.5 AS INTEGER) AS prediction
+       CAST(sum(roc_auc * score) / sum(roc_auc) > 0.5 AS INTEGER) AS prediction
 FROM fx JOIN r ON r.model = fx.model GROUP BY o_orderkey
 """)
 def q_weighted(spark, sf):

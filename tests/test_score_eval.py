@@ -93,11 +93,13 @@ def test_score_counts_many_buckets_brute_force(spark):
     label = (rng.random(n) < 0.2 + 0.5 * score).astype(int)
     df = spark.createDataFrame([(int(i), int(y), float(s)) for i, (y, s) in enumerate(zip(label, score))],
                                "key long, label int, score double")
-    sc = {r["score"]: r for r in EV.score_counts(df, "label", "score", rows_per_bucket=20).collect()}
+    sc = {r["score"]: r for r in EV.score_counts(df, "label", "score").collect()}
     for s_val in list(sc)[:50]:
         r = sc[s_val]
         assert r["pos_below"] == int(((score < s_val) & (label == 1)).sum())
         assert r["neg_below"] == int(((score < s_val) & (label == 0)).sum())
+        assert r["pos_from"] == int(((score >= s_val) & (label == 1)).sum())
+        assert r["neg_from"] == int(((score >= s_val) & (label == 0)).sum())
     # brute-force tie-aware AUC and step-wise AP
     pos, neg = score[label == 1], score[label == 0]
     auc = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
@@ -109,3 +111,31 @@ def test_score_counts_many_buckets_brute_force(spark):
     r = EV.ranking_metrics(df, "label", "score").collect()[0]
     assert r["roc_auc"] == pytest.approx(auc, abs=1e-6)
     assert r["average_precision"] == pytest.approx(ap, abs=1e-6)
+
+
+def test_ranking_without_positives_or_scores(spark):
+    df = spark.createDataFrame([("a", 0, 0.1), ("a", 0, 0.7), ("b", 1, 0.5), ("c", 1, 0.5), ("c", 0, 0.5), (None, 1, 0.9), (None, 0, 0.2)],
+                               "g string, label int, score double")
+    got = {r["g"]: (r["roc_auc"], r["average_precision"]) for r in EV.ranking_metrics(df, "label", "score", ["g"]).collect()}
+    assert got == {"a": (None, None), "b": (None, 1.0), "c": (0.5, 0.5), None: (1.0, 1.0)}
+    assert EV.average_precision(df.filter("g = 'a'"), "label", "score").first()[0] is None
+    for bad in (None, float("nan")):
+        rows = spark.createDataFrame([(0, 0.1), (1, bad)], "label int, score double")
+        for fn in (EV.binary_metrics, EV.roc_auc, EV.threshold_sweep):
+            with pytest.raises(Exception, match="NULL or NaN"):
+                fn(rows, "label", "score").collect()
+
+
+def test_threshold_sweep_equals_separate_counts(spark):
+    df = spark.range(500).selectExpr("cast(id % 3 = 0 as int) label", "(id * 37 % 101) / 100.0D as score")
+    rows = df.collect()
+    for r in EV.threshold_sweep(df, "label", "score", (0.9, 0.1, 0.5)).collect():
+        t = r["threshold"]
+        assert (r["tp"], r["fp"]) == tuple(sum(x["label"] == k and x["score"] >= t for x in rows) for k in (1, 0))
+        assert r["tp"] + r["fp"] + r["tn"] + r["fn"] == 500
+
+
+def test_vote_tie_goes_to_zero(spark):
+    from cohortflow.operators.models import soft_vote
+    s = spark.createDataFrame([(1, "m", 1, 0.25), (1, "n", 1, 0.75), (2, "m", 0, 0.5), (2, "n", 0, 0.75)], "k int, model string, label int, score double")
+    assert {r["k"]: r["prediction"] for r in soft_vote(s, "k").collect()} == {1: 0, 2: 1}
