@@ -93,7 +93,7 @@ RUNS = "array<struct<start:long,length:long,times:long>>"
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total: float = 1.5, most: float = 2.0, block: int = 64,
-        shard_words: int = 4_000_000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text",
+        shard_words: int = 500_000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", key_col: str | None = None) -> DataFrame:
     """Take words from all documents so that each source comes near its target.
 
