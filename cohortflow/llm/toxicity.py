@@ -2,9 +2,9 @@
 
 Features are a document's distinct words and their beginnings (four to seven letters, for languages that build words
 from parts), lower-cased; a feature's value is the number of distinct words that have it. Grades come from the 0/1
-label: 0 where it is 0; labelled documents are 1 or, if their share of telltale words is above the median, 2. All thresholds share one weight
-vector: P(grade > k) = sigmoid(w x - theta_k). The score is the expected grade; a document is rejected when a grade
-above 0 is likelier than not.
+label: 0 where it is 0; other documents are 1 or, if they hold more telltale features than the median of these, 2.
+All thresholds share one weight vector: P(grade > k) = sigmoid(w x - theta_k). The score is the expected grade; a
+document is rejected when a grade above 0 is likelier than not.
 
 The model is fitted on a bounded sample of labelled rows; counts of its features are aggregated on the executors, and
 only the ``n_features`` most telling ones, and the sample's values of those, come to the driver.
@@ -62,40 +62,41 @@ def _sparse(batches):
             name, n = np.unique(f, return_counts=True)
             if len(name):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(name), d)), pa.array(np.full(len(name), y)), pa.array(name),
-                                                  pa.array(n), pa.array(np.full(len(name), len(words)))],
-                                                 names=["doc_id", "toxic", "name", "n", "words"])
+                                                  pa.array(n)], names=["doc_id", "toxic", "name", "n"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, n_features: int = 2000, penalty: float = 2e-4, steps: int = 400) -> Model:
-    """Fit on about ``rows`` labelled rows of either class (never held-out ones)."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 4000, n_features: int = 600, penalty: float = 1e-4, steps: int = 1200) -> Model:
+    """Fit on about ``rows`` labelled rows of either class (never held-out ones). Features are the ``n_features`` most telling
+    of those that toxic documents have far more often; a weight is never below 0, so that a long text can't talk itself out."""
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     sample = labelled_sample(usable.select(F.col("doc_id").cast("long"), F.col("toxic").cast("long")), "doc_id", rows, "toxic")
     # bounded by 2 x rows, so it can be sent to every executor
-    some = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
-    sparse = ship(some).mapInArrow(_sparse, "doc_id long, toxic long, name long, n long, words long").persist()
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
+    sparse = ship(some).mapInArrow(_sparse, "doc_id long, toxic long, name long, n long").persist()
     count = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = max(1, count.get(1, 0)), max(1, count.get(0, 0))
     by = sparse.groupBy("name").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
+    # telltale: eight times as frequent among labelled toxic documents as among clean ones
+    telltale = (F.col("p") >= max(3, min(8, pos // 50))) & (F.col("p") / pos >= 8 * F.col("q") / neg)
     z = (F.col("p") / pos - F.col("q") / neg) / F.sqrt((F.col("p") + F.col("q") + 1) / (pos + neg) / F.least(F.lit(pos), F.lit(neg)))
-    chosen = by.filter("p + q >= 4").withColumn("z", F.abs(z)).orderBy(F.desc("z"), "name").limit(n_features)
-    top = chosen.toPandas().sort_values("name")
-    names = top["name"].to_numpy(np.int64)
-    telltale = ((top["p"] >= 4) & (top["p"] / pos >= 10 * top["q"] / neg)).to_numpy()
+    chosen = by.filter(telltale).withColumn("z", z).orderBy(F.desc("z"), "name").limit(n_features).select("name")
+    names = np.sort(chosen.toPandas()["name"].to_numpy(np.int64))
     from pyspark.sql.types import LongType, StructField, StructType
     wanted = docs.sparkSession.createDataFrame([(int(n),) for n in names], StructType([StructField("name", LongType())]))
-    cells = sparse.join(F.broadcast(wanted), "name").select("doc_id", "name", "n", "words").toPandas()
+    cells = sparse.join(F.broadcast(wanted), "name").select("doc_id", "name", "n").toPandas()
     every = sample.toPandas().sort_values("doc_id")
     sparse.unpersist()
     doc = np.searchsorted(every["doc_id"].to_numpy(), cells["doc_id"].to_numpy())
     col, n = np.searchsorted(names, cells["name"].to_numpy()), cells["n"].to_numpy(float)
     y = every["toxic"].to_numpy(np.int64)
-    share = np.bincount(doc, n * telltale[col] / cells["words"].to_numpy(float), minlength=len(y)) if len(doc) else np.zeros(len(y))
-    grade = y + ((y == 1) & (share > np.median(share[y == 1]) if (y == 1).any() else np.zeros(len(y), bool)))
+    found = np.bincount(doc, n, minlength=len(y)) if len(doc) else np.zeros(len(y))
+    grade = y + ((y == 1) & (found > np.median(found[y == 1]) if (y == 1).any() else np.zeros(len(y), bool)))
     return Model(names, *cumulative_link(doc, col, n, grade, len(names), penalty, steps))
 
 
 def cumulative_link(doc, col, value, grade, n_features: int, penalty: float, steps: int):
-    """Maximum likelihood of the proportional-odds model by Adam; returns (weights, thetas), thetas ascending."""
+    """Maximum likelihood of the proportional-odds model with weights of 0 or more, by projected Adam;
+    returns (weights, thetas), thetas ascending."""
     w, base, gap = np.zeros(n_features), 1.0, np.log(1.0)
     m, v = np.zeros(n_features + 2), np.zeros(n_features + 2)
     n_docs = len(grade)
@@ -116,7 +117,7 @@ def cumulative_link(doc, col, value, grade, n_features: int, penalty: float, ste
                             [gth.sum(), gth[1] * np.exp(gap)]])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, base, gap = w - step[:-2], base - step[-2], np.clip(gap - step[-1], -6, 6)
+        w, base, gap = np.maximum(w - step[:-2], 0), base - step[-2], np.clip(gap - step[-1], -6, 6)
     return w, np.array([base, base + np.exp(gap)])
 
 
