@@ -27,8 +27,8 @@ from .prep import assemble, hash_folds, with_class_weights
 # to be the same algorithms.
 PRESETS = {
     "logistic_regression": ("lr", {"maxIter": 1000, "tol": 1e-4}),
-    # full-depth trees: 30 is the deepest Spark grows; pass a preset of your own for shallower ones
-    "random_forest": ("rf", {"numTrees": 100, "maxDepth": 30, "seed": 42}),
+    # FOREST_DEPTH is the caller's: see fit_models(forest_depth=...)
+    "random_forest": ("rf", {"numTrees": 100, "seed": 42}),
     "gradient_boosting": ("gbt", {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, "seed": 42}),
     "enhanced_rf": ("rf", {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 5,
                            "featureSubsetStrategy": "sqrt", "seed": 42, "balanced": True}),
@@ -56,6 +56,11 @@ PRESETS.update({f"nn_{name}": ("mlp", {"hidden": widths, "maxIter": 200, "seed":
                 for name, widths in NETWORK_LAYOUTS.items()})
 
 
+#: Depth of the plain random forest unless the caller gives another. Unlimited trees are ``forest_depth=30``, the
+#: deepest that Spark grows; each level is another pass over the rows.
+FOREST_DEPTH = 8
+
+
 def estimator(kind: str, params: Mapping, n_features: int, n_train: int,
               features: str = "features", label: str = "label", weight: str | None = None):
     p = dict(params)
@@ -96,7 +101,7 @@ def positive_probability(pred: DataFrame, out: str = "score") -> DataFrame:
 
 def fit_models(train: DataFrame, names: Sequence[str], label: str = "label",
                n_features: int | None = None, presets: Mapping = PRESETS,
-               parallelism: int = 3) -> dict:
+               parallelism: int = 3, forest_depth: int = FOREST_DEPTH) -> dict:
     """Fit each named preset on ``train`` (balanced presets get class
     weights ``n / (k * n_c)``). Models are fitted concurrently from
     ``parallelism`` driver threads, as
@@ -110,6 +115,8 @@ def fit_models(train: DataFrame, names: Sequence[str], label: str = "label",
 
     def fit(name):
         kind, params = presets[name]
+        if kind == "rf" and "maxDepth" not in params:
+            params = {**params, "maxDepth": forest_depth}
         est = estimator(kind, params, n_features, n, label=label, weight="class_weight")
         return name, est.fit(weighted if params.get("balanced") else train)
 
@@ -169,9 +176,12 @@ def soft_vote(scores: DataFrame, key: str, models: Sequence[str] | None = None,
                     (F.col("score") > cutoff).cast("int").alias("prediction"))
 
 
-def _over_folds(fn, k: int) -> list:
-    """Run ``fn(fold)`` for every fold; the models of a fold are fitted side by side."""
-    return [fn(f) for f in range(k)]
+def _over_folds(fn, k: int, parallelism: int = 2) -> list:
+    """Run ``fn(fold)`` for every fold, ``parallelism`` at a time; the models of a
+    fold are fitted side by side as well."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(fn, range(k)))
 
 
 def out_of_fold(train: DataFrame, key: str, names: Sequence[str], k: int = 5, seed: int = 42,
@@ -193,14 +203,15 @@ def out_of_fold(train: DataFrame, key: str, names: Sequence[str], k: int = 5, se
 
 
 def stacking(train: DataFrame, test: DataFrame, key: str, names: Sequence[str], k: int = 5,
-             label: str = "label") -> DataFrame:
+             label: str = "label", fitted: Mapping | None = None) -> DataFrame:
     """Stacked ensemble: a logistic-regression meta model on the base models'
     out-of-fold probabilities; test rows use base models refitted on all
-    training rows. Returns long scores with ``model = 'stacking'``."""
+    training rows (``fitted``, if they are fitted already). Returns long scores with
+    ``model = 'stacking'``."""
     def wide(long: DataFrame) -> DataFrame:
         return long.groupBy(key, label).pivot("model", list(names)).agg(F.first("score"))
     oof = wide(out_of_fold(train, key, names, k, label=label))
-    full = fit_models(train, names, label)
+    full = {n: fitted[n] for n in names} if fitted else fit_models(train, names, label)
     tst = wide(score_models(full, test, key, label))
     meta_train = assemble(oof.withColumn(label, F.col(label).cast("double")), list(names), "features")
     meta_test = assemble(tst.withColumn(label, F.col(label).cast("double")), list(names), "features")

@@ -85,10 +85,10 @@ def q_trained_vote(spark, sf):
 @register("stacking_scores")
 def q_stacking(spark, sf):
     train, test, _ = model_data(spark, sf)
-    # the best models by AUC, up to five, are stacked
-    names = [*BASE_MODELS, "enhanced_rf", "extra_trees_preset", "enhanced_gbm"]
-    scores = cut_lineage(M.score_models(M.fit_models(train, names), test, "o_orderkey"), "scores")
-    return M.stacking(train, test, "o_orderkey", M.best_by_auc(scores, top=5), k=5)
+    # of the candidates the best by AUC are stacked, five at most
+    fitted = base_fits(train)
+    scores = cut_lineage(M.score_models(fitted, test, "o_orderkey"), "scores")
+    return M.stacking(train, test, "o_orderkey", M.best_by_auc(scores, top=5), k=5, fitted=fitted)
 
 
 @register("cross_validation_summary")

@@ -3,7 +3,7 @@ checkpoint folder used to cut lineage."""
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -76,8 +76,10 @@ def _context(spark: SparkSession):
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local runs and tests) fall back to a fresh scratch folder."""
+    """The cluster's shared ``spark.checkpoint.dir``. Only a local master, where
+    driver and executors are one process, may do without: it gets a fresh
+    scratch folder. On a cluster a folder of one machine would lose rows, so
+    the setting has to be there."""
     sc = _context(spark)
     if sc is not None and sc.getCheckpointDir():
         return sc.getCheckpointDir()
@@ -85,8 +87,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not shared and sc is not None:
         shared = sc.getConf().get("spark.checkpoint.dir", None)
     if not shared:
-        shared = os.environ.get("COHORTFLOW_LOCAL_CHECKPOINT") or tempfile.mkdtemp(
-            prefix="cohortflow-ckpt-")
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master or ""):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="cohortflow-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(shared)
         return sc.getCheckpointDir()
@@ -109,7 +113,32 @@ def cut_lineage(df, name: str = "stage"):
     pruning and predicate pushdown.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/cohortflow-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder, known to :func:`release_stages`."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cohortflow-{name}-{uuid.uuid4().hex}"
+    _written(spark).append(path)
+    return path
+
+
+_STAGES: dict[str, list[str]] = {}
+
+
+def _written(spark: SparkSession) -> list[str]:
+    return _STAGES.setdefault(application_id(spark), [])
+
+
+def release_stages(spark: SparkSession) -> int:
+    """Delete what was written to :func:`scratch_path` in this application, once
+    nothing that reads them is needed any more; returns how many."""
+    paths, jvm = _written(spark), spark._jvm
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    n = len(paths)
+    paths.clear()
+    return n

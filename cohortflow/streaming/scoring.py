@@ -7,7 +7,7 @@ offered here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,28 +26,21 @@ def order_stream(spark: SparkSession, directory: str, pattern: str = "orders*.pa
             .option("maxFilesPerTrigger", max_files_per_trigger).parquet(directory))
 
 
-def score_events(events: DataFrame, start: str = "o_orderdate", key: str = "o_orderkey") -> DataFrame:
-    """Per-event rule score on a batch or streaming frame of orders: derived
-    stay length, urgency flag and size flag -> score, tier and reasons."""
-    end = add_days(F.col(start), F.lit(1) + F.col(key) % 10)
+def score_events(events: DataFrame, start: str = "o_orderdate", key: str = "o_orderkey",
+                 end: Column | None = None, urgent: Column | None = None, large: Column | None = None) -> DataFrame:
+    """Per-event rule score on a batch or streaming frame: stay length, urgency
+    flag and size flag -> score, tier and reasons. ``end``, ``urgent`` and
+    ``large`` are columns of the caller's frame; by default those of the orders binding."""
+    end = add_days(F.col(start), F.lit(1) + F.col(key) % 10) if end is None else end
+    urgent = equals_flag("o_orderpriority", "1-URGENT") if urgent is None else urgent
+    large = (F.col("o_totalprice") > 300000).cast("int") if large is None else large
     los = elapsed_days(F.col(start), end)
     d = events.select(key, start, los.alias("los_days"),
                       cut(los, [0, 3, 7, 14, 30, 1000],
                           ["Short", "Medium", "Long", "Extended", "Very_Long"]).alias("los_band"),
-                      equals_flag("o_orderpriority", "1-URGENT").alias("urgent"),
-                      (F.col("o_totalprice") > 300000).cast("int").alias("large"))
+                      urgent.alias("urgent"), large.alias("large"))
     score = additive_score({"los_days": [(7, 2), (3, 1)]}, flags={"urgent": 1, "large": 1})
     d = d.withColumn("score", F.round(score, 4)).withColumn("risk_tier", risk_tier("score"))
     reasons = reason_codes([(F.col("los_days") > 7, "Extended stay"), (F.col("urgent") == 1, "Urgent event"),
                             (F.col("large") == 1, "Large order")])
     return d.withColumn("reasons", F.array_join(reasons, "; "))
-
-
-def run_to_memory(stream: DataFrame, name: str, checkpoint: str):
-    """Drive a streaming frame through an append-mode memory sink until all
-    available input is processed (tests and smoke runs)."""
-    q = (stream.writeStream.format("memory").queryName(name).outputMode("append")
-         .option("checkpointLocation", checkpoint).start())
-    q.processAllAvailable()
-    q.stop()
-    return stream.sparkSession.table(name)

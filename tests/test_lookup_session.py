@@ -33,3 +33,39 @@ def test_sizing_scales_with_input():
     assert int(small["spark.sql.shuffle.partitions"]) == 40
     assert int(big["spark.sql.shuffle.partitions"]) == 409600
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_written_stages_are_released(spark):
+    import os
+
+    from cohortflow.session import cut_lineage, release_stages
+    release_stages(spark)
+    df = cut_lineage(spark.range(5).toDF("x"), "probe")
+    path = df.inputFiles()[0].removeprefix("file:")
+    assert df.count() == 5 and os.path.exists(path)
+    assert release_stages(spark) == 1 and not os.path.exists(path)
+
+
+def test_cluster_needs_a_shared_folder():
+    import pytest
+
+    from cohortflow import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())

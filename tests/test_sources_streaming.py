@@ -6,12 +6,21 @@ from pyspark.sql import functions as F
 
 from cohortflow.sources.io import nan_to_null, read_clinical, table_overview, write_table
 from cohortflow.sources.schemas import CLINICAL
-from cohortflow.streaming.scoring import order_stream, run_to_memory, score_events
+from cohortflow.streaming.scoring import order_stream, score_events
 
 from .conftest import SF
 from .test_clinical_and_props import _clinical_tables
 
 
+def run_to_memory(stream, name, checkpoint):
+    """All available input through an append-mode memory sink (tests only: it holds the output on the driver)."""
+    q = (stream.writeStream.format("memory").queryName(name).outputMode("append")
+         .option("checkpointLocation", checkpoint).start())
+    q.processAllAvailable()
+    q.stop()
+    return stream.sparkSession.table(name)
+
+
 def test_csv_sink_and_scan_roundtrip(spark):
     tables = _clinical_tables(spark)
     base = tempfile.mkdtemp(prefix="cohortflow-csv-")
@@ -49,3 +58,9 @@ def test_stream_scoring_matches_batch(spark):
     batch = score_events(spark.read.parquet(src))
     assert out.count() == batch.count()
     assert out.exceptAll(batch).count() == 0
+
+
+def test_scoring_takes_other_columns(spark):
+    df = spark.createDataFrame([(1, dt.datetime(2020, 1, 1), dt.datetime(2020, 1, 20), True)], "id long, s timestamp_ntz, e timestamp_ntz, u boolean")
+    r = score_events(df, start="s", key="id", end=F.col("e"), urgent=F.col("u").cast("int"), large=F.lit(0)).first()
+    assert r["los_days"] == 19 and r["urgent"] == 1 and "Extended stay" in r["reasons"]
