@@ -107,3 +107,15 @@ def test_split_fraction_per_stratum(spark):
         F.avg((F.col("split") == "test").cast("double")).alias("frac")).collect()
     for r in s:
         assert abs(r["frac"] - 0.2) < 0.08, r
+
+
+def test_feature_sets_of_the_clinical_table(spark):
+    from cohortflow.plans.clinical import FEATURE_SETS, clinical_feature_table, feature_set
+    features = clinical_feature_table(_clinical_tables(spark))
+    assert {k: len(set(v)) for k, v in FEATURE_SETS.items()} == {"simple": 8, "base": 45, "expanded": 65, "network": 40}
+    n = features.count()
+    for name, cols in FEATURE_SETS.items():
+        got = feature_set(features, name)
+        assert got.columns == ["HADM_ID", "label", *cols] and got.count() == n
+    r = feature_set(features, "network").orderBy("HADM_ID").first()
+    assert 0 <= r["days_since_norm"] <= 1 and 0 <= r["total_diagnoses_norm"] <= 1 and r["sodium_abnormal"] >= 0
