@@ -70,10 +70,10 @@ def lookup_table(spark: SparkSession, mapping: Mapping[str, str], key: str, valu
 
 def attach_lookup(df: DataFrame, col: str, table: DataFrame, key: str, value: str,
                   default: str | None = None, out: str | None = None,
-                  bounded: bool = True) -> DataFrame:
+                  bounded: bool = False) -> DataFrame:
     """Left join to a code -> text table with a default for unknown codes.
-    ``bounded=True`` broadcasts the table (only for literal / known-small
-    tables); otherwise the join strategy is left to the optimizer."""
+    ``bounded=True`` broadcasts the table: say so only of literal tables
+    (:func:`lookup_table`); otherwise the optimizer picks the join by size."""
     t = table.withColumnRenamed(key, "_lk_key").withColumnRenamed(value, "_lk_val")
     t = F.broadcast(t) if bounded else t
     res = df.join(t, df[col] == t["_lk_key"], "left")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import abnormality, cut, cyclical, equals_flag, in_flag, scaled_cap, threshold_flag
+from ..functions.fixed import AGE_EDGES, AGE_LABELS, LOS_EDGES, LOS_LABELS
 from ..functions.time import elapsed_days, years_between
 from ..operators.children import (ItemRule, aggregate_children, attach, coded_spec, drug_spec,
                                   measured_spec, subset_spec)
@@ -58,9 +59,6 @@ MEDICATION_CLASSES = {
     "anticoagulant": ["Warfarin"],
     "potassium": ["Potassium Chloride"],
 }
-AGE_EDGES, AGE_LABELS = [0, 50, 65, 75, 85, 100], ["<50", "50-64", "65-74", "75-84", "85+"]
-LOS_EDGES = [0, 3, 7, 14, 30, 1000]
-LOS_LABELS = ["Short", "Medium", "Long", "Extended", "Very_Long"]
 # ---------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.expr import cut, cyclical, equals_flag, indicator, season_flag, threshold_flag
+from ..functions.fixed import AGE_EDGES, AGE_LABELS, LOS_EDGES, LOS_LABELS
 from ..functions.time import DAYS_PER_YEAR, add_days, elapsed_days, years_between
 from ..operators.children import aggregate_children, attach, measured_spec, subset_spec
 from ..operators.history import history_features
@@ -15,9 +16,6 @@ from .q_children import (CHILD_SQL, CODE_GROUPS, DRUG_CLASSES, LI_ORDER, PRIMARY
 from ..session import cut_lineage
 from .registry import register
 
-AGE_EDGES, AGE_LABELS = [0, 50, 65, 75, 85, 100], ["<50", "50-64", "65-74", "75-84", "85+"]
-LOS_EDGES = [0, 3, 7, 14, 30, 1000]
-LOS_LABELS = ["Short", "Medium", "Long", "Extended", "Very_Long"]
 
 
 def customer_entities(spark, sf_dir):

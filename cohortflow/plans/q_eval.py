@@ -174,11 +174,8 @@ def q_profile(spark, sf):
     return EV.high_low_profile(score_table(spark, sf), "score", _PROFILE)
 
 
-RECOMMENDATIONS = {
-    "High Risk": "Intensive discharge planning; follow-up within 48-72 hours",
-    "Medium Risk": "Standard discharge planning; follow-up within 1 week",
-    "Low Risk": "Routine discharge planning; follow-up within 2 weeks",
-}
+# neutral texts of this binding
+RECOMMENDATIONS = {"High Risk": "call within days", "Medium Risk": "call within a week", "Low Risk": "no call needed"}
 
 
 @register("rule_score_tiers", sql=f"""
@@ -202,5 +199,5 @@ def q_tiers(spark, sf):
                             (F.col("urgent") == 1, "Urgent event"), (F.col("large") == 1, "Large order")])
     t = t.withColumn("reasons", F.array_join(reasons, "; "))
     rec = lookup_table(spark, RECOMMENDATIONS, "tier", "recommendation")
-    t = attach_lookup(t, "risk_tier", rec, "tier", "recommendation")
+    t = attach_lookup(t, "risk_tier", rec, "tier", "recommendation", bounded=True)  # three literal rows
     return t.select("o_orderkey", "score", "risk_tier", "recommendation", "reasons")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.fixed import LOS_EDGES, LOS_LABELS
 from ..functions.time import elapsed_days
 from ..operators.history import history_features
 from ..operators.label import gap_bands, gap_to_previous, horizon_rates, readmission_label
@@ -167,6 +168,5 @@ def q_stay_length(spark, sf_dir):
     ev = orders_events(spark, sf_dir)
     los = elapsed_days("o_orderdate", "o_enddate")
     return ev.select("o_orderkey", los.alias("los_days"),
-                     cut(los, [0, 3, 7, 14, 30, 1000],
-                         ["Short", "Medium", "Long", "Extended", "Very_Long"]).alias("los_band"),
+                     cut(los, LOS_EDGES, LOS_LABELS).alias("los_band"),
                      F.round(F.log1p(los), 6).alias("los_log"))

@@ -244,3 +244,10 @@ def q_boosting_presets(spark, sf):
     train, test, _ = model_data(spark, sf)
     names = ["enhanced_gbm", "xgboost_preset", "lightgbm_preset", "catboost_preset"]
     return M.score_models(M.fit_models(train, names), test, "o_orderkey")
+
+
+@register("catboost_preset_scores")
+def q_catboost_preset(spark, sf):
+    """The 200-round preset alone: the one fit whose time the material studied publishes."""
+    train, test, _ = model_data(spark, sf)
+    return M.score_models(M.fit_models(train, ["catboost_preset"]), test, "o_orderkey")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.fixed import LOS_EDGES, LOS_LABELS
 from ..functions.quantiles import exact_quantiles_of, quantiles
 from ..functions.time import elapsed_days
 from ..operators import profile as P
@@ -221,8 +222,7 @@ FROM l GROUP BY band
 """)
 def q_band(spark, sf):
     ev = orders_events(spark, sf).withColumn("los", elapsed_days("o_orderdate", "o_enddate"))
-    return P.band_breakdown(ev, "los", [0, 3, 7, 14, 30, 1000],
-                            ["Short", "Medium", "Long", "Extended", "Very_Long"])
+    return P.band_breakdown(ev, "los", LOS_EDGES, LOS_LABELS)
 
 
 @register("calendar_breakdown", sql="""

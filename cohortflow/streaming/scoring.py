@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import cut, equals_flag
+from ..functions.fixed import LOS_EDGES, LOS_LABELS
 from ..functions.time import add_days, elapsed_days
 from ..operators.score import additive_score, reason_codes, risk_tier
 
@@ -36,8 +37,7 @@ def score_events(events: DataFrame, start: str = "o_orderdate", key: str = "o_or
     large = (F.col("o_totalprice") > 300000).cast("int") if large is None else large
     los = elapsed_days(F.col(start), end)
     d = events.select(key, start, los.alias("los_days"),
-                      cut(los, [0, 3, 7, 14, 30, 1000],
-                          ["Short", "Medium", "Long", "Extended", "Very_Long"]).alias("los_band"),
+                      cut(los, LOS_EDGES, LOS_LABELS).alias("los_band"),
                       urgent.alias("urgent"), large.alias("large"))
     score = additive_score({"los_days": [(7, 2), (3, 1)]}, flags={"urgent": 1, "large": 1})
     d = d.withColumn("score", F.round(score, 4)).withColumn("risk_tier", risk_tier("score"))
