@@ -115,6 +115,19 @@ def exact_quantiles_of(df: DataFrame, probs: Mapping[str, Sequence[float]], bins
     return out
 
 
+def order_statistics(df: DataFrame, ranks: Mapping[str, Sequence[int]], bins: int = 1024,
+                     final_rows: int = 50_000) -> dict[str, list[float]]:
+    """Values of the given ranks (from 0) of each column, NULL and NaN left out.
+    ``df`` should read a written table: it is passed over several times."""
+    cols = list(ranks)
+    data = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double") + F.lit(0.0)).alias(f"_q_{i}")
+                       for i, c in enumerate(cols)])
+    one = data.agg(*[a for i in range(len(cols)) for a in (F.min(f"_q_{i}").alias(f"lo{i}"), F.max(f"_q_{i}").alias(f"hi{i}"))]).first()
+    asked = {i: list(ranks[c]) for i, c in enumerate(cols) if ranks[c]}
+    found = _order_stats(data, {i: (one[f"lo{i}"], one[f"hi{i}"]) for i in asked}, asked, bins, final_rows)
+    return {c: [found[i, r] for r in asked.get(i, [])] for i, c in enumerate(cols)}
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], bins: int = 1024,
                     final_rows: int = 50_000, materialize: bool = True) -> list[float | None]:
     """:func:`exact_quantiles_of` for one column."""

@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import approx_quantiles, exact_quantiles_of
+from ..functions.quantiles import approx_quantiles, exact_quantiles_of, order_statistics
 
 
 def hash_unit(key, seed: int = 42, salt: str = "") -> Column:
@@ -43,6 +43,50 @@ def hash_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, out: str = "
     return df.withColumn(out, (h % F.lit(k)).cast("int"))
 
 
+def _hash52(key: str, seed: int) -> Column:
+    """52 bits of ``md5(key#seed)`` as a double: exact, and hardly ever tied."""
+    text = F.concat(F.col(key).cast("string"), F.lit(f"#{seed}"))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint").cast("double")
+
+
+def _stratum_cuts(df: DataFrame, key: str, label: str, seed: int, ranks) -> list[tuple[object, list[float]]]:
+    """For each value of ``label`` the hashes at ``ranks(count)``: the exact
+    order statistics of all strata come from the same few passes; the driver holds a few numbers a stratum."""
+    from ..session import cut_lineage
+    base = cut_lineage(df.select(label, _hash52(key, seed).alias("_h")), "strata")
+    counts = base.groupBy(label).agg(F.count("_h").alias("n")).collect()
+    wide = base.select(*[F.when(F.col(label).eqNullSafe(F.lit(r[label])), F.col("_h")).alias(f"s{i}")
+                         for i, r in enumerate(counts)])
+    found = order_statistics(wide, {f"s{i}": ranks(r["n"]) for i, r in enumerate(counts)})
+    return [(r[label], found[f"s{i}"]) for i, r in enumerate(counts)]
+
+
+def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float = 0.2, seed: int = 42,
+                     out: str = "split") -> DataFrame:
+    """``split = 'test'`` for exactly ``round(n * test_fraction)`` rows of every
+    value of ``label`` (those with the smallest key hashes), else ``'train'``.
+    A threshold per stratum decides, so no row-level order is formed; keys whose
+    hashes tie at it go to the same side."""
+    def at(n):
+        k = int(n * test_fraction + 0.5)
+        return [k - 1] if k else []
+    is_test = F.lit(False)
+    for value, cut in _stratum_cuts(df, key, label, seed, at):
+        if cut:
+            is_test |= F.col(label).eqNullSafe(F.lit(value)) & (_hash52(key, seed) <= F.lit(cut[0]))
+    return df.withColumn(out, F.when(is_test, "test").otherwise("train"))
+
+
+def stratified_folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
+    """Fold ``0..k-1`` with equal shares (to one row) of every value of ``label``:
+    thresholds per stratum at its k-quantiles by rank of the key hash."""
+    fold = F.lit(0)
+    for value, cuts in _stratum_cuts(df, key, label, seed, lambda n: [n * i // k for i in range(1, k)] if n else []):
+        mine = sum([(_hash52(key, seed) >= F.lit(c)).cast("int") for c in cuts], F.lit(0))
+        fold = F.when(F.col(label).eqNullSafe(F.lit(value)), mine).otherwise(fold)
+    return df.withColumn(out, fold.cast("int"))
+
+
 def fit_fill_values(df: DataFrame, policy: Mapping[str, object], method: str = "exact"
                     ) -> dict[str, float]:
     """Resolve ``{col: 'median' | 'mean' | constant}`` to fill values."""

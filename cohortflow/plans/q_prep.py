@@ -35,6 +35,33 @@ def q_folds(spark, sf):
     return lb.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("positives"))
 
 
+MD5_52 = "CAST(('0x' || substring(md5(CAST({k} AS VARCHAR) || '#42'), 1, 13)) AS BIGINT)"
+
+
+@register("stratified_split", sql=f"""
+WITH {LABEL_CTE},
+r AS (SELECT o_orderkey, label, row_number() OVER (PARTITION BY label ORDER BY {MD5_52.format(k='o_orderkey')}) AS i,
+             count(*) OVER (PARTITION BY label) AS n FROM lb)
+SELECT o_orderkey, label, CASE WHEN i <= floor(n * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split FROM r
+""")
+def q_stratified_split(spark, sf):
+    """Exactly a fifth of each class, to one row."""
+    lb = _labelled(spark, sf).select("o_orderkey", "label")
+    return PR.stratified_split(lb, "o_orderkey", "label", 0.2)
+
+
+@register("stratified_folds", sql=f"""
+WITH {LABEL_CTE},
+r AS (SELECT o_orderkey, label, row_number() OVER (PARTITION BY label ORDER BY {MD5_52.format(k='o_orderkey')}) - 1 AS i,
+             count(*) OVER (PARTITION BY label) AS n FROM lb)
+SELECT o_orderkey, label, CAST((i >= n * 1 // 5)::INT + (i >= n * 2 // 5)::INT + (i >= n * 3 // 5)::INT
+                               + (i >= n * 4 // 5)::INT AS INTEGER) AS fold FROM r
+""")
+def q_stratified_folds(spark, sf):
+    lb = _labelled(spark, sf).select("o_orderkey", "label")
+    return PR.stratified_folds(lb, "o_orderkey", "label", 5)
+
+
 _IMP = {"item_a_last": "median", "item_n_mean": "median", "ratio_r_a": "median", "item_r_std": 0.0,
         "item_a_min": "mean"}
 

@@ -121,3 +121,15 @@ def test_best_by_ties(spark, largest):
     for keys in (("a", "b", "c"), (1, 2, 3)):
         df = spark.createDataFrame([(keys[1], 5.0), (keys[0], 5.0), (keys[2], None)], ["k", "m"])
         assert tuple(best_by(df, "k", "m", largest).first()) == (keys[0], 5.0)
+
+
+def test_stratified_split_and_folds_are_exact(spark):
+    from cohortflow.operators.prep import stratified_folds, stratified_split
+    rows = [(i, 1 if i % 11 == 0 else (None if i % 97 == 0 else 0)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k long, y int")
+    n = {r["y"]: r["n"] for r in df.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    got = {(r["y"], r["split"]): r["n"] for r in stratified_split(df, "k", "y", 0.2).groupBy("y", "split").agg(F.count("*").alias("n")).collect()}
+    assert {y: got[y, "test"] for y in n} == {y: int(c * 0.2 + 0.5) for y, c in n.items()}
+    folds = stratified_folds(df, "k", "y", 5).groupBy("y", "fold").agg(F.count("*").alias("n")).collect()
+    assert len(folds) == 5 * len(n) and all(abs(r["n"] - n[r["y"]] / 5) < 1 for r in folds)
+    assert stratified_split(df.filter("k < 0"), "k", "y").count() == 0
