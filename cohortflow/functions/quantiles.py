@@ -120,6 +120,8 @@ def order_statistics(df: DataFrame, ranks: Mapping[str, Sequence[int]], bins: in
     """Values of the given ranks (from 0) of each column, NULL and NaN left out.
     ``df`` should read a written table: it is passed over several times."""
     cols = list(ranks)
+    if not any(ranks.values()):
+        return {c: [] for c in cols}
     data = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double") + F.lit(0.0)).alias(f"_q_{i}")
                        for i, c in enumerate(cols)])
     one = data.agg(*[a for i in range(len(cols)) for a in (F.min(f"_q_{i}").alias(f"lo{i}"), F.max(f"_q_{i}").alias(f"hi{i}"))]).first()
