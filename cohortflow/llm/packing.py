@@ -1,6 +1,6 @@
 """Packing tokenised documents into sequences of fixed length by swap-based local search.
 
-Spark tokenises where the documents are (whole texts; a bounded memo holds each word's ids), keeps one small row for
+Spark tokenises where the documents are (whole texts; a bounded memo holds the ids of runs of letters), keeps one small row for
 each piece, and deals the pieces into shards of a bounded number of rows. Each shard is packed on its own: best fit
 in descending order of length gives a start; local search then takes the emptiest bin and moves its pieces out, by a
 plain move, a one-for-one or a two-for-one exchange with a fuller bin. Each step shifts ids from an emptier bin to a
@@ -16,6 +16,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,23 +29,27 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 class WordIds:
     """Ids of whole texts, word by word: the vocabulary's splitter never joins over white space, and always parts a run
-    of letters from the punctuation behind it. So a word's ids are those of its letters and those of its tail, and only
-    letters that are new go through the tokenizer, many at a time."""
+    of letters from the punctuation behind it. So a word's ids are those of its letters and those of its tail. Each
+    distinct word of a slice is looked at once, and only letters that are new go through the tokenizer, many at a time."""
 
     TAIL = b".,!?;:|$%&*#"  # no apostrophe: the splitter treats some of its uses as one with letters
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
         self.letters: dict[str, bytes] = {}
+        self.tails: dict[bytes, bytes] = {b"": b""}
         self.limit = limit
         ends = [i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]
         self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
         self.ends[ends] = True
 
     def _each(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        out: list[bytes] = []
+        for lo in range(0, len(words), 20_000):
+            found = self.tok.encode_batch_fast(words[lo:lo + 20_000], add_special_tokens=False)
+            out.extend(np.array(e.ids, "<u4").tobytes() for e in found)
+        return out
 
     def _runs(self, runs: list[str]) -> list[bytes]:
         """Ids of runs of letters: one text of all of them, cut where a word's last id is."""
@@ -59,34 +64,38 @@ class WordIds:
             first = end
         return out
 
-    def learn(self, lists) -> None:
-        """Fill the memo with the words of a slice."""
-        memo, letters = self.memo, self.letters
-        if len(memo) > self.limit:
-            memo.clear()
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of some distinct words."""
+        letters, tails = self.letters, self.tails
         if len(letters) > self.limit:
             letters.clear()
-        new = set().union(*lists).difference(memo)
-        parts, whole = [], []
-        for w in new:
+        if len(tails) > self.limit // 10:
+            tails.clear()
+            tails[b""] = b""
+        keys: list = []
+        for w in words:
             head = w.rstrip(self.TAIL)
             run = head.decode()
-            if run.isalpha():
-                parts.append((w, run.lower() if run.isascii() else run, w[len(head):]))
-            else:
-                whole.append(w)
-        runs = list({r for _, r, _ in parts}.difference(letters))
+            keys.append((run.lower() if run.isascii() else run, w[len(head):]) if run.isalpha() else None)
+        runs = list({k[0] for k in keys if k}.difference(letters))
         for lo in range(0, len(runs), 20_000):
             letters.update(zip(runs[lo:lo + 20_000], self._runs(runs[lo:lo + 20_000]), strict=True))
-        for lo in range(0, len(whole), 20_000):
-            memo.update(zip(whole[lo:lo + 20_000], self._each([w.decode() for w in whole[lo:lo + 20_000]]), strict=True))
-        tails = list({t for _, _, t in parts if t}.difference(memo))
-        memo.update(zip(tails, self._each([t.decode() for t in tails]), strict=True))
-        memo[b""] = b""
-        memo.update([(w, letters[r] + memo[t]) for w, r, t in parts])
-
-    def __call__(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.memo.__getitem__, words))
+        new = list({k[1] for k in keys if k}.difference(tails))
+        tails.update(zip(new, self._each([t.decode() for t in new]), strict=True))
+        whole = iter(self._each([w.decode() for w, k in zip(words, keys, strict=True) if not k]))
+        return [letters[k[0]] + tails[k[1]] if k else next(whole) for k in keys]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a slice of texts, end to end, and where each text's begin (one more than there are texts)."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        each = self.words(coded.dictionary.cast(pa.binary()).to_pylist())
+        n = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat, start, at = np.frombuffer(b"".join(each), "<u4"), np.cumsum(n) - n, coded.indices.to_numpy()
+        length = n[at]
+        ends = np.cumsum(length)
+        place = np.repeat(start[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
+        return flat[place], np.r_[0, ends][lists.offsets.to_numpy()]
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
@@ -105,20 +114,20 @@ def pieces(docs: DataFrame, vocabulary: str, length: int, end_id: int, id_col: s
     def run(batches):
         ids_of, end = _tokens(vocabulary), np.array([end_id], "<u4").tobytes()
         for part in slices(batches, "text"):
-            words = [(t or b"").split() for t in part.column(1).to_pylist()]
-            ids_of.learn(words)
+            every, at = ids_of(part.column(1))
             rows = []
-            for d, w in zip(part.column(0).to_pylist(), words, strict=True):
-                ids = ids_of(w) + end
-                for k, at in enumerate(range(0, len(ids), 4 * length)):
-                    cut = ids[at:at + 4 * length]
-                    rows.append((d, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
+            for d, lo, hi in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                ids = every[lo:hi].tobytes() + end
+                for k, x in enumerate(range(0, len(ids), 4 * length)):
+                    cut = ids[x:x + 4 * length]
+                    rows.append((d, k, x // 4, len(cut) // 4, zlib.crc32(cut)))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                 cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        ids_of.letters.clear()  # a worker that waits for its next task holds no memo
 
-    return ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")
+    return ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
                        ).mapInArrow(run, PIECES)
 
 
