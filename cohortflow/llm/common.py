@@ -57,7 +57,7 @@ def held_out(id_col: str):
 class Cache(dict):
     """Bounded memo ``word -> make(word)``; it is emptied when full (results never depend on it)."""
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = 200_000):
         super().__init__()
         self.make, self.limit = make, limit
 
@@ -68,11 +68,21 @@ class Cache(dict):
         return value
 
 
-_HASHES = Cache(xxhash.xxh3_64_intdigest)
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def slice_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a slice of texts, end to end, and where each text's begin (one more than there are
+    texts). A null text has no words. Each distinct word of the slice is hashed once; no word becomes a Python object
+    more often than that."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+    coded = lists.flatten().dictionary_encode()
+    words, at = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
+    each, real = word_hashes(words), np.array([bool(w) for w in words], bool)  # white space at an end leaves an empty word
+    keep = real[at]
+    ends = np.r_[0, np.cumsum(keep)]
+    return each[at][keep], ends[lists.offsets.to_numpy()]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import combine, grouped, ship, slices, word_hashes
+from .common import combine, grouped, ship, slice_words, slices, word_hashes
 
 DEPTHS = (1, 2, 3, 5)
 BUCKETS = 1 << 14
@@ -28,14 +28,12 @@ ROWS = "grp int, base long, steps binary, labels binary, base2 long, steps2 bina
 
 def _windows(part: pa.RecordBatch, window: int):
     """Of a slice: word hashes laid end to end, the row of each, and the places where a window starts."""
-    words = [(t or b"").split() if d is not None else []
-             for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-    n = np.array([len(w) for w in words], np.int64)
-    h = word_hashes([x for w in words for x in w])
-    row = np.repeat(np.arange(len(n)), n)
+    h, at = slice_words(part.column(1))
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    known = part.column(0).is_valid().to_numpy(zero_copy_only=False)
     if len(h) < window:
         return h, row, np.empty(0, np.int64)
-    starts = np.flatnonzero(row[:len(h) - window + 1] == row[window - 1:])
+    starts = np.flatnonzero((row[:len(h) - window + 1] == row[window - 1:]) & known[row[:len(h) - window + 1]])
     return h, row, starts
 
 
@@ -174,11 +172,11 @@ def _covered(docs: DataFrame, id_col: str, text_col: str, window: int, group_suf
     groups, n = plan_groups(_prefix_counts(narrow, window), group_suffixes)
     places = n // 2 * 2 + 1
     dealt = narrow.mapInArrow(_deal(window, groups, n), ROWS)
-    hits = dealt.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(
+    hits = dealt.repartitionById(n, F.col("grp")).sortWithinPartitions("grp").mapInArrow(
         _nodes(places), "__place int, __base long, __steps binary, __labels binary").withColumn("__kind", F.lit(0))
     rows = docs.withColumn("__place", _place(F.col(id_col).cast("long"), F.col(text_col), places)).withColumn("__kind", F.lit(1))
     both = rows.unionByName(hits, allowMissingColumns=True)
-    return both.repartition(places, "__place").sortWithinPartitions("__place", "__kind").select(
+    return both.repartitionById(places, F.col("__place")).sortWithinPartitions("__place", "__kind").select(
         *docs.columns, F.col(id_col).cast("long").alias("__id"), "__place", "__kind", "__base", "__steps", "__labels")
 
 
