@@ -167,7 +167,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seen = narrow.select("*", place).join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("tie") == F.col("g_tie")), "left")
     both = seen.select("doc_id", "tie", "text", F.explode(F.when(F.col("host").isNull(), F.array(_seat("rng", False))).otherwise(
         F.array(_seat("rng", False), _seat("host", True)))).alias("seat"))
-    dealt = both.select("seat.rng", "doc_id", "text", "seat.guest", "tie").repartition(parts, "rng")
+    dealt = both.select("seat.rng", "doc_id", "text", "seat.guest", "tie").repartitionById(parts, F.col("rng"))
     return dealt.sortWithinPartitions("rng", "guest", *key).select("rng", "doc_id", "text", "guest").mapInArrow(_compare, SCHEMA)
 
 
