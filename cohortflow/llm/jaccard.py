@@ -24,18 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import combine, component_labels, cut_lineage, grouped, mix64, ship, slices, word_hashes
+from .common import combine, component_labels, cut_lineage, grouped, mix64, ship, slice_words, slices
 
 HASHES, BAND, STEP = 128, 4, 16
 BANDS = HASHES // BAND
 _FACTORS = (mix64(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1))
 
 
-def shingles(words: list[bytes], size: int) -> np.ndarray:
-    """Distinct hashes of all runs of ``size`` words; a shorter text is one shingle, an empty one has none."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = word_hashes(words)
+def shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """Distinct hashes of all runs of ``size`` words, from the words' hashes; a shorter text is one shingle, an empty one has none."""
+    if not len(h):
+        return h
     return np.unique(combine(h, size)) if len(h) >= size else combine(h, len(h)) ^ np.uint64(len(h))
 
 
@@ -64,9 +63,9 @@ def least_agreements(threshold: float, tolerance: float) -> tuple[int, ...]:
 def _sets(size: int):
     def run(batches):
         for part in slices(batches, "text"):
-            rows = []
-            for t in part.column(1).to_pylist():
-                s = shingles((t or b"").split(), size)
+            rows, (h, at) = [], slice_words(part.column(1))
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                s = shingles(h[lo:hi], size)
                 rows.append((xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, len(s), signature(s) if len(s) else None))
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "key", "n_shingles", "signature"])
@@ -145,7 +144,10 @@ def _verify(size: int, threshold: float):
     Where an id comes with several texts, the one that ``key`` names counts."""
     def run(batches):
         for g in grouped(batches, "grp"):
-            sets = [shingles((t.as_py() or b"").split(), size) for t in g.column(4)]
+            sets = []
+            for part in slices([g.select(["text"])], "text"):
+                h, at = slice_words(part.column(0))
+                sets.extend(shingles(h[lo:hi], size) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
             right = {n: k for k, (n, x) in enumerate(zip(g.column(1).to_pylist(), g.column(5).to_pylist(), strict=True))
                      if xxhash.xxh3_128_digest(sets[k].tobytes()) == x}
             keep = sorted(right.values())
