@@ -116,6 +116,7 @@ def slices(batches, text: str, limit: int = SLICE_BYTES):
             hi = max(lo + 1, int(np.searchsorted(size, base + limit, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no buffers
 
 
 def grouped(batches, key: str):
