@@ -1,28 +1,41 @@
 """Removing passages that repeat across documents, by prefix-partitioned suffix trees over words.
 
-Every position of a document starts a suffix. Only tree nodes at a depth of ``window`` words or more count, so a
-suffix's label is cut there and held as a 64-bit hash. A suffix is dealt to a group by a prefix of variable length:
-one word, or as many more as it takes until the prefix has few enough suffixes (counted over the whole corpus) to be
-held in memory; what is still too common after ``DEPTHS`` is dealt by its whole label. Small prefixes share a group.
-Equal labels always meet: they have the same prefixes. Sorting a group's labels yields its deep internal nodes as runs
-of equal labels; the smallest document id under a node owns the passage, and all other documents under it learn that
-the label is covered. The documents then mark their own windows, and neighbouring marks join into maximal repeats.
-
-Within a slice of documents a label is sent once, with its smallest document; later ones are settled at once. So a
-passage that half the corpus shares costs a group one record for each slice, not one for each document.
+Every position of a document starts a suffix. Only tree nodes at a depth of ``window`` words or more count. They are
+found in two steps.
+
+Candidates: the first ``window`` words of each suffix, held as a 64-bit hash (its label), are dealt to a group by a
+prefix of variable length: one word, or as many more as it takes until the prefix has few enough suffixes (counted over
+the whole corpus) to be held in memory; what is still too common after ``DEPTHS`` is dealt by its whole label. Small
+prefixes share a group. Equal labels always meet: they have the same prefixes. A label that two documents have goes back
+to them; neighbouring windows with such labels join into regions, and every repeat lies inside one region of each document.
+
+Trees: a repeat that can't grow to the left starts at a window whose label has different words before it somewhere, or
+which starts a region. Only suffixes that start there go on, as word hashes up to the end of the region. They are dealt by
+the least hash of ``KEY`` words in their first window, so that neighbouring suffixes of a region mostly travel as one piece;
+equal pieces travel once, with their smallest document. A task sorts the suffixes of its pieces by their words, and the
+common prefixes of neighbours give the internal nodes. Of the nodes above a suffix, the deepest with a smaller document is
+its repeat: its depth is the length, its smallest document the owner. Labels only choose candidates; every word of a
+repeat is compared.
+
+Within a slice of documents a label's later documents travel apart from its smallest one, but to the same group: a passage that
+half the corpus shares costs its group a record for each document.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import combine, grouped, ship, slice_words, slices, word_hashes
+from .common import combine, cut_lineage, grouped, ship, slice_words, slices, word_hashes
 
 DEPTHS = (1, 2, 3, 5)
 BUCKETS = 1 << 14
+KEY = 4
+TREE_WORDS = 250_000
 ROWS = "grp int, base long, steps binary, labels binary, base2 long, steps2 binary, labels2 binary"
 
 
@@ -136,23 +149,24 @@ def _place(id_col, text_col, n: int):
 
 
 def _nodes(places: int):
-    """Deep internal nodes of each group: which documents have a label that a smaller document has too. The answers go
-    back packed by the place of the document."""
+    """The labels of each group that two documents have, with all documents that have them. The answers go back packed by
+    the place of the document."""
     def run(batches):
         for group in grouped(batches, "grp"):
             col = {n: group.column(i).to_pylist() for i, n in enumerate(group.schema.names)}
             label = np.frombuffer(b"".join(col["labels"]), np.uint64)
             doc = np.concatenate([_unsteps(b, s, len(x) // 8) for b, s, x in zip(
                 col["base"], col["steps"], col["labels"], strict=True)])
+            later = [(_unsteps(b, s, len(x) // 8), np.frombuffer(x, np.uint64)) for b, s, x in zip(
+                col["base2"], col["steps2"], col["labels2"], strict=True)]
+            doc, label = np.r_[doc, *(d for d, _ in later)], np.r_[label, *(x for _, x in later)]
             order = np.lexsort((doc, label))
             label, doc = label[order], doc[order]
             new = np.r_[True, label[1:] != label[:-1]]
-            hit = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            docs, labels = [doc[hit]], [label[hit]]
-            for b, s, x in zip(col["base2"], col["steps2"], col["labels2"], strict=True):
-                docs.append(_unsteps(b, s, len(x) // 8))
-                labels.append(np.frombuffer(x, np.uint64))
-            doc, label = np.concatenate(docs), np.concatenate(labels)
+            first, node = np.flatnonzero(new), np.cumsum(new) - 1
+            shared = doc[first] < doc[np.r_[first[1:], len(doc)] - 1]
+            hit = shared[node] & (new | np.r_[True, doc[1:] != doc[:-1]])
+            doc, label = doc[hit], label[hit]
             if not len(doc):
                 continue
             place = _places(doc, places)
@@ -165,19 +179,25 @@ def _nodes(places: int):
     return run
 
 
-def _covered(docs: DataFrame, id_col: str, text_col: str, window: int, group_suffixes: int) -> DataFrame:
-    """The rows of ``docs`` and, ahead of each place's rows, the labels that are covered in its documents: both reach a
-    place by one shuffle, sorted so that a task holds one place's labels and streams its texts."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+def _candidates(docs: DataFrame, window: int, group_suffixes: int) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) and, ahead of each place's rows, the labels that its documents share with others:
+    both reach a place by one shuffle, sorted so that a task holds one place's labels and streams its texts."""
+    narrow = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     groups, n = plan_groups(_prefix_counts(narrow, window), group_suffixes)
     places = n // 2 * 2 + 1
     dealt = narrow.mapInArrow(_deal(window, groups, n), ROWS)
     hits = dealt.repartitionById(n, F.col("grp")).sortWithinPartitions("grp").mapInArrow(
         _nodes(places), "__place int, __base long, __steps binary, __labels binary").withColumn("__kind", F.lit(0))
-    rows = docs.withColumn("__place", _place(F.col(id_col).cast("long"), F.col(text_col), places)).withColumn("__kind", F.lit(1))
+    rows = narrow.filter("doc_id IS NOT NULL").select(
+        "doc_id", "text", _tag("text").alias("tag"), _place(F.col("doc_id"), F.col("text"), places).alias("__place"), F.lit(1).alias("__kind"))
     both = rows.unionByName(hits, allowMissingColumns=True)
     return both.repartitionById(places, F.col("__place")).sortWithinPartitions("__place", "__kind").select(
-        *docs.columns, F.col(id_col).cast("long").alias("__id"), "__place", "__kind", "__base", "__steps", "__labels")
+        "doc_id", "text", "tag", "__place", "__kind", "__base", "__steps", "__labels")
+
+
+def _tag(text_col: str):
+    """Tells rows of one id apart."""
+    return F.xxhash64(F.col(text_col).cast("binary"))
 
 
 class _Labels:
@@ -199,36 +219,249 @@ class _Labels:
         return self.label[np.searchsorted(self.doc, doc):np.searchsorted(self.doc, doc, "right")]
 
 
-def _cut(text: bytes | None, labels: np.ndarray, window: int):
-    """(words, which of them go) of one text."""
-    words = (text or b"").split()
-    if not len(labels) or len(words) < window:
-        return words, np.zeros(len(words), bool)
-    hit = np.flatnonzero(np.isin(combine(word_hashes(words), window), labels))
-    step = np.zeros(len(words) + 1, np.int64)
-    np.add.at(step, hit, 1)
-    np.add.at(step, hit + window, -1)
-    return words, np.cumsum(step[:-1]) > 0
-
-
-def _streamed(text_at: int, window: int, emit):
-    """Run over the rows of :func:`_covered`; ``emit`` makes a batch of (rows of documents, their words, what goes)."""
+def _regions(window: int):
+    """Over the rows of :func:`_candidates`: each run of neighbouring windows that have shared labels, with its word hashes."""
     def run(batches):
         labels, at = _Labels(), None
-        for part in slices(_with_text(batches, text_at), "__text"):
-            place, kind = part.column(part.num_columns - 6).to_pylist(), part.column(part.num_columns - 5).to_numpy()
-            ids, texts = part.column(part.num_columns - 7).to_pylist(), part.column(part.num_columns - 1).to_pylist()
-            more = [part.column(part.num_columns - k).to_pylist() for k in (4, 3, 2)]
-            found = []
-            for i, (p, k) in enumerate(zip(place, kind, strict=True)):
+        for part in slices(batches, "text"):
+            col = {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
+            out = []
+            for i, (p, kind) in enumerate(zip(col["__place"], col["__kind"], strict=True)):
                 if p != at:
                     labels, at = _Labels(), p
-                if k == 0:
-                    labels.add(*(m[i] for m in more))
-                else:
-                    found.append(_cut(texts[i], labels.of(ids[i]), window))
-            if found:
-                yield emit(part.take(pa.array(np.flatnonzero(kind == 1))), found)
+                if kind == 0:
+                    labels.add(col["__base"][i], col["__steps"][i], col["__labels"][i])
+                    continue
+                known, words = labels.of(col["doc_id"][i]), (col["text"][i] or b"").split()
+                if not len(known) or len(words) < window:
+                    continue
+                h = word_hashes(words)
+                edges = np.flatnonzero(np.diff(np.r_[0, np.isin(combine(h, window), known), 0]))
+                out += [(col["doc_id"][i], col["tag"][i], int(a), h[a:b + window - 1].tobytes())
+                        for a, b in zip(edges[::2], edges[1::2], strict=True)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (
+                    pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "tag", "start", "words"])
+    return run
+
+
+def _region_labels(part: pa.RecordBatch, window: int):
+    """Of regions: word hashes end to end, the places where a window starts, its region, its offset there, its label."""
+    words = part.column(part.schema.get_field_index("words"))
+    size = np.array([len(w) for w in words.to_pylist()], np.int64) // 8
+    first = np.cumsum(size) - size
+    h = np.frombuffer(b"".join(words.to_pylist()), np.uint64)
+    region = np.repeat(np.arange(len(size)), size - window + 1)
+    off = np.arange(len(region)) - np.repeat(np.cumsum(size - window + 1) - (size - window + 1), size - window + 1)
+    at = first[region] + off
+    return h, at, region, off, combine(h, window)[at]
+
+
+def _before(window: int):
+    """The smallest and the largest word hash before each label; the start of a region stands for all of them."""
+    def run(batches):
+        for part in slices(batches, "words"):
+            h, at, _, off, label = _region_labels(part, window)
+            word = h.view(np.int64)[at - 1]
+            ends = np.iinfo(np.int64)
+            lo, hi = np.where(off == 0, ends.min, word), np.where(off == 0, ends.max, word)
+            order = np.argsort(label)
+            label, lo, hi = label[order], lo[order], hi[order]
+            new = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(label[new].view(np.int64)), pa.array(np.minimum.reduceat(lo, new)),
+                                              pa.array(np.maximum.reduceat(hi, new))], names=["label", "lo", "hi"])
+    return run
+
+
+def _starts(window: int):
+    """All windows of regions."""
+    def run(batches):
+        for part in slices(batches, "words"):
+            _, _, region, off, label = _region_labels(part, window)
+            doc, tag, start = (part.column(part.schema.get_field_index(n)).to_numpy()[region] for n in ("doc_id", "tag", "start"))
+            yield pa.RecordBatch.from_arrays([pa.array(label.view(np.int64)), pa.array(doc), pa.array(tag), pa.array(start), pa.array(off)],
+                                             names=["label", "doc_id", "tag", "start", "off"])
+    return run
+
+
+def _pieces(window: int):
+    """Of regions with the offsets of their starts, one piece for each key: from its first start (at, in the region) to the
+    region's end, with a hash of its words and the offsets of its starts (offs, in the piece)."""
+    k = min(KEY, window)
+
+    def run(batches):
+        for part in slices(batches, "words"):
+            col = {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
+            out = []
+            for doc, tag, start, offs, words in zip(*(col[n] for n in ("doc_id", "tag", "start", "offs", "words")), strict=True):
+                gram = combine(np.frombuffer(words, np.uint64), k)
+                off = np.unique(np.array(offs, np.int64))
+                key = np.min([gram[off + j] for j in range(window - k + 1)], axis=0)
+                for x in np.unique(key):
+                    o = off[key == x]
+                    rest, at = words[8 * int(o[0]):], (o - o[0]).astype(np.int32)
+                    out.append((int(x.view(np.int64)), hashlib.md5(at.tobytes() + rest).digest(), doc, tag, start, int(o[0]), at))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (
+                    pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)],
+                    names=["key", "piece", "doc_id", "tag", "start", "at", "offs"])
+    return run
+
+
+def sort_suffixes(pieces: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by their words of the suffixes that start at places ``at`` of the pieces laid end to end with one place between
+    them, and the words each has in common with the one before. Ranks of twice the length are made until all differ."""
+    size = np.array([len(p) for p in pieces], np.int64)
+    ends = np.cumsum(size + 1) - 1
+    rank = np.empty(int(ends[-1]) + 1, np.int64)
+    word = np.ones(len(rank), bool)
+    word[ends] = False
+    rank[ends] = np.arange(len(ends))
+    rank[word] = np.unique(np.concatenate(pieces), return_inverse=True)[1] + len(ends)
+    ranks, step = [rank], 1
+    while len(np.unique(rank)) < len(rank):
+        after = np.full(len(rank), 0, np.int64)
+        after[:-step] = rank[step:] + 1
+        rank = np.unique(rank * (2 * len(ranks[0]) + 2) + after, return_inverse=True)[1]
+        ranks.append(rank)
+        step *= 2
+    order = np.argsort(rank[at])
+    a, b = at[order][:-1], at[order][1:]
+    common = np.zeros(len(a), np.int64)
+    for k in reversed(range(len(ranks))):
+        common += (ranks[k][a + common] == ranks[k][b + common]).astype(np.int64) << k
+    return order, np.r_[0, common]
+
+
+def tree(depth: list[int], low: list[int], common: list[int]) -> list[tuple[int, int, int, int]]:
+    """The suffix tree over sorted leaves: their lengths, smallest documents and words in common with the one before. For each
+    leaf: depth and owner of the deepest node above its smallest document that a smaller one has too (0, 0 without), and
+    the same for its other documents."""
+    leaves, doc, depth, low = len(depth), low, list(depth), list(low)
+    up, path, own = [-1] * leaves, [], list(range(leaves))
+
+    def close(node: int, parent: int) -> None:
+        up[node], low[parent] = parent, min(low[parent], low[node])
+
+    for k in range(leaves):
+        while k and depth[path[-1]] > common[k]:
+            node = path.pop()
+            if not path or depth[path[-1]] < common[k]:
+                depth.append(common[k])
+                low.append(low[node])
+                up.append(-1)
+                path.append(len(depth) - 1)
+            close(node, path[-1])
+        if k and depth[k] == common[k]:  # nothing is longer than the leaf before: the two are equal
+            own[k] = path[-1]
+            low[own[k]] = min(low[own[k]], low[k])
+        else:
+            path.append(k)
+    while len(path) > 1:
+        node = path.pop()
+        close(node, path[-1])
+    out = []
+    for k in range(leaves):
+        node = own[k]
+        while node >= 0 and low[node] >= doc[k]:
+            node = up[node]
+        out.append((*((depth[node], low[node]) if node >= 0 else (0, 0)), depth[k], low[own[k]]))
+    return out
+
+
+def _tree_of(rows: list[tuple]) -> pa.RecordBatch:
+    """The repeats of whole groups of pieces (key, piece, least, offs, words)."""
+    pieces = [np.frombuffer(r[4], np.uint64) for r in rows]
+    count = np.array([len(r[3]) for r in rows])
+    size = np.array([len(p) for p in pieces], np.int64)
+    off, of = np.concatenate([r[3] for r in rows]).astype(np.int64), np.repeat(np.arange(len(rows)), count)
+    order, common = sort_suffixes(pieces, (np.cumsum(size + 1) - size - 1)[of] + off)
+    nodes = tree((size[of] - off)[order].tolist(), np.array([r[2] for r in rows], np.int64)[of][order].tolist(), common.tolist())
+    found = np.empty((len(off), 4), np.int64)
+    found[order] = nodes
+    ends = pa.array(np.r_[0, np.cumsum(count)], pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
+                                       pa.array([r[2] for r in rows], pa.int64()), *(pa.ListArray.from_arrays(
+                                           ends, pa.array(np.ascontiguousarray(found[:, i]))) for i in range(4))],
+                                      names=["key", "piece", "least", "length", "owner", "length2", "owner2"])
+
+
+def _trees(batches):
+    rows, held = [], 0
+    for group in grouped(batches, "key"):
+        new = list(zip(*(group.column(i).to_pylist() for i in range(5)), strict=True))
+        rows += new
+        held += sum(len(r[4]) for r in new) // 8
+        if held >= TREE_WORDS:
+            yield _tree_of(rows)
+            rows, held = [], 0
+    if rows:
+        yield _tree_of(rows)
+
+
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    """:func:`cut_lineage`, after which the shuffle files of ``df`` go: nothing reads them again."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return cut_lineage(df, name)
+    finally:
+        conf.unset(key) if old is None else conf.set(key, old)
+
+
+def repeats(docs: DataFrame, window: int, group_suffixes: int) -> DataFrame:
+    """Of the rows of ``docs`` (doc_id, text) that have any: doc_id, tag and found, the deepest node with a smaller document at
+    each place where a repeat can start (start, length, owner)."""
+    regions = _staged(_candidates(docs, window, group_suffixes).mapInArrow(
+        _regions(window), "doc_id long, tag long, start long, words binary"), "regions")
+    fork = regions.mapInArrow(_before(window), "label long, lo long, hi long").groupBy("label").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("label")
+    row = ["doc_id", "tag", "start"]
+    starts = regions.mapInArrow(_starts(window), "label long, doc_id long, tag long, start long, off long").join(fork, "label").groupBy(
+        *row).agg(F.collect_list("off").alias("offs"))
+    pieces = _staged(starts.join(regions, row).mapInArrow(
+        _pieces(window), "key long, piece binary, doc_id long, tag long, start long, at long, offs array<int>"), "pieces")
+    first = pieces.groupBy("key", "piece").agg(F.min(F.struct(*row, "at", "offs")).alias("x")).select("key", "piece", "x.*")
+    nodes = first.join(regions, row).selectExpr(
+        "key", "piece", "doc_id", "offs", "substring(words, CAST(8 * at + 1 AS INT)) AS words").repartition("key").sortWithinPartitions("key").mapInArrow(
+        _trees, "key long, piece binary, least long, length array<long>, owner array<long>, length2 array<long>, owner2 array<long>")
+    found = pieces.join(nodes, ["key", "piece"]).selectExpr(
+        "doc_id", "tag", "start + at AS start", "offs", "IF(doc_id = least, length, length2) AS length", "IF(doc_id = least, owner, owner2) AS owner").selectExpr("doc_id", "tag", f"""filter(transform(
+        arrays_zip(offs, length, owner),
+        x -> struct(start + x.offs AS start, x.length AS length, x.owner AS owner)), x -> x.length >= {window}) AS found""")
+    return found.filter("size(found) > 0").groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("found")).alias("found"))
+
+
+def _maximal(found) -> list[dict]:
+    """The repeats that no other one holds, in order."""
+    out, end = [], 0
+    for r in sorted(found or (), key=lambda r: r["start"]):
+        if r["start"] + r["length"] > end:
+            out.append(r)
+            end = r["start"] + r["length"]
+    return out
+
+
+def _with_repeats(docs: DataFrame, id_col: str, text_col: str, window: int, group_suffixes: int) -> DataFrame:
+    """``docs`` with the column __found."""
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = repeats(narrow, window, group_suffixes).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("found").alias("__found"))
+    return docs.join(found, (F.col(id_col).cast("long") == F.col("__id")) & (_tag(text_col) == F.col("__tag")), "left").drop("__id", "__tag")
+
+
+def _streamed(text_at: int, emit):
+    """Run over the rows of :func:`_with_repeats`; ``emit`` makes a batch of (rows, their words, what goes, repeats)."""
+    def run(batches):
+        for part in slices(_with_text(batches, text_at), "__text"):
+            out = []
+            for t, found in zip(part.column(part.num_columns - 1).to_pylist(), part.column(part.num_columns - 2).to_pylist(), strict=True):
+                words, spans = (t or b"").split(), _maximal(found)
+                gone = np.zeros(len(words), bool)
+                for r in spans:
+                    gone[r["start"]:r["start"] + r["length"]] = True
+                out.append((words, gone, spans))
+            yield emit(part, out)
     return run
 
 
@@ -247,21 +480,21 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     smaller id. Windows are judged on the input.
 
     Returns one row for each row of ``docs``: doc_id, n_words, n_removed, kept (the words left, joined by one space)
-    and spans (the maximal repeats removed: start, length in words). A null or empty text has no words. A repeat within
+    and spans (the maximal repeats removed: start, length in words, owner). A span is a passage that as a whole is in a
+    document with a smaller id, the smallest such id being the owner, and that is not part of a longer one; spans in order of
+    start, which may meet or overlap. A null or empty text has no words. A repeat within
     one document alone stays. Rows that share an id count as one document. A row with a null id keeps all its words and
     takes nothing from others. Other columns are not read. ``group_suffixes`` bounds the suffixes of one group.
     """
     def emit(rows, found):
-        edges = [np.flatnonzero(np.diff(np.r_[0, gone, 0])) for _, gone in found]
-        spans = [[{"start": int(a), "length": int(b - a)} for a, b in zip(e[::2], e[1::2], strict=True)] for e in edges]
-        cols = [rows.column(2), pa.array([len(w) for w, _ in found], pa.int64()), pa.array([int(g.sum()) for _, g in found], pa.int64()),
-                pa.array([_kept(w, g) for w, g in found], pa.string()),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))]
+        cols = [rows.column(0), pa.array([len(w) for w, _, _ in found], pa.int64()), pa.array([int(g.sum()) for _, g, _ in found], pa.int64()),
+                pa.array([_kept(w, g) for w, g, _ in found], pa.string()),
+                pa.array([s for _, _, s in found], pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "length", "owner")])))]
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept", "spans"])
 
     narrow = ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _covered(narrow, "doc_id", "text", window, group_suffixes).mapInArrow(
-        _streamed(1, window, emit), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,length:long>>")
+    return _with_repeats(narrow, "doc_id", "text", window, group_suffixes).mapInArrow(_streamed(
+        1, emit), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,length:long,owner:long>>")
 
 
 def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text",
@@ -271,7 +504,7 @@ def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
 
     def emit(rows, found):
         old = rows.column(at).to_pylist()
-        new = pa.array([_kept(w, g) if g.any() else t for t, (w, g) in zip(old, found, strict=True)], pa.string())
+        new = pa.array([_kept(w, g) if g.any() else t for t, (w, g, _) in zip(old, found, strict=True)], pa.string())
         return pa.RecordBatch.from_arrays([new if k == at else rows.column(k) for k in range(n)], names=rows.schema.names[:n])
 
-    return _covered(ship(docs), id_col, text_col, window, group_suffixes).mapInArrow(_streamed(at, window, emit), docs.schema)
+    return _with_repeats(ship(docs), id_col, text_col, window, group_suffixes).mapInArrow(_streamed(at, emit), docs.schema)

@@ -68,3 +68,65 @@ def test_documents_form_keeps_columns(make):
     assert got.schema.names == docs.schema.names
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [
         (1, a, "en", "s", 3), (2, "p q r", None, "s", 4), (3, None, "de", None, None), (None, a, "x", "y", 1), (4, "two  words", "en", "s", 2)]))
+
+
+def brute_spans(rows, window=13):
+    """(start, length, owner) of each document by comparing every pair of positions."""
+    split = [(d, (t or "").split()) for d, t in rows if d is not None]
+    out = {}
+    for d, w in split:
+        best = {}
+        for i in range(len(w)):
+            for e, v in split:
+                for j in range(len(v)) if e < d else ():
+                    n = 0
+                    while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                        n += 1
+                    if n >= window:
+                        best[i] = min(best.get(i, (0, 0)), (-n, e))
+        spans, end = [], 0
+        for i, (n, e) in sorted(best.items()):
+            if i - n > end:
+                spans.append((i, -n, e))
+                end = i - n
+        out.setdefault(d, set()).add(tuple(spans))
+    return out
+
+
+def spans_of(df):
+    out = {}
+    for r in df.collect():
+        if r.doc_id is not None:
+            out.setdefault(r.doc_id, set()).add(tuple((s.start, s.length, s.owner) for s in r.spans))
+    return out
+
+
+def test_passages_side_by_side_are_two_repeats(make):
+    a, b = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
+    got = spans_of(remove_repeats(make([(1, a), (2, b), (3, f"{a} {b}")])))
+    assert got[3] == {((0, 20, 1), (20, 20, 2))}
+
+
+def test_spans_equal_brute_force(make):
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(60)] for _ in range(3)]
+    rows = [(None, " ".join(base[0])), (8, " ".join(base[0])), (8, " ".join(base[1][:30])), (8, " ".join(base[1][:30])), (4, " ".join(["a"] * 30)),
+            (5, " ".join(["a"] * 40)), (6, " ".join(["a"] * 20 + ["b"] + ["a"] * 25))]
+    for d in range(10, 34):
+        w = []
+        for _ in range(3):
+            p = rng.choice(base)
+            lo = rng.randrange(40)
+            w += p[lo:lo + rng.randrange(5, 50)] + [f"x{d}"] * rng.randrange(2)
+        rows.append((d, " ".join(w)))
+    rng.shuffle(rows)
+    assert spans_of(remove_repeats(make(rows, 5), group_suffixes=300)) == brute_spans(rows)
+
+
+def test_tree_compares_words_not_labels():
+    pieces, docs = [np.array(x, np.uint64) for x in ([1, 2, 3, 4], [9, 8, 7], [1, 2, 3, 5, 6], [1, 2, 3])], [7, 2, 5, 6]
+    order, common = substrings.sort_suffixes(pieces, np.array([0, 5, 9, 15]))
+    assert order.tolist() == [3, 0, 2, 1] and common.tolist() == [0, 3, 3, 0]
+    got = substrings.tree([len(pieces[k]) for k in order], [docs[k] for k in order], common.tolist())
+    assert got == [(3, 5, 3, 5), (3, 5, 4, 7), (0, 2, 5, 5), (0, 0, 3, 2)]
+    assert [g[:2] for g in substrings.tree([3, 3, 3, 5], [1, 2, 3, 4], [0, 3, 3, 3])] == [(0, 0), (3, 1), (3, 1), (3, 1)]
