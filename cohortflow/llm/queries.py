@@ -81,6 +81,12 @@ def op10_quality(spark, sf_dir):
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op11_whitening(spark, sf_dir):
+    from .whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 ORACLE_SQL["op4_substring_dedup"] = r"""
 WITH d AS (SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
                                              '[\x20\x09-\x0D]+') AS a FROM documents),
