@@ -87,6 +87,12 @@ def op11_whitening(spark, sf_dir):
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op12_quality_rules(spark, sf_dir):
+    from .rules import judge
+    return judge(table(spark, sf_dir, "documents"))
+
+
 ORACLE_SQL["op4_substring_dedup"] = r"""
 WITH d AS (SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
                                              '[\x20\x09-\x0D]+') AS a FROM documents),
@@ -132,3 +138,54 @@ SELECT c.doc_id, coalesce(f.class_id, c.doc_id) AS class_id, c.copy_id,
        CAST(coalesce(q.n_class_links, 0) AS BIGINT) AS n_class_links, CAST(c.n AS BIGINT) AS n_shingles
 FROM c LEFT JOIN r ON r.copy_id = c.copy_id AND c.n > 0 LEFT JOIN f ON f.node = r.copy_id LEFT JOIN q ON q.node = r.copy_id
 """
+
+
+ORACLE_SQL["op12_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, lang, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+s AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM l WHERE len(w) >= 8),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM s),
+h AS (SELECT doc_id, unnest(list(i)) AS i FROM g GROUP BY doc_id, k HAVING count(*) > 1),
+v AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM h, generate_series(0, 7) AS x(o) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) - count(DISTINCT y) AS n FROM
+        (SELECT doc_id, unnest(string_split(t, chr(10))) AS y FROM d) WHERE regexp_matches(y, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+c AS (SELECT doc_id, lang, t, w, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+             coalesce(n.n, 0) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words,
+             len(w) < 20 OR 100 * coalesce(v.n, 0) > 30 * len(w) AS base_failed,
+             list_transform(['[^a-z]', '[^A-Z]', '[^0-9]', '[^ \t\r\x0b\x0c]', '[^\n]', '[^.,;:!?]', '[^''"()-]', '[^#*$%&|<>]',
+                             '[^\x00-\x08\x0e-\x1f+/=@\[\\\]^_`{}~\x7f]', '[^\x{C0}-\x{27F}]', '[\x00-\x7f\x{C0}-\x{27F}]'],
+                            lambda r: length(regexp_replace(t, r, '', 'g'))) AS a
+      FROM l LEFT JOIN v USING (doc_id) LEFT JOIN n USING (doc_id)),
+o AS (SELECT doc_id, lang, base_failed, unnest(w) AS x FROM c),
+p AS (SELECT doc_id, lang, base_failed, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM o),
+z AS (SELECT lang, count(*) AS total FROM p WHERE lang IS NOT NULL AND NOT base_failed GROUP BY lang),
+r AS (SELECT lang, total FROM z WHERE total * 1000 >= (SELECT sum(total) FROM z)),
+f AS (SELECT lang, x, count(*) AS n FROM p JOIN r USING (lang) WHERE NOT base_failed AND regexp_full_match(x, '\p{L}+') GROUP BY lang, x
+      QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, x) <= 40),
+ws AS (SELECT lang, x, n / total AS share FROM f JOIN r USING (lang) UNION ALL
+       SELECT lang, NULL, 1 - sum(n) / any_value(total) FROM f JOIN r USING (lang) GROUP BY lang),
+cc AS (SELECT doc_id, lang, base_failed, unnest(a) AS n, unnest(generate_series(1, 11)) AS k FROM c),
+cs AS (SELECT lang, k, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS share FROM cc JOIN r USING (lang) WHERE NOT base_failed GROUP BY lang, k),
+dw AS (SELECT p.doc_id, f.lang, f.x, count(*) AS n FROM p JOIN f ON f.x = p.x GROUP BY ALL),
+dn AS (SELECT doc_id, lang, x, n FROM dw UNION ALL
+       SELECT c.doc_id, r.lang, NULL, c.n_words - coalesce(sum(dw.n), 0) FROM c CROSS JOIN r
+       LEFT JOIN dw ON dw.doc_id = c.doc_id AND dw.lang = r.lang GROUP BY c.doc_id, r.lang, c.n_words),
+jw AS (SELECT c.doc_id, ws.lang, sqrt(greatest(0, sum(
+              CASE WHEN coalesce(dn.n, 0) > 0 THEN dn.n / c.n_words * log2((dn.n / c.n_words) / ((dn.n / c.n_words + share) / 2)) ELSE 0 END
+              + CASE WHEN share > 0 THEN share * log2(share / ((coalesce(dn.n, 0) / c.n_words + share) / 2)) ELSE 0 END)) / 2) AS w
+       FROM c CROSS JOIN ws LEFT JOIN dn ON dn.doc_id = c.doc_id AND dn.lang = ws.lang AND dn.x IS NOT DISTINCT FROM ws.x
+       WHERE c.n_words > 0 GROUP BY c.doc_id, ws.lang),
+jc AS (SELECT y.doc_id, cs.lang, sqrt(greatest(0, sum(
+              CASE WHEN y.n > 0 THEN y.n / m * log2((y.n / m) / ((y.n / m + share) / 2)) ELSE 0 END
+              + CASE WHEN share > 0 THEN share * log2(share / ((y.n / m + share) / 2)) ELSE 0 END)) / 2) AS ch
+       FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS m FROM cc) y JOIN cs USING (k) WHERE m > 0 GROUP BY y.doc_id, cs.lang),
+b AS (SELECT jw.doc_id, jw.lang AS reference, w AS wd, ch FROM jw JOIN jc ON jc.doc_id = jw.doc_id AND jc.lang = jw.lang
+      QUALIFY row_number() OVER (PARTITION BY jw.doc_id ORDER BY w + ch, jw.lang) = 1)
+SELECT c.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(a[8] AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND (length(t) < 80 OR ch IS NULL OR ch <= sqrt(0.32 * 0.32 + 10 / (8 * ln(2) * length(t))))
+         AND (n_words < 20 OR wd IS NULL OR wd <= sqrt(0.27 * 0.27 + 40 / (8 * ln(2) * n_words))) AS kept,
+       CASE WHEN length(t) >= 80 OR n_words >= 20 THEN reference END AS reference,
+       CASE WHEN length(t) >= 80 THEN round(ch, 6) END AS char_distance, CASE WHEN n_words >= 20 THEN round(wd, 6) END AS word_distance
+FROM c LEFT JOIN b ON b.doc_id = c.doc_id
+"""
