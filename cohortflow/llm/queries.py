@@ -160,7 +160,7 @@ o AS (SELECT doc_id, lang, base_failed, unnest(w) AS x FROM c),
 p AS (SELECT doc_id, lang, base_failed, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM o),
 z AS (SELECT lang, count(*) AS total FROM p WHERE lang IS NOT NULL AND NOT base_failed GROUP BY lang),
 r AS (SELECT lang, total FROM z WHERE total * 1000 >= (SELECT sum(total) FROM z)),
-f AS (SELECT lang, x, count(*) AS n FROM p JOIN r USING (lang) WHERE NOT base_failed AND regexp_full_match(x, '\p{L}+') GROUP BY lang, x
+f AS (SELECT lang, x, count(*) AS n FROM p JOIN r USING (lang) WHERE NOT base_failed GROUP BY lang, x
       QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, x) <= 40),
 ws AS (SELECT lang, x, n / total AS share FROM f JOIN r USING (lang) UNION ALL
        SELECT lang, NULL, 1 - sum(n) / any_value(total) FROM f JOIN r USING (lang) GROUP BY lang),

@@ -140,21 +140,21 @@ class Counts:
 # ------------------------------------------------------------------ references
 
 def _reference_rows(limits: Limits):
-    """Rows (lang, kind, word, n): kind -1 counts the words of a language, -2 each word of letters, others a character class."""
+    """Rows (lang, kind, word, n): kind -1 counts the words of a language, -2 each of its words, others a character class."""
     def run(batches):
         for part in slices(batches, "text"):
             counts = Counts(part.column(1), limits)
             langs = part.column(0).dictionary_encode()
             names, of = langs.dictionary.to_pylist(), pc.fill_null(langs.indices, -1).to_numpy()
             low = counts.lowered().dictionary_encode()
-            letters = np.flatnonzero([w.isalpha() for w in low.dictionary.to_pylist()])
+            real = np.asarray(pc.utf8_length(low.dictionary)) > 0
             word_of = low.indices.to_numpy()[counts.codes] if len(counts.codes) else np.zeros(0, np.int64)
             for k, name in enumerate(names):
                 mine = (of == k) & ~counts.failed
                 if not mine.any():
                     continue
                 n = np.bincount(word_of[mine[counts.doc]], minlength=len(low.dictionary))
-                seen = letters[n[letters] > 0] if len(letters) else letters
+                seen = np.flatnonzero((n > 0) & real)
                 kinds = np.r_[np.arange(len(_NAMES)), -1, np.full(len(seen), -2)]
                 total = np.r_[counts.classes[mine].sum(axis=0), counts.words[mine].sum(), n[seen]]
                 word = pa.concat_arrays([pa.nulls(len(_NAMES) + 1, pa.string()), low.dictionary.take(pa.array(seen, pa.int64()))])

@@ -82,7 +82,7 @@ def plain(rows, limits):
     refs = []
     for lang in sorted(words):
         if words[lang].total() * 1000 >= total:
-            top = sorted((w for w in words[lang] if w.isalpha()), key=lambda w: (-words[lang][w], w))[:limits.top]
+            top = sorted(words[lang], key=lambda w: (-words[lang][w], w))[:limits.top]
             n = [words[lang][w] for w in top]
             refs.append((lang, chars[lang] / chars[lang].sum(), top, np.array([*n, words[lang].total() - sum(n)]) / words[lang].total()))
     out = []
@@ -118,7 +118,7 @@ def test_labelled_documents(spark):
     sf = SF.replace("sf0.001", "sf0.1")
     got = judge(table(spark, sf, "documents")).join(table(spark, sf, "labels"), "doc_id").filter("NOT base_failed")
     share = {r.quality: r.share for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
-    assert share[1] >= 0.995 and share[0] <= 0.12
+    assert share[1] >= 0.995 and share[0] <= 0.1
 
 
 def test_no_references_and_empty(spark, make):
