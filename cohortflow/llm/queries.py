@@ -93,6 +93,12 @@ def op12_quality_rules(spark, sf_dir):
     return judge(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_spelling_variants(spark, sf_dir):
+    from .variants import variants, vocabulary
+    return variants(vocabulary(table(spark, sf_dir, "documents"), drop_every=199))
+
+
 ORACLE_SQL["op4_substring_dedup"] = r"""
 WITH d AS (SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
                                              '[\x20\x09-\x0D]+') AS a FROM documents),
@@ -189,3 +195,28 @@ SELECT c.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT)
        CASE WHEN length(t) >= 80 THEN round(ch, 6) END AS char_distance, CASE WHEN n_words >= 20 THEN round(wd, 6) END AS word_distance
 FROM c LEFT JOIN b ON b.doc_id = c.doc_id
 """
+
+ORACLE_SQL["op13_spelling_variants"] = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+a AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS r
+      FROM documents),
+b AS (SELECT doc_id, r, count(*) AS n FROM a GROUP BY doc_id, r),
+c AS (SELECT r, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r, ''),
+             lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [(192 + (unicode(c) >> 6))::BIGINT, (128 + (unicode(c) & 63))::BIGINT] END)) AS s FROM b),
+h AS (SELECT r, n, xor(list_reduce(list_prepend(4294967295, s), lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) AS h FROM c, crc),
+e AS (SELECT CASE WHEN h % 199 = 0 THEN left(r, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+i AS (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM v),
+d AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS d FROM i),
+p AS (SELECT x.word, y.word AS other, y.n FROM d x JOIN v y ON y.word = x.d UNION
+      SELECT y.word, x.word, x.n FROM d x JOIN v y ON y.word = x.d UNION
+      SELECT x.word, y.word, y.n FROM d x JOIN d y ON x.d = y.d AND x.i = y.i AND x.word <> y.word),
+q AS (SELECT word, count(*) AS n_near, max(n) AS m FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN m END AS form_n,
+             CASE WHEN m >= 5 * v.n THEN (SELECT min(p.other) FROM p WHERE p.word = v.word AND p.n = m) END AS form
+      FROM v LEFT JOIN q ON q.word = v.word),
+g AS (SELECT word, word AS at FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, g.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM f JOIN g ON g.word = f.word JOIN f AS l ON l.word = g.at AND l.form IS NULL
+"""
