@@ -9,16 +9,17 @@ the whole corpus) to be held in memory; what is still too common after ``DEPTHS`
 prefixes share a group. Equal labels always meet: they have the same prefixes. A label that two documents have goes back
 to them; neighbouring windows with such labels join into regions, and every repeat lies inside one region of each document.
 
-Trees: a repeat that can't grow to the left starts at a window whose label has different words before it somewhere, or
-which starts a region. Only suffixes that start there go on, as word hashes up to the end of the region. They are dealt by
-the least hash of ``KEY`` words in their first window, so that neighbouring suffixes of a region mostly travel as one piece;
+Trees: a repeat that can't grow to the left starts at a window whose label has different words before it somewhere (a fork:
+the word before travels with the label, and the answer tells), or which starts a region. Only suffixes that start there go on, as word hashes up to the end of the region. They are dealt by
+the least hash of ``KEY`` words in their first window, so that neighbouring suffixes of a region mostly travel as one piece, and
+where such a key has more than ``TREE_WORDS`` words by the whole first window;
 equal pieces travel once, with their smallest document. A task sorts the suffixes of its pieces by their words, and the
 common prefixes of neighbours give the internal nodes. Of the nodes above a suffix, the deepest with a smaller document is
 its repeat: its depth is the length, its smallest document the owner. Labels only choose candidates; every word of a
 repeat is compared.
 
-Within a slice of documents a label's later documents travel apart from its smallest one, but to the same group: a passage that
-half the corpus shares costs its group a record for each document.
+Within a slice of documents a label's later documents travel apart from its smallest one, without the word before, but to the
+same group: a passage that half the corpus shares costs its group seven or eight bytes for each document.
 """
 
 from __future__ import annotations
@@ -33,10 +34,22 @@ from pyspark.sql import functions as F
 from .common import combine, cut_lineage, grouped, ship, slice_words, slices, word_hashes
 
 DEPTHS = (1, 2, 3, 5)
-BUCKETS = 1 << 14
 KEY = 4
-TREE_WORDS = 250_000
-ROWS = "grp int, base long, steps binary, labels binary, base2 long, steps2 binary, labels2 binary"
+TREE_WORDS, BATCH_WORDS = 4_000_000, 250_000
+LABEL, BEFORE = 6, 5  # bytes that travel of a label and of the word before it
+_LABEL, _MIXED = np.uint64((1 << 8 * LABEL) - 2), np.uint64((1 << 8 * BEFORE) - 1)  # the last bit of a label tells forks
+ROWS = "grp int, base long, steps binary, labels binary, before binary, base2 long, steps2 binary, labels2 binary"
+
+
+def _pack(x: np.ndarray, n: int) -> bytes:
+    """The low ``n`` bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
+
+
+def _unpack(x: bytes, n: int) -> np.ndarray:
+    out = np.zeros((len(x) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(x, np.uint8).reshape(-1, n)
+    return out.view("<u8").ravel()
 
 
 def _windows(part: pa.RecordBatch, window: int):
@@ -50,27 +63,35 @@ def _windows(part: pa.RecordBatch, window: int):
     return h, row, starts
 
 
-def _buckets(h: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    return (combine(h, depth)[starts] >> np.uint64(40)).astype(np.int64) % BUCKETS
+def _buckets(h: np.ndarray, starts: np.ndarray, depth: int, buckets: int) -> np.ndarray:
+    return (combine(h, depth)[starts] >> np.uint64(40)).astype(np.int64) % buckets
 
 
-def _prefix_counts(docs: DataFrame, window: int) -> np.ndarray:
-    """Exact counts of suffixes by hashed prefix at each of DEPTHS: one array of a fixed size."""
+def table_size(text_bytes: int, group_suffixes: int) -> int:
+    """Buckets for prefixes at each depth: sixteen for each group that is to be expected (a word and its blank take six bytes, say),
+    2^14 at least and 2^22 at most (128 MB of counts). The number decides where suffixes meet, not what is found."""
+    groups = max(1, text_bytes // 6 // group_suffixes)
+    return 1 << min(22, max(14, (16 * groups - 1).bit_length()))
+
+
+def _prefix_counts(docs: DataFrame, window: int, group_suffixes: int) -> np.ndarray:
+    """Exact counts of suffixes by hashed prefix at each of DEPTHS: one bounded array."""
+    buckets = table_size(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, group_suffixes)
 
     def run(batches):
-        total = np.zeros((len(DEPTHS), BUCKETS), np.int64)
+        total = np.zeros((len(DEPTHS), buckets), np.int64)
         for part in slices(batches, "text"):
             h, _, starts = _windows(part, window)
             if len(starts):
                 for k, depth in enumerate(DEPTHS):
-                    total[k] += np.bincount(_buckets(h, starts, depth), minlength=BUCKETS)
+                    total[k] += np.bincount(_buckets(h, starts, depth, buckets), minlength=buckets)
         k, b = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k * BUCKETS + b), pa.array(total[k, b])], names=["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(k * buckets + b), pa.array(total[k, b])], names=["slot", "n"])
 
-    out = np.zeros(len(DEPTHS) * BUCKETS, np.int64)
+    out = np.zeros(len(DEPTHS) * buckets, np.int64)
     for r in docs.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r.slot] = r.n
-    return out.reshape(len(DEPTHS), BUCKETS)
+    return out.reshape(len(DEPTHS), buckets)
 
 
 def plan_groups(counts: np.ndarray, group_suffixes: int) -> tuple[np.ndarray, int]:
@@ -93,7 +114,7 @@ def _route(h, starts, labels, groups, n):
         left = np.flatnonzero(out < 0)
         if not len(left):
             break
-        out[left] = groups[k][_buckets(h, starts[left], depth)]
+        out[left] = groups[k][_buckets(h, starts[left], depth, groups.shape[1])]
     left = out < 0
     out[left] = (labels[left] % np.uint64(n)).astype(np.int64)
     return out
@@ -101,11 +122,13 @@ def _route(h, starts, labels, groups, n):
 
 def _steps(doc: np.ndarray) -> tuple[int, bytes]:
     d = np.diff(doc, prepend=doc[:1])
-    return int(doc[0]) if len(doc) else 0, (d.astype("<u4") if len(d) == 0 or d.max() < 1 << 32 else d).tobytes()
+    most = int(d.max()) if len(d) else 0
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return int(doc[0]) if len(doc) else 0, d.astype(f"<u{width}").tobytes()
 
 
 def _unsteps(base: int, steps: bytes, n: int) -> np.ndarray:
-    return base + np.cumsum(np.frombuffer(steps, "<u4" if len(steps) == 4 * n else "<i8").astype(np.int64))
+    return base + np.cumsum(np.frombuffer(steps, f"<u{len(steps) // n}").astype(np.int64)) if n else np.empty(0, np.int64)
 
 
 def _deal(window: int, groups: np.ndarray, n: int):
@@ -115,10 +138,15 @@ def _deal(window: int, groups: np.ndarray, n: int):
             if not len(starts):
                 continue
             ids = part.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            label, doc = combine(h, window)[starts], ids[row[starts]]
+            label, doc = combine(h, window)[starts] & _LABEL, ids[row[starts]]
             order = np.lexsort((doc, label))
             label, doc, at = label[order], doc[order], starts[order]
             new = np.r_[True, label[1:] != label[:-1]]
+            # the word before each window; that of a document's first stands for itself
+            before = np.where((at > 0) & (row[at] == row[at - 1]), h[at - 1] % (_MIXED - np.uint64(1)) + np.uint64(1), np.uint64(0))
+            run_at = np.flatnonzero(new)
+            least_before, most_before = np.minimum.reduceat(before, run_at), np.maximum.reduceat(before, run_at)
+            before = np.where(least_before == most_before, least_before, _MIXED)[np.cumsum(new) - 1]
             least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
             again = np.r_[False, (label[1:] == label[:-1]) & (doc[1:] == doc[:-1])]
             later = (doc > least) & ~again
@@ -131,10 +159,11 @@ def _deal(window: int, groups: np.ndarray, n: int):
             for lo, hi in zip(cuts, np.r_[cuts[1:], len(g)], strict=True):
                 mid = lo + int(np.count_nonzero(~lat[lo:hi]))
                 one, two = keep[lo:mid], keep[mid:hi]
-                rows.append((int(g[lo]), *_steps(doc[one]), label[one].tobytes(), *_steps(doc[two]), label[two].tobytes()))
-            types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+                rows.append((int(g[lo]), *_steps(doc[one]), _pack(label[one], LABEL), _pack(before[one], BEFORE),
+                             *_steps(doc[two]), _pack(label[two], LABEL)))
+            types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
-                                             names=["grp", "base", "steps", "labels", "base2", "steps2", "labels2"])
+                                             names=["grp", "base", "steps", "labels", "before", "base2", "steps2", "labels2"])
     return run
 
 
@@ -149,21 +178,23 @@ def _place(id_col, text_col, n: int):
 
 
 def _nodes(places: int):
-    """The labels of each group that two documents have, with all documents that have them. The answers go back packed by
-    the place of the document."""
+    """The labels of each group that two documents have, with all documents that have them, and whether they fork to the left.
+    The answers go back packed by the place of the document."""
     def run(batches):
         for group in grouped(batches, "grp"):
             col = {n: group.column(i).to_pylist() for i, n in enumerate(group.schema.names)}
-            label = np.frombuffer(b"".join(col["labels"]), np.uint64)
-            doc = np.concatenate([_unsteps(b, s, len(x) // 8) for b, s, x in zip(
-                col["base"], col["steps"], col["labels"], strict=True)])
-            later = [(_unsteps(b, s, len(x) // 8), np.frombuffer(x, np.uint64)) for b, s, x in zip(
-                col["base2"], col["steps2"], col["labels2"], strict=True)]
-            doc, label = np.r_[doc, *(d for d, _ in later)], np.r_[label, *(x for _, x in later)]
+            one, two = (_unpack(b"".join(col[n]), LABEL) for n in ("labels", "labels2"))
+            doc = np.concatenate([_unsteps(b, s, len(x) // LABEL) for base, steps, labels in (("base", "steps", "labels"), ("base2", "steps2", "labels2"))
+                                  for b, s, x in zip(col[base], col[steps], col[labels], strict=True)])
+            low = high = _unpack(b"".join(col["before"]), BEFORE)
+            low, high = np.r_[np.where(low == _MIXED, 0, low), np.full(len(two), _MIXED)], np.r_[high, np.zeros(len(two), np.uint64)]
+            label = np.r_[one, two]
             order = np.lexsort((doc, label))
             label, doc = label[order], doc[order]
             new = np.r_[True, label[1:] != label[:-1]]
             first, node = np.flatnonzero(new), np.cumsum(new) - 1
+            fork = np.minimum.reduceat(low[order], first) < np.maximum.reduceat(high[order], first)
+            label = label | fork[node].astype(np.uint64)
             shared = doc[first] < doc[np.r_[first[1:], len(doc)] - 1]
             hit = shared[node] & (new | np.r_[True, doc[1:] != doc[:-1]])
             doc, label = doc[hit], label[hit]
@@ -173,7 +204,7 @@ def _nodes(places: int):
             order = np.lexsort((doc, place))
             doc, label, place = doc[order], label[order], place[order]
             cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-            rows = [(int(place[a]), *_steps(doc[a:b]), label[a:b].tobytes()) for a, b in zip(cuts, np.r_[cuts[1:], len(doc)], strict=True)]
+            rows = [(int(place[a]), *_steps(doc[a:b]), _pack(label[a:b], LABEL)) for a, b in zip(cuts, np.r_[cuts[1:], len(doc)], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (
                 pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["__place", "__base", "__steps", "__labels"])
     return run
@@ -183,7 +214,7 @@ def _candidates(docs: DataFrame, window: int, group_suffixes: int) -> DataFrame:
     """The rows of ``docs`` (doc_id, text) and, ahead of each place's rows, the labels that its documents share with others:
     both reach a place by one shuffle, sorted so that a task holds one place's labels and streams its texts."""
     narrow = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    groups, n = plan_groups(_prefix_counts(narrow, window), group_suffixes)
+    groups, n = plan_groups(_prefix_counts(narrow, window, group_suffixes), group_suffixes)
     places = n // 2 * 2 + 1
     dealt = narrow.mapInArrow(_deal(window, groups, n), ROWS)
     hits = dealt.repartitionById(n, F.col("grp")).sortWithinPartitions("grp").mapInArrow(
@@ -207,12 +238,12 @@ class _Labels:
         self.parts, self.doc, self.label = [], np.empty(0, np.int64), np.empty(0, np.uint64)
 
     def add(self, base, steps, labels) -> None:
-        self.parts.append((_unsteps(base, steps, len(labels) // 8), np.frombuffer(labels, np.uint64)))
+        self.parts.append((_unsteps(base, steps, len(labels) // LABEL), _unpack(labels, LABEL)))
 
     def of(self, doc) -> np.ndarray:
         if self.parts:
             doc_, label = np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts])
-            order = np.argsort(doc_, kind="stable")
+            order = np.lexsort((label, doc_))
             self.doc, self.label, self.parts = doc_[order], label[order], []
         if doc is None:
             return self.label[:0]
@@ -220,7 +251,8 @@ class _Labels:
 
 
 def _regions(window: int):
-    """Over the rows of :func:`_candidates`: each run of neighbouring windows that have shared labels, with its word hashes."""
+    """Over the rows of :func:`_candidates`: each run of neighbouring windows that have shared labels, with its word hashes and the
+    offsets (offs) at which a repeat can start."""
     def run(batches):
         labels, at = _Labels(), None
         for part in slices(batches, "text"):
@@ -236,51 +268,17 @@ def _regions(window: int):
                 if not len(known) or len(words) < window:
                     continue
                 h = word_hashes(words)
-                edges = np.flatnonzero(np.diff(np.r_[0, np.isin(combine(h, window), known), 0]))
-                out += [(col["doc_id"][i], col["tag"][i], int(a), h[a:b + window - 1].tobytes())
+                own = combine(h, window) & _LABEL
+                place = np.minimum(np.searchsorted(known, own), len(known) - 1)  # a label comes once, with or without its last bit
+                hit = known[place] & _LABEL == own
+                start = hit & ((known[place] != own) | np.r_[True, ~hit[:-1]])
+                edges = np.flatnonzero(np.diff(np.r_[0, hit, 0]))
+                out += [(col["doc_id"][i], col["tag"][i], int(a), h[a:b + window - 1].tobytes(), np.flatnonzero(start[a:b]).astype(np.int32))
                         for a, b in zip(edges[::2], edges[1::2], strict=True)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (
-                    pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "tag", "start", "words"])
-    return run
-
-
-def _region_labels(part: pa.RecordBatch, window: int):
-    """Of regions: word hashes end to end, the places where a window starts, its region, its offset there, its label."""
-    words = part.column(part.schema.get_field_index("words"))
-    size = np.array([len(w) for w in words.to_pylist()], np.int64) // 8
-    first = np.cumsum(size) - size
-    h = np.frombuffer(b"".join(words.to_pylist()), np.uint64)
-    region = np.repeat(np.arange(len(size)), size - window + 1)
-    off = np.arange(len(region)) - np.repeat(np.cumsum(size - window + 1) - (size - window + 1), size - window + 1)
-    at = first[region] + off
-    return h, at, region, off, combine(h, window)[at]
-
-
-def _before(window: int):
-    """The smallest and the largest word hash before each label; the start of a region stands for all of them."""
-    def run(batches):
-        for part in slices(batches, "words"):
-            h, at, _, off, label = _region_labels(part, window)
-            word = h.view(np.int64)[at - 1]
-            ends = np.iinfo(np.int64)
-            lo, hi = np.where(off == 0, ends.min, word), np.where(off == 0, ends.max, word)
-            order = np.argsort(label)
-            label, lo, hi = label[order], lo[order], hi[order]
-            new = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(label[new].view(np.int64)), pa.array(np.minimum.reduceat(lo, new)),
-                                              pa.array(np.maximum.reduceat(hi, new))], names=["label", "lo", "hi"])
-    return run
-
-
-def _starts(window: int):
-    """All windows of regions."""
-    def run(batches):
-        for part in slices(batches, "words"):
-            _, _, region, off, label = _region_labels(part, window)
-            doc, tag, start = (part.column(part.schema.get_field_index(n)).to_numpy()[region] for n in ("doc_id", "tag", "start"))
-            yield pa.RecordBatch.from_arrays([pa.array(label.view(np.int64)), pa.array(doc), pa.array(tag), pa.array(start), pa.array(off)],
-                                             names=["label", "doc_id", "tag", "start", "off"])
+                    pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())), strict=True)],
+                    names=["doc_id", "tag", "start", "words", "offs"])
     return run
 
 
@@ -295,22 +293,40 @@ def _pieces(window: int):
             out = []
             for doc, tag, start, offs, words in zip(*(col[n] for n in ("doc_id", "tag", "start", "offs", "words")), strict=True):
                 gram = combine(np.frombuffer(words, np.uint64), k)
-                off = np.unique(np.array(offs, np.int64))
+                off = np.array(offs, np.int64)
                 key = np.min([gram[off + j] for j in range(window - k + 1)], axis=0)
                 for x in np.unique(key):
                     o = off[key == x]
                     rest, at = words[8 * int(o[0]):], (o - o[0]).astype(np.int32)
-                    out.append((int(x.view(np.int64)), hashlib.md5(at.tobytes() + rest).digest(), doc, tag, start, int(o[0]), at))
+                    out.append((int(x.view(np.int64)), hashlib.md5(at.tobytes() + rest).digest(), doc, tag, start, int(o[0]), len(rest) // 8, at))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (
-                    pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)],
-                    names=["key", "piece", "doc_id", "tag", "start", "at", "offs"])
+                    pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)],
+                    names=["key", "piece", "doc_id", "tag", "start", "at", "words", "offs"])
     return run
 
 
-def sort_suffixes(pieces: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by their words of the suffixes that start at places ``at`` of the pieces laid end to end with one place between
-    them, and the words each has in common with the one before. Ranks of twice the length are made until all differ."""
+def sort_suffixes(pieces: list[np.ndarray], of: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by their words of the suffixes that start at ``off`` of the pieces ``of``, and the words each has in common
+    with the one before. Few suffixes are compared as they are; many of long pieces by :func:`double`."""
+    size = np.array([len(p) for p in pieces], np.int64)
+    if (size[of] - off).sum() > 64 * size.sum():
+        return double(pieces, (np.cumsum(size + 1) - size - 1)[of] + off)
+    held = [p.tobytes() for p in pieces]
+    tails = [held[i][8 * o:] for i, o in zip(of.tolist(), off.tolist(), strict=True)]
+    order = sorted(range(len(tails)), key=tails.__getitem__)  # any order of the words will do, if it is the same for all
+    common = np.zeros(len(order), np.int64)
+    for k, (i, j) in enumerate(zip(order, order[1:], strict=False), 1):
+        a, b = pieces[of[i]][off[i]:], pieces[of[j]][off[j]:]
+        n = min(len(a), len(b))
+        apart = a[:n] != b[:n]
+        common[k] = apart.argmax() if apart.any() else n
+    return np.array(order, np.int64), common
+
+
+def double(pieces: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`sort_suffixes` for the places ``at`` of the pieces laid end to end with one place between them: ranks of twice the
+    length are made until all differ."""
     size = np.array([len(p) for p in pieces], np.int64)
     ends = np.cumsum(size + 1) - 1
     rank = np.empty(int(ends[-1]) + 1, np.int64)
@@ -360,39 +376,63 @@ def tree(depth: list[int], low: list[int], common: list[int]) -> list[tuple[int,
     while len(path) > 1:
         node = path.pop()
         close(node, path[-1])
+    # the nearest node above with a smaller document; parents are shorter, so they come first
+    above = [-1] * len(depth)
+    for node in sorted(range(len(depth)), key=depth.__getitem__):
+        parent = up[node]
+        if parent >= 0:
+            above[node] = parent if low[parent] < low[node] else above[parent]
     out = []
     for k in range(leaves):
-        node = own[k]
-        while node >= 0 and low[node] >= doc[k]:
-            node = up[node]
+        node = own[k] if low[own[k]] < doc[k] else above[own[k]]
         out.append((*((depth[node], low[node]) if node >= 0 else (0, 0)), depth[k], low[own[k]]))
     return out
 
 
 def _tree_of(rows: list[tuple]) -> pa.RecordBatch:
-    """The repeats of whole groups of pieces (key, piece, least, offs, words)."""
-    pieces = [np.frombuffer(r[4], np.uint64) for r in rows]
-    count = np.array([len(r[3]) for r in rows])
+    """The repeats of whole groups of pieces (key, grp, piece, least, offs, words)."""
+    pieces = [np.frombuffer(r[5], np.uint64) for r in rows]
+    count = np.array([len(r[4]) for r in rows])
     size = np.array([len(p) for p in pieces], np.int64)
-    off, of = np.concatenate([r[3] for r in rows]).astype(np.int64), np.repeat(np.arange(len(rows)), count)
-    order, common = sort_suffixes(pieces, (np.cumsum(size + 1) - size - 1)[of] + off)
-    nodes = tree((size[of] - off)[order].tolist(), np.array([r[2] for r in rows], np.int64)[of][order].tolist(), common.tolist())
+    off, of = np.concatenate([r[4] for r in rows]).astype(np.int64), np.repeat(np.arange(len(rows)), count)
+    order, common = sort_suffixes(pieces, of, off)
+    nodes = tree((size[of] - off)[order].tolist(), np.array([r[3] for r in rows], np.int64)[of][order].tolist(), common.tolist())
     found = np.empty((len(off), 4), np.int64)
     found[order] = nodes
     ends = pa.array(np.r_[0, np.cumsum(count)], pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
-                                       pa.array([r[2] for r in rows], pa.int64()), *(pa.ListArray.from_arrays(
-                                           ends, pa.array(np.ascontiguousarray(found[:, i]))) for i in range(4))],
-                                      names=["key", "piece", "least", "length", "owner", "length2", "owner2"])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()),
+                                       pa.array([r[3] for r in rows], pa.int64()), *(pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(x)))
+                                                                                   for x in (off, *found.T))],
+                                      names=["key", "piece", "least", "offs", "length", "owner", "length2", "owner2"])
+
+
+def _split(window: int):
+    """Pieces (key, piece, least, offs, words, heavy) with the group they meet in: their key, or for each start of a heavy one
+    its whole first window."""
+    def run(batches):
+        for part in slices(batches, "words"):
+            rows = []
+            for key, piece, least, offs, words, heavy in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
+                if not heavy:
+                    rows.append((key, key, piece, least, offs, words))
+                    continue
+                label = combine(np.frombuffer(words, np.uint64), window)[offs].view(np.int64)
+                for x in np.unique(label):
+                    o = np.array(offs)[label == x]
+                    rows.append((key, int(x), piece, least, o, words))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (
+                pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.binary()), strict=True)],
+                names=["key", "grp", "piece", "least", "offs", "words"])
+    return run
 
 
 def _trees(batches):
     rows, held = [], 0
-    for group in grouped(batches, "key"):
-        new = list(zip(*(group.column(i).to_pylist() for i in range(5)), strict=True))
+    for group in grouped(batches, "grp"):
+        new = list(zip(*(group.column(i).to_pylist() for i in range(6)), strict=True))
         rows += new
-        held += sum(len(r[4]) for r in new) // 8
-        if held >= TREE_WORDS:
+        held += sum(len(r[5]) for r in new) // 8
+        if held >= BATCH_WORDS:
             yield _tree_of(rows)
             rows, held = [], 0
     if rows:
@@ -414,19 +454,18 @@ def repeats(docs: DataFrame, window: int, group_suffixes: int) -> DataFrame:
     """Of the rows of ``docs`` (doc_id, text) that have any: doc_id, tag and found, the deepest node with a smaller document at
     each place where a repeat can start (start, length, owner)."""
     regions = _staged(_candidates(docs, window, group_suffixes).mapInArrow(
-        _regions(window), "doc_id long, tag long, start long, words binary"), "regions")
-    fork = regions.mapInArrow(_before(window), "label long, lo long, hi long").groupBy("label").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("label")
+        _regions(window), "doc_id long, tag long, start long, words binary, offs array<int>"), "regions")
     row = ["doc_id", "tag", "start"]
-    starts = regions.mapInArrow(_starts(window), "label long, doc_id long, tag long, start long, off long").join(fork, "label").groupBy(
-        *row).agg(F.collect_list("off").alias("offs"))
-    pieces = _staged(starts.join(regions, row).mapInArrow(
-        _pieces(window), "key long, piece binary, doc_id long, tag long, start long, at long, offs array<int>"), "pieces")
-    first = pieces.groupBy("key", "piece").agg(F.min(F.struct(*row, "at", "offs")).alias("x")).select("key", "piece", "x.*")
-    nodes = first.join(regions, row).selectExpr(
-        "key", "piece", "doc_id", "offs", "substring(words, CAST(8 * at + 1 AS INT)) AS words").repartition("key").sortWithinPartitions("key").mapInArrow(
-        _trees, "key long, piece binary, least long, length array<long>, owner array<long>, length2 array<long>, owner2 array<long>")
-    found = pieces.join(nodes, ["key", "piece"]).selectExpr(
+    pieces = _staged(regions.mapInArrow(
+        _pieces(window), "key long, piece binary, doc_id long, tag long, start long, at long, words long, offs array<int>"), "pieces")
+    first = pieces.groupBy("key", "piece").agg(F.min(F.struct(*row, "at", "words", "offs")).alias("x")).select("key", "piece", "x.*")
+    heavy = first.groupBy("key").agg(F.sum("words").alias("n")).filter(F.col("n") > TREE_WORDS).select("key", F.lit(True).alias("heavy"))
+    whole = first.drop("words").join(heavy, "key", "left").join(regions.select(*row, "words"), row).selectExpr(
+        "key", "piece", "doc_id AS least", "offs", "substring(words, CAST(8 * at + 1 AS INT)) AS words", "coalesce(heavy, false) AS heavy")
+    nodes = whole.mapInArrow(_split(window), "key long, grp long, piece binary, least long, offs array<int>, words binary").repartition(
+        "grp").sortWithinPartitions("grp").mapInArrow(_trees, "key long, piece binary, least long, offs array<long>, length array<long>, "
+                                                      "owner array<long>, length2 array<long>, owner2 array<long>")
+    found = pieces.drop("offs").join(nodes, ["key", "piece"]).selectExpr(
         "doc_id", "tag", "start + at AS start", "offs", "IF(doc_id = least, length, length2) AS length", "IF(doc_id = least, owner, owner2) AS owner").selectExpr("doc_id", "tag", f"""filter(transform(
         arrays_zip(offs, length, owner),
         x -> struct(start + x.offs AS start, x.length AS length, x.owner AS owner)), x -> x.length >= {window}) AS found""")

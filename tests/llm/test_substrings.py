@@ -1,7 +1,10 @@
 import random
 import re
 
+import time
+
 import numpy as np
+import pytest
 from cohortflow.llm import substrings
 from cohortflow.llm.common import table
 from cohortflow.llm.substrings import plan_groups, remove_repeats, without_repeats
@@ -55,7 +58,7 @@ def test_spans_are_maximal(make):
 
 
 def test_common_prefixes_are_extended():
-    counts = np.zeros((len(substrings.DEPTHS), substrings.BUCKETS), np.int64)
+    counts = np.zeros((len(substrings.DEPTHS), 1 << 14), np.int64)
     counts[0, :3], counts[1, 5:9] = (900, 40, 60), (500, 100, 100, 100)
     groups, n = plan_groups(counts, 100)
     assert n == 10 and groups[0, 0] == -1 and groups[0, 1] >= 0 and groups[1, 5] == -1 and groups[1, 6] >= 0
@@ -93,6 +96,12 @@ def brute_spans(rows, window=13):
     return out
 
 
+def test_table_of_prefixes_grows_with_the_corpus():
+    assert substrings.table_size(0, 10**6) == substrings.table_size(10**9, 10**6) == 1 << 14
+    assert substrings.table_size(10**12, 10**6) == 1 << 22 == substrings.table_size(10**14, 10**6)
+    assert 1 << 14 < substrings.table_size(10**11, 10**6) < 1 << 22
+
+
 def spans_of(df):
     out = {}
     for r in df.collect():
@@ -107,7 +116,9 @@ def test_passages_side_by_side_are_two_repeats(make):
     assert got[3] == {((0, 20, 1), (20, 20, 2))}
 
 
-def test_spans_equal_brute_force(make):
+@pytest.mark.parametrize("tree_words", [4_000_000, 60])
+def test_spans_equal_brute_force(make, monkeypatch, tree_words):
+    monkeypatch.setattr(substrings, "TREE_WORDS", tree_words)  # with few, every key is heavy
     rng = random.Random(5)
     base = [[f"w{rng.randrange(3000)}" for _ in range(60)] for _ in range(3)]
     rows = [(None, " ".join(base[0])), (8, " ".join(base[0])), (8, " ".join(base[1][:30])), (8, " ".join(base[1][:30])), (4, " ".join(["a"] * 30)),
@@ -125,8 +136,44 @@ def test_spans_equal_brute_force(make):
 
 def test_tree_compares_words_not_labels():
     pieces, docs = [np.array(x, np.uint64) for x in ([1, 2, 3, 4], [9, 8, 7], [1, 2, 3, 5, 6], [1, 2, 3])], [7, 2, 5, 6]
-    order, common = substrings.sort_suffixes(pieces, np.array([0, 5, 9, 15]))
+    order, common = substrings.double(pieces, np.array([0, 5, 9, 15]))
     assert order.tolist() == [3, 0, 2, 1] and common.tolist() == [0, 3, 3, 0]
     got = substrings.tree([len(pieces[k]) for k in order], [docs[k] for k in order], common.tolist())
     assert got == [(3, 5, 3, 5), (3, 5, 4, 7), (0, 2, 5, 5), (0, 0, 3, 2)]
     assert [g[:2] for g in substrings.tree([3, 3, 3, 5], [1, 2, 3, 4], [0, 3, 3, 3])] == [(0, 0), (3, 1), (3, 1), (3, 1)]
+
+
+def test_both_ways_to_sort_suffixes_agree():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        pieces = [rng.integers(0, 3, rng.integers(1, 40)).astype(np.uint64) for _ in range(rng.integers(1, 12))]
+        of = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+        off = np.concatenate([np.arange(len(p)) for p in pieces])
+        size = np.array([len(p) for p in pieces])
+        results = []
+        for order, common in (substrings.sort_suffixes(pieces, of, off), substrings.double(pieces, (np.cumsum(size + 1) - size - 1)[of] + off)):
+            doc = rng.permutation(1000)[:len(pieces)] if not results else doc  # noqa: F821
+            nodes = substrings.tree((size[of] - off)[order].tolist(), doc[of][order].tolist(), common.tolist())
+            back = [None] * len(order)
+            for k, x in zip(order.tolist(), nodes, strict=True):
+                back[k] = x
+            results.append(back)
+        assert results[0] == results[1]
+
+
+def test_very_long_repetitive_texts(make):
+    n = 200_000
+    docs = make([(1, "word " * n), (2, "word " * (n - 1000)), (3, "a " + "word " * (n + 5))])
+    docs.count()
+    remove_repeats(make([(1, "warm"), (2, "up")])).collect()
+    began = time.time()
+    got = {r.doc_id: (r.n_removed, [(s.start, s.length, s.owner) for s in r.spans]) for r in remove_repeats(docs).collect()}
+    took = time.time() - began
+    assert got == {1: (0, []), 2: (n - 1000, [(0, n - 1000, 1)]), 3: (n + 5, [(k, n, 1) for k in range(1, 7)])}
+    assert took < 25  # the whole query with its jobs; the trees take a small part
+    size, at = n, np.arange(n)
+    piece = [np.full(size, 7, np.uint64)]
+    began = time.time()
+    order, common = substrings.sort_suffixes(piece, np.zeros(n, np.int64), at)
+    substrings.tree((size - at)[order].tolist(), [1] * n, common.tolist())
+    assert time.time() - began < 10
