@@ -3,14 +3,15 @@
 Every position of a document starts a suffix. Only tree nodes at a depth of ``window`` words or more count. They are
 found in two steps.
 
-Candidates: the first ``window`` words of each suffix, held as a 64-bit hash (its label), are dealt to a group by a
+Candidates: of the ``SPAN`` shorter runs of words that a window holds, the one with the least hash stands for it, so that
+windows with equal words are stood for by equal runs, and about one suffix in three is dealt: its run's hash (the label) goes to a group by a
 prefix of variable length: one word, or as many more as it takes until the prefix has few enough suffixes (counted over
 the whole corpus) to be held in memory; what is still too common after ``DEPTHS`` is dealt by its whole label. Small
 prefixes share a group. Equal labels always meet: they have the same prefixes. A label that two documents have goes back
 to them; neighbouring windows with such labels join into regions, and every repeat lies inside one region of each document.
 
 Trees: a repeat that can't grow to the left starts at a window whose label has different words before it somewhere (a fork:
-the word before travels with the label, and the answer tells), or which starts a region. Only suffixes that start there go on, as word hashes up to the end of the region. They are dealt by
+a hash of the ``SPAN`` words before travels with the label, and the answer tells), or which starts a region. Only suffixes that start there go on, as word hashes up to the end of the region. They are dealt by
 the least hash of ``KEY`` words in their first window, so that neighbouring suffixes of a region mostly travel as one piece, and
 where such a key has more than ``TREE_WORDS`` words by the whole first window;
 equal pieces travel once, with their smallest document. A task sorts the suffixes of its pieces by their words, and the
@@ -19,7 +20,7 @@ its repeat: its depth is the length, its smallest document the owner. Labels onl
 repeat is compared.
 
 Within a slice of documents a label's later documents travel apart from its smallest one, without the word before, but to the
-same group: a passage that half the corpus shares costs its group seven or eight bytes for each document.
+same group: a passage that half the corpus shares costs its group seven or eight bytes a label for each document.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import combine, cut_lineage, grouped, ship, slice_words, slices, word_hashes
+from .common import combine, cut_lineage, grouped, mix64, ship, slice_words, slices, word_hashes
 
 DEPTHS = (1, 2, 3, 5)
+SPAN = 5
 KEY = 4
 TREE_WORDS, BATCH_WORDS = 4_000_000, 250_000
 LABEL, BEFORE = 6, 5  # bytes that travel of a label and of the word before it
@@ -52,15 +54,43 @@ def _unpack(x: bytes, n: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _windows(part: pa.RecordBatch, window: int):
-    """Of a slice: word hashes laid end to end, the row of each, and the places where a window starts."""
+def _run(window: int) -> int:
+    """Words of the runs that stand for windows."""
+    return max(1, window - SPAN + 1)
+
+
+def standing(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of the words ``h`` the place of the run that stands for it (the first of the least), and the hash of the run at each place."""
+    run = _run(window)
+    gram, n = combine(h, run), len(h) - window + 1
+    if n <= 0:
+        return np.empty(0, np.int64), gram
+    place, best = np.arange(n), gram[:n].copy()
+    for k in range(1, window - run + 1):
+        less = gram[k:k + n] < best
+        best[less] = gram[k:k + n][less]
+        place[less] = np.flatnonzero(less) + k
+    return place, gram
+
+
+def _suffixes(part: pa.RecordBatch, window: int):
+    """Of a slice: word hashes laid end to end, the row of each, and the places of the runs that stand for windows, with their hashes."""
     h, at = slice_words(part.column(1))
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     known = part.column(0).is_valid().to_numpy(zero_copy_only=False)
-    if len(h) < window:
-        return h, row, np.empty(0, np.int64)
-    starts = np.flatnonzero((row[:len(h) - window + 1] == row[window - 1:]) & known[row[:len(h) - window + 1]])
-    return h, row, starts
+    place, gram = standing(h, window)
+    inside = (row[:len(place)] == row[window - 1:]) & known[row[:len(place)]] if len(place) else np.empty(0, bool)
+    starts = np.unique(place[inside])
+    return h, row, starts, gram[starts]
+
+
+def _words_before(h: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of the ``SPAN`` words before each place; those before a document's first stand for themselves."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(1, SPAN + 1):
+        own = (at >= k) & (row[at - k] == row[at])
+        out = mix64(out + np.where(own, h[at - k] | np.uint64(1), np.uint64(0)))
+    return out % (_MIXED - np.uint64(1)) + np.uint64(1)
 
 
 def _buckets(h: np.ndarray, starts: np.ndarray, depth: int, buckets: int) -> np.ndarray:
@@ -81,10 +111,10 @@ def _prefix_counts(docs: DataFrame, window: int, group_suffixes: int) -> np.ndar
     def run(batches):
         total = np.zeros((len(DEPTHS), buckets), np.int64)
         for part in slices(batches, "text"):
-            h, _, starts = _windows(part, window)
+            h, _, starts, _ = _suffixes(part, window)
             if len(starts):
                 for k, depth in enumerate(DEPTHS):
-                    total[k] += np.bincount(_buckets(h, starts, depth, buckets), minlength=buckets)
+                    total[k] += np.bincount(_buckets(h, starts, min(depth, _run(window)), buckets), minlength=buckets)
         k, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k * buckets + b), pa.array(total[k, b])], names=["slot", "n"])
 
@@ -108,13 +138,13 @@ def plan_groups(counts: np.ndarray, group_suffixes: int) -> tuple[np.ndarray, in
     return groups, n
 
 
-def _route(h, starts, labels, groups, n):
+def _route(h, starts, labels, groups, n, run):
     out = np.full(len(starts), -1, np.int64)
     for k, depth in enumerate(DEPTHS):
         left = np.flatnonzero(out < 0)
         if not len(left):
             break
-        out[left] = groups[k][_buckets(h, starts[left], depth, groups.shape[1])]
+        out[left] = groups[k][_buckets(h, starts[left], min(depth, run), groups.shape[1])]
     left = out < 0
     out[left] = (labels[left] % np.uint64(n)).astype(np.int64)
     return out
@@ -134,23 +164,22 @@ def _unsteps(base: int, steps: bytes, n: int) -> np.ndarray:
 def _deal(window: int, groups: np.ndarray, n: int):
     def run(batches):
         for part in slices(batches, "text"):
-            h, row, starts = _windows(part, window)
+            h, row, starts, label = _suffixes(part, window)
             if not len(starts):
                 continue
             ids = part.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            label, doc = combine(h, window)[starts] & _LABEL, ids[row[starts]]
+            label, doc = label & _LABEL, ids[row[starts]]
             order = np.lexsort((doc, label))
             label, doc, at = label[order], doc[order], starts[order]
             new = np.r_[True, label[1:] != label[:-1]]
-            # the word before each window; that of a document's first stands for itself
-            before = np.where((at > 0) & (row[at] == row[at - 1]), h[at - 1] % (_MIXED - np.uint64(1)) + np.uint64(1), np.uint64(0))
+            before = _words_before(h, row, at)
             run_at = np.flatnonzero(new)
             least_before, most_before = np.minimum.reduceat(before, run_at), np.maximum.reduceat(before, run_at)
             before = np.where(least_before == most_before, least_before, _MIXED)[np.cumsum(new) - 1]
             least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
             again = np.r_[False, (label[1:] == label[:-1]) & (doc[1:] == doc[:-1])]
             later = (doc > least) & ~again
-            grp = _route(h, at, label, groups, n)
+            grp = _route(h, at, label, groups, n, _run(window))
             rows = []
             keep = np.flatnonzero(new | later)
             keep = keep[np.lexsort((doc[keep], later[keep], grp[keep]))]
@@ -268,10 +297,11 @@ def _regions(window: int):
                 if not len(known) or len(words) < window:
                     continue
                 h = word_hashes(words)
-                own = combine(h, window) & _LABEL
-                place = np.minimum(np.searchsorted(known, own), len(known) - 1)  # a label comes once, with or without its last bit
-                hit = known[place] & _LABEL == own
-                start = hit & ((known[place] != own) | np.r_[True, ~hit[:-1]])
+                place, gram = standing(h, window)
+                own = gram[place] & _LABEL
+                at_known = np.minimum(np.searchsorted(known, own), len(known) - 1)  # a label comes once, with or without its last bit
+                hit = known[at_known] & _LABEL == own
+                start = hit & ((known[at_known] != own) | np.r_[True, ~hit[:-1]])
                 edges = np.flatnonzero(np.diff(np.r_[0, hit, 0]))
                 out += [(col["doc_id"][i], col["tag"][i], int(a), h[a:b + window - 1].tobytes(), np.flatnonzero(start[a:b]).astype(np.int32))
                         for a, b in zip(edges[::2], edges[1::2], strict=True)]

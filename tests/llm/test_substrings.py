@@ -132,6 +132,8 @@ def test_spans_equal_brute_force(make, monkeypatch, tree_words):
         rows.append((d, " ".join(w)))
     rng.shuffle(rows)
     assert spans_of(remove_repeats(make(rows, 5), group_suffixes=300)) == brute_spans(rows)
+    if tree_words > 60:
+        assert spans_of(remove_repeats(make(rows, 5), window=4)) == brute_spans(rows, 4)
 
 
 def test_tree_compares_words_not_labels():
@@ -143,6 +145,19 @@ def test_tree_compares_words_not_labels():
     assert [g[:2] for g in substrings.tree([3, 3, 3, 5], [1, 2, 3, 4], [0, 3, 3, 3])] == [(0, 0), (3, 1), (3, 1), (3, 1)]
 
 
+@pytest.mark.parametrize("window", [1, 3, 5, 6, 13])
+def test_equal_windows_are_stood_for_by_equal_runs(window):
+    rng = np.random.default_rng(window)
+    h = rng.integers(0, 4, 400).astype(np.uint64)
+    place, gram = substrings.standing(h, window)
+    run = max(1, window - substrings.SPAN + 1)
+    seen = {}
+    for i, p in enumerate(place.tolist()):
+        assert i <= p <= i + window - run and gram[p] == min(gram[i:i + window - run + 1])
+        assert seen.setdefault(tuple(h[i:i + window].tolist()), p - i) == p - i
+    assert len(place) == 400 - window + 1 and not len(substrings.standing(h[:window - 1], window)[0])
+
+
 def test_both_ways_to_sort_suffixes_agree():
     rng = np.random.default_rng(4)
     for _ in range(30):
