@@ -10,8 +10,9 @@ the whole corpus) to be held in memory; what is still too common after ``DEPTHS`
 prefixes share a group. Equal labels always meet: they have the same prefixes. A label that two documents have goes back
 to them; neighbouring windows with such labels join into regions, and every repeat lies inside one region of each document.
 
-Trees: a repeat that can't grow to the left starts at a window whose label has different words before it somewhere (a fork:
-a hash of the ``SPAN`` words before travels with the label, and the answer tells), or which starts a region. Only suffixes that start there go on, as word hashes up to the end of the region. They are dealt by
+Trees: a repeat that can't grow to the left starts at a window that somewhere has another word before it (a fork: 32 bits of
+each of the ``SPAN`` words before a run travel with its label, and the answer tells at which of them occurrences part), or which
+starts a region. Only suffixes that start there go on, as word hashes up to the end of the region. They are dealt by
 the least hash of ``KEY`` words in their first window, so that neighbouring suffixes of a region mostly travel as one piece, and
 where such a key has more than ``TREE_WORDS`` words by the whole first window;
 equal pieces travel once, with their smallest document. A task sorts the suffixes of its pieces by their words, and the
@@ -38,8 +39,8 @@ DEPTHS = (1, 2, 3, 5)
 SPAN = 5
 KEY = 4
 TREE_WORDS, BATCH_WORDS = 4_000_000, 250_000
-LABEL, BEFORE = 6, 5  # bytes that travel of a label and of the word before it
-_LABEL, _MIXED = np.uint64((1 << 8 * LABEL) - 2), np.uint64((1 << 8 * BEFORE) - 1)  # the last bit of a label tells forks
+LABEL = 6  # bytes that travel of a label
+_LABEL = np.uint64((1 << 8 * LABEL) - (1 << SPAN))  # its last bits tell forks
 ROWS = "grp int, base long, steps binary, labels binary, before binary, base2 long, steps2 binary, labels2 binary"
 
 
@@ -85,12 +86,35 @@ def _suffixes(part: pa.RecordBatch, window: int):
 
 
 def _words_before(h: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hash of the ``SPAN`` words before each place; those before a document's first stand for themselves."""
-    out = np.zeros(len(at), np.uint64)
+    """32 bits of each of the ``SPAN`` words before each place, the nearest first; 0 stands for those before a document's first."""
+    out = np.zeros((len(at), SPAN), "<u4")
     for k in range(1, SPAN + 1):
         own = (at >= k) & (row[at - k] == row[at])
-        out = mix64(out + np.where(own, h[at - k] | np.uint64(1), np.uint64(0)))
-    return out % (_MIXED - np.uint64(1)) + np.uint64(1)
+        out[:, k - 1] = np.where(own, np.maximum(h[at - k].astype(np.uint32), 1), 0)
+    return out
+
+
+def _parting(label: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels (sorted, those that fork) and, as bits, at which words before them two occurrences part that agree in all nearer ones."""
+    whole = before[:, 0].astype(np.uint64)
+    for k in range(1, SPAN):
+        whole = mix64(whole) + before[:, k]
+    order = np.argsort(label, kind="stable")
+    first = np.flatnonzero(np.r_[True, label[order][1:] != label[order][:-1]])
+    apart = np.minimum.reduceat(whole[order], first) < np.maximum.reduceat(whole[order], first)
+    keep = order[np.repeat(apart, np.diff(np.r_[first, len(order)]))]
+    if not len(keep):
+        return label[:0], np.empty(0, np.uint64)
+    keep = keep[np.lexsort((*before[keep].T[::-1], label[keep]))]
+    label, before = label[keep], before[keep]
+    new = np.r_[True, label[1:] != label[:-1]]
+    bits, open_ = np.zeros(len(label), np.uint64), ~new
+    for k in range(SPAN):
+        part = open_ & np.r_[False, before[1:, k] != before[:-1, k]]
+        bits[part] = 1 << k
+        open_ &= ~part
+    first = np.flatnonzero(new)
+    return label[first], np.bitwise_or.reduceat(bits, first)
 
 
 def _buckets(h: np.ndarray, starts: np.ndarray, depth: int, buckets: int) -> np.ndarray:
@@ -173,22 +197,24 @@ def _deal(window: int, groups: np.ndarray, n: int):
             label, doc, at = label[order], doc[order], starts[order]
             new = np.r_[True, label[1:] != label[:-1]]
             before = _words_before(h, row, at)
-            run_at = np.flatnonzero(new)
-            least_before, most_before = np.minimum.reduceat(before, run_at), np.maximum.reduceat(before, run_at)
-            before = np.where(least_before == most_before, least_before, _MIXED)[np.cumsum(new) - 1]
             least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
             again = np.r_[False, (label[1:] == label[:-1]) & (doc[1:] == doc[:-1])]
             later = (doc > least) & ~again
             grp = _route(h, at, label, groups, n, _run(window))
             rows = []
-            keep = np.flatnonzero(new | later)
-            keep = keep[np.lexsort((doc[keep], later[keep], grp[keep]))]
+            # one record for a label and its least document, and more if the words before it differ within the slice
+            other = np.flatnonzero(~new & (before != before[np.flatnonzero(new)[np.cumsum(new) - 1]]).any(axis=1))
+            keep = np.r_[np.flatnonzero(new), other, np.flatnonzero(later)]
+            doc = np.r_[doc[new], least[other], doc[later]]
+            later = np.repeat([False, True], [len(keep) - later.sum(), later.sum()])
+            grp, label, before = grp[keep], label[keep], before[keep]
+            keep = np.lexsort((doc, later, grp))
             g, lat = grp[keep], later[keep]
             cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
             for lo, hi in zip(cuts, np.r_[cuts[1:], len(g)], strict=True):
                 mid = lo + int(np.count_nonzero(~lat[lo:hi]))
                 one, two = keep[lo:mid], keep[mid:hi]
-                rows.append((int(g[lo]), *_steps(doc[one]), _pack(label[one], LABEL), _pack(before[one], BEFORE),
+                rows.append((int(g[lo]), *_steps(doc[one]), _pack(label[one], LABEL), before[one].tobytes(),
                              *_steps(doc[two]), _pack(label[two], LABEL)))
             types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
@@ -215,15 +241,15 @@ def _nodes(places: int):
             one, two = (_unpack(b"".join(col[n]), LABEL) for n in ("labels", "labels2"))
             doc = np.concatenate([_unsteps(b, s, len(x) // LABEL) for base, steps, labels in (("base", "steps", "labels"), ("base2", "steps2", "labels2"))
                                   for b, s, x in zip(col[base], col[steps], col[labels], strict=True)])
-            low = high = _unpack(b"".join(col["before"]), BEFORE)
-            low, high = np.r_[np.where(low == _MIXED, 0, low), np.full(len(two), _MIXED)], np.r_[high, np.zeros(len(two), np.uint64)]
+            fork, bits = _parting(one, np.frombuffer(b"".join(col["before"]), "<u4").reshape(-1, SPAN))
             label = np.r_[one, two]
             order = np.lexsort((doc, label))
             label, doc = label[order], doc[order]
             new = np.r_[True, label[1:] != label[:-1]]
             first, node = np.flatnonzero(new), np.cumsum(new) - 1
-            fork = np.minimum.reduceat(low[order], first) < np.maximum.reduceat(high[order], first)
-            label = label | fork[node].astype(np.uint64)
+            if len(fork):
+                at = np.minimum(np.searchsorted(fork, label), len(fork) - 1)
+                label = np.where(fork[at] == label, label | bits[at], label)
             shared = doc[first] < doc[np.r_[first[1:], len(doc)] - 1]
             hit = shared[node] & (new | np.r_[True, doc[1:] != doc[:-1]])
             doc, label = doc[hit], label[hit]
@@ -299,9 +325,10 @@ def _regions(window: int):
                 h = word_hashes(words)
                 place, gram = standing(h, window)
                 own = gram[place] & _LABEL
-                at_known = np.minimum(np.searchsorted(known, own), len(known) - 1)  # a label comes once, with or without its last bit
+                at_known = np.minimum(np.searchsorted(known, own), len(known) - 1)  # a label comes once, with any last bits
                 hit = known[at_known] & _LABEL == own
-                start = hit & ((known[at_known] != own) | np.r_[True, ~hit[:-1]])
+                parts = (known[at_known] >> (place - np.arange(len(place))).astype(np.uint64)) & np.uint64(1)
+                start = hit & ((parts > 0) | np.r_[True, ~hit[:-1]])
                 edges = np.flatnonzero(np.diff(np.r_[0, hit, 0]))
                 out += [(col["doc_id"][i], col["tag"][i], int(a), h[a:b + window - 1].tobytes(), np.flatnonzero(start[a:b]).astype(np.int32))
                         for a, b in zip(edges[::2], edges[1::2], strict=True)]
