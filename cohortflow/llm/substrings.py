@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import combine, cut_lineage, grouped, mix64, ship, slice_words, slices, word_hashes
+from .common import combine, cut_lineage, grouped, mix64, ship, slice_words, slices
 
 DEPTHS = (1, 2, 3, 5)
 SPAN = 5
@@ -311,7 +311,8 @@ def _regions(window: int):
     def run(batches):
         labels, at = _Labels(), None
         for part in slices(batches, "text"):
-            col = {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
+            col = {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names) if n != "text"}
+            hashes, ends = slice_words(part.column(part.schema.get_field_index("text")))
             out = []
             for i, (p, kind) in enumerate(zip(col["__place"], col["__kind"], strict=True)):
                 if p != at:
@@ -319,10 +320,9 @@ def _regions(window: int):
                 if kind == 0:
                     labels.add(col["__base"][i], col["__steps"][i], col["__labels"][i])
                     continue
-                known, words = labels.of(col["doc_id"][i]), (col["text"][i] or b"").split()
-                if not len(known) or len(words) < window:
+                known, h = labels.of(col["doc_id"][i]), hashes[ends[i]:ends[i + 1]]
+                if not len(known) or len(h) < window:
                     continue
-                h = word_hashes(words)
                 place, gram = standing(h, window)
                 own = gram[place] & _LABEL
                 at_known = np.minimum(np.searchsorted(known, own), len(known) - 1)  # a label comes once, with any last bits
@@ -526,7 +526,7 @@ def repeats(docs: DataFrame, window: int, group_suffixes: int) -> DataFrame:
         "doc_id", "tag", "start + at AS start", "offs", "IF(doc_id = least, length, length2) AS length", "IF(doc_id = least, owner, owner2) AS owner").selectExpr("doc_id", "tag", f"""filter(transform(
         arrays_zip(offs, length, owner),
         x -> struct(start + x.offs AS start, x.length AS length, x.owner AS owner)), x -> x.length >= {window}) AS found""")
-    return found.filter("size(found) > 0").groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("found")).alias("found"))
+    return _staged(found.filter("size(found) > 0").groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("found")).alias("found")), "repeats")
 
 
 def _maximal(found) -> list[dict]:
