@@ -66,12 +66,11 @@ def standing(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     gram, n = combine(h, run), len(h) - window + 1
     if n <= 0:
         return np.empty(0, np.int64), gram
-    place, best = np.arange(n), gram[:n].copy()
+    coarse = gram & ~np.uint64(7)  # the last bits hold how far on a run is, so that the first of equal ones is the least
+    best = coarse[:n].copy()
     for k in range(1, window - run + 1):
-        less = gram[k:k + n] < best
-        best[less] = gram[k:k + n][less]
-        place[less] = np.flatnonzero(less) + k
-    return place, gram
+        np.minimum(best, coarse[k:k + n] + np.uint64(k), out=best)
+    return np.arange(n) + (best & np.uint64(7)).astype(np.int64), gram
 
 
 def _suffixes(part: pa.RecordBatch, window: int):
@@ -129,22 +128,22 @@ def table_size(text_bytes: int, group_suffixes: int) -> int:
 
 
 def _prefix_counts(docs: DataFrame, window: int, group_suffixes: int) -> np.ndarray:
-    """Exact counts of suffixes by hashed prefix at each of DEPTHS: one bounded array."""
+    """Suffixes to be dealt by hashed prefix at each of DEPTHS, from the counts of all prefixes (runs that stand for windows start at two in
+    SPAN + 1 places): one bounded array."""
     buckets = table_size(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, group_suffixes)
 
     def run(batches):
         total = np.zeros((len(DEPTHS), buckets), np.int64)
         for part in slices(batches, "text"):
-            h, _, starts, _ = _suffixes(part, window)
-            if len(starts):
-                for k, depth in enumerate(DEPTHS):
-                    total[k] += np.bincount(_buckets(h, starts, min(depth, _run(window)), buckets), minlength=buckets)
+            h, _ = slice_words(part.column(1))
+            for k, depth in enumerate(DEPTHS):
+                total[k] += np.bincount(_buckets(h, slice(None), min(depth, _run(window)), buckets), minlength=buckets)
         k, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k * buckets + b), pa.array(total[k, b])], names=["slot", "n"])
 
     out = np.zeros(len(DEPTHS) * buckets, np.int64)
     for r in docs.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r.slot] = r.n
+        out[r.slot] = -(-2 * r.n // (SPAN + 1))
     return out.reshape(len(DEPTHS), buckets)
 
 
