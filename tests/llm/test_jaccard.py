@@ -2,7 +2,8 @@ import random
 import re
 
 import numpy as np
-from cohortflow.llm.common import component_labels, table
+from cohortflow.llm import jaccard
+from cohortflow.llm.common import component_labels, cut_lineage, table
 from cohortflow.llm.jaccard import jaccard_join, keep_one, least_agreements
 
 from .conftest import SF
@@ -86,7 +87,7 @@ def test_edge_cases(make):
 def test_one_of_each_class_stays(make):
     t = " ".join(f"w{i}" for i in range(60))
     docs = make([(5, t), (3, t + " more"), (4, "else"), (6, None)])
-    assert sorted(r.doc_id for r in keep_one(docs, jaccard_join(docs)).collect()) == [3, 4, 6]
+    assert sorted(r.doc_id for r in keep_one(docs).collect()) == [3, 4, 6]
 
 
 def test_posterior_bounds():
@@ -102,3 +103,49 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, int(x)) for x in rng.integers(101, 140, 60)] + [(500, 400)]
     got = {r.node: r.root for r in component_labels(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **{n: 100 for e in edges for n in e if 100 <= n < 140}, 500: 400, 400: 400}
+
+
+def test_rows_are_kept_by_row_not_by_id(make):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (7, a), (7, b), (3, c), (3, c + " tail"), (7, b), (None, b), (None, "only here"), (None, a), (None, None), (None, None), (8, ""), (8, " "), (8, "")]
+    docs = make(rows, 4).withColumnRenamed("lang", "node").withColumnRenamed("source", "tag")
+    kept = sorted(((r.doc_id, r.text) for r in keep_one(docs).collect()), key=str)
+    by_class = [x for x in kept if x[0] == 3]
+    assert len(by_class) == 1 and by_class[0][1] in (c, c + " tail")
+    assert [x for x in kept if x[0] != 3] == sorted([(1, a), (7, b), (None, "only here"), (None, None), (8, ""), (8, " ")], key=str)
+    assert keep_one(docs).columns == docs.columns
+    again = sorted(((r.doc_id, r.text) for r in keep_one(docs.repartition(7)).collect()), key=str)
+    assert again == kept
+
+
+def near_copies(n, length=60, seed=3):
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(length)]
+    out = []
+    for d in range(n):
+        w = base[:]
+        w[rng.randrange(length)] = f"x{d}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_near_copies_cost_rows_in_proportion(spark, make, monkeypatch):
+    written = {}
+
+    def counting(df, name="stage"):
+        out = cut_lineage(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "cut_lineage", counting)
+    n = 1500
+    got = jaccard_join(make(list(enumerate(near_copies(n)))), block=256).collect()
+    assert {r.class_id for r in got} == {0} and all(r.n_links > 0 for r in got)
+    assert written["candidates"] <= jaccard.BANDS * n * 6 and written["links"] <= jaccard.BANDS * n * 6
+
+
+def test_many_rows_without_an_id(make):
+    texts = near_copies(400)
+    got = jaccard_join(make([(None, t) for t in texts])).collect()
+    want = {r.doc_id: r.n_links for r in jaccard_join(make(list(enumerate(texts)))).collect()}
+    assert sorted(r.n_links for r in got) == sorted(want.values()) and len(keep_one(make([(None, t) for t in texts])).collect()) == 1
