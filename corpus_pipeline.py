@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents that links of five-word Jaccard similarity 0.8 or more connect, the smallest id stays."""
-    return jaccard.keep_one(docs, jaccard.jaccard_join(docs))
+    """Of each class of documents that links of five-word Jaccard similarity 0.8 or more connect, one row of the smallest id stays."""
+    return jaccard.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
