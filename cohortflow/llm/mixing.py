@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut_lineage, ship
+from .common import WORD, cut_lineage, ship, slices
 
 
 def targets(sizes: list[float], weights: list[float], total: float, most: float) -> list[float]:
@@ -70,7 +70,7 @@ def sainte_lague(votes: list[float], seats: int, most: list[int]) -> list[int]:
 def _select(block: int, seed: int):
     """One shard: (doc_id, size, ..., quota) -> how often each run of a document's words is taken."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["place", "doc_id", "size"], kind="stable")
+        pdf = pdf.sort_values(["place", "doc_id", "size", "tag"], kind="stable")  # what still ties is equal
         size, quota = pdf["size"].to_numpy(np.int64), int(pdf["quota"].iloc[0])
         end = np.cumsum(size)
         n = -(-int(end[-1]) // block)
@@ -101,13 +101,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total: float =
     (words, repeats counted) and runs (which words how often: start, length, times). Sources, by code point and null
     last, weigh ``weights`` in turn; they share ``total`` times all words, at most ``most`` times their own. No
     document is taken more than ``most`` times, rounded up. A null or empty text has size 0 and takes nothing. Rows that
-    repeat an id are documents of their own; a null id is an id like any other. The same rows, in any order, give the same mix.
+    repeat an id are documents of their own; a null id is an id like any other. The same rows, in any order, give the same mix:
+    a hash of the text tells apart what has no id or a common one, and rows that are equal in both can change places.
     The totals of the sources, one row each, are held by the driver; ``shard_words`` bounds what one task holds. Other
     columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                               *([F.col(key_col).alias("key")] if key_col else []),
+                               *([F.col(key_col).alias("key")] if key_col else []), F.xxhash64(text).alias("tag"),
                                F.size(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(0))).cast("long").alias("size"))
     sizes = cut_lineage(narrow.withColumn("row", F.monotonically_increasing_id()), "sizes")
     sums = {r.source: r.n for r in sizes.groupBy("source").agg(F.sum("size").alias("n")).collect()}
@@ -119,7 +120,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total: float =
     per_source = spark.createDataFrame([(s, n, t, max(1, -(-n // shard_words))) for s, n, t in zip(names, have, want, strict=True)],
                                        "s string, source_size long, target double, shards long")
     known = sizes.join(per_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    dealt = known.filter("size > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("shards")))
+    dealt = known.filter("size > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", "tag", F.lit(seed)), F.col("shards")))
     held = dealt.groupBy("source", "shard").agg(F.sum("size").alias("words"))
 
     quota_of = dict(zip(names, sainte_lague(want, round(sum(want) / block), [int(most) * -(-n // block) for n in have]), strict=True))
@@ -134,7 +135,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total: float =
     quotas = quotas.select(F.col("source").alias("s"), F.col("shard").alias("k"), "quota",
                            F.pmod(F.xxhash64("source", "shard"), F.lit(1 << 62)).alias("draw"))
     taken = dealt.join(quotas, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("k"))).withColumn(
-        "place", F.xxhash64(F.lit(seed), "doc_id", "size")).groupBy("source", "shard").applyInPandas(
+        "place", F.xxhash64(F.lit(seed), "doc_id", "size", "tag")).groupBy("source", "shard").applyInPandas(
         _select(block, seed), f"row long, runs {RUNS}, taken long")
     return known.join(taken, "row", "left").select(
         *(["key"] if key_col else []), "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
@@ -142,31 +143,36 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total: float =
 
 
 def _copies(text_at: int):
+    """Rows with, last, the runs taken of their words: as many rows as the most frequent run is taken."""
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for part in slices(_sized(batches, text_at), "__text"):
             rows, texts = [], []
-            for i, (t, runs) in enumerate(zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
+            for i, (t, runs) in enumerate(zip(part.column(text_at).to_pylist(), part.column(part.num_columns - 2).to_pylist(), strict=True)):
                 words = (t or "").encode().split()
                 for c in range(max((r["times"] for r in runs or ()), default=0)):
                     took = [r for r in runs if r["times"] > c]
                     whole = sum(r["length"] for r in took) == len(words)
                     rows.append(i)
                     texts.append(t if whole else b" ".join([w for r in took for w in words[r["start"]:r["start"] + r["length"]]]).decode())
-            out = batch.take(pa.array(rows, pa.int64()))
-            cols = [pa.array(texts, pa.string()) if k == text_at else out.column(k) for k in range(out.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
+            out = part.take(pa.array(rows, pa.int64()))
+            cols = [pa.array(texts, pa.string()) if k == text_at else out.column(k) for k in range(out.num_columns - 2)]
+            yield pa.RecordBatch.from_arrays(cols, names=part.schema.names[:-2])
+
+    def _sized(batches, at):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, b.column(at).cast(pa.binary())], names=[*b.schema.names, "__text"])
     return run
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document whose words are taken n times comes as up to n rows, each
     with the words that its pass takes (the unchanged text where that is all of them); a document of which nothing
-    is taken goes. Rows of ``docs`` must differ in id or text."""
-    key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    keyed = docs.withColumn("__key", key)
-    runs = mix(keyed, id_col=id_col, text_col=text_col, key_col="__key", **how).filter("taken > 0").select(
+    is taken goes. Rows that repeat an id and a text are documents of their own, each taken as :func:`mix` says. The rows are
+    written once with a number, by which the runs find them again."""
+    keyed = cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()), "to-mix")
+    runs = mix(keyed, id_col=id_col, text_col=text_col, key_col="__row", **how).filter("taken > 0").select(
         F.col("key").alias("__k"), F.col("runs").alias("__runs"))
-    both = keyed.join(runs, F.col("__key") == F.col("__k")).drop("__k", "__key")
+    both = keyed.join(runs, F.col("__row") == F.col("__k")).drop("__k", "__row")
     return both.mapInArrow(_copies(docs.columns.index(text_col)), docs.schema)

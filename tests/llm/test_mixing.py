@@ -99,3 +99,28 @@ def test_sainte_lague_is_the_highest_quotients(parties, seats):
 def test_targets_stop_and_are_shared_again():
     assert targets([10, 100, 100], [3, 1, 2], 150, 2) == pytest.approx([20, 130 / 3, 260 / 3])
     assert targets([0, 10], [3, 1], 15, 2) == [0.0, 15.0] and np.sum(targets([5] * 7, [3, 1, 2, 3, 1, 2, 3], 52.5, 2)) == pytest.approx(52.5)
+
+
+def test_repeated_rows_are_mixed_each_on_its_own(make):
+    text = " ".join(f"w{k}" for k in range(100))
+    rows = [(1, text, "en", "a", 1)] * 4 + [(None, text, "en", "a", 1)] * 3 + [(i, " ".join(f"x{i}_{k}" for k in range(70 + i)), "en", f"s{i % 3}", 1) for i in range(2, 20)]
+    docs = make(rows)
+    words = {}
+    for r in mixed(docs, block=16).collect():
+        words[r.doc_id, r.text.split()[0][:1]] = words.get((r.doc_id, r.text.split()[0][:1]), 0) + size(r.text)
+    taken = {}
+    for r in mix(docs, block=16).collect():
+        k = r.doc_id, "x" if r.doc_id and r.doc_id > 1 else "w"
+        taken[k] = taken.get(k, 0) + r.taken
+    assert {k: v for k, v in taken.items() if v} == words
+    assert words.get((1, "w"), 0) <= 800 and words.get((None, "w"), 0) <= 600
+    have, want = targets_by_hand([(d, t, s) for d, t, _, s, _ in rows])
+    for name in have:
+        got = sum(v for (d, _), v in words.items() if next(r[3] for r in rows if r[0] == d) == name)
+        assert abs(got - want[name]) <= 3 * 16
+
+
+def test_order_of_rows_without_ids_does_not_matter(make):
+    rows = [(None if i % 2 else i, " ".join(f"w{i}_{k}" for k in range(50)), "en", "a" if i < 30 else "b", 1) for i in range(42)]
+    one, two = (sorted((r.doc_id is None, r.doc_id, r.text, r.source) for r in mixed(make(x, p), block=16).collect()) for x, p in ((rows, 3), (rows[::-1], 5)))
+    assert one == two
