@@ -4,7 +4,7 @@ The pieces of a fixed public vocabulary get one probability for each language. A
 its segmentations into pieces, found by a forward pass over its letters; a text's is the product over its words. The
 probabilities are learned by expectation maximisation (forward and backward passes over the same lattice) on a bounded
 sample of documents of each language. Words are scored in batches of equal length, all languages at once, and each word
-once for each task.
+once for each task. Sums that come near the least double are worked out again in logarithms.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 
 from .common import held_out, labelled_sample, ship, slices
 
-LETTERS = re.compile(r"[^\W\d_]+")
+# Letters are what str.isalpha says; \w also holds numerals that are no digits, such as fractions.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
+LETTERS = re.compile(rf"[^\W_{_NUMERALS}]+")
 START, LONGEST_PIECE, LONGEST_WORD = "▁", 16, 40
 NOTHING, UNKNOWN = 0, 1  # rows of the table for no piece, and for a letter that is in no piece
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased; a run over LONGEST_WORD letters is cut into such parts, so that no probability underflows."""
+    """Runs of letters, lower-cased; a run over LONGEST_WORD letters is cut into such parts, which bounds a lattice."""
     found = LETTERS.findall((text or "").lower())
     if any(len(w) > LONGEST_WORD for w in found):
         found = [w[i:i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
@@ -66,6 +68,17 @@ def _forward(n: int, cells, p: np.ndarray, size: int) -> np.ndarray:
     return a
 
 
+def _log_forward(n: int, cells, p: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums for the words ``at`` of a lattice, however small they are."""
+    with np.errstate(divide="ignore"):
+        logs = np.log(p)
+    a = np.full((n + 1, len(at), p.shape[1]), -np.inf)
+    a[0] = 0
+    for (s, e), ids in cells.items():
+        a[e] = np.logaddexp(a[e], a[s] + logs[ids[at]])
+    return a[n]
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -89,7 +102,11 @@ class Model:
             base = len(memo)
             memo.update(zip(new, range(base, base + len(new)), strict=True))
             for at, n, cells in _lattices(new, row):
-                table[base + at] = np.log(_forward(n, cells, self.p, len(at))[n])
+                total = _forward(n, cells, self.p, len(at))[n]
+                small = np.flatnonzero((total < 1e-250).any(axis=1))  # near or below the least double
+                table[base + at] = np.log(np.maximum(total, 1e-300))
+                if len(small):
+                    table[base + at[small]] = _log_forward(n, cells, self.p, small)
 
         def total(words: list[str]) -> np.ndarray:
             return table[np.fromiter(map(memo.__getitem__, words), np.int64, len(words))].sum(axis=0)

@@ -72,3 +72,53 @@ def test_vocabulary_and_words():
     pieces = vocabulary(VOCAB)
     assert START in pieces and START + "the" in pieces and len(pieces) > 5000 and all(p == p.lower() for p in pieces)
     assert words_of("It's A1b_c Ñandú") == ["it", "s", "a", "b", "c", "ñandú"] and words_of(None) == []
+
+
+def test_numerals_are_no_letters(make):
+    rows = [(i, t, lang, "s") for i, (t, lang) in enumerate([("le chat est noir", "fr"), ("the cat is black", "en")] * 20)]
+    model = fit(make(rows), VOCAB)
+    odd = ["½ ² ①", "Ⅷ ⅓ ٣", "一 ½", "_ __", "ª"]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(make(list(enumerate(odd))), model).collect()}
+    assert [got[i] == ("und", 0.0) for i in range(5)] == [not any(map(str.isalpha, t)) for t in odd] == [True, True, False, True, False]
+    assert words_of("x²y ½a_b") == ["x", "y", "a", "b"]
+
+
+def test_sums_below_the_least_double():
+    pieces = [START, "a", "b"]
+    p = np.zeros((5, 2))
+    p[1], p[2:] = 1e-12, 1e-9
+    p[3, 1] = 2e-9
+    learn, total = Model(["x", "y"], pieces, p, np.zeros(2)).scorer()
+    words = ["a" * 40, "q" * 40, "ab" * 20, "a"]
+    learn(set(words))
+    want = {"a" * 40: (41 * math.log(1e-9), math.log(1e-9) + 40 * math.log(2e-9)), "q" * 40: (math.log(1e-9) + 40 * math.log(1e-12),) * 2,
+            "ab" * 20: (41 * math.log(1e-9), 21 * math.log(1e-9) + 20 * math.log(2e-9)), "a": (2 * math.log(1e-9), math.log(1e-9) + math.log(2e-9))}
+    for w in words:
+        assert np.allclose(total([w]), want[w], rtol=1e-9)
+
+
+def test_identify_against_plain_python(spark, make):
+    """Every text of a small table: log of the sum over segmentations by recursion, posterior by hand."""
+    docs = table(spark, SF, "documents").limit(40)
+    model = fit(table(spark, SF, "documents"), VOCAB, rows=20)
+    row = {x: i + 2 for i, x in enumerate(model.pieces)}
+
+    def word(w, k, memo):
+        if not w:
+            return 0.0
+        if w not in memo:
+            parts = [math.log(model.p[row.get(w[:n], 1 if n == 1 else 0), k]) + word(w[n:], k, memo) for n in range(1, min(16, len(w)) + 1)
+                     if n == 1 or w[:n] in row]
+            top = max(parts)
+            memo[w] = top + math.log(sum(math.exp(x - top) for x in parts))
+        return memo[w]
+
+    memos = [{} for _ in model.languages]
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {r.doc_id: r for r in identify(make(rows), model).collect()}
+    for i, text in rows:
+        logs = [sum(word(START + w, k, memos[k]) for w in words_of(text)) for k in range(len(model.languages))]
+        top = max(logs)
+        share = [math.exp(x - top) for x in logs]
+        if words_of(text):
+            assert got[i].lang_pred == model.languages[logs.index(top)] and math.isclose(got[i].score, 1 / sum(share), rel_tol=1e-6)
