@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 __all__ = ["SLICE_BYTES", "WORD", "Cache", "combine", "component_labels", "cut_lineage", "grouped", "held_out",
-           "labelled_sample", "mix64", "ship", "slices", "table", "word_hashes"]
+           "labelled_sample", "mix64", "ship", "slices", "table"]
 
 #: A word, everywhere in this subpackage: a run of anything but ASCII white space.
 #: ``bytes.split()`` cuts UTF-8 at exactly the same places.
@@ -68,21 +68,53 @@ class Cache(dict):
         return value
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\r\x0b\x0c")] = True
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes ``data[start:start + size]``, eight bytes of all spans at a time; ``data`` ends with eight bytes more."""
+    eights = np.ndarray(max(0, len(data) - 7), "<u8", data, strides=(1,))
+    h = mix64(size.astype(np.uint64))
+    at, left, live = start, size, None
+    while True:
+        x = mix64((h if live is None else h[live]) ^ (eights[at] & _MASKS[np.minimum(left, 8)]))
+        if live is None:
+            h = x
+        else:
+            h[live] = x
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return h
+        live, at, left = more if live is None else live[more], at[more] + 8, left[more] - 8
+        if left.max() > 1 << 12:  # a few very long words are hashed one by one
+            far = left > 1 << 12
+            for i, lo, n in zip(live[far].tolist(), at[far].tolist(), left[far].tolist(), strict=True):
+                h[i] = np.uint64(xxhash.xxh3_64_intdigest(data[lo:lo + n].tobytes(), seed=int(h[i])))
+            live, at, left = live[~far], at[~far], left[~far]
+            if not len(live):
+                return h
 
 
 def slice_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a slice of texts, end to end, and where each text's begin (one more than there are
-    texts). A null text has no words. Each distinct word of the slice is hashed once; no word becomes a Python object
-    more often than that."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
-    coded = lists.flatten().dictionary_encode()
-    words, at = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
-    each, real = word_hashes(words), np.array([bool(w) for w in words], bool)  # white space at an end leaves an empty word
-    keep = real[at]
-    ends = np.r_[0, np.cumsum(keep)]
-    return each[at][keep], ends[lists.offsets.to_numpy()]
+    texts). A null text has no words. Words are found and hashed in the bytes themselves; none becomes a Python object."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]] if len(texts) else np.empty(0, np.uint8)
+    ends = ends - ends[0]
+    data = np.concatenate([raw, np.zeros(8, np.uint8)])
+    word = ~_BLANK[raw]
+    edge = np.zeros(len(raw) + 1, bool)  # a word ends at a text's end too
+    edge[ends] = True
+    first = word.copy()
+    first[1:] &= ~word[:-1] | edge[1:-1]
+    last = word.copy()
+    last[:-1] &= ~word[1:] | edge[1:-1]
+    start = np.flatnonzero(first)
+    size = np.flatnonzero(last) + 1 - start
+    return hash_spans(data, start, size), np.searchsorted(start, ends)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
