@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .evaluate import ranking_metrics
-from .prep import assemble, hash_folds, with_class_weights
+from .evaluate import positive, ranking_metrics, scored
+from .prep import FoldPreparation, assemble, stratified_folds, with_class_weights
+from .trees import Forest, fit_extra_trees, score_trees
 
 # Model configurations of the reference, as Spark parameters.
-# The external boosting / extra-trees engines are represented by presets of
-# Spark's own tree ensembles (same depth / rounds / sampling), not claimed
+# Extra trees are those of operators/trees.py. The external boosting engines are represented by presets of
+# Spark's own boosted trees (same depth / rounds / sampling), not claimed
 # to be the same algorithms.
 PRESETS = {
     "logistic_regression": ("lr", {"maxIter": 1000, "tol": 1e-4}),
@@ -34,9 +35,7 @@ PRESETS = {
                            "featureSubsetStrategy": "sqrt", "seed": 42, "balanced": True}),
     "enhanced_gbm": ("gbt", {"maxIter": 200, "maxDepth": 8, "stepSize": 0.1,
                              "subsamplingRate": 0.8, "minInstancesPerNode": 10, "seed": 42}),
-    "extra_trees_preset": ("rf", {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 5,
-                                  "featureSubsetStrategy": "sqrt", "bootstrap": False,
-                                  "seed": 42, "balanced": True}),
+    "extra_trees": ("et", {"trees": 200, "depth": 15, "min_leaf": 5, "seed": 42, "balanced": True}),
     "xgboost_preset": ("gbt", {"maxIter": 200, "maxDepth": 8, "stepSize": 0.1,
                                "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8",
                                "minInstancesPerNode": 5, "seed": 42}),
@@ -115,6 +114,13 @@ def fit_models(train: DataFrame, names: Sequence[str], label: str = "label",
 
     def fit(name):
         kind, params = presets[name]
+        if kind == "et":
+            p = dict(params)
+            balanced = p.pop("balanced", False)
+            rows = weighted if balanced else train
+            cols = [f"f{i}" for i in range(n_features)]
+            return name, fit_extra_trees(_columns(rows, cols, label, "class_weight" if balanced else None), label, cols,
+                                         weight="class_weight" if balanced else None, **p)
         if kind == "rf" and "maxDepth" not in params:
             params = {**params, "maxDepth": forest_depth}
         est = estimator(kind, params, n_features, n, label=label, weight="class_weight")
@@ -127,11 +133,20 @@ def fit_models(train: DataFrame, names: Sequence[str], label: str = "label",
         return dict(pool.map(fit, names))
 
 
+def _columns(matrix: DataFrame, cols: Sequence[str], *keep: str | None) -> DataFrame:
+    """The features of a matrix as columns."""
+    v = matrix.withColumn("_v", vector_to_array("features"))
+    return v.select(*[c for c in keep if c], *[F.col("_v")[i].alias(c) for i, c in enumerate(cols)])
+
+
 def score_models(fitted: Mapping, test: DataFrame, key: str, label: str = "label") -> DataFrame:
     """Long ``(key, model, label, score, prediction)``; the class cut-off is
     the model's own (0.5 on the positive probability)."""
     parts = []
     for name, model in fitted.items():
+        if isinstance(model, Forest):
+            parts.append(score_trees(_columns(test, model.cols, key, label), model, key, label, name))
+            continue
         p = positive_probability(model.transform(test))
         parts.append(p.select(key, F.lit(name).alias("model"), F.col(label).cast("int").alias(label),
                               "score", F.col("prediction").cast("int").alias("prediction")))
@@ -144,9 +159,10 @@ def score_models(fitted: Mapping, test: DataFrame, key: str, label: str = "label
 def metrics_long(scores: DataFrame, label: str = "label", score: str = "score",
                  model: str = "model", threshold: float = 0.5) -> DataFrame:
     """``(model, metric, value)``: accuracy, F1, sensitivity, specificity at
-    ``threshold`` plus ROC-AUC and average precision, per model."""
-    pred = F.col(score) >= threshold
-    y = F.col(label) == 1
+    ``threshold`` plus ROC-AUC and average precision, per model. The class is 1
+    strictly above the threshold, as in every other ensemble here."""
+    pred = scored(score) > threshold
+    y = positive(label)
     cm = scores.groupBy(model).agg(F.count_if(y & pred).alias("tp"), F.count_if(~y & pred).alias("fp"),
                                    F.count_if(~y & ~pred).alias("tn"), F.count_if(y & ~pred).alias("fn"))
     from .evaluate import metric_columns
@@ -184,16 +200,27 @@ def _over_folds(fn, k: int, parallelism: int = 2) -> list:
         return list(pool.map(fn, range(k)))
 
 
+def _fold_sides(train: DataFrame, key: str, label: str, k: int, seed: int, prepare: FoldPreparation | None):
+    """``(sides, k)``: ``sides(f)`` gives the training and the held-out matrix of fold ``f``. With ``prepare`` the rows are raw and
+    carry their fold, and either side is filled and scaled with what the training side alone says; else ``train`` is a matrix
+    and folds are stratified by the label."""
+    if prepare:
+        return lambda f: tuple(prepare.matrix(train.filter(side), f, key, label) for side in (
+            F.col(prepare.fold) != f, F.col(prepare.fold) == f)), len(prepare.folds)
+    t = cut_lineage(stratified_folds(train, key, label, k, seed, "_fold"), "folds")
+    return lambda f: (t.filter(F.col("_fold") != f), t.filter(F.col("_fold") == f)), k
+
+
 def out_of_fold(train: DataFrame, key: str, names: Sequence[str], k: int = 5, seed: int = 42,
-                label: str = "label") -> DataFrame:
+                label: str = "label", prepare: FoldPreparation | None = None) -> DataFrame:
     """Out-of-fold positive probabilities of each base model: fold ``f`` is
     scored by models fitted on the other folds. Long ``(key, model, label,
-    score, prediction)``."""
-    t = hash_folds(train, key, k, seed, "_fold")
+    score, prediction)``. ``prepare``: see :class:`~.prep.FoldPreparation`."""
+    sides, k = _fold_sides(train, key, label, k, seed, prepare)
 
     def one(f):
-        fit = fit_models(t.filter(F.col("_fold") != f), names, label)
-        return score_models(fit, t.filter(F.col("_fold") == f), key, label)
+        rest, held = sides(f)
+        return score_models(fit_models(rest, names, label), held, key, label)
 
     parts = _over_folds(one, k)
     out = parts[0]
@@ -203,14 +230,14 @@ def out_of_fold(train: DataFrame, key: str, names: Sequence[str], k: int = 5, se
 
 
 def stacking(train: DataFrame, test: DataFrame, key: str, names: Sequence[str], k: int = 5,
-             label: str = "label", fitted: Mapping | None = None) -> DataFrame:
+             label: str = "label", fitted: Mapping | None = None, oof: DataFrame | None = None) -> DataFrame:
     """Stacked ensemble: a logistic-regression meta model on the base models'
-    out-of-fold probabilities; test rows use base models refitted on all
-    training rows (``fitted``, if they are fitted already). Returns long scores with
+    out-of-fold probabilities (``oof``, if they are there already); test rows use base models refitted on all
+    training rows (``fitted``, likewise). Returns long scores with
     ``model = 'stacking'``."""
     def wide(long: DataFrame) -> DataFrame:
         return long.groupBy(key, label).pivot("model", list(names)).agg(F.first("score"))
-    oof = wide(out_of_fold(train, key, names, k, label=label))
+    oof = wide(out_of_fold(train, key, names, k, label=label) if oof is None else oof)
     full = {n: fitted[n] for n in names} if fitted else fit_models(train, names, label)
     tst = wide(score_models(full, test, key, label))
     meta_train = assemble(oof.withColumn(label, F.col(label).cast("double")), list(names), "features")
@@ -229,14 +256,14 @@ def best_by_auc(scores: DataFrame, label: str = "label", score: str = "score", t
 
 
 def cross_validate(train: DataFrame, key: str, names: Sequence[str], k: int = 5, seed: int = 42,
-                   label: str = "label") -> DataFrame:
+                   label: str = "label", prepare: FoldPreparation | None = None) -> DataFrame:
     """Per-fold metrics of each model, summarised as ``(model, metric,
-    mean, std, n_folds)`` (std: population)."""
-    t = hash_folds(train, key, k, seed, "_fold")
+    mean, std, n_folds)`` (std: population). ``prepare``: see :class:`~.prep.FoldPreparation`."""
+    sides, k = _fold_sides(train, key, label, k, seed, prepare)
 
     def one(f):
-        fit = fit_models(t.filter(F.col("_fold") != f), names, label)
-        sc = score_models(fit, t.filter(F.col("_fold") == f), key, label)
+        rest, held = sides(f)
+        sc = score_models(fit_models(rest, names, label), held, key, label)
         # the fold's metrics are a handful of rows: write them so the union
         # below does not re-run every fold's scoring lineage
         return cut_lineage(metrics_long(sc, label).withColumn("fold", F.lit(f)), "cv-fold")

@@ -172,6 +172,63 @@ def min_max_scale(df: DataFrame, cols: Sequence[str], fit_df: DataFrame | None =
     return out
 
 
+class FoldPreparation:
+    """Filling and scaling inside cross-validation: what each fold's training side (all rows of the other folds) says of each feature.
+
+    One aggregate gives every fold's count, mean and squared deviations; those of a training side are the other folds' put
+    together, its filled rows included. The medians of all sides come from the same passes. The driver holds a few
+    numbers a fold and feature; ``policy`` is that of :func:`fit_fill_values`."""
+
+    def __init__(self, df: DataFrame, cols: Sequence[str], fold: str, policy: Mapping[str, object], scale: bool = True):
+        self.cols, self.fold = list(cols), fold
+        x = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in self.cols}
+        rows = df.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), *[a for i, c in enumerate(self.cols) for a in (
+            F.count(x[c]).alias(f"n{i}"), F.avg(x[c]).alias(f"m{i}"), (F.var_pop(x[c]) * F.count(x[c])).alias(f"d{i}"))]).collect()
+        self.folds = sorted(r[fold] for r in rows)
+        gaps = [c for i, c in enumerate(self.cols) if any(r[f"n{i}"] < r["n"] for r in rows)]
+        medians = [c for c in gaps if policy.get(c) == "median"]
+        wide = df.select(*[F.when(F.col(fold) != f, x[c]).alias(f"{k}_{i}") for i, c in enumerate(medians) for k, f in enumerate(self.folds)])
+        found = exact_quantiles_of(wide, {c: [0.5] for c in wide.columns}) if medians else {}
+        self.fills: dict = {f: {} for f in self.folds}
+        self.scales: dict = {f: {} for f in self.folds}
+        for k, f in enumerate(self.folds):
+            for i, c in enumerate(self.cols):
+                parts = [(r[f"n{i}"], r[f"m{i}"], r[f"d{i}"]) for r in rows if r[fold] != f and r[f"n{i}"]]
+                n, mean, dev = _together(parts)
+                want = policy.get(c)
+                fill = found[f"{k}_{medians.index(c)}"][0] if c in medians else mean if want == "mean" else None if want == "median" else want
+                missing = sum(r["n"] - r[f"n{i}"] for r in rows if r[fold] != f)
+                if fill is not None and c in gaps:
+                    self.fills[f][c] = float(fill)
+                    n, mean, dev = _together([*parts, (missing, float(fill), 0.0)] if missing else parts)
+                if scale:
+                    self.scales[f][c] = (mean, (dev / n) ** 0.5 if n else None)
+
+    def rows(self, df: DataFrame, f) -> DataFrame:
+        """``df`` filled and scaled as fold ``f``'s training side says."""
+        out = impute(df, {}, values=self.fills[f])
+        return standardize(out, self.cols, stats=self.scales[f]) if self.scales[f] else out
+
+    def matrix(self, df: DataFrame, f, key: str, label: str) -> DataFrame:
+        """``(key, label, features)`` of :meth:`rows`."""
+        out = self.rows(df, f).select(key, F.col(label).cast("double").alias(label), *self.cols)
+        return assemble(out, self.cols).select(key, label, "features")
+
+    def table(self, spark) -> DataFrame:
+        """``(fold, feature, fill, mean, std)``: one row a fold and feature."""
+        data = [(f, c, self.fills[f].get(c), *self.scales[f].get(c, (None, None))) for f in self.folds for c in self.cols]
+        return spark.createDataFrame(data, "fold int, feature string, fill double, mean double, std double")
+
+
+def _together(parts: Sequence[tuple[int, float, float]]) -> tuple[int, float | None, float]:
+    """Count, mean and squared deviations of groups of rows put together."""
+    n = sum(p[0] for p in parts)
+    if not n:
+        return 0, None, 0.0
+    mean = sum(p[0] * p[1] for p in parts) / n
+    return n, mean, sum(p[2] + p[0] * (p[1] - mean) ** 2 for p in parts)
+
+
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weights ``n / (k * n_c)``: ``(label, n, weight)``, one row per
     class (k rows)."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as EV
 from ..operators import models as M
-from ..operators.prep import fit_fill_values, fit_standard, hash_split, impute, standardize
+from ..operators.prep import FoldPreparation, fit_fill_values, fit_standard, impute, standardize, stratified_folds, stratified_split
 from ..session import cut_lineage
 from .q_cohort import cohort_features
 from .q_eval import SCORE_CTE, score_table
@@ -25,28 +25,38 @@ def base_fits(train):
     return M.fit_models(train, BASE_MODELS)
 
 
-def model_data(spark, sf):
-    """Imputed cohort matrix split 80/20 by key hash: (train, test, cols)."""
+def raw_data(spark, sf):
+    """The cohort's features split 80/20 within each class: (training rows, test rows, columns, fill policy)."""
     cf = cohort_features(spark, sf)
     cols = [c for c, t in cf.dtypes if c not in _NON_FEATURES and t in ("int", "bigint", "double")]
     policy = {c: "median" for c in cols}
     policy["days_since_last"] = 365.0
     policy["rate_per_year"] = 0.0
     base = cut_lineage(cf.select("o_orderkey", "label", *cols), "cohort")
-    split = hash_split(base, "o_orderkey", 0.2)
-    train_raw = split.filter(F.col("split") == "train").drop("split")
-    # medians fitted on the training rows only, applied to both sides
+    split = stratified_split(base, "o_orderkey", "label", 0.2)
+    return (split.filter(F.col("split") == "train").drop("split"), split.filter(F.col("split") == "test").drop("split"), cols, policy)
+
+
+def matrices(train_raw, test_raw, cols, policy):
+    """Both sides filled with the training rows' medians and standardised with their mean and population deviation
+    (constant columns: by 1), as the reference scales its matrix before fitting."""
     fill = fit_fill_values(train_raw, policy)
-    train = impute(train_raw, policy, values=fill)
-    test = impute(split.filter(F.col("split") == "test").drop("split"), policy, values=fill)
-    # standardise with the training rows' mean / population std, as the
-    # reference scales its matrix before fitting (constant columns: / 1)
+    train, test = (impute(rows, policy, values=fill) for rows in (train_raw, test_raw))
     scale = fit_standard(train, cols)
-    test = standardize(test, cols, stats=scale)
-    train = standardize(train, cols, stats=scale)
     # every fit, fold and score reads the matrix, so it is written once
-    return (M.training_matrix(train, "o_orderkey", "label", cols, materialize=True),
-            M.training_matrix(test, "o_orderkey", "label", cols, materialize=True), cols)
+    return [M.training_matrix(standardize(rows, cols, stats=scale), "o_orderkey", "label", cols, materialize=True) for rows in (train, test)]
+
+
+def model_data(spark, sf):
+    """Filled and scaled cohort matrices: (train, test, cols)."""
+    train_raw, test_raw, cols, policy = raw_data(spark, sf)
+    return *matrices(train_raw, test_raw, cols, policy), cols
+
+
+def folded(train_raw, cols, policy):
+    """Training rows in five stratified folds, and what each fold's training side says: (rows, preparation)."""
+    rows = cut_lineage(stratified_folds(train_raw, "o_orderkey", "label", 5, out="fold"), "folds")
+    return rows, FoldPreparation(rows, cols, "fold", policy)
 
 
 @register("trained_model_scores")
@@ -65,7 +75,7 @@ def q_model_comparison(spark, sf):
 @register("tree_preset_scores")
 def q_presets(spark, sf):
     train, test, _ = model_data(spark, sf)
-    return M.score_models(M.fit_models(train, ["enhanced_rf", "extra_trees_preset"]), test, "o_orderkey")
+    return M.score_models(M.fit_models(train, ["enhanced_rf", "extra_trees"]), test, "o_orderkey")
 
 
 @register("neural_network_scores")
@@ -82,19 +92,61 @@ def q_trained_vote(spark, sf):
     return M.soft_vote(scores, "o_orderkey", BASE_MODELS)
 
 
+#: Candidates of the stack: every tree model that is not one of the 200-round boosting presets, and the linear one. The presets
+#: take about a minute a fit (README), which five folds would make into a quarter of an hour for each.
+STACK_CANDIDATES = [*BASE_MODELS, "enhanced_rf", "extra_trees"]
+
+
 @register("stacking_scores")
 def q_stacking(spark, sf):
-    train, test, _ = model_data(spark, sf)
-    # of the candidates the best by AUC are stacked, five at most
-    fitted = base_fits(train)
-    scores = cut_lineage(M.score_models(fitted, test, "o_orderkey"), "scores")
-    return M.stacking(train, test, "o_orderkey", M.best_by_auc(scores, top=5), k=5, fitted=fitted)
+    """The best three of five candidates by out-of-fold AUC, stacked; filling and scaling inside the folds."""
+    train_raw, test_raw, cols, policy = raw_data(spark, sf)
+    rows, prepare = folded(train_raw, cols, policy)
+    oof = cut_lineage(M.out_of_fold(rows, "o_orderkey", STACK_CANDIDATES, prepare=prepare), "out-of-fold")
+    best = M.best_by_auc(oof, top=3)
+    train, test = matrices(train_raw, test_raw, cols, policy)
+    return M.stacking(train, test, "o_orderkey", best, oof=oof.filter(F.col("model").isin(best)))
 
 
 @register("cross_validation_summary")
 def q_cv(spark, sf):
-    train, _, _ = model_data(spark, sf)
-    return M.cross_validate(train, "o_orderkey", BASE_MODELS, k=5)
+    train_raw, _, cols, policy = raw_data(spark, sf)
+    rows, prepare = folded(train_raw, cols, policy)
+    return M.cross_validate(rows, "o_orderkey", BASE_MODELS, prepare=prepare)
+
+
+_FOLD_FEATURES = {"item_a_last": "median", "item_n_mean": "median", "ratio_r_a": "median", "item_r_std": 0.0, "item_a_min": "mean", "total_measurements": "median"}
+
+
+def _fold_sql():
+    from .q_prep import MD5_52
+    from .q_profile import _MEAS, LABEL_CTE
+    fills = {c: {"median": f"quantile_cont({c}, 0.5)", "mean": f"avg({c})"}.get(how, f"CAST({how} AS DOUBLE)") for c, how in _FOLD_FEATURES.items()}
+    each = ", ".join(f"{fill} AS fill_{c}" for c, fill in fills.items())
+    gaps = ", ".join(f"count(*) > count({c}) AS gap_{c}" for c in fills)
+    parts = [f"""SELECT f AS fold, '{c}' AS feature, any_value(CASE WHEN gap_{c} THEN fill_{c} END) AS fill, avg(coalesce({c}, fill_{c})) AS mean,
+  stddev_pop(coalesce({c}, fill_{c})) AS std FROM tr JOIN fl USING (f), gp GROUP BY f""" for c in fills]
+    return f"""WITH {LABEL_CTE},
+m AS ({_MEAS}),
+r AS (SELECT m.*, row_number() OVER (PARTITION BY label ORDER BY {MD5_52.format(k='o_orderkey')}) - 1 AS i, count(*) OVER (PARTITION BY label) AS n_
+      FROM lb JOIN m ON m.l_orderkey = lb.o_orderkey),
+fd AS MATERIALIZED (SELECT *, CAST((i >= n_ * 1 // 5)::INT + (i >= n_ * 2 // 5)::INT + (i >= n_ * 3 // 5)::INT + (i >= n_ * 4 // 5)::INT AS INTEGER) AS fold FROM r),
+f AS (SELECT DISTINCT fold AS f FROM fd),
+tr AS MATERIALIZED (SELECT f, fd.* FROM f JOIN fd ON fd.fold <> f.f),
+fl AS MATERIALIZED (SELECT f, {each} FROM tr GROUP BY f), gp AS (SELECT {gaps} FROM fd)
+SELECT fold, feature, round(fill, 6) AS fill, round(mean, 6) AS mean, round(std, 6) AS std FROM ({' UNION ALL '.join(parts)})"""
+
+
+@register("fold_statistics", sql=_fold_sql())
+def q_fold_statistics(spark, sf):
+    """Fill value, mean and deviation of each feature on the training side of each of five stratified folds."""
+    from .q_children import q_measured
+    from .q_profile import _labelled
+    rows = _labelled(spark, sf).select("o_orderkey", "label").join(
+        q_measured(spark, sf).select(F.col("l_orderkey").alias("o_orderkey"), *_FOLD_FEATURES), "o_orderkey")
+    rows = cut_lineage(stratified_folds(cut_lineage(rows, "measured"), "o_orderkey", "label", 5, out="fold"), "folds")
+    out = FoldPreparation(rows, list(_FOLD_FEATURES), "fold", _FOLD_FEATURES).table(spark)
+    return out.select("fold", "feature", *[F.round(c, 6).alias(c) for c in ("fill", "mean", "std")])
 
 
 def _categories(cols):
@@ -202,10 +254,10 @@ def q_weighted(spark, sf):
 def _metrics_sql():
     from .q_eval import METRICS_SQL
     return f"""
-cm AS (SELECT model, count(*) FILTER (WHERE label = 1 AND score >= 0.5) AS tp,
-              count(*) FILTER (WHERE label <> 1 AND score >= 0.5) AS fp,
-              count(*) FILTER (WHERE label <> 1 AND score < 0.5) AS tn,
-              count(*) FILTER (WHERE label = 1 AND score < 0.5) AS fn FROM fx GROUP BY model),
+cm AS (SELECT model, count(*) FILTER (WHERE label = 1 AND score > 0.5) AS tp,
+              count(*) FILTER (WHERE label <> 1 AND score > 0.5) AS fp,
+              count(*) FILTER (WHERE label <> 1 AND score <= 0.5) AS tn,
+              count(*) FILTER (WHERE label = 1 AND score <= 0.5) AS fn FROM fx GROUP BY model),
 mm AS (SELECT model, {METRICS_SQL} FROM cm)"""
 
 
