@@ -49,14 +49,8 @@ def aggregate_children(children: DataFrame, key: str, specs: Sequence[ChildSpec]
     spec = specs[0]
     for s in specs[1:]:
         spec = spec + s
-    out = children.groupBy(key).agg(*spec.aggs)
-    for name, col in spec.distinct:
-        # (key, value) pairs first (map-side deduplicated), then a count per
-        # key; both sides end hash-partitioned by key, so the join adds no
-        # shuffle of the wide aggregate
-        pairs = children.select(F.col(key), col.alias("_dv")).filter(F.col("_dv").isNotNull()).distinct()
-        counts = pairs.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-        out = out.join(counts, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
+    # distinct values are counted in the same pass: Spark groups by (key, value) first, then by key
+    out = children.groupBy(key).agg(*spec.aggs, *[F.count_distinct(col).alias(name) for name, col in spec.distinct])
     for name, col in spec.post:
         out = out.withColumn(name, col)
     return out.drop(*spec.drop) if spec.drop else out

@@ -303,3 +303,35 @@ def q_catboost_preset(spark, sf):
     """The 200-round preset alone: the one fit whose time the material studied publishes."""
     train, test, _ = model_data(spark, sf)
     return M.score_models(M.fit_models(train, ["catboost_preset"]), test, "o_orderkey")
+
+
+def _features(matrix, cols, *keep):
+    from pyspark.ml.functions import vector_to_array
+    v = matrix.withColumn("_v", vector_to_array("features"))
+    return cut_lineage(v.select("o_orderkey", F.col("label").cast("int").alias("label"), *keep, *[F.col("_v")[i].alias(c) for i, c in enumerate(cols)]), "features")
+
+
+#: Rounds of the registered boosting queries; the operators' own default is the reference's 200. A level is one Spark job.
+ROUNDS = 10
+
+
+@register("second_order_boosting_scores")
+def q_second_order(spark, sf):
+    """Boosting by gradient and hessian sums: level by level, best first, and symmetric."""
+    from ..operators.boosting import fit_boosted, score_boosted
+    train, test, cols = model_data(spark, sf)
+    train, test = _features(train, cols), _features(test, cols)
+    kinds = {"levels": {"depth": 4}, "best_first": {"depth": 4, "leaves": 8}, "symmetric": {"depth": 4, "symmetric": True, "columns": 1.0}}
+    parts = [score_boosted(test, fit_boosted(train, "label", cols, rounds=ROUNDS, **how), "o_orderkey", name=name) for name, how in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("weighted_network_scores")
+def q_weighted_network(spark, sf):
+    """A network trained with balanced class weights and a validation split."""
+    from ..operators.networks import fit_network, score_network
+    from ..operators.prep import with_class_weights
+    train, test, cols = model_data(spark, sf)
+    rows = with_class_weights(_features(train, cols), "label")
+    net = fit_network(rows, "o_orderkey", "label", cols, steps=40, weight="weight", patience=10)
+    return score_network(_features(test, cols), net, "o_orderkey")
