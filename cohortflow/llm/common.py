@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -15,13 +16,17 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-__all__ = ["SLICE_BYTES", "WORD", "Cache", "combine", "component_labels", "cut_lineage", "grouped", "held_out",
+__all__ = ["LETTERS", "SLICE_BYTES", "WORD", "Cache", "combine", "component_labels", "cut_lineage", "grouped", "held_out",
            "labelled_sample", "mix64", "ship", "slices", "table"]
 
 #: A word, everywhere in this subpackage: a run of anything but ASCII white space.
 #: ``bytes.split()`` cuts UTF-8 at exactly the same places.
 WORD = r"[^\x20\x09-\x0D]+"
 
+# Letters are what str.isalpha says; \w also holds numerals that are no digits, such as fractions.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
+LETTERS = re.compile(rf"[^\W_{_NUMERALS}]+")
+
 #: Text that is turned into Python objects at a time inside a task.
 SLICE_BYTES = 4 << 20
 

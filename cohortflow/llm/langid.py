@@ -9,7 +9,6 @@ once for each task. Sums that come near the least double are worked out again in
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -18,11 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, ship, slices
+from .common import LETTERS, held_out, labelled_sample, ship, slices
 
-# Letters are what str.isalpha says; \w also holds numerals that are no digits, such as fractions.
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
-LETTERS = re.compile(rf"[^\W_{_NUMERALS}]+")
 START, LONGEST_PIECE, LONGEST_WORD = "▁", 16, 40
 NOTHING, UNKNOWN = 0, 1  # rows of the table for no piece, and for a letter that is in no piece
 

@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, grouped, ship, slices
+from .common import LETTERS, cut_lineage, grouped, ship, slices
 
 BUCKETS = 1 << 18
-LONGEST = 20
+LONGEST = 63  # letters of a word that can be found in a name: no label of a host is longer
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,17 +61,17 @@ def matched(host, path, rules: tuple[Rule, ...]):
 
 
 def word_counts(texts: DataFrame, col: str) -> DataFrame:
-    """(word, n) over all texts: lower-case runs of a to z outside of tags."""
-    tag, word = re.compile(rb"<[^>]*>"), re.compile(rb"[a-z]+")
+    """(word, n) over all texts: whole runs of letters outside of tags, in lower case."""
+    tag = re.compile("<[^>]*>")
 
     def run(batches):
         for part in slices(batches, "text"):
             n = Counter()
             for t in part.column(0).to_pylist():
                 if t:
-                    n.update(w for w in word.findall(tag.sub(b" ", t.lower())) if len(w) <= LONGEST)
+                    n.update(LETTERS.findall(tag.sub(" ", t.decode().lower())))
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in n]), pa.array(n.values(), pa.int64())], names=["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
 
     return texts.select(F.col(col).cast("binary").alias("text")).mapInArrow(run, "word string, n long").groupBy(
         "word").agg(F.sum("n").alias("n"))
@@ -106,7 +106,7 @@ def _segment(total: int):
 
 
 def segments(names: DataFrame, counts: DataFrame) -> DataFrame:
-    """(name, words) for distinct names of a to z."""
+    """(name, words) for distinct names of letters."""
     total = max(1, counts.agg(F.sum("n")).first()[0] or 0)
     subs = names.select("name", F.explode(F.expr(
         f"array_distinct(flatten(transform(sequence(1, length(name)), i -> transform(sequence(1, least({LONGEST}, length(name) - i + 1)), "
@@ -131,11 +131,13 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, smooth: float = 1.0
         "page_id", "host", "path", rule.alias("rule"), verdict.alias("known"))
     base = cut_lineage(base, "urls")
 
-    # words of every distinct host: its names are split at what isn't a letter, then segmented
-    hosts = base.select("host").distinct().withColumn("names", F.regexp_extract_all("host", F.lit("([a-z]+)"), F.lit(1)))
+    # words of every distinct host: runs of letters are segmented, runs of digits stand for their length
+    hosts = base.select("host").distinct().withColumn("names", F.regexp_extract_all(F.lower("host"), F.lit(r"(\p{L}+|[0-9]+)"), F.lit(1)))
     pairs = hosts.select("host", F.posexplode("names").alias("at", "name"))
-    names = pairs.select("name").distinct()
-    known = segments(names, word_counts(pages, text_col))
+    digits = F.col("name").rlike("^[0-9]")
+    counts = cut_lineage(word_counts(pages, text_col), "words")  # the total and the join read it
+    numbers = pairs.filter(digits).select("name").distinct().select("name", F.array(F.concat(F.lit("#"), F.length("name").cast("string"))).alias("words"))
+    known = segments(pairs.filter(~digits).select("name").distinct(), counts).unionByName(numbers)
     # one row for each name; hosts that share a frequent name are spread by the join's own handling of skew
     by_host = pairs.join(known, "name").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("w")).select(
         F.col("host").alias("__host"), F.flatten(F.col("w.words")).alias("words"))

@@ -3,6 +3,7 @@ import math
 import re
 from collections import Counter
 
+import regex
 from cohortflow.llm.common import table
 from cohortflow.llm.urls import RULES, judge, parts, segments, split, word_counts
 from pyspark.sql import functions as F
@@ -27,12 +28,12 @@ def rule_by_hand(host, path):
 
 
 def tokens(host, path, counts, total):
-    out = [w for name in re.findall("[a-z]+", host) for w in split(name, counts, total)]
+    out = [w for name in regex.findall(r"\p{L}+|[0-9]+", host.lower()) for w in ([f"#{len(name)}"] if name[0].isdecimal() else split(name, counts, total))]
     return out + ["/" + (f"#{len(t)}" if t[0].isdigit() else t) for t in re.findall(r"[^\W\d_]+|[0-9]+", path.lower())]
 
 
 def verdicts_by_hand(rows):
-    counts = Counter(w for _, _, html in rows for w in re.findall("[a-z]+", re.sub("<[^>]*>", " ", (html or "").lower())) if len(w) <= 20)
+    counts = Counter(w for _, _, html in rows for w in regex.findall(r"\p{L}+", re.sub("<[^>]*>", " ", (html or "").lower())))
     total = max(1, sum(counts.values()))
     urls = [parts_by_hand(u) for _, u, _ in rows]
     n, share = [Counter(), Counter()], [1, 1]
@@ -70,11 +71,12 @@ def test_equals_brute_force_on_pages(spark):
 
 ODD = [None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/x?y#z", "a://b://c/d", "http://x.com", "http://com/", "http://notcom/", "http://x.com?/en/",
        "http://example.com/en", "http://m.example.com/en/", "http://www.example.com/en/1", "http://a.www.example.com/en/1", "http://x.net/fr/", "http://x.net/fr",
-       "https://bücher.example.org/straße/1", "http://thecatsat.org/dog\n/x", "http://u:p@h.net:80/es/" + "x" * 50_000, "http://" + "the" * 400 + ".org/"]
+       "https://bücher.example.org/straße/1", "http://thecatsat.org/dog\n/x", "http://u:p@h.net:80/es/" + "x" * 50_000, "http://" + "the" * 400 + ".org/",
+       "http://für2024katze.example.org/a", "http://12.34.5/x", "http://donaudampfschifffahrtsgesellschaftsauto.org/", "http://ÜBER.example.org/½"]
 
 
 def test_edge_cases(spark):
-    rows = [(i, u, h) for i, (u, h) in enumerate(zip(ODD, itertools.cycle([None, "", "<p>the cat sat <b>on</b>", "<unclosed the the"])))]
+    rows = [(i, u, h) for i, (u, h) in enumerate(zip(ODD, itertools.cycle([None, "", "<p>the cat sat <b>on</b> für Donaudampfschifffahrtsgesellschaft", "<unclosed the the"])))]
     rows += [(3, "http://x.com/a", "the"), (3, "http://x.com/a", "the"), (None, "http://x.org/a", "the")]
     df = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, tokens string").withColumnRenamed("tokens", "host")
     same(judge(df).collect(), verdicts_by_hand(rows))
