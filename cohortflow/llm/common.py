@@ -16,16 +16,24 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-__all__ = ["LETTERS", "SLICE_BYTES", "WORD", "Cache", "combine", "component_labels", "cut_lineage", "grouped", "held_out",
-           "labelled_sample", "mix64", "ship", "slices", "table"]
+__all__ = ["SLICE_BYTES", "WORD", "Cache", "combine", "component_labels", "cut_lineage", "grouped", "held_out",
+           "labelled_sample", "letter_runs", "mix64", "ship", "slices", "table"]
 
 #: A word, everywhere in this subpackage: a run of anything but ASCII white space.
 #: ``bytes.split()`` cuts UTF-8 at exactly the same places.
 WORD = r"[^\x20\x09-\x0D]+"
 
-# Letters are what str.isalpha says; \w also holds numerals that are no digits, such as fractions.
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
-LETTERS = re.compile(rf"[^\W_{_NUMERALS}]+")
+_WORDLIKE = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters, which are what ``str.isalpha`` says: the class of the pattern also holds numerals that are no digits, such as
+    fractions, at which its runs are cut where one holds any."""
+    found = _WORDLIKE.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return [run for w in found for run in "".join(c if c.isalpha() else " " for c in w).split()]
+
 
 #: Text that is turned into Python objects at a time inside a task.
 SLICE_BYTES = 4 << 20

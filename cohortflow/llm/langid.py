@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, held_out, labelled_sample, ship, slices
+from .common import held_out, labelled_sample, letter_runs, ship, slices
 
 START, LONGEST_PIECE, LONGEST_WORD = "▁", 16, 40
 NOTHING, UNKNOWN = 0, 1  # rows of the table for no piece, and for a letter that is in no piece
@@ -25,7 +25,7 @@ NOTHING, UNKNOWN = 0, 1  # rows of the table for no piece, and for a letter that
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, lower-cased; a run over LONGEST_WORD letters is cut into such parts, which bounds a lattice."""
-    found = LETTERS.findall((text or "").lower())
+    found = letter_runs((text or "").lower())
     if any(len(w) > LONGEST_WORD for w in found):
         found = [w[i:i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
     return found

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, cut_lineage, grouped, ship, slices
+from .common import cut_lineage, grouped, letter_runs, ship, slices
 
 BUCKETS = 1 << 18
 LONGEST = 63  # letters of a word that can be found in a name: no label of a host is longer
@@ -69,7 +69,7 @@ def word_counts(texts: DataFrame, col: str) -> DataFrame:
             n = Counter()
             for t in part.column(0).to_pylist():
                 if t:
-                    n.update(LETTERS.findall(tag.sub(" ", t.decode().lower())))
+                    n.update(letter_runs(tag.sub(" ", t.decode().lower())))
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
 
