@@ -7,14 +7,16 @@ them carries the history of earlier cells, and one broadcast join brings it
 back. Give it a narrow frame (the columns named in the call) and join wide
 columns to the result by ``event_id``. The only cross-row dependency that crosses cells - the gap
 between a cell's first event and the previous event - is evaluated on the carry
-table, where both ends are known.
+table, where both ends are known. Where one time runs over several cells, the
+rows at a cell's first time take a carry without their own time: the totals
+before that time in the cell where it begins, and of the cells before that one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import indicator
@@ -74,11 +76,15 @@ def history_features(events: DataFrame, entity: str, event_id: str, start: str,
     for out, col in sums.items():
         d = d.withColumn("_h_ws_" + out, F.sum(col).over(before))
 
-    # ---- level 2: one row per (entity, bucket), from the sorted frame
+    # ---- level 2: one row per (entity, bucket), from the sorted frame. What lies before
+    # a cell's last time within the cell is what its last row sees
+    seen = F.struct(F.col(TM).alias("tm"), *[F.col(f"_h_w{c}").alias(c) for c in ("n", "los", "close", "first", "last")],
+                    *[F.col("_h_ws_" + out).alias("s_" + out) for out in sums])
     summary = d.filter(SPLIT).groupBy(entity, BK).agg(
         F.count(F.lit(1)).alias("_h_bn"), F.sum("_h_los").alias("_h_blos"),
         F.max("_h_close").alias("_h_bclose_rest"),
         F.max_by(F.col(end), order_key).alias("_h_blast"),
+        F.max_by(seen, order_key).alias("_h_seen"),
         F.min_by(F.struct(F.col(start).alias("s"), F.col(TM).alias("tm")), order_key).alias("_h_bfirst"),
         *[F.sum(col).alias("_h_bs_" + out) for out, col in sums.items()])
     ob = Window.partitionBy(entity).orderBy(BK)
@@ -89,38 +95,47 @@ def history_features(events: DataFrame, entity: str, event_id: str, start: str,
                .withColumn("_h_fclose", F.when(F.col("_h_cprev_end").isNotNull(), indicator(
                    elapsed_days(F.col("_h_cprev_end"), F.col("_h_bfirst.s")) <= readmit_days))))
     summary = summary.withColumn("_h_bclose", F.greatest("_h_bclose_rest", "_h_fclose"))
+    summary = summary.withColumn("_h_full", F.struct(
+        F.coalesce(F.sum("_h_bn").over(upto), F.lit(0)).alias("n"),
+        F.sum("_h_blos").over(upto).alias("los"),
+        F.max("_h_bclose").over(upto).alias("close"),
+        F.first(F.col("_h_bfirst.s")).over(upto).alias("first"),
+        F.col("_h_cprev_end").alias("last"),
+        *[F.sum("_h_bs_" + out).over(upto).alias("s_" + out) for out in sums]))
+    # the history of a cell's last time, as the first cell that this time ends knows it
+    summary = summary.withColumn("_h_to", F.struct(*_joined(
+        "_h_full", "_h_seen", F.when(F.col("_h_bfirst.tm") < F.col("_h_seen.tm"), F.col("_h_fclose")), sums)))
+    one_time = Window.partitionBy(entity, "_h_seen.tm").orderBy(BK)
+    summary = summary.withColumn("_h_to", F.first("_h_to").over(one_time))
+    straddles = F.lag("_h_seen.tm").over(ob) == F.col("_h_bfirst.tm")
     carry = summary.select(
-        F.col(entity).alias("_h_e"), F.col(BK).alias("_h_b"), "_h_cprev_end", "_h_cnext_start", "_h_fclose", F.col("_h_bfirst.tm").alias("_h_ftm"),
-        F.coalesce(F.sum("_h_bn").over(upto), F.lit(0)).alias("_h_cn"),
-        F.sum("_h_blos").over(upto).alias("_h_clos"),
-        F.max("_h_bclose").over(upto).alias("_h_cclose"),
-        F.first(F.col("_h_bfirst.s")).over(upto).alias("_h_cfirst"),
-        *[F.sum("_h_bs_" + out).over(upto).alias("_h_cs_" + out) for out in sums])
+        F.col(entity).alias("_h_e"), F.col(BK).alias("_h_b"), "_h_cnext_start", "_h_fclose", "_h_full",
+        F.col("_h_bfirst.tm").alias("_h_ftm"),
+        F.when(straddles, F.lag("_h_to").over(ob)).otherwise(F.col("_h_full")).alias("_h_strict"))
 
     # ---- combine
     j = d.join(_carried(carry, bucket_days), (F.col(entity) == F.col("_h_e")) & (F.col(BK) == F.col("_h_b")), "left")
-    wn, cn = F.when(mine, F.col("_h_wn")).otherwise(0), F.coalesce("_h_cn", F.lit(0))
-    n = (cn + wn).cast("bigint")
+    j = j.withColumn("_h_c", F.when(F.col("_h_ftm") == F.col(TM), F.col("_h_strict")).otherwise(F.col("_h_full")))
+    own = F.struct(F.when(mine, F.col("_h_wn")).otherwise(0).alias("n"),
+                   *[F.col(f"_h_w{c}").alias(c) for c in ("los", "close", "first", "last")],
+                   *[F.col("_h_ws_" + out).alias("s_" + out) for out in sums])
+    j = j.withColumn("_h_w", own)
     first_row_prior = F.col("_h_ftm") < F.col(TM)  # the bucket's first event is history
-    close = F.greatest(F.col("_h_cclose"), F.col("_h_wclose"),
-                       F.when(first_row_prior, F.col("_h_fclose")))
-    last_end = F.when(wn > 0, F.col("_h_wlast")).otherwise(F.col("_h_cprev_end"))
-    first_start = F.when(cn > 0, F.col("_h_cfirst")).otherwise(F.col("_h_wfirst"))
-    sum_los = F.coalesce(F.col("_h_clos") + F.col("_h_wlos"), F.col("_h_clos"), F.col("_h_wlos"))
-    since = elapsed_days(last_end, F.col(start))
+    j = j.withColumn("_h_all", F.struct(*_joined("_h_c", "_h_w", F.when(first_row_prior, F.col("_h_fclose")), sums)))
+    n = F.col("_h_all.n").cast("bigint")
+    since = elapsed_days(F.col("_h_all.last"), F.col(start))
     if no_history_days is not None:
         since = F.coalesce(since.cast("double"), F.lit(float(no_history_days)))
-    years = elapsed_days(first_start, F.col(start)) / F.lit(DAYS_PER_YEAR)
+    years = elapsed_days(F.col("_h_all.first"), F.col(start)) / F.lit(DAYS_PER_YEAR)
     j = (j.withColumn("prior_count", n)
           .withColumn("days_since_last", since)
-          .withColumn("avg_prior_los", sum_los / n)
-          .withColumn("had_prior_readmission", F.coalesce(close, F.lit(0)).cast("int"))
+          .withColumn("avg_prior_los", F.col("_h_all.los") / n)
+          .withColumn("had_prior_readmission", F.coalesce(F.col("_h_all.close"), F.lit(0)).cast("int"))
           .withColumn("frequent_flag", indicator(n >= frequent_min))
           .withColumn("rate_per_year", F.when(n > 0, n / F.greatest(years, F.lit(float(min_history_years))))
                       .otherwise(F.lit(0.0))))
     for out in sums:
-        c, wv = F.col("_h_cs_" + out), F.col("_h_ws_" + out)
-        j = j.withColumn(out, F.coalesce(c + wv, c, wv, F.lit(0)))
+        j = j.withColumn(out, F.coalesce(F.col("_h_all.s_" + out), F.lit(0)))
     if label_horizon is not None:
         nxt = F.when(F.col("_h_hn"), F.col("_h_ns")).otherwise(F.col("_h_cnext_start"))
         j = (j.withColumn("next_start", nxt)
@@ -130,3 +145,17 @@ def history_features(events: DataFrame, entity: str, event_id: str, start: str,
         if not keep_last:
             j = j.filter(F.col("_h_hn") | F.col("_h_cnext_start").isNotNull())
     return drop_scan_columns(j.drop(*[c for c in j.columns if c.startswith("_h_")]))
+
+
+def _joined(earlier: str, later: str, seam: Column, sums: Mapping[str, str]) -> list[Column]:
+    """The history of two stretches of an entity's events, one behind the other; ``seam`` is the close gap between them."""
+    a, b = (lambda c: F.col(f"{earlier}.{c}")), (lambda c: F.col(f"{later}.{c}"))
+
+    def added(c):
+        return F.coalesce(a(c) + b(c), a(c), b(c))
+
+    return [(F.coalesce(a("n"), F.lit(0)) + b("n")).alias("n"), added("los").alias("los"),
+            F.greatest(a("close"), b("close"), seam).alias("close"),
+            F.when(a("n") > 0, a("first")).otherwise(b("first")).alias("first"),
+            F.when(b("n") > 0, b("last")).otherwise(a("last")).alias("last"),
+            *[added("s_" + out).alias("s_" + out) for out in sums]]

@@ -6,7 +6,8 @@ task, so an entity holding a third of the table would be sorted and scanned by
 a single core. Instead the scan is done in two levels:
 
 1. every row gets a cell: an ordinary entity is one cell, a heavy one (more
-   than a fixed share of all rows) is cut at quantiles of its own times. One
+   than a fixed share of all rows) is cut at quantiles of its own ``(time, tie)``
+   order, so that a single time that holds most of its rows is cut as well. One
    explicit exchange on ``(entity, cell)`` deals the rows out for the windows;
 2. each cell of a heavy entity is summarised (map-side combined) by its first and
    last row and its totals; a prefix over the cells of each entity carries
@@ -17,18 +18,20 @@ At most ``CELLS`` entities can be heavy, and they have about twice as many cells
 at most, so cuts and carry are broadcast whatever the size of the table. All of
 it is part of one lazy plan: nothing runs while it is built.
 
-Ties on the time column share a cell, so "strictly before" (a RANGE frame
-ending one microsecond before the current time) never needs rows of a later
-cell. Events are totally ordered by ``(time, tie)``; a NULL time comes last. A row
-with a NULL entity belongs to nobody: it has no neighbours and no history, and
-such rows are spread by their tie.
+Rows of one time may lie in several cells. "Strictly before" (a RANGE frame
+ending one microsecond before the current time) is then right within a cell, and
+only the rows at the cell's first time need a second carry that leaves their own
+time out. Events are totally ordered by ``(time, tie)``; a NULL time comes last, a
+NULL tie first among its time. Only rows that agree in time and tie can't be cut
+apart. A row with a NULL entity belongs to nobody: it has no neighbours and no
+history, and such rows are spread by their tie.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import MICROS_PER_DAY, epoch_micros
@@ -38,26 +41,35 @@ TM, BK, SPLIT = "_sq_tm", "_sq_bucket", "_sq_split"
 CELLS = 1024
 #: ... and more than this many rows
 DEFAULT_ROWS_PER_BUCKET = 50_000
+#: rows of a heavy entity that are looked at for each of its cells to find where to cut it; decides evenness, never results
+CUT_SAMPLE = 128
 _GRID = 32  # cuts are looked up in two steps of this many comparisons
 _LAST = 1 << 62
 
 
-def _cuts(d: DataFrame, entity: str, rows_per_bucket: int) -> DataFrame:
-    """One row for each heavy entity: ``_sq_cuts``, times that cut it into
-    cells of about the allowed number of rows."""
+def _at(tie: str) -> Column:
+    """A row's place in the order of its entity."""
+    return F.struct(F.col(TM).alias("t"), F.col(tie).alias("r"))
+
+
+def _cuts(d: DataFrame, entity: str, tie: str, rows_per_bucket: int) -> DataFrame:
+    """One row for each heavy entity: ``_sq_cuts``, places ``(time, tie)`` that cut it
+    into cells of about the allowed number of rows. They are quantiles of the
+    rows with the least hashes, some ``CUT_SAMPLE`` for each cell, so an array
+    is bounded by ``CELLS * CUT_SAMPLE`` places whatever the size of the table."""
     known = d.filter(F.col(entity).isNotNull())
     counts = known.groupBy(entity).agg(F.count(F.lit(1)).alias("_sq_n"))
     total = counts.agg(F.sum("_sq_n").alias("_sq_total"))  # one row
     allowed = F.greatest(F.lit(float(rows_per_bucket)), F.col("_sq_total") / CELLS)
     heavy = (counts.crossJoin(F.broadcast(total)).filter(F.col("_sq_n") > allowed)
              .select(F.col(entity).alias("_sq_e"),
-                     F.least(F.ceil(F.col("_sq_n") / allowed), F.lit(CELLS)).cast("int").alias("_sq_k")))
-    grid = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
-    times = known.select(F.col(entity).alias("_sq_e"), TM).join(F.broadcast(heavy), "_sq_e")
-    cuts = times.groupBy("_sq_e", "_sq_k").agg(
-        F.percentile_approx(TM, grid, F.lit(4 * CELLS)).alias("_sq_all"))
-    every = F.expr(f"transform(sequence(1, _sq_k - 1), i -> _sq_all[cast(i * {CELLS} / _sq_k as int) - 1])")
-    return cuts.filter("_sq_k > 1").select("_sq_e", F.array_sort(every).alias("_sq_cuts"))
+                     F.least(F.ceil(F.col("_sq_n") / allowed), F.lit(CELLS)).cast("int").alias("_sq_k"), "_sq_n"))
+    share = F.col("_sq_k") * float(CUT_SAMPLE) / F.col("_sq_n")
+    drawn = F.shiftrightunsigned(F.xxhash64(TM, tie), 16) < share * float(1 << 48)
+    places = (known.select(F.col(entity).alias("_sq_e"), TM, tie).join(F.broadcast(heavy), "_sq_e")
+              .filter(drawn).groupBy("_sq_e", "_sq_k").agg(F.sort_array(F.collect_list(_at(tie))).alias("_sq_all")))
+    every = F.expr("transform(sequence(1, _sq_k - 1), i -> _sq_all[cast(greatest(i * size(_sq_all) div _sq_k, 1) as int) - 1])")
+    return places.filter("_sq_k > 1").select("_sq_e", every.alias("_sq_cuts"))
 
 
 def _with_bucket(df: DataFrame, time: str, bucket_days: float | None, entity: str,
@@ -69,17 +81,18 @@ def _with_bucket(df: DataFrame, time: str, bucket_days: float | None, entity: st
     if bucket_days is not None:
         cell, split = F.floor(F.col(TM) / F.lit(float(bucket_days) * MICROS_PER_DAY)).cast("bigint"), F.lit(True)
     else:
-        cuts = _cuts(d.select(entity, TM), entity, rows_per_bucket or DEFAULT_ROWS_PER_BUCKET)
+        cuts = _cuts(d.select(entity, TM, tie), entity, tie, rows_per_bucket or DEFAULT_ROWS_PER_BUCKET)
         d = d.join(F.broadcast(cuts), F.col(entity) == F.col("_sq_e"), "left")
         split = F.col("_sq_cuts").isNotNull()
-        # how many cuts lie below the time: first among every 32nd, then among those behind the last of these
+        d = d.withColumn("_sq_at", F.when(split, _at(tie)))
+        # how many cuts lie below the place: first among every 32nd, then among those behind the last of these
         block = F.expr(f"""size(filter(transform(sequence(0, cast((size(_sq_cuts) - 1) / {_GRID} as int)),
-                           i -> _sq_cuts[i * {_GRID}]), c -> c < {TM}))""")
+                           i -> _sq_cuts[i * {_GRID}]), c -> c < _sq_at))""")
         d = d.withColumn("_sq_block", F.when(split, block).otherwise(0))
-        fine = F.expr(f"size(filter(slice(_sq_cuts, (_sq_block - 1) * {_GRID} + 2, {_GRID - 1}), c -> c < {TM}))")
+        fine = F.expr(f"size(filter(slice(_sq_cuts, (_sq_block - 1) * {_GRID} + 2, {_GRID - 1}), c -> c < _sq_at))")
         cell = F.when(F.col("_sq_block") > 0, (F.col("_sq_block") - 1) * _GRID + 1 + fine).otherwise(0).cast("bigint")
     d = d.withColumn(BK, F.when(F.col(entity).isNull(), F.xxhash64(tie)).otherwise(cell))
-    return d.withColumn(SPLIT, split & F.col(entity).isNotNull()).drop("_sq_e", "_sq_cuts", "_sq_block")
+    return d.withColumn(SPLIT, split & F.col(entity).isNotNull()).drop("_sq_e", "_sq_cuts", "_sq_at", "_sq_block")
 
 
 def _carried(carry: DataFrame, bucket_days: float | None) -> DataFrame:

@@ -141,3 +141,53 @@ def test_no_window_task_is_hot(spark):
         assert window.index("REPARTITION_BY_COL") < window.index("Scan" if "Scan" in window else "Range")
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("tie", ["long", "string"])
+def test_one_time_is_split(spark, tie):
+    """Half of the rows at one time of one entity: its cells are cut by the tie, no
+    partition is hot, and label and history equal those of the uncut scan."""
+    from cohortflow.operators.sequence import BK, _with_bucket
+    n = 20_000
+    hot = spark.range(n).selectExpr("-1L as entity", "id", "if(id % 2 = 0 or id > 15000, timestamp_ntz'2020-01-02 00:00:00', "
+                                    "timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(0, cast(id % 97 as int))) as start")
+    rest = spark.range(n, 2 * n).selectExpr("id % 997 as entity", "id", "timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(cast(id % 50 as int)) as start")
+    ev = hot.unionByName(rest).selectExpr("entity", f"cast({'id' if tie == 'long' else 'concat(\"visit-\", id)'} as {tie}) as id", "start",
+                                          "start + make_dt_interval(cast(id % 3 as int), 1) as end", "cast(id % 7 as double) as cost")
+    cells = _with_bucket(ev, "start", None, "entity", "id", 200)
+    assert cells.filter("entity = -1").groupBy(BK).count().agg(F.max("count")).first()[0] <= 400
+    parts = _stage_rows(spark, cells)
+    assert sum(parts) == 2 * n and max(parts) <= 2 * sum(parts) / 16
+    for how in ({"rows_per_bucket": 200}, {"rows_per_bucket": 37}):
+        a, b = (history_features(ev, "entity", "id", "start", "end", {"spent": "cost"}, label_horizon=30, **x) for x in (how, {"bucket_days": 1e7}))
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    a, b = (readmission_label(ev, "entity", "id", "start", "end", **x) for x in ({"rows_per_bucket": 200}, {"bucket_days": 1e7}))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_history_with_many_ties_equals_the_theta_join(spark, seed):
+    """Few times, many ties, null starts, ends and ties, cells of three rows: every history column against a plain loop."""
+    import datetime as dt
+    import random
+    rng = random.Random(seed)
+    t0 = dt.datetime(2021, 1, 1)
+    rows = []
+    for i in range(240):
+        s = None if rng.random() < 0.03 else t0 + dt.timedelta(days=rng.choice([0, 0, 0, 5, 40, 41, 90]))
+        e = None if s is None or rng.random() < 0.05 else s + dt.timedelta(days=rng.randrange(4))
+        rows.append((rng.choice([1, 1, 1, 2, 3]), i, s, e, float(rng.randrange(5))))
+    ev = spark.createDataFrame(rows, "entity long, id long, start timestamp_ntz, end timestamp_ntz, cost double")
+    got = {r.id: r for r in history_features(ev, "entity", "id", "start", "end", {"spent": "cost"}, rows_per_bucket=3).collect()}
+    far = dt.datetime(2200, 1, 1)
+    for entity, i, s, _, _ in rows:
+        mine = sorted((r for r in rows if r[0] == entity), key=lambda r: (r[2] or far, r[1]))
+        before = [r for r in mine if (r[2] or far) < (s or far)]
+        g = got[i]
+        assert g.prior_count == len(before) and g.spent == sum(r[4] for r in before)
+        close = any(a[3] is not None and b[2] is not None and (b[2] - a[3]).days <= 30 for a, b in zip(before, before[1:], strict=False))
+        assert g.had_prior_readmission == int(close), (i, g)
+        stays = [(r[3] - r[2]).days for r in before if r[2] and r[3]]
+        assert g.avg_prior_los == (pytest.approx(sum(stays) / len(before)) if stays else None)
+        last = before[-1][3] if before else None
+        assert g.days_since_last == ((s - last).days if s and last else None)
