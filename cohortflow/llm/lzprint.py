@@ -17,7 +17,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, ship, slices
@@ -140,6 +140,28 @@ def _compare(batches):
         yield flush()
 
 
+def _places(cuts: list[int], null_ranges: int) -> tuple[Column, int]:
+    """The range of a row (``rng``) in falling order of (doc_id, tie), nulls last, and how many ranges there are.
+
+    A row's range is the number of cuts not below its id, found by bisection. An id that fills several ranges is a cut as
+    many times; its rows, and those without an id, are dealt to these ranges by their tie, which is spread evenly."""
+    falling = F.split(F.lit(",".join(map(str, sorted(cuts, reverse=True)))), ",").cast("array<bigint>")  # folds to one literal
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))]) if cuts else None
+
+    def found(holds) -> Column:  # how many cuts, from the largest on, the row's id leaves above it
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(holds(F.get(falling, at + step - 1)), at + step).otherwise(at))
+
+    def band(n: Column) -> Column:  # 0 to n - 1 by falling tie
+        return F.floor((F.lit((1 << 31) - 1) - F.shiftright("tie", 32)) * n / float(1 << 32)).cast("int")
+
+    if cuts:
+        above, upto = found(lambda c: c > F.col("doc_id")), found(lambda c: c >= F.col("doc_id"))
+        known = F.when(upto - above > 1, above + 1 + band(upto - above)).otherwise(upto)
+    else:
+        known = F.lit(0)
+    return F.when(F.col("doc_id").isNull(), len(cuts) + band(F.lit(null_ranges))).otherwise(known).alias("rng"), len(cuts) + null_ranges
+
+
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 4000) -> DataFrame:
     """Fingerprint every document and an edited text of it, and compare it with that and with the next document.
 
@@ -153,12 +175,11 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     narrow = ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn(
         "tie", F.xxhash64(F.coalesce("text", F.lit(""))))
     ids = narrow.select("doc_id", "tie")
-    n = ids.count()
-    parts = max(1, -(-n // range_rows))
-    # bounds of the ranges, one for each, as a range partitioner holds them; equal ids share a range
-    cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    place = F.size(F.filter(F.lit(cuts), lambda c: c >= F.col("doc_id"))) if cuts else F.lit(0)
-    place = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(place).alias("rng")
+    n, known = ids.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    parts = max(1, -(-known // range_rows))
+    # bounds of the ranges, one for each, as a range partitioner holds them
+    cuts = [int(x) for x in ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)] if parts > 1 else []
+    place, ranges = _places(cuts, (n - known) // range_rows + 1)
     firsts = sorted(((r.rng, r.top.doc_id, r.top.tie) for r in ids.select("*", place).groupBy("rng").agg(
         F.max(F.struct("doc_id", "tie")).alias("top")).collect()))
     guests = docs.sparkSession.createDataFrame(
@@ -167,7 +188,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seen = narrow.select("*", place).join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("tie") == F.col("g_tie")), "left")
     both = seen.select("doc_id", "tie", "text", F.explode(F.when(F.col("host").isNull(), F.array(_seat("rng", False))).otherwise(
         F.array(_seat("rng", False), _seat("host", True)))).alias("seat"))
-    dealt = both.select("seat.rng", "doc_id", "text", "seat.guest", "tie").repartitionById(parts, F.col("rng"))
+    dealt = both.select("seat.rng", "doc_id", "text", "seat.guest", "tie").repartitionById(ranges, F.col("rng"))
     return dealt.sortWithinPartitions("rng", "guest", *key).select("rng", "doc_id", "text", "guest").mapInArrow(_compare, SCHEMA)
 
 

@@ -1,9 +1,10 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 from cohortflow.llm.common import table
-from cohortflow.llm.lzprint import fingerprint, fingerprints, least_hashes, likeness, neighbours, short, written
+from cohortflow.llm.lzprint import _places, fingerprint, fingerprints, least_hashes, likeness, neighbours, short, written
 
 from .conftest import SF
 
@@ -65,3 +66,39 @@ def test_plain_fingerprints_agree(make):
     rows = [(1, "abracadabra" * 9), (2, None), (3, "abracadabra" * 9)]
     got = {r.doc_id: r.fingerprint for r in fingerprint(make(rows)).collect()}
     assert got[1] == got[3] == written(fingerprints(rows[0][1], 40, "zz")[0]) and set(got[2]) == {"0"}
+
+
+def test_places_follow_the_order(spark):
+    """Ranges by bisection against a plain count; an id that is several cuts, and rows without id, fill their ranges evenly and in order."""
+    rng = random.Random(5)
+    cuts = [-(1 << 63), -7, 0, 4, 4, 4, 9, (1 << 63) - 1]
+    rows = [(rng.choice([None, 4, -(1 << 63), (1 << 63) - 1, *range(-9, 12)]), rng.randrange(-(1 << 63), 1 << 63)) for _ in range(3000)]
+    place, ranges = _places(cuts, 5)
+    got = [(r.doc_id, r.tie, r.rng) for r in spark.createDataFrame(rows, "doc_id long, tie long").select("*", place).collect()]
+    for d, _, r in got:
+        above, upto = (sum(c > d for c in cuts), sum(c >= d for c in cuts)) if d is not None else (len(cuts), ranges - 1)
+        assert (above + 1 <= r <= upto) if d == 4 else (above <= r <= upto) if d is None else r == upto
+    ordered = sorted(got, key=lambda x: (x[0] is None, -(x[0] or 0), -x[1]))
+    assert [x[2] for x in ordered] == sorted(x[2] for x in got) and max(x[2] for x in got) == ranges - 1
+    for d, n in ((4, 3), (None, 5)):
+        counts = np.unique([x[2] for x in got if x[0] == d], return_counts=True)[1]
+        assert len(counts) == n and counts.max() < 1.6 * counts.mean()
+
+
+def test_one_id_and_no_id_hold_many_rows(make):
+    """A third of the rows share an id, a third have none: the result is that of the order by (id, hash of the text), whatever the ranges."""
+    rows = [((7, None, i)[i % 3], f"text {i} " * (i % 5)) for i in range(300)]
+    assert rows_of_any(neighbours(make(rows), range_rows=10)) == rows_of_any(neighbours(make(rows), range_rows=10_000))
+
+
+def rows_of_any(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_many_ranges_are_found_quickly(spark):
+    """20,000 ranges for 200,000 rows cost a bisection a row, not a scan over all bounds."""
+    start = time.time()
+    ids = spark.range(200_000).selectExpr("id as doc_id", "xxhash64(id) as tie")
+    place, ranges = _places(list(range(0, 200_000, 10)), 1)
+    assert ids.select(place).groupBy("rng").count().agg({"count": "max"}).first()[0] == 10 and ranges == 20_001
+    assert time.time() - start < 15
