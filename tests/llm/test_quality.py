@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -55,3 +56,54 @@ def test_positive_unlabelled_posterior():
     true = 0.3 * np.exp(-((web[:, 0] - 1.5) ** 2) / 2)
     true = true / (true + 0.7 * np.exp(-((web[:, 0] + 1.5) ** 2) / 2))
     assert np.mean((p > 0.5) == y) > 0.92 and np.mean(np.abs(p - true)) < 0.06
+
+
+def plain_measures(text):
+    """The measures in the order of the model, counted one by one."""
+    t = text or ""
+    words = t.split()
+    if not words:
+        return [0.0] * MEASURES
+    n, lows = len(words), [w.lower() for w in words]
+    follow = [(lows[i], lows[i + 1]) for i in range(n - 1)]
+    letters = 0
+    for c in t:
+        letters += c != "_" and c.isalnum() and not c.isdecimal()
+    letters = letters or 1
+    marks = len(t) - letters - sum(c in " \n" for c in t)
+    stops = sum(c in ".," for c in t)
+    lines = [x for x in t.split("\n") if x != ""]
+    return [len(set(lows)) / n, sum(a == b for a, b in follow) / n, len(set(follow)) / n,
+            sum(len(w) > 1 and w.upper() == w and w.lower() != w for w in words) / n, marks / len(t), (marks - stops) / len(t), stops / n,
+            sum(all(c.isalpha() for c in w) for w in words) / n, sum(not (w[-1].isalnum() or w[-1] in ".,") for w in words) / n,
+            sum(not [c for c in w if c.isalnum()] for w in words) / n, math.log(1 + n), letters / n, len(set(lines)) / len(lines),
+            sum(c.isdigit() for c in t) / len(t)]
+
+
+def plain_score(model, text):
+    z = model.bias
+    x = plain_measures(text)
+    m = len(x)
+    for j, knots in enumerate(model.knots.tolist()):
+        ramp = (x[j] - knots[0]) / max(knots[-1] - knots[0], 1e-9)
+        z += model.weights[j] * min(2, max(-1, ramp))
+        for i, k in enumerate(knots):
+            z += model.weights[m + i * m + j] * (x[j] > k)
+    return 1 / (1 + math.exp(-min(40, max(-40, z))))
+
+
+def test_equals_plain_scores(spark):
+    """Every document of sf0.01, and hard texts, against the plain score of the fitted model."""
+    sf = SF.replace("sf0.001", "sf0.01")
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = fit(docs, labels)
+    assert np.abs(model.weights).max() > 0
+    odd = [(-1, None), (-2, ""), (-3, " \n\t"), (-4, "A a_b 1c2 \u00df \u0663 !? ... x.\n\nx.\n"), (-5, "word, " * 30_000), (-6, "__ -- 12")]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    got = {r.doc_id: r for r in score(both, model).collect()}
+    n = 0
+    for r in both.collect():
+        want, g = plain_score(model, r.text), got[r.doc_id]
+        assert abs(g.score - want) < 1e-9 and (g.predicted == int(want >= 0.7) or abs(want - 0.7) < 1e-9)
+        n += 1
+    assert n == len(got)
