@@ -4,8 +4,9 @@ Spark tokenises where the documents are (whole texts; a bounded memo holds the i
 each piece, and deals the pieces into shards of a bounded number of rows. Each shard is packed on its own: best fit
 in descending order of length gives a start; local search then takes the emptiest bin and moves its pieces out, by a
 plain move, a one-for-one or a two-for-one exchange with a fuller bin. Each step shifts ids from an emptier bin to a
-fuller one, so the sum of squared fills grows and the search ends. A shard can waste at most what its own search
-leaves, so shards are large.
+fuller one, so the sum of squared fills grows and the search ends. It ends earlier at the lower bound, or when ``patience``
+bins in a row resist; two-for-one exchanges look at the pairs at most three places apart in a bin. Both only bound the
+search: no piece is left out. A shard can waste at most what its own search leaves, so shards are large.
 """
 
 from __future__ import annotations
@@ -261,8 +262,9 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 4096, end_id: int = 1,
 
     Returns one row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text
     is the single ``end_id``. Rows that repeat an id are packed as often as they come. A null id stays null. An empty
-    table gives no rows. Other columns of ``docs`` are not read. ``shard_rows`` bounds what one task packs: shards
-    are as few as that allows, and no piece is left out.
+    table gives no rows. Other columns of ``docs`` are not read. ``shard_rows`` is the mean number of
+    pieces that one task packs: shards are as few as that allows, and no piece is left out. Pieces are dealt by a hash of
+    (id, piece, ids), so rows that agree in all three meet in one shard. ``patience``: bins in a row that may resist.
     """
     cut = cut_lineage(pieces(docs, vocabulary, length, end_id, id_col, text_col), "pieces")
     n = cut.filter(F.col("length") < length).count()
