@@ -4,8 +4,9 @@ The reference loops over every event and filters the child table for it
 (one scan per key). Here each child table is aggregated once with
 ``groupBy(key)``: all features of one table are conditional aggregates in a
 single pass (map-side partial aggregation, so a key with a huge number of
-child rows is combined before the shuffle), then left-joined to the events
-and zero-filled.
+child rows is combined before the shuffle; where first and last values are
+asked for, rows are sorted within their key instead), then left-joined to the
+events and zero-filled.
 
 A feature *spec* is a list of aggregate expressions plus post-aggregation
 columns; :func:`aggregate_children` runs any number of specs over one child
@@ -17,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import indicator
@@ -32,11 +33,14 @@ class ChildSpec:
     # exact distinct counts ``(name, column)``, computed in a separate narrow
     # aggregate so the wide one keeps a plain partial/final plan
     distinct: list[tuple[str, Column]] = field(default_factory=list)
+    # ``(name, group, order)``: the columns ``name_first`` and ``name_last`` say whether a child row is the first, the last
+    # of its key and group in this order. Spark's min_by over a struct keeps its buffers out of the hash aggregate
+    ends: list[tuple[str, Column, list[Column]]] = field(default_factory=list)
 
     def __add__(self, other: "ChildSpec") -> "ChildSpec":
         return ChildSpec(self.aggs + other.aggs, self.post + other.post,
                          {**self.fill, **other.fill}, self.drop + other.drop,
-                         self.distinct + other.distinct)
+                         self.distinct + other.distinct, self.ends + other.ends)
 
 
 def _c(x) -> Column:
@@ -49,6 +53,13 @@ def aggregate_children(children: DataFrame, key: str, specs: Sequence[ChildSpec]
     spec = specs[0]
     for s in specs[1:]:
         spec = spec + s
+    if spec.ends:
+        # narrow rows are shuffled and sorted once (on disk, where a key has many); all aggregates then stay in their partition
+        children = children.repartition(key)
+        for name, group, order in spec.ends:
+            w = Window.partitionBy(key, f"{name}_group").orderBy(*order)
+            children = children.withColumn(f"{name}_group", group).withColumns({
+                f"{name}_first": F.lag(F.lit(1)).over(w).isNull(), f"{name}_last": F.lead(F.lit(1)).over(w).isNull()})
     # distinct values are counted in the same pass: Spark groups by (key, value) first, then by key
     out = children.groupBy(key).agg(*spec.aggs, *[F.count_distinct(col).alias(name) for name, col in spec.distinct])
     for name, col in spec.post:
@@ -163,18 +174,18 @@ def measured_spec(item, value, order: Sequence, rules: Sequence[ItemRule],
     adds ``last_num / max(last_den, floor)``, NULL unless both exist.
     """
     it, v = _c(item), _c(value)
-    ordering = F.struct(*[_c(o) for o in order])
+    at = "_at_" + total
+    which = F.coalesce(*[F.when(it == F.lit(r.item), i) for i, r in enumerate(rules)], F.lit(-1))
     aggs = [F.count(F.lit(1)).alias(total)]
     post: list[tuple[str, Column]] = []
     drop = []
     fill: dict[str, object] = {total: 0}
     for r in rules:
         m = it == F.lit(r.item)
-        key = F.when(m, ordering)
         n = r.name
         aggs += [
-            F.min_by(v, key).alias(f"{n}_first"),
-            F.max_by(v, key).alias(f"{n}_last"),
+            F.max(F.when(m & F.col(f"{at}_first"), v)).alias(f"{n}_first"),
+            F.max(F.when(m & F.col(f"{at}_last"), v)).alias(f"{n}_last"),
             F.avg(F.when(m, v)).alias(f"{n}_mean"),
             F.max(F.when(m, v)).alias(f"{n}_max"),
             F.min(F.when(m, v)).alias(f"{n}_min"),
@@ -200,7 +211,7 @@ def measured_spec(item, value, order: Sequence, rules: Sequence[ItemRule],
         post.append((name, F.when((F.col(f"has_{num}") == 1) & (F.col(f"has_{den}") == 1),
                                   F.col(f"{num}_last") / F.greatest(F.col(f"{den}_last"),
                                                                     F.lit(float(floor))))))
-    return ChildSpec(aggs, post, fill, drop)
+    return ChildSpec(aggs, post, fill, drop, ends=[(at, which, [_c(o) for o in order])])
 
 
 # --------------------------------------------------------------------------
