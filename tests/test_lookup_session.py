@@ -69,3 +69,42 @@ def test_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_deal_evens_out_what_keeps_cores_waiting(spark):
+    from pyspark.sql import functions as F
+
+    from cohortflow.session import cut_lineage, deal
+
+    def sizes(df):
+        return [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+
+    cores = spark.sparkContext.defaultParallelism
+    uneven = spark.range(0, 5000, 1, 1).union(spark.range(5000, 6000, 1, 3))
+    even = deal(uneven, least=1000)
+    assert len(sizes(even)) == cores and max(sizes(even)) - min(sizes(even)) <= cores
+    read = sizes(cut_lineage(even, "dealt"))
+    assert max(read) * cores <= 1.15 * 6000
+    assert sorted(r.id for r in even.collect()) == list(range(6000))
+    assert deal(uneven) is uneven and deal(even, least=1000) is even
+
+
+def test_matrices_are_written_in_even_parts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from cohortflow import session
+    from cohortflow.operators import models as M
+
+    monkeypatch.setattr(M, "deal", lambda df: session.deal(df, least=1000))
+    df = spark.range(0, 6000, 1, 1).select("id", (F.col("id") % 2).alias("label"), F.rand(1).alias("a"))
+    parts = [r["count"] for r in M.training_matrix(df, "id", "label", ["a"], materialize=True).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 6000 and max(parts) * spark.sparkContext.defaultParallelism <= 1.15 * 6000
+
+
+def test_settings_for_many_rows_leave_the_model_alone(spark):
+    from cohortflow.operators import models as M
+
+    few, many = (M.estimator("rf", {"numTrees": 3, "seed": 42}, 2, n) for n in (1000, 1_000_000))
+    assert few.getCacheNodeIds() and many.getCacheNodeIds() and (few.getMaxMemoryInMB(), many.getMaxMemoryInMB()) == (256, 512)
+    few, many = (M.estimator("mlp", {"hidden": [4], "maxIter": 7}, 2, n) for n in (1000, 1_000_000))
+    assert (few.getBlockSize(), many.getBlockSize()) == (128, 1024) and few.getLayers() == many.getLayers() == [2, 4, 2]
